@@ -117,22 +117,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
-    if cur.isEmpty():
-        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-    def digest(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    last = digest(cur)
     for _ in range(max_rounds):
+        # settled: every node with a smaller neighbour has just one, which has none itself
+        ends = cur.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(cur.select("v", F.lit(0), F.lit(1)))
+        loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if loose.isEmpty():
+            break
         both = cur.union(cur.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -142,10 +135,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         cur = checkpointed(small)
-        now = digest(cur)
-        if now == last:
-            break
-        last = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -170,7 +159,7 @@ def bucket_components(index: DataFrame, verify, carry: tuple[str, ...] = (), che
     """
     shared = index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     rows = checkpointed(index.join(shared, "key", "left_semi"))
-    links, comp = None, None
+    comp, before = None, None
     for round_ in range(star_rounds + 1):
         placed = rows if comp is None else rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
         placed = placed.withColumn("comp", F.col("id") if comp is None else F.coalesce("component", "id"))
@@ -187,7 +176,9 @@ def bucket_components(index: DataFrame, verify, carry: tuple[str, ...] = (), che
         if not n:
             break
         a = placed.select("key", F.col("id").alias("a_id"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in carry])
-        last = cross <= 2 * n or round_ == star_rounds
+        # no more stars once they are few or a round has not halved them
+        last = cross <= 2 * n or round_ == star_rounds or before is not None and cross > before / 2
+        before = cross
         if not last:
             draw = F.xxhash64("id", F.lit(round_))
             centre = placed.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "comp", *carry)).alias("c"))
@@ -199,7 +190,8 @@ def bucket_components(index: DataFrame, verify, carry: tuple[str, ...] = (), che
             pairs = pairs.where(cheap)
         pairs = pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct()
         found = checkpointed(verify(checkpointed(pairs)).select("src", "dst"))
-        links = found if links is None else links.union(found)
+        # a component found before is a star: its rays stand for all its links
+        links = found if comp is None else comp.toDF("src", "dst").union(found)
         comp = connected_components(links)
         if last:
             break

@@ -8,6 +8,10 @@ is listed under the sums of its hashes over each subset of a group's
 segments that leaves these few out, or over the group less one shingle.
 How many groups and segments is settled by cost.  Candidates whose parity
 sketches differ too much are passed over; the rest is verified on its words.
+
+Before that, sets that cannot have a partner are put aside: a set that links
+has few shingles that occur in no other set, and counting these over a part
+of the universe a little larger than that number already shows most of them.
 """
 
 from __future__ import annotations
@@ -54,9 +58,9 @@ def plan(top: int, percent: int, rows: int, common: float = 0.1) -> tuple[int, i
     if d == 0:
         return 0, 0, 0
     best = None
-    for out, segments in ((0, 1), (1, 0), (1, 3), (1, 4), (1, 5), (2, 5), (2, 6), (2, 7), (3, 7), (3, 8)):
+    for out, segments in ((0, 1), (1, 0), (1, 3), (1, 4), (1, 5), (2, 5), (2, 6), (2, 7)):
         groups = -(-(d + 1) // (out + 1))
-        size = top / groups
+        size = 0.75 * top / groups  # sets of a band and the one below it
         keys = math.comb(segments, out) if segments else size + 1
         held = size * (1 - out / segments) if segments else size - 1
         cost = groups * keys * (1 + rows / 16 * math.exp(-2 * held * (1 - common)))
@@ -65,94 +69,117 @@ def plan(top: int, percent: int, rows: int, common: float = 0.1) -> tuple[int, i
     return best[1:]
 
 
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; a shorter text is one shingle."""
-    n = len(words)
-    if n == 0:
-        return words
-    with np.errstate(over="ignore"):
-        k = min(width, n)
-        total = np.full(n - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            total = mix64(total + words[i : n - k + 1 + i] * np.uint64(2 * i + 3))
-    return np.unique(total)
-
-
-def index_keys(hashes: np.ndarray, percent: int, rows: int, plans: dict) -> np.ndarray:
-    """The keys under which a set of shingle hashes is listed; ``plans`` keeps plans by their top."""
-    n = len(hashes)
-    if n == 0:
-        return hashes
-    tops = band_tops(percent, n + 1)
-    band = int(np.searchsorted(tops, n))
-    next_top = max(int(tops[band]) + 1, int(tops[band]) * 100 // percent)
-    with np.errstate(over="ignore"):
-        value = mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
-        keys = []
-        for label, top in ((band, int(tops[band])), (band + 1, next_top)):
-            if top not in plans:
-                plans[top] = plan(top, percent, rows)
-            groups, segments, out = plans[top]
-            if not groups:
-                continue
-            pieces = groups * max(segments, 1)
-            edges = (np.arange(1, pieces, dtype=np.float64) * (2.0**64 / pieces)).astype(np.uint64)
-            cut = np.concatenate(([0], np.searchsorted(hashes, edges), [n]))
-            part = (sums[cut[1:]] - sums[cut[:-1]]).reshape(groups, -1)
-            tag = mix64(np.arange(groups, dtype=np.uint64) + np.uint64(label) * np.uint64(1 << 32) + np.uint64(1))
-            whole = part.sum(axis=1, dtype=np.uint64)
-            if not segments:
-                keys.append(mix64(whole + tag))
-                of = np.repeat(np.arange(groups), np.diff(cut))
-                keys.append(mix64(whole[of] - value + tag[of]))
-                continue
-            for i, left_out in enumerate(combinations(range(segments), out)):
-                held = whole - part[:, list(left_out)].sum(axis=1, dtype=np.uint64)
-                keys.append(mix64(held + mix64(tag + np.uint64(i))))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-
-
-def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """How many hashes fall in each of ``SKETCH`` cells, modulo 2, packed.
-
-    Two sets differ in at least as many shingles as their sketches in bits.
-    """
-    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
+class Signer:
+    """Sizes, hashes, sketches and index keys of shingle sets, many texts at once."""
 
-def signatures(docs: DataFrame, width: int, percent: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, size of its set, two hashes of the set, its sketch and its index keys."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    def __init__(self, width: int, percent: int, rows: int = 0):
+        self.hasher = WordHasher(SPACES)
+        self.width, self.percent, self.rows = width, percent, rows
+        self.probe = min(1.0, 1.3 * (100 - percent) / 100)
+        self.tops = band_tops(percent, 2)
+        self.bands: dict[int, tuple] = {}
 
-    def sign(batches):
-        hasher, plans = WordHasher(SPACES), {}
+    def _band(self, label: int) -> tuple:
+        """Edges of a band's segments, tags of its groups and of their subsets."""
+        if label not in self.bands:
+            groups, segments, out = plan(int(self.tops[label]), self.percent, self.rows)
+            pieces = groups * max(segments, 1)
+            edges = (np.arange(1, pieces, dtype=np.float64) * (2.0**64 / max(pieces, 1))).astype(np.uint64)
+            tag = mix64(np.arange(groups, dtype=np.uint64) + np.uint64(label) * np.uint64(1 << 32) + np.uint64(1))
+            subsets = [(list(c), mix64(tag + np.uint64(i))) for i, c in enumerate(combinations(range(segments), out))] if segments else []
+            self.bands[label] = groups, edges, tag, subsets
+        return self.bands[label]
+
+    def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct shingle hashes of each text, end to end, and where each begins."""
+        starts, words = self.hasher(b" ".join(texts))
+        cuts = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
+        width = self.width
+
+        def joined(n: int, k: int, low: int = 0) -> np.ndarray:
+            total = np.full(max(n - k + 1, 0), k, dtype=np.uint64)
+            for i in range(k):
+                total = mix64(total + words[low + i : low + n - k + 1 + i] * np.uint64(2 * i + 3))
+            return total
+
+        shingles = joined(len(words), width)
+        parts = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            h = shingles[a : b - width + 1] if b - a >= width else joined(b - a, b - a, a) if b > a else words[:0]
+            h = np.sort(h)
+            parts.append(h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+    def sign(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Size and two hashes of each text's set; numbers and values of its hashes below ``probe``."""
+        hashes, at = self.sets(texts)
+        first = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
+        second = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes)))
+        low = hashes < np.uint64(int(self.probe * 2.0**64))
+        counts = np.diff(np.concatenate(([0], np.cumsum(low)))[at])
+        return np.diff(at), first[at[1:]] - first[at[:-1]], second[at[1:]] - second[at[:-1]], counts, hashes[low]
+
+    def keys(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Size and sketch of each text's set; numbers and values of its index keys."""
+        hashes, at = self.sets(texts)
+        value = mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
+        sizes = np.diff(at)
+        cell = np.repeat(np.arange(len(sizes)) * SKETCH, sizes) + (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
+        odd = np.bincount(cell, minlength=len(sizes) * SKETCH) & 1
+        # differing shingles change at least as many bits of this
+        sketches = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        while np.searchsorted(self.tops, sizes.max(initial=0)) + 1 >= len(self.tops):
+            self.tops = band_tops(self.percent, 2 * int(self.tops[-1]))
+        bands = np.searchsorted(self.tops, sizes)
+        found, counts = [], []
+        for low, n, band in zip(at.tolist(), sizes.tolist(), bands.tolist()):
+            before = len(found)
+            for label in (band, band + 1) if n else ():
+                groups, edges, tag, subsets = self._band(label)
+                if not groups:
+                    continue
+                cut = np.concatenate(([0], np.searchsorted(hashes[low : low + n], edges), [n])) + low
+                part = np.diff(sums[cut]).reshape(groups, -1)
+                if not subsets:
+                    whole = part[:, 0] + tag
+                    found.append(whole)
+                    found.append(np.repeat(whole, np.diff(cut)) - value[low : low + n])
+                    continue
+                whole = part.sum(axis=1)
+                for left_out, subset_tag in subsets:
+                    held = whole + subset_tag
+                    for i in left_out:
+                        held = held - part[:, i]
+                    found.append(held)
+            counts.append(sum(map(len, found[before:])))
+        return sizes, np.full(len(sizes), SKETCH // 64), sketches, np.array(counts, dtype=np.int64), mix64(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _over_texts(docs: DataFrame, signer: Signer, method: str, schema: str) -> DataFrame:
+    """Runs a method of ``signer`` over ``id, text`` rows, a bounded amount of text at a time."""
+    id_type = docs.schema["id"].dataType.simpleString()
+    names = ["id", *[c.split()[0] for c in schema.split(", ")]]
+
+    def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            sizes, first, second, sketches, keys = [], [], [], [], []
             with np.errstate(over="ignore"):
-                for low, high in byte_groups(texts):
-                    part = [t or b"" for t in texts[low:high]]
-                    starts, words = hasher(b" ".join(part))
-                    ends = np.cumsum([len(t) + 1 for t in part])
-                    cuts = np.searchsorted(starts, np.concatenate(([0], ends)))
-                    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                        hashes = shingle_hashes(words[a:b], width)
-                        sizes.append(len(hashes))
-                        first.append(np.sum(hashes, dtype=np.uint64))
-                        second.append(np.sum(mix64(hashes), dtype=np.uint64))
-                        sketches.append(parity_sketch(hashes))
-                        keys.append(index_keys(hashes, percent, rows, plans).view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            values = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(np.array(first, np.uint64).view(np.int64)), pa.array(np.array(second, np.uint64).view(np.int64)), sketch, pa.ListArray.from_arrays(pa.array(offsets), values)],
-                names=["id", "n", "h1", "h2", "sketch", "keys"],
-            )
-
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(sign, f"id {id_type}, n long, h1 long, h2 long, sketch array<long>, keys array<long>")
+                done = [getattr(signer, method)([t or b"" for t in texts[low:high]]) for low, high in byte_groups(texts)]
+            if done:
+                columns = [np.concatenate(x) for x in zip(*done)]
+                arrays = []
+                if method == "sign":
+                    arrays = [pa.array(columns[0]), *[pa.array(c.view(np.int64)) for c in columns[1:3]], _lists(*columns[3:])]
+                else:
+                    arrays = [pa.array(columns[0]), _lists(*columns[1:3]), _lists(*columns[3:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
+
+    return docs.select("id", "text").mapInArrow(run, f"id {id_type}, {schema}")
 
 
 def shingle_set(text: bytes, width: int) -> set:
@@ -164,17 +191,14 @@ def shingle_set(text: bytes, width: int) -> set:
 
 def close_sketches(signed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and sketches allow a link."""
-    narrow = signed.groupBy("id").agg(F.first(F.struct("n", "sketch")).alias("s")).select("id", "s.*")
+    narrow = signed.select("id", "n", "sketch")
     both = pairs.join(narrow.toDF("src", "an", "a"), "src").join(narrow.toDF("dst", "bn", "b"), "dst")
     bits = "aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
     return both.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * {bits} <= {100 - percent} * (an + bn)").select("src", "dst")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of ids whose shingle sets, taken from their words, are alike enough."""
-    pairs = checkpointed(pairs)
-    ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    texts = checkpointed(docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
 
     def test(batches):
@@ -210,12 +234,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     component of its own.
     """
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    signed = checkpointed(signatures(docs, width, percent, docs.count(), id_col, text_col))
+    signed = checkpointed(_over_texts(source, Signer(width, percent), "sign", "n bigint, h1 bigint, h2 bigint, probe array<bigint>"))
     usable = signed.where("n > 0 and id is not null")
-    classes = checkpointed(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    index = usable.join(reps, "id", "left_semi").select(F.explode("keys").alias("key"), "id").distinct()
-    groups = bucket_components(index, lambda pairs: verified(source, close_sketches(usable.join(reps, "id", "left_semi"), pairs, percent), width, percent))
+    classes = checkpointed(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
+    alone = usable.select(F.explode("probe").alias("token"), "h1").groupBy("token").agg(F.min("h1").alias("h1"), F.max("h1").alias("hi")).where("h1 = hi").groupBy("h1").agg(F.count("*").alias("alone"))
+    able = classes.join(alone, "h1", "left").where(f"coalesce(alone, 0) <= {100 - percent} * n div 100").select(F.col("rep").alias("id")).distinct()
+    texts = checkpointed(source.join(able, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    keyed = checkpointed(_over_texts(texts, Signer(width, percent, texts.count()), "keys", "n bigint, sketch array<bigint>, keys array<bigint>"))
+    index = keyed.select(F.explode("keys").alias("key"), "id")
+    groups = bucket_components(index, lambda pairs: verified(texts, close_sketches(keyed, pairs, percent), width, percent))
     # rows that share an id but not a text tie their classes together
     copies = usable.join(classes, ["h1", "h2", "n"]).where("id != rep").select(F.col("id").alias("node"), "rep")
     named = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))

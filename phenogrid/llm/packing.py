@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -19,25 +20,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import checkpointed
+from phenogrid.llm.common import WordHasher, byte_groups, checkpointed
 
 CAPACITY = 1024
 SEPARATOR = 2
 BUCKET_ITEMS = 20_000
-CACHE_WORDS = 300_000
+GROUP_BYTES = 8 << 20  # texts whose words are encoded together
 
 
-class CachedTokenizer:
-    """Token ids of a byte-level BPE as little-endian bytes, through a cache of words.
+class WordTokenizer:
+    """Token ids of a byte-level BPE, encoding each distinct word of a group of texts once.
 
     This kind of tokenizer never joins a blank or line break that stands
-    alone between words to what is before it.  A text of such words is cut
-    there, and only words that the cache lacks are encoded, all in one call.
-    Any other text is encoded as a whole.  Ids are those of the JSON file's
-    tokenizer; the rank file holds the same vocabulary.
+    alone to what is before it, so a text can be cut there.  Words of a
+    group are told apart by 64-bit hashes; the distinct ones are encoded in
+    one call, and the ids of all texts are gathered from theirs.  Texts with
+    runs of white space, or with some at either end, are encoded as a whole.
+    Ids are those of the JSON file's tokenizer: the rank file holds the same
+    vocabulary.
     """
 
-    WORD = re.compile(r"\n?\S+")
+    #: The vocabulary's pattern without its rule for runs of white space.
+    NO_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+    OTHER_SPACE = re.compile(r"[^\S \n]")
 
     def __init__(self, rank_file: str):
         import public_tokenizers
@@ -45,36 +50,72 @@ class CachedTokenizer:
 
         with open(public_tokenizers.path(rank_file), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.any_text = tiktoken.Encoding("any", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.no_runs = tiktoken.Encoding("no_runs", pat_str=self.NO_RUNS, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, i in ranks.items():
             self.length[i] = len(token)
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [w if w[0] == "\n" else " " + w for w in words]
-        ids = np.array(self.encoding.encode_ordinary("".join(parts)), dtype="<u4")
-        ends = np.cumsum([len(p.encode()) for p in parts])
-        cuts = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
-        data, low = ids.tobytes(), 0
-        for word, high in zip(words, cuts.tolist()):
-            self.cache[word] = data[4 * low : 4 * high]
-            low = high
+        self.hasher = WordHasher(b" \n", fold=False)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        words = text.replace("\n", " \n").split(" ")
-        new = [w for w in {*words[1:]} if w not in self.cache]
-        first = words[0]
-        if not all(map(self.WORD.fullmatch, new)) or first and not self.WORD.fullmatch(first):
-            return self.whole(text)
-        if new:
-            self._learn(new)
-        return self.whole(first) + b"".join(map(self.cache.__getitem__, words[1:]))
+        return np.array(self.any_text.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian ids of each UTF-8 text."""
+        data = b"\n".join(texts)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        stops = np.cumsum([len(t) + 1 for t in texts]) - 1  # where each text's separator stands
+        with np.errstate(over="ignore"):
+            starts, keys = self.hasher(data)
+            cuts = np.searchsorted(starts, np.concatenate(([0], stops)))
+            space = (raw == 32) | (raw == 10)
+            runs = np.flatnonzero(space[1:] & space[:-1])  # also where a text begins or ends with white space
+            plain = np.diff(cuts) > 0
+            for at in (runs, runs + 1):
+                hit = np.searchsorted(stops, at)
+                plain[hit[hit < len(texts)]] = False
+            if len(texts) and texts[0][:1] in (b" ", b"\n"):
+                plain[0] = False
+            if len(texts) and texts[-1][-1:] in (b" ", b"\n"):
+                plain[-1] = False
+            ends = np.append(starts[1:] - 1, len(raw))
+            keys = keys + (raw[starts - 1] == 10).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        words = None
+        while words is None:
+            inner = np.repeat(plain, np.diff(cuts))
+            inner[cuts[:-1][plain]] = False
+            at = np.flatnonzero(inner)
+            _, sample, of = np.unique(keys[at], return_index=True, return_inverse=True)
+            words = self._encode_words(raw, starts[at[sample]] - 1, ends[at[sample]])
+            if words is None:  # some word holds other white space
+                plain &= np.array([not self.OTHER_SPACE.search(t.decode()) for t in texts])
+        pool, first, count = words
+        n = np.zeros(len(starts), dtype=np.int64)
+        n[at] = count[of]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(first[of] - total[at], count[of]) + np.arange(total[-1])].tobytes()
+        out = []
+        for i, text in enumerate(texts):
+            if plain[i]:
+                a, b = cuts[i], cuts[i + 1]
+                out.append(self.whole(data[starts[a] : ends[a]].decode()) + ids[4 * total[a] : 4 * total[b]])
+            else:
+                out.append(self.whole(text.decode()) if text else b"")
+        return out
+
+    def _encode_words(self, raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of byte ranges end to end, with the first place and the number of each range's."""
+        ends = np.cumsum(high - low)
+        if not len(ends):
+            return np.zeros(0, "<u4"), ends, ends
+        begins = np.concatenate(([0], ends[:-1]))
+        joined = raw[np.repeat(low - begins, high - low) + np.arange(ends[-1])].tobytes().decode()
+        if self.OTHER_SPACE.search(joined):
+            return None
+        ids = np.array(array("I", self.no_runs.encode_ordinary(joined)), dtype="<u4")
+        cuts = np.searchsorted(np.cumsum(self.length[ids]), ends) + 1
+        first = np.concatenate(([0], cuts[:-1]))
+        return ids, first, cuts - first
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR, rank_file: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,17 +128,19 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEP
     tail = np.array([separator], dtype="<u4").tobytes()
 
     def cut(batches):
-        tokens = CachedTokenizer(rank_file)
+        tokens = WordTokenizer(rank_file)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = tokens.encode(text or "") + tail
-                n = len(ids) // 4
-                low, high, k = 0, n % capacity or min(n, capacity), 0
-                while low < n:
-                    at.append(i), piece.append(k), start.append(low), length.append(high - low)
-                    crc.append(zlib.crc32(ids[4 * low : 4 * high]))
-                    low, high, k = high, high + capacity, k + 1
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for first, last in byte_groups(texts, GROUP_BYTES):
+                for i, ids in enumerate(tokens.encode(texts[first:last]), first):
+                    ids += tail
+                    n = len(ids) // 4
+                    low, high, k = 0, n % capacity or min(n, capacity), 0
+                    while low < n:
+                        at.append(i), piece.append(k), start.append(low), length.append(high - low)
+                        crc.append(zlib.crc32(ids[4 * low : 4 * high]))
+                        low, high, k = high, high + capacity, k + 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at, type=pa.int64())), pa.array(piece, type=pa.int32()), pa.array(start, type=pa.int64()), pa.array(length, type=pa.int64()), pa.array(crc, type=pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
