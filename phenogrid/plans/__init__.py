@@ -1 +1 @@
-
+"""Named queries over the driver's tables, each with the SQL that it must equal."""

@@ -1 +1 @@
-
+"""Readers and writers of archives, tables, labels and reports."""

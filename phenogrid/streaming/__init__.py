@@ -1 +1 @@
-
+"""Incremental upkeep of the presence table."""
