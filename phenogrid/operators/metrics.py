@@ -17,7 +17,7 @@ def average_precision(scored: DataFrame, by: str, tie: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc("prob"), tie)
     hit = F.col("label").cast("int")
     ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return ranked.groupBy(by).agg(F.sum(hit).cast("long").alias("n_pos"), F.sum(hit * F.col("hits") / F.col("rank")).alias("s")).where("n_pos > 0").select(by, "n_pos", (F.col("s") / F.col("n_pos")).alias("ap"))
+    return ranked.groupBy(by).agg(F.sum(hit).cast("long").alias("n_pos"), F.sum(hit * F.col("hits") / F.col("rank")).alias("_sum")).where("n_pos > 0").select(by, "n_pos", (F.col("_sum") / F.col("n_pos")).alias("ap"))
 
 
 def topk_recall(scored: DataFrame, by: str, tie: str, k: int) -> DataFrame:

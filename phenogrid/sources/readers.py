@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import shutil
+import struct
 import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,10 +82,6 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_wkb(df: DataFrame, column: str, out: str = "ring") -> DataFrame:
     """Adds the outer ring (array of lon, lat) of WKB polygons; null for null and other shapes."""
-    import struct
-
-    import pandas as pd
-
     def ring(blob) -> list | None:
         if blob is None or len(blob) < 13:
             return None
