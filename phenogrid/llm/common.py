@@ -141,14 +141,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return found.union(found.select("component", "component").distinct())
 
 
-def bucket_components(index: DataFrame, verify, carry: tuple[str, ...] = (), cheap: str | None = None, star_rounds: int = 8) -> DataFrame:
+def bucket_components(index: DataFrame, sketches: DataFrame, close: str, verify, star_rounds: int = 8) -> DataFrame:
     """Components of the links that ``verify`` finds between rows of one bucket.
 
-    ``index`` has ``key, id`` and the ``carry`` columns; rows that share a key
-    are candidates.  ``verify`` takes ``src, dst`` and returns the pairs that
-    are linked.  ``cheap`` is an SQL condition on ``a_`` and ``b_`` carried
-    columns that is part of the link.  The result holds ``node, component``
-    of all ids with a link and equals that of testing every candidate pair.
+    ``index`` has ``key, id``; rows that share a key are candidates.
+    ``sketches`` has a row of narrow columns for each ``id``, and ``close`` is
+    an SQL condition on them, named ``a_`` and ``b_``, that every link meets:
+    pairs that fail it are dropped inside the join.  ``verify`` takes
+    ``src, dst`` and returns the pairs that are linked.  The result holds
+    ``node, component`` of all ids with a link and equals that of verifying
+    every candidate pair.
 
     All pairs of a bucket are not emitted while they outnumber its rows:
     first, rounds of stars test each member against one member drawn from
@@ -158,7 +160,8 @@ def bucket_components(index: DataFrame, verify, carry: tuple[str, ...] = (), che
     in full.
     """
     shared = index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    rows = checkpointed(index.join(shared, "key", "left_semi"))
+    carry = [c for c in sketches.columns if c != "id"]
+    rows = checkpointed(index.join(shared, "key", "left_semi").join(sketches, "id"))
     comp, before = None, None
     for round_ in range(star_rounds + 1):
         placed = rows if comp is None else rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
@@ -185,9 +188,7 @@ def bucket_components(index: DataFrame, verify, carry: tuple[str, ...] = (), che
             b = centre.select("key", F.col("c.id").alias("b_id"), F.col("c.comp").alias("b_comp"), *[F.col(f"c.{c}").alias(f"b_{c}") for c in carry])
         else:
             b = a.select(*[F.col(c).alias("b" + c[1:] if c != "key" else c) for c in a.columns])
-        pairs = a.join(b, "key").where("a_comp < b_comp" if last else "a_comp != b_comp")
-        if cheap:
-            pairs = pairs.where(cheap)
+        pairs = a.join(b, "key").where(f"a_comp {'<' if last else '!='} b_comp and {close}")
         pairs = pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct()
         found = checkpointed(verify(checkpointed(pairs)).select("src", "dst"))
         # a component found before is a star: its rays stand for all its links

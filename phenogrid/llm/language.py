@@ -61,14 +61,18 @@ class Encoder:
         """Vectors of the texts, and whether each has a letter."""
         vectors = np.zeros((len(texts), self.dimensions), dtype=np.float32)
         lettered = np.zeros(len(texts), dtype=bool)
+        gap = np.zeros(1, dtype=np.int32)
         rows, held = [], 0
         for i, text in enumerate(texts):
-            for at in range(0, len(text or ""), CHUNK):
-                # a piece repeats the last letters before it, so no n-gram is lost
-                piece = self.slots(text[max(0, at - GRAM + 1) : at + CHUNK])
-                lettered[i] |= bool(piece.any())
-                rows.append((i, piece))
-                held += len(piece)
+            if not text:
+                continue
+            slot = np.concatenate([gap, *[self.slots(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)], gap])
+            slot = slot[(slot != 0) | np.concatenate(([True], slot[:-1] != 0))]  # one gap between words
+            lettered[i] = slot.any()
+            # pieces overlap, so that each n-gram is in just one of them
+            for at in range(0, len(slot) - GRAM + 1, CHUNK):
+                rows.append((i, slot[at : at + CHUNK + GRAM - 1]))
+                held += len(rows[-1][1])
                 if held > CHUNK:
                     self._bundle(rows, vectors)
                     rows, held = [], 0
@@ -77,13 +81,8 @@ class Encoder:
         return vectors, lettered
 
     def _bundle(self, rows: list[tuple[int, np.ndarray]], vectors: np.ndarray) -> None:
-        gap = np.zeros(1, dtype=np.int32)
-        slot = np.concatenate([p for _, piece in rows for p in (gap, piece, gap)])
-        part = np.repeat(np.arange(len(rows)), [len(piece) + 2 for _, piece in rows])
-        keep = (slot != 0) | np.concatenate(([True], slot[:-1] != 0)) | np.concatenate(([True], part[1:] != part[:-1]))
-        slot, part = slot[keep], part[keep]
-        if len(slot) < GRAM:
-            return
+        slot = np.concatenate([piece for _, piece in rows])
+        part = np.repeat(np.arange(len(rows)), [len(piece) for _, piece in rows])
         n = len(slot) - GRAM + 1
         code = np.zeros(n, dtype=np.int64)
         for i in range(GRAM):

@@ -10,6 +10,7 @@ connected group of lines only the first occurrence stays.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64
 
 MAX_BITS = 3
+WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 BLOCKS = (13, 13, 13, 13, 12)
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
 
@@ -152,9 +154,9 @@ def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     lines = checkpointed(line_table(docs, id_col, text_col))
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim"), F.min("words").alias("words"))
     classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("id"), "first.*", "sim", "words"))
-    index = classes.select("id", "sim", F.explode(F.array(*block_keys("sim"))).alias("key"))
+    index = classes.select("id", F.explode(F.array(*block_keys("sim"))).alias("key"))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    groups = bucket_components(index, lambda pairs: _verified(source, classes, pairs, least), carry=("sim",), cheap=f"bit_count(a_sim ^ b_sim) <= {MAX_BITS}")
+    groups = bucket_components(index, classes.select("id", "sim"), f"bit_count(a_sim ^ b_sim) <= {MAX_BITS}", lambda pairs: _verified(source, classes, pairs, least))
     named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left")
     return named.groupBy(F.coalesce("component", "id").alias("g")).agg(F.min(F.struct("doc_id", "line")).alias("first")).select("first.*")
 
@@ -169,12 +171,23 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     Rows with a null id keep lines like any document.  Other columns pass.
     """
     kept = kept_lines(docs, least, id_col, text_col).groupBy("doc_id").agg(F.collect_list("line").alias("_kept")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_doc"]), "left").drop("_doc")
-    text = joined[text_col]
-    split = F.split(text, "\n")
-    none = F.array().cast("array<int>")
-    blank = F.filter(F.transform(split, lambda x, i: F.when(~x.rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"), i)), lambda i: i.isNotNull())
-    stays = F.transform(F.sort_array(F.array_union(F.coalesce("_kept", none), blank)), lambda i: F.get(split, i))
-    out = joined.withColumn("_lines", stays).withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(text.isNull(), 0).otherwise(F.col("n_lines") - F.size("_lines")).cast("long"))
-    return out.withColumn(text_col, F.array_join("_lines", "\n")).drop("_lines", "_kept")
+    added = ("n_lines", "n_dropped")
+    names = [c for c in docs.columns if c not in added]
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_doc"]), "left").select(*[docs[c] for c in names], "_kept")
+    at = names.index(text_col)
+    schema = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
+
+    def rewrite(batches):
+        for batch in batches:
+            texts, lines_, dropped = [], [], []
+            for text, stay in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                if text is None:
+                    texts.append(None), lines_.append(0), dropped.append(0)
+                    continue
+                parts, stay = text.split("\n"), set(stay or ())
+                left = [x for i, x in enumerate(parts) if i in stay or not WORDED.search(x)]
+                texts.append("\n".join(left)), lines_.append(len(parts)), dropped.append(len(parts) - len(left))
+            columns = [pa.array(texts, type=pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines_, type=pa.int64()), pa.array(dropped, type=pa.int64())], names=schema.names)
+
+    return joined.mapInArrow(rewrite, schema)

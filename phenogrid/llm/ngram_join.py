@@ -189,12 +189,10 @@ def shingle_set(text: bytes, width: int) -> set:
     return set(zip(*[words[i:] for i in range(width)]))
 
 
-def close_sketches(signed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and sketches allow a link."""
-    narrow = signed.select("id", "n", "sketch")
-    both = pairs.join(narrow.toDF("src", "an", "a"), "src").join(narrow.toDF("dst", "bn", "b"), "dst")
-    bits = "aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
-    return both.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * {bits} <= {100 - percent} * (an + bn)").select("src", "dst")
+def close_sketches(percent: int) -> str:
+    """SQL: the sizes and sketches of two sets allow a link."""
+    bits = " + ".join(f"bit_count(a_s{i} ^ b_s{i})" for i in range(SKETCH // 64))
+    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {100 + percent} * ({bits}) <= {100 - percent} * (a_n + b_n)"
 
 
 def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -242,7 +240,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     texts = checkpointed(source.join(able, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     keyed = checkpointed(_over_texts(texts, Signer(width, percent, texts.count()), "keys", "n bigint, sketch array<bigint>, keys array<bigint>"))
     index = keyed.select(F.explode("keys").alias("key"), "id")
-    groups = bucket_components(index, lambda pairs: verified(texts, close_sketches(keyed, pairs, percent), width, percent))
+    sketches = keyed.select("id", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH // 64)])
+    groups = bucket_components(index, sketches, close_sketches(percent), lambda pairs: verified(texts, pairs, width, percent))
     # rows that share an id but not a text tie their classes together
     copies = usable.join(classes, ["h1", "h2", "n"]).where("id != rep").select(F.col("id").alias("node"), "rep")
     named = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))

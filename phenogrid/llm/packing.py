@@ -79,6 +79,8 @@ class WordTokenizer:
             if len(texts) and texts[-1][-1:] in (b" ", b"\n"):
                 plain[-1] = False
             ends = np.append(starts[1:] - 1, len(raw))
+            worded = np.diff(cuts) > 0
+            ends[cuts[1:][worded] - 1] = stops[worded]
             keys = keys + (raw[starts - 1] == 10).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
         words = None
         while words is None:
