@@ -20,28 +20,32 @@ LEAST_LANGUAGE_SCORE = 0.1
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that are like no learned language."""
+    """Drops documents without letters (null and empty ones too) and those that are like no learned language."""
     model = language.train(docs, key=F.col("doc_id"))
     judged = language.predict(docs, model, docs.columns, names=("_lang_pred", "_lang_score"))
     return judged.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out repeated lines; drops documents that have no others."""
+    """Takes out repeated lines; drops documents that have no others, or no words at all."""
     kept = lines.dedup_lines(docs).where(F.col("text").rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
+    """Keeps the document of smallest id of each group of near copies; rows with a null id stay."""
     groups = ngram_join.jaccard_groups(docs, width=5, percent=80).where("doc_id != component_id").select("doc_id")
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources, up to half of them once more; none is lost."""
-    mixed = mixing.mix(docs, max_repeats=1.5).groupBy("doc_id").agg(F.max("epoch").alias("_epochs"))
-    chosen = docs.join(mixed, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_epochs"))))
+    """Repeats documents of small sources, up to half of them once more; none is lost.
+
+    A null source is a source, and rows with a null id stay; rows that share
+    an id are repeated alike.
+    """
+    mixed = mixing.mix(docs, max_repeats=1.5).groupBy(F.col("doc_id").alias("_id")).agg(F.max("epoch").alias("_epochs"))
+    chosen = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_epochs"))))
     return chosen.select(*docs.columns)
 
 

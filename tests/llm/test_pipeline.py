@@ -27,3 +27,17 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
 
 def test_whole_run(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_odd_rows_in_every_stage(spark, odd_documents, no_documents):
+    extra = odd_documents.union(spark.createDataFrame([(None, "a text of some words without an id", None, "a", 1, 1, "q")], odd_documents.schema))
+    for name, stage in pipeline.STAGES:
+        for docs in (extra, no_documents):
+            out = stage(spark, docs, "")
+            ids = [r["doc_id"] for r in out.collect()]
+            if name != "packing":
+                assert out.columns == docs.columns
+            if docs is no_documents:
+                assert not ids
+            elif name in ("near_duplicates", "mixing", "packing"):
+                assert None in ids and 2 in ids
