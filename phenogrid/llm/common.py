@@ -141,6 +141,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return found.union(found.select("component", "component").distinct())
 
 
+ID_BUCKETS = 1 << 20
+
+
+def near_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` without most rows whose ``column`` is not among ``ids``, ahead of a join on it.
+
+    Which of ``ID_BUCKETS`` hash values the ids have is broadcast: a million
+    numbers at most, whatever the input.  Wide rows with another value are
+    then not shuffled.  Past some millions of ids it drops little.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS)).cast("int")
+    some = ids.select(bucket.alias("_bucket")).distinct()
+    return df.withColumn("_bucket", bucket).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")
+
+
 def bucket_components(index: DataFrame, sketches: DataFrame, close: str, verify, star_rounds: int = 8) -> DataFrame:
     """Components of the links that ``verify`` finds between rows of one bucket.
 

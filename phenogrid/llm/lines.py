@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64
+from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids
 
 MAX_BITS = 3
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
@@ -129,10 +129,10 @@ def similar(a: str, b: str, least: float) -> bool:
 
 def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    wanted = lines.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("want"))
+    wanted = checkpointed(lines.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("want")))
     texts = (
-        docs.join(wanted, "doc_id")
-        .select(F.explode(F.expr("transform(want, w -> struct(w.id as id, element_at(split(text, '\\n'), w.line + 1) as line))")).alias("w"))
+        near_ids(docs, wanted, "doc_id").join(wanted, "doc_id")
+        .select(F.explode(F.expr("get(transform(array(split(text, '\\n')), parts -> transform(want, w -> struct(w.id as id, get(parts, w.line) as line))), 0)")).alias("w"))
         .groupBy(F.col("w.id").alias("id")).agg(F.min("w.line").alias("line"))
     )
     texts = checkpointed(texts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64
+from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids
 
 SKETCH = 512
 SPACES = b" \t\n\x0b\x0c\r"
@@ -237,7 +237,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     classes = checkpointed(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
     alone = usable.select(F.explode("probe").alias("token"), "h1").groupBy("token").agg(F.min("h1").alias("h1"), F.max("h1").alias("hi")).where("h1 = hi").groupBy("h1").agg(F.count("*").alias("alone"))
     able = classes.join(alone, "h1", "left").where(f"coalesce(alone, 0) <= {100 - percent} * n div 100").select(F.col("rep").alias("id")).distinct()
-    texts = checkpointed(source.join(able, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    able = checkpointed(able)
+    texts = checkpointed(near_ids(source, able, "id").join(able, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     keyed = checkpointed(_over_texts(texts, Signer(width, percent, texts.count()), "keys", "n bigint, sketch array<bigint>, keys array<bigint>"))
     index = keyed.select(F.explode("keys").alias("key"), "id")
     sketches = keyed.select("id", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH // 64)])
