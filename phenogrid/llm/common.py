@@ -69,7 +69,7 @@ class WordHasher:
         np.cumsum(self.byte[raw] * self.up[: len(raw)], out=sums[1:])
         return starts, ends, mix64((sums[ends] - sums[starts]) * self.down[starts])
 
-    def __call__(self, data: bytes, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: bytes, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the words of ``data``, worked out ``step`` bytes at a time."""
         starts, hashes, low, size = [], [], 0, step
         while low < len(data):
@@ -103,6 +103,15 @@ def byte_groups(texts: list[bytes | None], most: int = 1 << 20):
         yield low, len(texts)
 
 
+def small_batches(batches, most: int = 4 << 20):
+    """Slices of Arrow batches of about ``most`` bytes each, so that few rows at a time become Python objects."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+        for low in range(0, batch.num_rows, step):
+            yield batch.slice(low, step)
+        del batch
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node that has an edge.
 

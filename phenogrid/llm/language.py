@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phenogrid.llm.common import small_batches
+
 SLOTS = 64  # word gap, a to z, and 37 shared by all other letters
 DIMENSIONS = 512
 GRAM = 3
@@ -100,7 +102,7 @@ class Encoder:
             bound *= self.rotated[i][rest % SLOTS]
             rest //= SLOTS
         bound = bound.astype(np.float32)
-        step = max(1, (1 << 22) // max(1, len(used)))
+        step = max(1, (1 << 21) // max(1, len(used)))
         for low in range(0, len(rows), step):
             at = slice(*np.searchsorted(part, (low, low + step)))
             here = min(step, len(rows) - low)
@@ -142,7 +144,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
 
     def sums(batches):
         encoder, total = Encoder(), {}
-        for batch in batches:
+        for batch in small_batches(batches):
             vectors, lettered = encoder.encode(batch.column(1).to_pylist())
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in set(langs[lettered]):
@@ -174,7 +176,7 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: s
 
     def apply(batches):
         encoder = Encoder()
-        for batch in batches:
+        for batch in small_batches(batches):
             vectors, lettered = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
             if model.languages:
                 vectors -= np.outer(vectors @ model.shared, model.shared)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids
+from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids, small_batches
 
 MAX_BITS = 3
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
@@ -50,7 +50,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def split(batches):
         hasher = WordHasher(SPACES + b"\n", fold=False)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [(t or "").lower().encode() for t in batch.column(1).to_pylist()]
             for low, high in byte_groups(texts):
                 data = b"\n".join(texts[low:high])
@@ -139,7 +139,7 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, least: float)
     both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
 
     def test(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, lines_, dropped = [], [], []
             for text, stay in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 if text is None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids
+from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids, small_batches
 
 SKETCH = 512
 SPACES = b" \t\n\x0b\x0c\r"
@@ -166,7 +166,7 @@ def _over_texts(docs: DataFrame, signer: Signer, method: str, schema: str) -> Da
     names = ["id", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             with np.errstate(over="ignore"):
                 done = [getattr(signer, method)([t or b"" for t in texts[low:high]]) for low, high in byte_groups(texts)]

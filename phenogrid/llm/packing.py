@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, byte_groups, checkpointed
+from phenogrid.llm.common import WordHasher, byte_groups, checkpointed, small_batches
 
 CAPACITY = 1024
 SEPARATOR = 2
 BUCKET_ITEMS = 20_000
-GROUP_BYTES = 8 << 20  # texts whose words are encoded together
+GROUP_BYTES = 4 << 20  # texts whose words are encoded together
 
 
 class WordTokenizer:
@@ -131,7 +131,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEP
 
     def cut(batches):
         tokens = WordTokenizer(rank_file)
-        for batch in batches:
+        for batch in small_batches(batches, GROUP_BYTES):
             at, piece, start, length, crc = [], [], [], [], []
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for first, last in byte_groups(texts, GROUP_BYTES):

@@ -15,6 +15,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from phenogrid.llm.common import small_batches
+
 DIGITS = frozenset("0123456789")
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | DIGITS
 LOCAL = ALNUM | frozenset("._%+-")
@@ -246,7 +248,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def scan(batches):
         auto = build_automaton()
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = [[{"kind": k, "start": s, "end": e} for s, e, k in find_spans(t, auto)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.list_(span))], names=["id", "spans"])
 
