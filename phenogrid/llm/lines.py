@@ -1,17 +1,18 @@
 """Fuzzy line deduplication.
 
 Lines are normalised to lower-cased words without ASCII punctuation.  Equal
-lines are one class.  Each class has a 64-bit SimHash of its words.  Hashes
-that differ in at most three bits agree on at least two of five blocks, so
-classes are joined on every pair of blocks; candidates whose hashes are that
-close are verified by the edit similarity of their word sequences.  Of each
+lines are one class.  Two classes are linked if the edit similarity of their
+word sequences is high enough; no hash limits the relation.  An edit changes
+at most q of a line's runs of q words, so linked lines share a run among the
+first few of each in one order of all runs, rare words first.  Classes are
+joined on these runs; candidates whose lengths and word parities differ by
+more than the edits allow are dropped, the others are verified.  Of each
 connected group of lines only the first occurrence stays.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids, small_batches
 
-MAX_BITS = 3
+MAX_BITS = 64  # of the SimHash: any distance may be linked
+RUNS = (3, 2, 1)  # words of a run, the longest first
+PARITIES = 4  # longs of word parity
+SAMPLE_DOCS, SAMPLE_CHARS, WORD_BUCKETS = 2000, 2000, 1 << 16  # for the order of runs alone
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
-BLOCKS = (13, 13, 13, 13, 12)
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
 
 
@@ -44,9 +47,81 @@ def sim_hashes(words: np.ndarray, starts: np.ndarray, step: int = 1 << 17) -> np
     return out
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row per line with a word: doc_id, line, h1, h2 (of the words in order), sim, words."""
+def edits_allowed(n, least: float):
+    """Most word edits between lines of which the longer has ``n`` words."""
+    return np.floor((1 - least) * np.asarray(n) + 1e-9).astype(np.int64)
+
+
+def run_counts(n: int, least: float) -> list[int]:
+    """How many runs of each length in ``RUNS`` a line of ``n`` words is found by.
+
+    A pair whose longer line has m words, d = ``edits_allowed(m)``, uses the
+    longest runs of which one must be left: m - q + 1 > q d.  Of the n words'
+    runs at most q d - (m - n) are not shared, as an insertion breaks only
+    q - 1 of the shorter line's runs; the first q d - (m - n) + 1 of both
+    lines in one order then have one in common.
+    """
+    m = np.arange(n, int((n + 1) / least) + 2)
+    d = edits_allowed(m, least)
+    m, d = m[(d > 0) & (m - n <= d)], d[(d > 0) & (m - n <= d)]
+    counts, free = [], np.ones(len(m), dtype=bool)
+    for q in RUNS:
+        use = free & (m - q + 1 > q * d)
+        counts.append(int((q * d - (m - n))[use].max()) + 1 if use.any() else 0)
+        free &= ~use
+    return counts
+
+
+def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Line number and key of the runs that each line is found by, ordered by line."""
+    sizes, which = np.unique(n, return_inverse=True)
+    wanted = np.array([run_counts(int(x), least) for x in sizes], dtype=np.int64).reshape(-1, len(RUNS))[which]
+    line = np.repeat(np.arange(len(n)), n)
+    left = np.repeat(first + n, n) - np.arange(len(words))
+    common = rarity[(words & np.uint64(len(rarity) - 1)).astype(np.int64)]
+    lines_, keys = [], []
+    for i, q in enumerate(RUNS):
+        at = np.flatnonzero((left >= q) & (wanted[line, i] > 0))
+        h, rank = np.full(len(at), q, dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
+        for j in range(q):
+            h = mix64(h + words[at + j])
+            rank += common[at + j]
+        key = rank << np.uint64(58) | h >> np.uint64(6)
+        of = line[at]
+        order = np.lexsort((key, of))
+        key, of = key[order], of[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        new = np.ones(len(of), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+        keep = new & (place < wanted[of, i])
+        lines_.append(of[keep]), keys.append(key[keep])
+    of, key = np.concatenate(lines_), np.concatenate(keys)
+    order = np.argsort(of, kind="stable")
+    return of[order], key[order]
+
+
+def word_parities(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Whether the words of each of 64 ``PARITIES`` kinds are odd in number; an edit changes two bits at most."""
+    kind = words >> np.uint64(64 - 8)
+    bit = np.uint64(1) << (kind & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(kind >> np.uint64(6) == p, bit, np.uint64(0)), first) for p in range(PARITIES)]
+
+
+def word_rarity(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Rank of common words by their hash, from a small sample; only the order of runs depends on it."""
+    sample = docs.select(F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).collect()
+    _, words = WordHasher(SPACES + b"\n", fold=False)("\n".join((r["t"] or "").lower() for r in sample).encode())
+    counts = np.bincount((words & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
+    return np.minimum(np.log2(counts + 1), 63 // max(RUNS)).astype(np.uint8)
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, least: float | None = None) -> DataFrame:
+    """One narrow row per line with a word: doc_id, line, h1, h2 (of the words in order), words, and sim.
+
+    With ``least``, instead of sim: parities p0, p1, ... and the ``keys`` that the line is found by.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
+    rarity = None if least is None else word_rarity(docs, text_col)
 
     def split(batches):
         hasher = WordHasher(SPACES + b"\n", fold=False)
@@ -69,22 +144,26 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 doc_starts = np.cumsum([0] + [len(t) + 1 for t in texts[low:high]])
                 doc = np.searchsorted(doc_starts, starts[first], side="right") - 1
                 line = of_line[first] - np.searchsorted(breaks, doc_starts[doc])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc + low)), pa.array(line.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sim_hashes(words, first).view(np.int64)), pa.array(n.astype(np.int32))],
-                    names=["doc_id", "line", "h1", "h2", "sim", "words"],
-                )
+                columns = {"doc_id": batch.column(0).take(pa.array(doc + low)), "line": pa.array(line.astype(np.int32)), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))}
+                if least is None:
+                    columns["sim"] = pa.array(sim_hashes(words, first).view(np.int64))
+                columns["words"] = pa.array(n.astype(np.int32))
+                if least is not None:
+                    columns |= {f"p{i}": pa.array(p.view(np.int64)) for i, p in enumerate(word_parities(words, first))}
+                    of, key = run_keys(words, first, n, rarity, least)
+                    ends = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
+                    columns["keys"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, sim long, words int")
+    more = "sim long, words int" if least is None else "words int, " + "".join(f"p{i} long, " for i in range(PARITIES)) + "keys array<long>"
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, {more}")
 
 
-def block_keys(sim: str) -> list:
-    """One key for each pair of blocks: the pair's number and the bits of both."""
-    low, masks = 0, []
-    for width in BLOCKS:
-        masks.append(((1 << width) - 1) << low)
-        low += width
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return [F.xxhash64(F.lit(i), F.col(sim).bitwiseAND(F.lit(signed[a] | signed[b]))) for i, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
+def close_sql(least: float) -> str:
+    """What the lengths and parities of linked lines a and b meet."""
+    edits = f"floor({1 - least!r}D * greatest(a_words, b_words) + 1e-9D)"
+    bits = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(PARITIES))
+    return f"abs(a_words - b_words) <= {edits} and {bits} <= 2 * {edits}"
 
 
 def word_edits(a: list[str], b: list[str]) -> int:
@@ -151,13 +230,15 @@ def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
 
     Blank lines belong to no group and are not listed.
     """
-    lines = checkpointed(line_table(docs, id_col, text_col))
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim"), F.min("words").alias("words"))
-    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("id"), "first.*", "sim", "words"))
-    index = classes.select("id", F.explode(F.array(*block_keys("sim"))).alias("key"))
+    sketch = ["words", *[f"p{i}" for i in range(PARITIES)]]
+    lines = line_table(docs, id_col, text_col, least)
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in sketch], F.any_value("keys").alias("keys"))
+    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("id"), "first.*", *sketch, "keys"))
+    index = classes.select("id", F.explode("keys").alias("key"))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    groups = bucket_components(index, classes.select("id", "sim"), f"bit_count(a_sim ^ b_sim) <= {MAX_BITS}", lambda pairs: _verified(source, classes, pairs, least))
-    named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left")
+    named = classes.select("id", "doc_id", "line")
+    groups = bucket_components(index, classes.select("id", *sketch), close_sql(least), lambda pairs: _verified(source, named, pairs, least))
+    named = named.join(groups.withColumnRenamed("node", "id"), "id", "left")
     return named.groupBy(F.coalesce("component", "id").alias("g")).agg(F.min(F.struct("doc_id", "line")).alias("first")).select("first.*")
 
 
