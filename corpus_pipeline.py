@@ -15,15 +15,12 @@ from pyspark.sql import functions as F
 from phenogrid.llm import language, lines, mixing, ngram_join, packing
 from phenogrid.llm.common import ensure_checkpoint_dir
 
-#: Cosine with the nearest language below which a text is taken for none of them.
-LEAST_LANGUAGE_SCORE = 0.1
-
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters (null and empty ones too) and those that are like no learned language."""
+    """Drops documents without letters (null and empty ones too); a low score, as short clean texts have, drops none."""
     model = language.train(docs, key=F.col("doc_id"))
     judged = language.predict(docs, model, docs.columns, names=("_lang_pred", "_lang_score"))
-    return judged.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return judged.where(F.col("_lang_pred") != "und").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
