@@ -16,8 +16,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY_CHARS = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{KEY_CHARS}])(?=[A-Za-z+/_=-]*[0-9])[{KEY_CHARS}]{{16,}}"
+KEY_CHARS = "A-Za-z0-9+/_-"  # '=' only ends a candidate, as padding: what stands before it is a name
+JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+_END = f"(?![={KEY_CHARS}])"
+# words and short numbers before '=' and a value are the value's name
+_NAME = rf"(?![A-Za-z]+(?:[_-](?:[A-Za-z]+[0-9]?|[0-9]{{1,3}}))*=[\"']?[{KEY_CHARS}])"
+CANDIDATE = (
+    rf"(?<![{KEY_CHARS}]){_NAME}(?:{JWT}|(?=[A-Za-z+/_-]*[0-9])"
+    rf"(?:[{KEY_CHARS}]{{16,}}(?:={{1,2}}{_END})?|[{KEY_CHARS}]{{15}}={_END}|[{KEY_CHARS}]{{14}}=={_END}))"
+)
 LEFT, RIGHT = 48, 24
 LABELLED_ROWS = 8000  # bound of the training sample
 
@@ -48,7 +55,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     each = each.select(
         "doc_id", "row", "i", "candidate",
         F.length(F.get("gaps", F.col("i"))).alias("gap"),
-        F.expr(f"right(get(gaps, i), {LEFT})").alias("left"),
+        # a long name with a digit is a candidate itself; it still is the context of its value
+        F.expr(f"right(concat(if(get(gaps, i) like '=%', coalesce(get(hits, i - 1), ''), ''), get(gaps, i)), {LEFT})").alias("left"),
         F.expr(f"left(get(gaps, i + 1), {RIGHT})").alias("right"),
     )
     end = F.expr("sum(gap + length(candidate)) over (partition by row order by i rows between unbounded preceding and current row)")
