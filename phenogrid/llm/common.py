@@ -1,19 +1,26 @@
-"""What several corpus operators share: checkpoints, hashing, components."""
+"""What several corpus operators share: stored tables, hashing, shared keys, components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; set one only where none is named."""
+    """Use the folder in ``spark.checkpoint.dir``; where none is named, a temporary one in local mode only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -23,6 +30,57 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """What is run inside gives back its shuffle files as soon as its result is written."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
+class Scratch:
+    """The intermediate tables of one job, as Parquet in the shared checkpoint folder.
+
+    They cut lineage and outlive executors, only the columns that are asked
+    for are read again, and a table goes when it has served.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.kept: list[tuple[DataFrame, str]] = []
+        self.count = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, written once and read from there."""
+        path, self.count = f"{self.folder}/{self.count}", self.count + 1
+        with _shuffles_freed(self.spark):
+            df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of ``keep`` on which nothing depends any more."""
+        gone = [k for k in self.kept if any(k[0] is t for t in tables)]
+        self.kept = [k for k in self.kept if not any(k is g for g in gone)]
+        for _, path in gone:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every input bit of uint64 values."""
     x = x ^ (x >> np.uint64(30))
@@ -112,16 +170,123 @@ def small_batches(batches, most: int = 4 << 20):
         del batch
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+ENTRIES_PER_BUCKET = 1 << 19
+KEY_BITS = 46  # of a hash, besides those that its bucket stands for
+ENTRY_SCHEMA = "bucket int, home int, keys binary, ids binary"
+
+
+def entry_buckets(entries: float) -> int:
+    """How many buckets so many entries are dealt to."""
+    return max(1, -(-int(entries) // ENTRIES_PER_BUCKET))
+
+
+def _blobs(values: np.ndarray, width: int, ends: np.ndarray) -> pa.Array:
+    """The low ``width`` bytes of each value, end to end, cut after the places ``ends``."""
+    data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    offsets = np.concatenate(([0], ends)).astype(np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def pack_entries(hashes: np.ndarray, ids: np.ndarray, buckets: int):
+    """Record batches of ``ENTRY_SCHEMA`` for a batch's key hashes and the ids that list them.
+
+    Keys go to buckets by their hash, a row for each bucket.  Of the ids that
+    list one key only the first goes there, marked; the others are dealt to
+    buckets anew, as they are known to share their key already.  So a key
+    that very many ids list puts one entry a batch into its bucket.
+    """
+    if not len(hashes):
+        return
+    ids = ids.astype(np.uint64)
+    order = np.lexsort((ids, hashes))
+    hashes, ids = hashes[order], ids[order]
+    same = np.concatenate(([False], hashes[1:] == hashes[:-1]))
+    new = ~same | np.concatenate(([True], ids[1:] != ids[:-1]))
+    hashes, ids = hashes[new], ids[new]
+    same = np.concatenate(([False], hashes[1:] == hashes[:-1]))
+    many = np.concatenate((same[1:], [False])) & ~same
+    home = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    keys = hashes & np.uint64((1 << KEY_BITS) - 1) | many.astype(np.uint64) << np.uint64(KEY_BITS)
+    turn = int(mix64(hashes[:1] ^ ids[-1:])[0] % np.uint64(buckets))
+    for part, moved in ((~same, 0), (same, turn)):
+        if part.any():
+            at = home[part]
+            ends = np.concatenate((np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+            homes = at[ends - 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((homes + np.int64(moved)) % buckets, type=pa.int32()), pa.array(homes), _blobs(keys[part], 6, ends), _blobs(ids[part], 8, ends)],
+                names=["bucket", "home", "keys", "ids"],
+            )
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Bucket, home, key and id of each entry."""
+    keys, ids, counts = [], [], []
+    for chunk in table.column("keys").chunks:
+        raw = b"".join(chunk.to_pylist())
+        wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+        wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+        keys.append(wide.view("<u8").ravel())
+    for chunk in table.column("ids").chunks:
+        values = chunk.to_pylist()
+        counts += [len(v) // 8 for v in values]
+        ids.append(np.frombuffer(b"".join(values), dtype="<u8"))
+    bucket, home = (np.repeat(table.column(c).to_numpy(), counts) for c in ("bucket", "home"))
+    return bucket, home, np.concatenate(keys), np.concatenate(ids)
+
+
+def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Name of the key and id of the entries of a bucket whose key more than one id lists."""
+    bucket, home, key, ids = _unpacked(table)
+    many = key >> np.uint64(KEY_BITS) > 0
+    key = key & np.uint64((1 << KEY_BITS) - 1)
+    name = mix64(key ^ mix64(home.astype(np.uint64) + np.uint64(1)))
+    own = bucket == home
+    loose = name[~own], ids[~own]
+    name, ids, many = name[own], ids[own], many[own]
+    order = np.lexsort((ids, name))
+    name, ids, many = name[order], ids[order], many[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(name)), bool), name[1:] != name[:-1])))
+    run = np.diff(np.append(start, len(name)))
+    first, last = ids[start], ids[start + run - 1]
+    met = np.repeat((first != last) | (np.add.reduceat(many, start) > 0 if len(start) else False), run)
+    return np.concatenate((name[met], loose[0])), np.concatenate((ids[met], loose[1]))
+
+
+def shared_rows(entries: DataFrame) -> DataFrame:
+    """``key, id`` of the keys that at least two ids list, from packed entries; now and then a row twice."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            name, ids = _shared(table)
+        return pa.table({"key": name.view(np.int64), "id": ids.view(np.int64)})
+
+    return entries.groupBy("bucket").applyInArrow(meet, "key long, id long")
+
+
+def shared_counts(entries: DataFrame) -> DataFrame:
+    """``id, shared``: how many keys of an id other ids list too, or a few more; ids without any are left out."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            _, ids = _shared(table)
+        ids, counts = np.unique(ids, return_counts=True)
+        return pa.table({"id": ids.view(np.int64), "shared": counts.astype(np.int64)})
+
+    return entries.groupBy("bucket").applyInArrow(meet, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
+
+
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of every node that has an edge.
 
     ``edges`` has ``src`` and ``dst`` of one orderable type.  Alternates the
     large-star and small-star steps on the edge table; every round is a
-    partial-aggregated minimum and an equi-join, cut by a checkpoint, so no
-    neighbourhood is ever gathered in one place.  Returns ``node, component``
-    (a component's smallest node maps to itself).
+    minimum, aggregated before its shuffle, and an equi-join whose large
+    partitions Spark can split, written as a table.  Returns ``node,
+    component`` (a component's smallest node maps to itself).
     """
-    cur = checkpointed(
+    scratch = scratch or Scratch(edges.sparkSession)
+    cur = scratch.keep(
         edges.where("src != dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
@@ -143,7 +308,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        cur = checkpointed(small)
+        cur, old = scratch.keep(small), cur
+        scratch.drop(old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -160,41 +326,44 @@ def near_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     numbers at most, whatever the input.  Wide rows with another value are
     then not shuffled.  Past some millions of ids it drops little.
     """
+    name = free_name(df, "_bucket")
     bucket = F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS)).cast("int")
-    some = ids.select(bucket.alias("_bucket")).distinct()
-    return df.withColumn("_bucket", bucket).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")
-
-
-def bucket_components(index: DataFrame, sketches: DataFrame, close: str, verify, star_rounds: int = 8) -> DataFrame:
-    """Components of the links that ``verify`` finds between rows of one bucket.
-
-    ``index`` has ``key, id``; rows that share a key are candidates.
-    ``sketches`` has a row of narrow columns for each ``id``, and ``close`` is
-    an SQL condition on them, named ``a_`` and ``b_``, that every link meets:
-    pairs that fail it are dropped inside the join.  ``verify`` takes
-    ``src, dst`` and returns the pairs that are linked.  The result holds
-    ``node, component`` of all ids with a link and equals that of verifying
-    every candidate pair.
-
-    All pairs of a bucket are not emitted while they outnumber its rows:
-    first, rounds of stars test each member against one member drawn from
-    its bucket.  Members that have come into one component need no further
-    test among themselves, so a large group of copies falls together in a
-    few linear rounds.  What is left between different components is tested
-    in full.
+    some = ids.select(bucket.alias(name)).distinct()
+    return df.withColumn(name, bucket).join(F.broadcast(some), name, "left_semi").drop(name)
+
+
+PAIRS_PER_ROW = 32
+
+
+def bucket_components(scratch: Scratch, rows: DataFrame, sketches: DataFrame, close: str, verify, star_rounds: int = 8) -> DataFrame:
+    """Components of the links that ``verify`` finds between ids that share a key.
+
+    ``rows`` (a table of ``scratch``, which this deletes) has ``key, id`` of
+    the keys that several ids list.  ``sketches`` has narrow columns for each
+    ``id``, and ``close`` is an SQL condition on them, named ``a_`` and
+    ``b_``, that every link meets: pairs that fail it are dropped inside the
+    join.  ``verify`` takes ``src, dst`` and returns the pairs that are
+    linked.  The result holds ``node, component`` of all ids with a link and
+    equals that of verifying every candidate pair.
+
+    Pairs are not formed while they are many times the rows: first, rounds
+    of stars test each member of a key against one member drawn from it.
+    Members that have come into one component need no further test among
+    themselves, so a large group of copies falls together in a few linear
+    rounds.  What is left between different components is tested in full.
     """
-    shared = index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     carry = [c for c in sketches.columns if c != "id"]
-    rows = checkpointed(index.join(shared, "key", "left_semi").join(sketches, "id"))
     comp, before = None, None
     for round_ in range(star_rounds + 1):
-        placed = rows if comp is None else rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
-        placed = placed.withColumn("comp", F.col("id") if comp is None else F.coalesce("component", "id"))
         if comp is not None:
-            # buckets that lie within one component are settled
+            placed = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+            # keys that lie within one component are settled
             mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            placed = checkpointed(placed.drop("component").join(mixed, "key", "left_semi"))
+            placed, old = scratch.keep(placed.join(mixed, "key", "left_semi")), rows
+            scratch.drop(old)
             rows = placed.drop("comp")
+        else:
+            placed = rows.withColumn("comp", F.col("id"))
         n, cross = (
             placed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n"))
             .groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
@@ -202,25 +371,28 @@ def bucket_components(index: DataFrame, sketches: DataFrame, close: str, verify,
         )
         if not n:
             break
-        a = placed.select("key", F.col("id").alias("a_id"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in carry])
-        # no more stars once they are few or a round has not halved them
-        last = cross <= 2 * n or round_ == star_rounds or before is not None and cross > before / 2
+        wide = placed.join(sketches, "id")
+        a = wide.select("key", F.col("id").alias("a_id"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in carry])
+        # no more stars once pairs are few or a round has not halved them
+        last = cross <= PAIRS_PER_ROW * n or round_ == star_rounds or before is not None and cross > before / 2
         before = cross
         if not last:
             draw = F.xxhash64("id", F.lit(round_))
-            centre = placed.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "comp", *carry)).alias("c"))
-            b = centre.select("key", F.col("c.id").alias("b_id"), F.col("c.comp").alias("b_comp"), *[F.col(f"c.{c}").alias(f"b_{c}") for c in carry])
+            centre = placed.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "comp")).alias("c"))
+            centre = centre.select("key", F.col("c.id").alias("id"), F.col("c.comp").alias("b_comp")).join(sketches, "id")
+            b = centre.select("key", F.col("id").alias("b_id"), "b_comp", *[F.col(c).alias(f"b_{c}") for c in carry])
         else:
             b = a.select(*[F.col(c).alias("b" + c[1:] if c != "key" else c) for c in a.columns])
         pairs = a.join(b, "key").where(f"a_comp {'<' if last else '!='} b_comp and {close}")
-        pairs = pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct()
-        found = checkpointed(verify(checkpointed(pairs)).select("src", "dst"))
+        pairs = scratch.keep(pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct())
+        found = scratch.keep(verify(pairs).select("src", "dst"))
+        scratch.drop(pairs)
         # a component found before is a star: its rays stand for all its links
         links = found if comp is None else comp.toDF("src", "dst").union(found)
-        comp = connected_components(links)
+        comp = scratch.keep(connected_components(links, scratch))
+        scratch.drop(*[t for t, _ in scratch.kept if t is found])
         if last:
             break
-        comp = checkpointed(comp)
     if comp is None:
-        return index.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+        return rows.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     return comp

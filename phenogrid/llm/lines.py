@@ -4,10 +4,14 @@ Lines are normalised to lower-cased words without ASCII punctuation.  Equal
 lines are one class.  Two classes are linked if the edit similarity of their
 word sequences is high enough; no hash limits the relation.  An edit changes
 at most q of a line's runs of q words, so linked lines share a run among the
-first few of each in one order of all runs, rare words first.  Classes are
-joined on these runs; candidates whose lengths and word parities differ by
-more than the edits allow are dropped, the others are verified.  Of each
+first few of each in one order of all runs, rare words first.  Classes meet
+under these runs; candidates whose lengths and word parities differ by more
+than the edits allow are dropped, the others are verified.  Of each
 connected group of lines only the first occurrence stays.
+
+Lines go by a 64-bit hash of their words until the end: two unlike lines
+that share it, 1 in 10**7 among 10**12, and have a like line each may count
+as one.
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids, small_batches
+from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, entry_buckets, free_name, mix64, near_ids, pack_entries, shared_rows, small_batches
 
 MAX_BITS = 64  # of the SimHash: any distance may be linked
-RUNS = (3, 2, 1)  # words of a run, the longest first
+RUNS = (2, 1)  # words of a run, the longest first
+KEYS_PER_WORD = 0.45
 PARITIES = 4  # longs of word parity
-SAMPLE_DOCS, SAMPLE_CHARS, WORD_BUCKETS = 2000, 2000, 1 << 16  # for the order of runs alone
+WORD_BUCKETS = 1 << 15  # for the order of runs alone
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
 
@@ -78,7 +83,7 @@ def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.nda
     wanted = np.array([run_counts(int(x), least) for x in sizes], dtype=np.int64).reshape(-1, len(RUNS))[which]
     line = np.repeat(np.arange(len(n)), n)
     left = np.repeat(first + n, n) - np.arange(len(words))
-    common = rarity[(words & np.uint64(len(rarity) - 1)).astype(np.int64)]
+    common = rarity[(words & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
     lines_, keys = [], []
     for i, q in enumerate(RUNS):
         at = np.flatnonzero((left >= q) & (wanted[line, i] > 0))
@@ -86,15 +91,16 @@ def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.nda
         for j in range(q):
             h = mix64(h + words[at + j])
             rank += common[at + j]
-        key = rank << np.uint64(58) | h >> np.uint64(6)
-        of = line[at]
-        order = np.lexsort((key, of))
-        key, of = key[order], of[order]
-        place = np.arange(len(of)) - np.searchsorted(of, of)
+        of = line[at].astype(np.uint64)
+        # runs whose 40 bits agree count as one, in every line alike
+        order = np.argsort(of << np.uint64(44) | rank << np.uint64(38) | h >> np.uint64(26))
+        h, rank, of = h[order], rank[order], of[order]
+        place = h >> np.uint64(26) | rank << np.uint64(38)
         new = np.ones(len(of), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-        keep = new & (place < wanted[of, i])
-        lines_.append(of[keep]), keys.append(key[keep])
+        new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
+        h, of = h[new], of[new].astype(np.int64)
+        keep = np.arange(len(of)) - np.searchsorted(of, of) < wanted[of, i]
+        lines_.append(of[keep]), keys.append(h[keep])
     of, key = np.concatenate(lines_), np.concatenate(keys)
     order = np.argsort(of, kind="stable")
     return of[order], key[order]
@@ -107,58 +113,112 @@ def word_parities(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where(kind >> np.uint64(6) == p, bit, np.uint64(0)), first) for p in range(PARITIES)]
 
 
-def word_rarity(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Rank of common words by their hash, from a small sample; only the order of runs depends on it."""
-    sample = docs.select(F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).collect()
-    _, words = WordHasher(SPACES + b"\n", fold=False)("\n".join((r["t"] or "").lower() for r in sample).encode())
-    counts = np.bincount((words & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
-    return np.minimum(np.log2(counts + 1), 63 // max(RUNS)).astype(np.uint8)
-
-
-def line_table(docs: DataFrame, id_col: str, text_col: str, least: float | None = None) -> DataFrame:
+class LineSplitter:
+    """Lines with a word, in groups of texts."""
+
+    def __init__(self):
+        self.hasher = WordHasher(SPACES + b"\n", fold=False)
+
+    def __call__(self, column: pa.Array):
+        """For each group: texts' bytes, hashes of words, each line's first word, words, h1, h2, text and place there."""
+        texts = [(t or "").lower().encode() for t in column.to_pylist()]
+        for low, high in byte_groups(texts):
+            data = b"\n".join(texts[low:high])
+            starts, words = self.hasher(data)
+            if not len(starts):
+                continue
+            breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+            of_line = np.searchsorted(breaks, starts)
+            first = np.flatnonzero(np.concatenate(([True], of_line[1:] != of_line[:-1])))
+            n = np.diff(np.concatenate((first, [len(words)])))
+            place = np.arange(len(words)) - np.repeat(first, n)
+            with np.errstate(over="ignore"):
+                ordered = mix64(words + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                h1 = np.add.reduceat(ordered, first)
+                h2 = np.add.reduceat(mix64(ordered), first)
+            doc_starts = np.cumsum([0] + [len(t) + 1 for t in texts[low:high]])
+            doc = np.searchsorted(doc_starts, starts[first], side="right") - 1
+            edges = np.concatenate(([-1], breaks, [len(data)]))
+            yield {"data": data, "words": words, "first": first, "n": n, "h1": h1, "h2": h2, "doc": doc + low, "line": of_line[first] - np.searchsorted(breaks, doc_starts[doc]), "span": (edges[of_line[first]] + 1, edges[of_line[first] + 1])}
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False) -> DataFrame:
     """One narrow row per line with a word: doc_id, line, h1, h2 (of the words in order), words, and sim.
 
-    With ``least``, instead of sim: parities p0, p1, ... and the ``keys`` that the line is found by.
+    With ``sketches``, instead of sim: parities p0, p1, ...  Then each task
+    adds a row that has only ``counts``, of all words by their hash.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rarity = None if least is None else word_rarity(docs, text_col)
 
     def split(batches):
-        hasher = WordHasher(SPACES + b"\n", fold=False)
+        splitter, counts, names = LineSplitter(), np.zeros(WORD_BUCKETS, np.int64), None
         for batch in small_batches(batches):
-            texts = [(t or "").lower().encode() for t in batch.column(1).to_pylist()]
-            for low, high in byte_groups(texts):
-                data = b"\n".join(texts[low:high])
-                starts, words = hasher(data)
-                if not len(starts):
-                    continue
-                breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
-                of_line = np.searchsorted(breaks, starts)
-                first = np.flatnonzero(np.concatenate(([True], of_line[1:] != of_line[:-1])))
-                n = np.diff(np.concatenate((first, [len(words)])))
-                place = np.arange(len(words)) - np.repeat(first, n)
-                with np.errstate(over="ignore"):
-                    ordered = mix64(words + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                    h1 = np.add.reduceat(ordered, first)
-                    h2 = np.add.reduceat(mix64(ordered), first)
-                doc_starts = np.cumsum([0] + [len(t) + 1 for t in texts[low:high]])
-                doc = np.searchsorted(doc_starts, starts[first], side="right") - 1
-                line = of_line[first] - np.searchsorted(breaks, doc_starts[doc])
-                columns = {"doc_id": batch.column(0).take(pa.array(doc + low)), "line": pa.array(line.astype(np.int32)), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64))}
-                if least is None:
-                    columns["sim"] = pa.array(sim_hashes(words, first).view(np.int64))
-                columns["words"] = pa.array(n.astype(np.int32))
-                if least is not None:
-                    columns |= {f"p{i}": pa.array(p.view(np.int64)) for i, p in enumerate(word_parities(words, first))}
-                    of, key = run_keys(words, first, n, rarity, least)
-                    ends = np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)
-                    columns["keys"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    more = "sim long, words int" if least is None else "words int, " + "".join(f"p{i} long, " for i in range(PARITIES)) + "keys array<long>"
+            for g in splitter(batch.column(1)):
+                columns = {"doc_id": batch.column(0).take(pa.array(g["doc"])), "line": pa.array(g["line"].astype(np.int32)), "h1": pa.array(g["h1"].view(np.int64)), "h2": pa.array(g["h2"].view(np.int64))}
+                if not sketches:
+                    columns["sim"] = pa.array(sim_hashes(g["words"], g["first"]).view(np.int64))
+                columns["words"] = pa.array(g["n"].astype(np.int32))
+                if sketches:
+                    columns |= {f"p{i}": pa.array(p.view(np.int64)) for i, p in enumerate(word_parities(g["words"], g["first"]))}
+                    columns["counts"] = pa.nulls(len(g["n"]), pa.list_(pa.int64()))
+                    counts += np.bincount((g["words"] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
+                done = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                names = done.schema
+                yield done
+        if sketches and names is not None:
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in names][:-1], pa.array([counts], type=pa.list_(pa.int64()))], schema=names)
+
+    more = "words int, " + "".join(f"p{i} long, " for i in range(PARITIES)) + "counts array<long>" if sketches else "sim long, words int"
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, {more}")
 
 
+def word_rarity(counts: DataFrame) -> np.ndarray:
+    """Rank of all words by their hash, rare ones low, from rows of ``counts``."""
+    sums = counts.select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    total = np.zeros(WORD_BUCKETS)
+    for r in sums:
+        total[r["pos"]] = r["n"]
+    return np.minimum(np.log2(total + 1), 63 // max(RUNS)).astype(np.uint8)
+
+
+def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float, buckets: int) -> DataFrame:
+    """Packed entries of the runs that each line, by its h1, is found by."""
+
+    def pack(batches):
+        splitter = LineSplitter()
+        for batch in small_batches(batches):
+            keys, ids = [], []
+            for g in splitter(batch.column(0)):
+                with np.errstate(over="ignore"):
+                    _, at = np.unique(g["h1"], return_index=True)  # copies within a group have one set of keys
+                    at.sort()
+                    keep = np.zeros(len(g["n"]), dtype=bool)
+                    keep[at] = True
+                    n = g["n"][keep]
+                    of, key = run_keys(g["words"][np.repeat(keep, g["n"])], np.concatenate(([0], np.cumsum(n)[:-1])), n, rarity, least)
+                keys.append(key), ids.append(g["h1"][keep][of])
+            if keys:
+                with np.errstate(over="ignore"):
+                    yield from pack_entries(np.concatenate(keys), np.concatenate(ids), buckets)
+
+    return docs.select(docs[text_col].alias("text")).mapInArrow(pack, ENTRY_SCHEMA)
+
+
+def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``id, line``: the words of the lines whose h1 is among ``wanted`` ids."""
+
+    def split(batches):
+        splitter = LineSplitter()
+        for batch in small_batches(batches):
+            for g in splitter(batch.column(0)):
+                _, at = np.unique(g["h1"], return_index=True)
+                data, low, high = g["data"], *(x[at].tolist() for x in g["span"])
+                yield pa.RecordBatch.from_arrays([pa.array(g["h1"][at].view(np.int64)), pa.array([data[a:b].translate(WORD_TABLE) for a, b in zip(low, high)], type=pa.binary()).cast(pa.string())], names=["id", "line"])
+
+    every = docs.select(docs[text_col].alias("text")).mapInArrow(split, "id long, line string")
+    return near_ids(every, wanted, "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+
+
 def close_sql(least: float) -> str:
     """What the lengths and parities of linked lines a and b meet."""
     edits = f"floor({1 - least!r}D * greatest(a_words, b_words) + 1e-9D)"
@@ -206,55 +266,122 @@ def similar(a: str, b: str, least: float) -> bool:
     return abs(len(x) - len(y)) <= (1 - least) * most + 1e-9 and word_edits(x, y) <= (1 - least) * most + 1e-9
 
 
-def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    wanted = checkpointed(lines.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("want")))
-    texts = (
-        near_ids(docs, wanted, "doc_id").join(wanted, "doc_id")
-        .select(F.explode(F.expr("get(transform(array(split(text, '\\n')), parts -> transform(want, w -> struct(w.id as id, get(parts, w.line) as line))), 0)")).alias("w"))
-        .groupBy(F.col("w.id").alias("id")).agg(F.min("w.line").alias("line"))
-    )
-    texts = checkpointed(texts)
+BAND_WORDS = 400  # lines up to here are compared many at a time
+
+
+def within_edits(words: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], edits: np.ndarray) -> np.ndarray:
+    """Whether pairs of word runs, as (first, length) in ``words``, are at most ``edits`` apart.
+
+    One table of distances is filled for all pairs together, a row at a
+    time, in a band as wide as the largest number of edits on either side.
+    """
+    top, wide = int(edits.max()), 2 * int(edits.max()) + 1
+    rows = int(a[1].max())
+
+    def padded(run: tuple[np.ndarray, np.ndarray], front: int, size: int, none: int) -> np.ndarray:
+        at = np.arange(size) - front
+        inside = (at >= 0) & (at < run[1][:, None])
+        return np.where(inside, words[np.where(inside, run[0][:, None] + at, 0)], none)
+
+    left, right = padded(a, 0, rows, -1), padded(b, top, rows + wide, -2)
+    place = np.arange(wide, dtype=np.int16)
+    far = np.int16(1 << 13)
+    row = np.broadcast_to(np.where(place >= top, place - top, far).astype(np.int16), (len(edits), wide))
+    result = np.full(len(edits), far)
+    ends = np.clip(b[1] - a[1] + top, 0, wide - 1)
+    for i in range(rows + 1):
+        if i:
+            step = row + (left[:, i - 1 : i] != right[:, i - 1 : i - 1 + wide])
+            step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + np.int16(1))
+            if i <= top:
+                step[:, : top - i] = far
+                step[:, top - i] = i
+            row = np.minimum.accumulate(step - place, axis=1) + place
+        done = np.flatnonzero(a[1] == i)
+        result[done] = row[done, ends[done]]
+    return (np.abs(b[1] - a[1]) <= edits) & (result <= edits)
+
+
+def similar_pairs(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """``similar`` for pairs of lines."""
+    hasher = WordHasher(SPACES + b"\n", fold=False)
+    data = "\n".join(x for pair in zip(left, right) for x in pair).encode()
+    with np.errstate(over="ignore"):
+        starts, words = hasher(data)
+    words = np.unique(words, return_inverse=True)[1].astype(np.int32)
+    breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+    cuts = np.searchsorted(starts, np.concatenate(([0], breaks, [len(data)])))
+    first, n = cuts[:-1], np.diff(cuts)
+    most = np.maximum(n[::2], n[1::2])
+    edits = edits_allowed(most, least)
+    out = np.zeros(len(left), dtype=bool)
+    for i in np.flatnonzero(most > BAND_WORDS).tolist():
+        out[i] = similar(left[i], right[i], least)
+    order = np.lexsort((n[::2], edits))
+    order = order[most[order] <= BAND_WORDS]
+    low = 0
+    while low < len(order):
+        # pairs of about as many edits, as many as keep a row of the table small
+        step = max(1, (1 << 16) // (2 * int(edits[order[low]]) + 1))
+        part = order[low : low + step]
+        part = part[edits[part] <= edits[part[0]] + 1 + edits[part[0]] // 8]
+        out[part] = within_edits(words, (first[2 * part], n[2 * part]), (first[2 * part + 1], n[2 * part + 1]), edits[part])
+        low += len(part)
+    return out
+
+
+def _verified(scratch: Scratch, docs: DataFrame, text_col: str, pairs: DataFrame, least: float) -> DataFrame:
+    ids = scratch.keep(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    texts = scratch.keep(line_texts(docs, text_col, ids))
     both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
 
     def test(batches):
         for batch in small_batches(batches):
-            keep = [similar(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+            keep = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), least)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.select("src", "dst", "a", "b").mapInArrow(test, "src long, dst long")
+    found = scratch.keep(both.select("src", "dst", "a", "b").mapInArrow(test, "src long, dst long"))
+    scratch.drop(ids, texts)
+    return found
 
 
 def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line`` of the lines that stay: the first of each group, by doc_id and line.
+    """``doc_id, line`` of the lines that stay: the first of each group, by doc_id and line, a null id before others.
 
     Blank lines belong to no group and are not listed.
     """
+    scratch = Scratch(docs.sparkSession)
     sketch = ["words", *[f"p{i}" for i in range(PARITIES)]]
-    lines = line_table(docs, id_col, text_col, least)
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in sketch], F.any_value("keys").alias("keys"))
-    classes = checkpointed(classes.select(F.monotonically_increasing_id().alias("id"), "first.*", *sketch, "keys"))
-    index = classes.select("id", F.explode("keys").alias("key"))
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    named = classes.select("id", "doc_id", "line")
-    groups = bucket_components(index, classes.select("id", *sketch), close_sql(least), lambda pairs: _verified(source, named, pairs, least))
-    named = named.join(groups.withColumnRenamed("node", "id"), "id", "left")
-    return named.groupBy(F.coalesce("component", "id").alias("g")).agg(F.min(F.struct("doc_id", "line")).alias("first")).select("first.*")
+    lines = scratch.keep(line_table(docs, id_col, text_col, sketches=True))
+    rarity = word_rarity(lines.where("counts is not null"))
+    classes = lines.where("counts is null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in sketch])
+    classes = scratch.keep(classes.select("h1", "h2", "first", *sketch))
+    scratch.drop(lines)
+    words = classes.agg(F.sum("words")).first()[0] or 0
+    rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD))))
+    groups = bucket_components(scratch, rows, classes.select(F.col("h1").alias("id"), *sketch), close_sql(least), lambda pairs: _verified(scratch, docs, text_col, pairs, least))
+    named = classes.select("h1", "h2", "first").join(groups.withColumnRenamed("node", "h1"), "h1", "left")
+    group = [F.coalesce("component", "h1").alias("g"), F.when(F.col("component").isNull(), F.col("h2")).alias("h")]
+    return named.groupBy(*group).agg(F.min("first").alias("first")).select("first.*")
 
 
 def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with later occurrences of like lines taken out of their texts.
 
-    Adds ``n_lines`` and ``n_dropped``.  Blank lines stay.  A null text stays
-    null with no lines; an empty text has one blank line.  A text that loses
-    all its words keeps its blank lines.  Rows that share an id are taken as
-    copies of one document: each keeps the lines that the document keeps.
-    Rows with a null id keep lines like any document.  Other columns pass.
+    Adds ``n_lines`` and ``n_dropped`` (columns of these names are replaced).
+    Blank lines stay.  A null text stays null with no lines; an empty text
+    has one blank line.  A text that loses all its words keeps its blank
+    lines.  Texts may be of any length; a line is compared whole.  Rows that
+    share an id are taken as copies of one document: each keeps the lines
+    that the document keeps.  Rows with a null id are one such document,
+    which comes before all others.  Other columns pass, whatever their
+    names.  An empty table gives an empty one.
     """
-    kept = kept_lines(docs, least, id_col, text_col).groupBy("doc_id").agg(F.collect_list("line").alias("_kept")).withColumnRenamed("doc_id", "_doc")
+    held, doc = free_name(docs, "_kept"), free_name(docs, "_doc")
+    kept = kept_lines(docs, least, id_col, text_col).groupBy("doc_id").agg(F.collect_list("line").alias(held)).withColumnRenamed("doc_id", doc)
     added = ("n_lines", "n_dropped")
     names = [c for c in docs.columns if c not in added]
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_doc"]), "left").select(*[docs[c] for c in names], "_kept")
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept[doc]), "left").select(*[docs[c] for c in names], kept[held])
     at = names.index(text_col)
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
 

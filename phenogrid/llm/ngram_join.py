@@ -8,6 +8,7 @@ is listed under the sums of its hashes over each subset of a group's
 segments that leaves these few out, or over the group less one shingle.
 How many groups and segments is settled by cost.  Candidates whose parity
 sketches differ too much are passed over; the rest is verified on its words.
+Sets go by a 64-bit hash until then.
 
 Before that, sets that cannot have a partner are put aside: a set that links
 has few shingles that occur in no other set, and counting these over a part
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, bucket_components, byte_groups, checkpointed, mix64, near_ids, small_batches
+from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, connected_components, entry_buckets, mix64, near_ids, pack_entries, shared_counts, shared_rows, small_batches
 
 SKETCH = 512
 SPACES = b" \t\n\x0b\x0c\r"
@@ -90,6 +91,19 @@ class Signer:
             self.bands[label] = groups, edges, tag, subsets
         return self.bands[label]
 
+    def keys_in_all(self, sizes: DataFrame) -> float:
+        """About how many index keys sets of the sizes ``n`` are listed under, all together."""
+        return sum(r["sets"] * self._keys_of(r["n"]) for r in sizes.groupBy(F.ceil(F.log2("n") * 2).alias("size")).agg(F.count("*").alias("sets"), F.max("n").alias("n")).collect())
+
+    def _keys_of(self, n: int) -> int:
+        while np.searchsorted(self.tops, n) + 1 >= len(self.tops):
+            self.tops = band_tops(self.percent, 2 * int(self.tops[-1]))
+        band, total = int(np.searchsorted(self.tops, n)), 0
+        for label in (band, band + 1):
+            groups, _, _, subsets = self._band(label)
+            total += groups * len(subsets) if subsets else n + groups if groups else 0
+        return total
+
     def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct shingle hashes of each text, end to end, and where each begins."""
         starts, words = self.hasher(b" ".join(texts))
@@ -110,25 +124,45 @@ class Signer:
             parts.append(h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h)
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
-    def sign(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Size and two hashes of each text's set; numbers and values of its hashes below ``probe``."""
-        hashes, at = self.sets(texts)
+    @staticmethod
+    def names(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each set."""
         first = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
         second = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes)))
-        low = hashes < np.uint64(int(self.probe * 2.0**64))
-        counts = np.diff(np.concatenate(([0], np.cumsum(low)))[at])
-        return np.diff(at), first[at[1:]] - first[at[:-1]], second[at[1:]] - second[at[:-1]], counts, hashes[low]
+        return mix64(first[at[1:]] - first[at[:-1]]), second[at[1:]] - second[at[:-1]]
 
-    def keys(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Size and sketch of each text's set; numbers and values of its index keys."""
+    def sign(self, texts: list[bytes]) -> pa.RecordBatch:
+        """Size and two hashes of each text's set, and how many of its hashes lie below ``probe``."""
+        hashes, at = self.sets(texts)
+        h1, h2 = self.names(hashes, at)
+        probed = np.concatenate(([0], np.cumsum(self._probed(hashes))))
+        return pa.record_batch([pa.array(np.diff(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(probed[at]))], names=["n", "h1", "h2", "probed"])
+
+    def _probed(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes < np.uint64(min(int(self.probe * 2.0**64), (1 << 64) - 1))
+
+    def probes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes below ``probe``, spread anew, and the name of the set that each is of."""
+        hashes, at = self.sets(texts)
+        h1, _ = self.names(hashes, at)
+        low = self._probed(hashes)
+        return mix64(hashes[low]), np.repeat(h1, np.diff(at))[low]
+
+    def sketch(self, texts: list[bytes]) -> pa.RecordBatch:
+        """Name, size and parity sketch of each text's set; differing shingles change at least as many bits of it."""
         hashes, at = self.sets(texts)
-        value = mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
         sizes = np.diff(at)
         cell = np.repeat(np.arange(len(sizes)) * SKETCH, sizes) + (hashes & np.uint64(SKETCH - 1)).astype(np.int64)
         odd = np.bincount(cell, minlength=len(sizes) * SKETCH) & 1
-        # differing shingles change at least as many bits of this
-        sketches = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        sketches = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), -1)
+        return pa.record_batch([pa.array(self.names(hashes, at)[0].view(np.int64)), pa.array(sizes), *map(pa.array, np.ascontiguousarray(sketches.T))], names=["id", "n", *[f"s{i}" for i in range(SKETCH // 64)]])
+
+    def keys(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Index keys, and the name of the set that each is of."""
+        hashes, at = self.sets(texts)
+        value = mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
+        sizes = np.diff(at)
         while np.searchsorted(self.tops, sizes.max(initial=0)) + 1 >= len(self.tops):
             self.tops = band_tops(self.percent, 2 * int(self.tops[-1]))
         bands = np.searchsorted(self.tops, sizes)
@@ -153,33 +187,37 @@ class Signer:
                         held = held - part[:, i]
                     found.append(held)
             counts.append(sum(map(len, found[before:])))
-        return sizes, np.full(len(sizes), SKETCH // 64), sketches, np.array(counts, dtype=np.int64), mix64(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        return mix64(np.concatenate(found)) if found else np.zeros(0, np.uint64), np.repeat(self.names(hashes, at)[0], counts)
 
 
-def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values.view(np.int64)))
+def _rows(docs: DataFrame, signer: Signer, method: str, schema: str, carry: bool = False) -> DataFrame:
+    """A row for each text of ``id, text``, made by a method of ``signer`` over a bounded amount of text at a time; with its id, if it is to ``carry`` it."""
+
+    def run(batches):
+        for batch in small_batches(batches):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for low, high in byte_groups(texts):
+                with np.errstate(over="ignore"):
+                    made = getattr(signer, method)([t or b"" for t in texts[low:high]])
+                if carry:
+                    made = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *made.columns], names=["id", *made.schema.names])
+                yield made
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {schema}" if carry else schema)
 
 
-def _over_texts(docs: DataFrame, signer: Signer, method: str, schema: str) -> DataFrame:
-    """Runs a method of ``signer`` over ``id, text`` rows, a bounded amount of text at a time."""
-    id_type = docs.schema["id"].dataType.simpleString()
-    names = ["id", *[c.split()[0] for c in schema.split(", ")]]
+def _entries(docs: DataFrame, signer: Signer, method: str, buckets: int) -> DataFrame:
+    """Packed entries of what a method of ``signer`` lists for the texts."""
 
     def run(batches):
         for batch in small_batches(batches):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
             with np.errstate(over="ignore"):
-                done = [getattr(signer, method)([t or b"" for t in texts[low:high]]) for low, high in byte_groups(texts)]
-            if done:
-                columns = [np.concatenate(x) for x in zip(*done)]
-                arrays = []
-                if method == "sign":
-                    arrays = [pa.array(columns[0]), *[pa.array(c.view(np.int64)) for c in columns[1:3]], _lists(*columns[3:])]
-                else:
-                    arrays = [pa.array(columns[0]), _lists(*columns[1:3]), _lists(*columns[3:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
+                made = [getattr(signer, method)([t or b"" for t in texts[low:high]]) for low, high in byte_groups(texts)]
+                if made:
+                    yield from pack_entries(*map(np.concatenate, zip(*made)), buckets)
 
-    return docs.select("id", "text").mapInArrow(run, f"id {id_type}, {schema}")
+    return docs.select("text").mapInArrow(run, ENTRY_SCHEMA)
 
 
 def shingle_set(text: bytes, width: int) -> set:
@@ -200,7 +238,7 @@ def verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
 
     def test(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             keep, held = [], {}
             left, right = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
             for i in range(batch.num_rows):
@@ -226,25 +264,47 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     likeness of ``percent`` / 100 at least.  Words are runs of other than
     ASCII white space, ASCII-lower-cased.  Null, empty and blank texts have
     no shingles and link with nothing: their component is their own id.
-    Rows of equal sets are one class from the start; only the class's
-    smallest id is indexed.  Ids should be unique; rows that share an id are
-    taken as one node, each keeping its own size, and a null id is a
-    component of its own.
+    Texts may be of any length; their sets are whole.  Rows of equal sets
+    are one class from the start.  Ids should be unique; rows that share an
+    id are taken as one node, each keeping its own size, and a null id is a
+    component of its own.  Other columns are not read, whatever their names.
+    An empty table gives an empty one.
     """
+    scratch = Scratch(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    signed = checkpointed(_over_texts(source, Signer(width, percent), "sign", "n bigint, h1 bigint, h2 bigint, probe array<bigint>"))
+    signer = Signer(width, percent)
+    signed = scratch.keep(_rows(source, signer, "sign", "n long, h1 long, h2 long, probed long", carry=True))
     usable = signed.where("n > 0 and id is not null")
-    classes = checkpointed(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
-    alone = usable.select(F.explode("probe").alias("token"), "h1").groupBy("token").agg(F.min("h1").alias("h1"), F.max("h1").alias("hi")).where("h1 = hi").groupBy("h1").agg(F.count("*").alias("alone"))
-    able = classes.join(alone, "h1", "left").where(f"coalesce(alone, 0) <= {100 - percent} * n div 100").select(F.col("rep").alias("id")).distinct()
-    able = checkpointed(able)
-    texts = checkpointed(near_ids(source, able, "id").join(able, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    keyed = checkpointed(_over_texts(texts, Signer(width, percent, texts.count()), "keys", "n bigint, sketch array<bigint>, keys array<bigint>"))
-    index = keyed.select(F.explode("keys").alias("key"), "id")
-    sketches = keyed.select("id", "n", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH // 64)])
-    groups = bucket_components(index, sketches, close_sketches(percent), lambda pairs: verified(texts, pairs, width, percent))
-    # rows that share an id but not a text tie their classes together
-    copies = usable.join(classes, ["h1", "h2", "n"]).where("id != rep").select(F.col("id").alias("node"), "rep")
-    named = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    of = checkpointed(groups.union(named).groupBy("node").agg(F.min("component").alias("component")))
-    return signed.join(of, signed["id"] == of["node"], "left").select(signed["id"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", signed["id"]).alias("component_id"))
+    classes = scratch.keep(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("probed").alias("probed")))
+    probed = classes.agg(F.sum("probed")).first()[0] or 0
+    shared = shared_counts(_entries(source, signer, "probes", entry_buckets(probed))).withColumnRenamed("id", "h1")
+    # the shingles that no other set has are at most as many as a link allows
+    able = classes.join(shared, "h1", "left").where(f"probed - coalesce(shared, 0) <= {100 - percent} * n div 100")
+    able = scratch.keep(able.select("rep", "h1", "n"))
+    texts = near_ids(source.where("id is not null"), able.select(F.col("rep").alias("id")), "id")
+    signer = Signer(width, percent, able.count())
+    candidates = scratch.keep(shared_rows(_entries(texts, signer, "keys", entry_buckets(signer.keys_in_all(able)))))
+    sketch = [f"s{i}" for i in range(SKETCH // 64)]
+    sketches = _rows(texts, signer, "sketch", "id long, n long, " + ", ".join(f"{c} long" for c in sketch))
+    sketches = scratch.keep(sketches.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", *sketch)]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("h1")).distinct()
+        reps = scratch.keep(wanted.join(able, "h1").groupBy("h1").agg(F.min("rep").alias("id")))
+        found = scratch.keep(near_ids(source, reps, "id").join(reps, "id").groupBy("h1").agg(F.first("text").alias("text")))
+        linked = scratch.keep(verified(found.withColumnRenamed("h1", "id"), pairs, width, percent))
+        scratch.drop(reps, found)
+        return linked
+
+    groups = bucket_components(scratch, candidates, sketches, close_sketches(percent), verify)
+    scratch.drop(sketches)
+    # rows that share an id but not a text tie their sets together
+    several = usable.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("id", "lo")
+    ties = usable.select("id", "h1").join(several, "id").select(F.col("h1").alias("src"), F.col("lo").alias("dst"))
+    if not several.isEmpty():
+        groups = scratch.keep(connected_components(groups.toDF("src", "dst").union(ties), scratch))
+    placed = classes.join(groups.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "rep", F.coalesce("component", "h1").alias("group"))
+    least = placed.groupBy("group").agg(F.min("rep").alias("least"))
+    of = scratch.keep(placed.join(least, "group").groupBy("h1").agg(F.min("least").alias("component")).where("component is not null"))
+    named = signed.withColumn("h1", F.when(F.col("n") > 0, F.col("h1"))).join(of, "h1", "left")
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

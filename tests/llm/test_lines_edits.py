@@ -37,3 +37,20 @@ def test_all_pairs_within_the_edits_are_linked(spark):
                 parent[b] = a
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     assert {r["doc_id"] for r in lines.kept_lines(df).collect()} == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_pairs_together_as_one_by_one():
+    rng = random.Random(3)
+    left, right = [], []
+    for _ in range(600):
+        n = rng.choice([1, 2, 5, 8, 20, 57, 130, 390, 420])
+        a = rng.choices("abcdefghij" if n % 2 else WORDS, k=n)
+        b = list(a)
+        for _ in range(rng.randrange(0, n // 4 + 2)):
+            at, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[at : at + (kind < 2)] = [rng.choice(WORDS)] if kind else []
+        left.append(" ".join(a)), right.append(" ".join(b or a))
+    want = [lines.similar(a, b, 0.8) for a, b in zip(left, right)]
+    assert lines.similar_pairs(left, right, 0.8).tolist() == want and 100 < sum(want) < 600
+    brute = [levenshtein(a.split(), b.split()) <= 0.2 * max(len(a.split()), len(b.split())) + 1e-9 for a, b in zip(left[:200], right[:200])]
+    assert brute == want[:200]
