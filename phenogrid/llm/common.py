@@ -171,7 +171,7 @@ def small_batches(batches, most: int = 4 << 20):
 
 
 ENTRIES_PER_BUCKET = 1 << 19
-KEY_BITS = 46  # of a hash, besides those that its bucket stands for
+KEY_BITS, KEY_BYTES = 39, 5  # of a hash, besides the bits that its bucket stands for; one more bit is a mark
 ENTRY_SCHEMA = "bucket int, home int, keys binary, ids binary"
 
 
@@ -214,7 +214,7 @@ def pack_entries(hashes: np.ndarray, ids: np.ndarray, buckets: int):
             ends = np.concatenate((np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
             homes = at[ends - 1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((homes + np.int64(moved)) % buckets, type=pa.int32()), pa.array(homes), _blobs(keys[part], 6, ends), _blobs(ids[part], 8, ends)],
+                [pa.array((homes + np.int64(moved)) % buckets, type=pa.int32()), pa.array(homes), _blobs(keys[part], KEY_BYTES, ends), _blobs(ids[part], 8, ends)],
                 names=["bucket", "home", "keys", "ids"],
             )
 
@@ -224,8 +224,8 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     keys, ids, counts = [], [], []
     for chunk in table.column("keys").chunks:
         raw = b"".join(chunk.to_pylist())
-        wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw) // KEY_BYTES, 8), dtype=np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEY_BYTES)
         keys.append(wide.view("<u8").ravel())
     for chunk in table.column("ids").chunks:
         values = chunk.to_pylist()
@@ -333,6 +333,7 @@ def near_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 
 PAIRS_PER_ROW = 32
+FIRST_KEYS = 8  # the first stars are over one key in so many
 
 
 def bucket_components(scratch: Scratch, rows: DataFrame, sketches: DataFrame, close: str, verify, star_rounds: int = 8) -> DataFrame:
@@ -346,24 +347,51 @@ def bucket_components(scratch: Scratch, rows: DataFrame, sketches: DataFrame, cl
     linked.  The result holds ``node, component`` of all ids with a link and
     equals that of verifying every candidate pair.
 
-    Pairs are not formed while they are many times the rows: first, rounds
-    of stars test each member of a key against one member drawn from it.
-    Members that have come into one component need no further test among
-    themselves, so a large group of copies falls together in a few linear
-    rounds.  What is left between different components is tested in full.
+    Pairs within groups of copies are not formed.  First, a round of stars
+    over a part of the keys tests each member of a key against one member
+    drawn from it.  Members that have come into one component need no
+    further test among themselves, so a large group of copies falls together
+    in a linear round, and most keys are settled.  Further rounds of stars,
+    over all keys, follow while the pairs are many times the rows and a
+    round halves them.  What is left between different components is tested
+    in full.
     """
     carry = [c for c in sketches.columns if c != "id"]
-    comp, before = None, None
-    for round_ in range(star_rounds + 1):
-        if comp is not None:
-            placed = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-            # keys that lie within one component are settled
-            mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            placed, old = scratch.keep(placed.join(mixed, "key", "left_semi")), rows
-            scratch.drop(old)
-            rows = placed.drop("comp")
+
+    def sketched(table: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
+        wide = table.join(sketches, "id")
+        return wide.select("key", *[F.col(c).alias(f"{name}_{n}") for c, n in columns.items()], *[F.col(c).alias(f"{name}_{c}") for c in carry])
+
+    def linked(placed: DataFrame, stars: int | None) -> DataFrame:
+        """Verified links between members of different components: with a member drawn by round, or of all pairs."""
+        a = sketched(placed, "a", {"id": "id", "comp": "comp"})
+        if stars is None:
+            b = a.select("key", *[F.col(c).alias("b" + c[1:]) for c in a.columns if c != "key"])
         else:
-            placed = rows.withColumn("comp", F.col("id"))
+            centre = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(stars)).alias("draw"), "id", "comp")).alias("c"))
+            b = sketched(centre.select("key", "c.id", "c.comp"), "b", {"id": "id", "comp": "comp"})
+        pairs = a.join(b, "key").where(f"a_comp {'<' if stars is None else '!='} b_comp and {close}")
+        pairs = scratch.keep(pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct())
+        found = verify(pairs)
+        scratch.drop(pairs)
+        return found
+
+    def merged(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+        # a component found before is a star: its rays stand for all its links
+        return scratch.keep(connected_components(found if comp is None else comp.toDF("src", "dst").union(found), scratch))
+
+    comp, before = None, None
+    for stars in range(star_rounds + 1):
+        if stars == 0:
+            some = rows.where(F.pmod("key", F.lit(FIRST_KEYS)) == 0).withColumn("comp", F.col("id"))
+            comp = merged(comp, linked(some, 0))
+            continue
+        placed = rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        # keys that lie within one component are settled
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        placed, old = scratch.keep(placed.join(mixed, "key", "left_semi")), rows
+        scratch.drop(old)
+        rows = placed.drop("comp")
         n, cross = (
             placed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n"))
             .groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
@@ -371,28 +399,10 @@ def bucket_components(scratch: Scratch, rows: DataFrame, sketches: DataFrame, cl
         )
         if not n:
             break
-        wide = placed.join(sketches, "id")
-        a = wide.select("key", F.col("id").alias("a_id"), F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in carry])
         # no more stars once pairs are few or a round has not halved them
-        last = cross <= PAIRS_PER_ROW * n or round_ == star_rounds or before is not None and cross > before / 2
+        last = cross <= PAIRS_PER_ROW * n or stars == star_rounds or before is not None and cross > before / 2
         before = cross
-        if not last:
-            draw = F.xxhash64("id", F.lit(round_))
-            centre = placed.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "comp")).alias("c"))
-            centre = centre.select("key", F.col("c.id").alias("id"), F.col("c.comp").alias("b_comp")).join(sketches, "id")
-            b = centre.select("key", F.col("id").alias("b_id"), "b_comp", *[F.col(c).alias(f"b_{c}") for c in carry])
-        else:
-            b = a.select(*[F.col(c).alias("b" + c[1:] if c != "key" else c) for c in a.columns])
-        pairs = a.join(b, "key").where(f"a_comp {'<' if last else '!='} b_comp and {close}")
-        pairs = scratch.keep(pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct())
-        found = scratch.keep(verify(pairs).select("src", "dst"))
-        scratch.drop(pairs)
-        # a component found before is a star: its rays stand for all its links
-        links = found if comp is None else comp.toDF("src", "dst").union(found)
-        comp = scratch.keep(connected_components(links, scratch))
-        scratch.drop(*[t for t, _ in scratch.kept if t is found])
+        comp = merged(comp, linked(placed, None if last else stars))
         if last:
             break
-    if comp is None:
-        return rows.limit(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     return comp

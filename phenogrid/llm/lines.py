@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, entry_buckets, free_name, mix64, near_ids, pack_entries, shared_rows, small_batches
 
 MAX_BITS = 64  # of the SimHash: any distance may be linked
-RUNS = (2, 1)  # words of a run, the longest first
-KEYS_PER_WORD = 0.45
+RUNS = (3, 2, 1)  # words of a run, the longest first
+KEYS_PER_WORD = 0.6
 PARITIES = 4  # longs of word parity
 WORD_BUCKETS = 1 << 15  # for the order of runs alone
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
@@ -275,31 +275,40 @@ def within_edits(words: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[n
     One table of distances is filled for all pairs together, a row at a
     time, in a band as wide as the largest number of edits on either side.
     """
-    top, wide = int(edits.max()), 2 * int(edits.max()) + 1
-    rows = int(a[1].max())
+    order = np.argsort(a[1])
+    (a_first, a_n), (b_first, b_n) = (a[0][order], a[1][order]), (b[0][order], b[1][order])
+    top = int(edits.max())
+    wide, rows = 2 * top + 1, int(a_n[-1])
 
-    def padded(run: tuple[np.ndarray, np.ndarray], front: int, size: int, none: int) -> np.ndarray:
+    def padded(begin: np.ndarray, n: np.ndarray, front: int, size: int, none: int) -> np.ndarray:
         at = np.arange(size) - front
-        inside = (at >= 0) & (at < run[1][:, None])
-        return np.where(inside, words[np.where(inside, run[0][:, None] + at, 0)], none)
+        return np.where((at >= 0) & (at < n[:, None]), words[np.clip(begin[:, None] + at, 0, len(words) - 1)], none)
 
-    left, right = padded(a, 0, rows, -1), padded(b, top, rows + wide, -2)
+    left, right = padded(a_first, a_n, 0, rows, -1), padded(b_first, b_n, top, rows + wide, -2)
     place = np.arange(wide, dtype=np.int16)
     far = np.int16(1 << 13)
-    row = np.broadcast_to(np.where(place >= top, place - top, far).astype(np.int16), (len(edits), wide))
+    row = np.repeat(np.where(place >= top, place - top, far).astype(np.int16)[None], len(edits), axis=0)
     result = np.full(len(edits), far)
-    ends = np.clip(b[1] - a[1] + top, 0, wide - 1)
+    ends = np.clip(b_n - a_n + top, 0, wide - 1)
+    done = np.searchsorted(a_n, np.arange(rows + 2))  # pairs are in order of their first length
     for i in range(rows + 1):
+        low, high = done[i], done[i + 1]
         if i:
-            step = row + (left[:, i - 1 : i] != right[:, i - 1 : i - 1 + wide])
-            step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + np.int16(1))
+            step = row + (left[low:, i - 1 : i] != right[low:, i - 1 : i - 1 + wide])
+            np.minimum(step[:, :-1], row[:, 1:] + np.int16(1), out=step[:, :-1])
             if i <= top:
                 step[:, : top - i] = far
                 step[:, top - i] = i
-            row = np.minimum.accumulate(step - place, axis=1) + place
-        done = np.flatnonzero(a[1] == i)
-        result[done] = row[done, ends[done]]
-    return (np.abs(b[1] - a[1]) <= edits) & (result <= edits)
+            step -= place
+            np.minimum.accumulate(step, axis=1, out=step)
+            step += place
+            row = step
+        if high > low:
+            result[low:high] = row[np.arange(high - low), ends[low:high]]
+            row = row[high - low :]
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return (np.abs(b[1] - a[1]) <= edits) & (result[back] <= edits)
 
 
 def similar_pairs(left: list[str], right: list[str], least: float) -> np.ndarray:
@@ -314,25 +323,40 @@ def similar_pairs(left: list[str], right: list[str], least: float) -> np.ndarray
     first, n = cuts[:-1], np.diff(cuts)
     most = np.maximum(n[::2], n[1::2])
     edits = edits_allowed(most, least)
+    # an edit takes one word at most from what either line has beyond the other
+    pair = np.repeat(np.arange(len(n)) // 2, n)
+    worth = np.where(np.repeat(np.arange(len(n)) % 2 == 0, n), 1, -1)
+    order = np.lexsort((words, pair))
+    pair, kind, worth = pair[order], words[order], worth[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), (pair[1:] != pair[:-1]) | (kind[1:] != kind[:-1]))))
+    beyond = np.add.reduceat(worth, start) if len(start) else worth
+    more = [np.bincount(pair[start], np.maximum(sign * beyond, 0), len(left)) for sign in (1, -1)]
+    open_ = np.maximum(*more) <= edits
     out = np.zeros(len(left), dtype=bool)
-    for i in np.flatnonzero(most > BAND_WORDS).tolist():
+    for i in np.flatnonzero(open_ & (most > BAND_WORDS)).tolist():
         out[i] = similar(left[i], right[i], least)
-    order = np.lexsort((n[::2], edits))
-    order = order[most[order] <= BAND_WORDS]
-    low = 0
-    while low < len(order):
-        # pairs of about as many edits, as many as keep a row of the table small
-        step = max(1, (1 << 16) // (2 * int(edits[order[low]]) + 1))
-        part = order[low : low + step]
-        part = part[edits[part] <= edits[part[0]] + 1 + edits[part[0]] // 8]
-        out[part] = within_edits(words, (first[2 * part], n[2 * part]), (first[2 * part + 1], n[2 * part + 1]), edits[part])
-        low += len(part)
+    # most like lines differ in little more than these words: a narrow band shows it
+    open_ &= most <= BAND_WORDS
+    for allowed in (np.minimum(edits, np.maximum(*more).astype(np.int64) + 2), edits):
+        order = np.argsort(allowed)
+        order = order[open_[order]]
+        low = 0
+        while low < len(order):
+            # pairs of about as many edits, as many as keep a row of the table small
+            step = max(1, (1 << 16) // (2 * int(allowed[order[low]]) + 1))
+            part = order[low : low + step]
+            part = part[allowed[part] <= 8 + allowed[part[0]] * 2]
+            out[part] |= within_edits(words, (first[2 * part], n[2 * part]), (first[2 * part + 1], n[2 * part + 1]), allowed[part])
+            low += len(part)
+        open_ &= ~out & (allowed < edits)
     return out
 
 
-def _verified(scratch: Scratch, docs: DataFrame, text_col: str, pairs: DataFrame, least: float) -> DataFrame:
-    ids = scratch.keep(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
-    texts = scratch.keep(line_texts(docs, text_col, ids))
+def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose lines are similar; lines are read again from the documents in which they occur first."""
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    ids = scratch.keep(ids.join(classes.select(F.col("h1").alias("id"), "first.doc_id"), "id"))
+    texts = scratch.keep(line_texts(near_ids(docs, ids, "doc_id"), "text", ids.select("id")))
     both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
 
     def test(batches):
@@ -359,7 +383,8 @@ def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     scratch.drop(lines)
     words = classes.agg(F.sum("words")).first()[0] or 0
     rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD))))
-    groups = bucket_components(scratch, rows, classes.select(F.col("h1").alias("id"), *sketch), close_sql(least), lambda pairs: _verified(scratch, docs, text_col, pairs, least))
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    groups = bucket_components(scratch, rows, classes.select(F.col("h1").alias("id"), *sketch), close_sql(least), lambda pairs: _verified(scratch, source, classes, pairs, least))
     named = classes.select("h1", "h2", "first").join(groups.withColumnRenamed("node", "h1"), "h1", "left")
     group = [F.coalesce("component", "h1").alias("g"), F.when(F.col("component").isNull(), F.col("h2")).alias("h")]
     return named.groupBy(*group).agg(F.min("first").alias("first")).select("first.*")
