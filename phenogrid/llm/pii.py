@@ -214,13 +214,17 @@ def find_spans(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple
             if i >= past["phone"] and (end := _phone_at(text, i)):
                 keep("phone", i, end, 10 <= sum(c in DIGITS for c in text[i:end]) <= 15)
         elif what == "scheme":
-            end = i + size
-            while end < len(text) and text[end] not in URL_END:
-                end += 1
-            while end > i + size and text[end - 1] in ".,;:!?)":
-                end -= 1
-            if end > i + size and (i == 0 or not text[i - 1].isalnum()):
-                keep("url", i, end)
+            # a scheme inside a URL is part of it: each run is read once
+            if i >= past["url"] and (i == 0 or not text[i - 1].isalnum()):
+                end = i + size
+                while end < len(text) and text[end] not in URL_END:
+                    end += 1
+                run_end = end
+                while end > i + size and text[end - 1] in ".,;:!?)":
+                    end -= 1
+                if end > i + size:
+                    keep("url", i, end)
+                past["url"] = max(past["url"], run_end)
         elif what == "account":
             if (i == 0 or not text[i - 1].isalnum()) and (hit := _account_after(text, i + size)):
                 keep("account", *hit)

@@ -66,3 +66,13 @@ def test_odd_rows(odd_documents, no_documents):
     rows = {(r["doc_id"], len(r["spans"])) for r in pii.find_pii(odd_documents).collect()}
     assert (2, 0) in rows and (3, 0) in rows and (9, 3) in rows
     assert pii.find_pii(odd_documents).count() == 12 and pii.find_pii(no_documents).count() == 0
+
+
+def test_many_schemes_in_one_run_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("http://" * 100_000, "xhttp://" * 100_000, "http://;" * 100_000):
+        spans = pii.find_spans(text, pii.build_automaton())
+        assert [k for _, _, k in spans] in ([], ["url"])
+    assert time.time() - began < 20
