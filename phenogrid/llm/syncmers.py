@@ -1,8 +1,12 @@
-"""Document fingerprints from closed syncmers of words, with DataFrame expressions only.
-
-A run of ``K`` words is an anchor if the smallest of its runs of ``S`` words
-(by hash) stands first or last.  Whether a run is an anchor depends on its
-own words only, so an edit changes no anchor that it does not touch.
+"""Document fingerprints from closed syncmers, with DataFrame expressions only.
+
+A run of ``K`` letters is an anchor if the smallest of its runs of ``S``
+letters (by hash) stands first or last.  Whether a run is an anchor depends
+on its own letters only, so an edit changes no anchor that it does not touch,
+and any K - S runs in a row have one among them.  Letters are words; of words
+of more than ``LONG_WORD`` characters, as text without blanks has, they are
+the characters.  Texts of few words or characters have anchors of characters
+besides, as half of them may hold no run of K words.
 """
 
 from __future__ import annotations
@@ -10,28 +14,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import checkpointed
+from phenogrid.llm.common import Scratch
 
 K, S = 8, 3
+SMALL_K, SMALL_S = 3, 1
+LONG_WORD = 16
+FEW_WORDS, FEW_CHARS = 64, 64
 ROWS_PER_BUCKET = 500
-MOST_BUCKETS = 8192
+MOST_BUCKETS = 1 << 14
 
 
-def anchors(text: str, k: int = K, s: int = S) -> str:
-    """SQL for the anchors' hashes in order of place; a text of fewer than ``k`` words is one anchor.
+def closed(hashes: str, k: int, s: int) -> str:
+    """SQL for the hashes of the closed syncmers among letters' ``hashes``, in order of place.
 
     The ``transform(array(x), v -> ...)`` forms bind an array to a name, so
-    that it is worked out once and not for each word.
+    that it is worked out once and not for each letter.
     """
     inner = k - s  # last place of an inner run
-    middle = ", ".join(f"get(m, i + {j})" for j in range(1, inner))
+    middle = [f"get(m, i + {j})" for j in range(1, inner)]
     run = f"xxhash64({', '.join(f'get(m, i + {j})' for j in (*range(0, inner, s), inner))})"
-    test = f"least(get(m, i), get(m, i + {inner})) <= least({middle})"
+    test = f"least(get(m, i), get(m, i + {inner})) <= {middle[0] if len(middle) == 1 else 'least(' + ', '.join(middle) + ')'}"
     small = f"xxhash64({', '.join(['x'] + [f'get(h, i + {j})' for j in range(1, s)])})"
     many = f"get(transform(array(transform(h, (x, i) -> {small})), m -> filter(transform(sequence(0, size(h) - {k}), i -> if({test}, {run}, null)), a -> a is not null)), 0)"
-    few = "if(size(h) = 0, cast(array() as array<bigint>), array(xxhash64(h)))"
-    hashes = f"transform(filter(split({text}, '\\\\s+'), w -> w != ''), w -> xxhash64(w))"
-    return f"get(transform(array({hashes}), h -> if(size(h) < {k}, {few}, {many})), 0)"
+    return f"get(transform(array({hashes}), h -> if(size(h) < {k}, cast(array() as array<bigint>), {many})), 0)"
+
+
+def letters(text: str) -> str:
+    """SQL for a text's words, the long ones as characters."""
+    words = f"filter(split({text}, '\\\\s+'), w -> w != '')"
+    return f"if({text} rlike '\\\\S{{{LONG_WORD + 1}}}', flatten(transform({words}, w -> if(length(w) > {LONG_WORD}, split(w, ''), array(w)))), {words})"
+
+
+def word_anchors(text: str) -> str:
+    """SQL for the anchors of a text's letters; a text of one to ``K`` - 1 of them is one anchor."""
+    few = "if(size(g) = 0, cast(array() as array<bigint>), array(xxhash64(g)))"
+    return f"get(transform(array(transform({letters(text)}, w -> xxhash64(w))), g -> if(size(g) < {K}, {few}, {closed('g', K, S)})), 0)"
+
+
+def anchors(text: str) -> str:
+    """SQL for all anchors: of words, then for small texts of characters, by 8 and by 3."""
+    chars = f"transform(split({text}, ''), c -> xxhash64(c))"
+    none = "cast(array() as array<bigint>)"
+    by_8 = f"if(length({text}) < {FEW_WORDS * LONG_WORD} and size(split({text}, '\\\\s+')) < {FEW_WORDS}, {closed(chars, K, S)}, {none})"
+    by_3 = f"if(length({text}) < {FEW_CHARS}, {closed(chars, SMALL_K, SMALL_S)}, {none})"
+    return f"concat({word_anchors(text)}, {by_8}, {by_3})"
 
 
 def as_text(hashes: str) -> str:
@@ -46,34 +72,28 @@ def likeness(a: str, b: str) -> str:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows ``doc_id, text, next_text`` where next is by ascending id, and the first after the last.
+    """Rows ``doc_id, text, tie, bucket, extra``: ranges of ascending id, each with a copy (extra 1) of the row that follows it.
 
-    Ids are cut into ranges of a few hundred rows by approximate quantiles.
-    Each range also gets a copy of the row that follows it, so no task sees
-    more than a range.
+    Rows are ordered by id, then by a hash of the text.  The ranges are cut
+    at rows drawn by hash, some hundred rows apart: about four draws for a
+    cut, so at most 65,536 narrow rows, which any type of id allows.  Beyond
+    ``MOST_BUCKETS`` ranges they grow with the input; they are sorted and
+    streamed, never held in memory.  What is broadcast is one row for a range.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    n = source.count()
-    wanted = max(1, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
-    steps = [i / wanted for i in range(1, wanted)]
-    cuts = sorted(set(source.agg(F.percentile_approx("doc_id", steps, 10 * wanted)).first()[0] or [])) if steps else []
-    # binary search in the cuts: how many are below the id or equal to it
-    if cuts:
-        held, size = f"array({', '.join(map(_literal, cuts))})", len(cuts)
-        powers = [1 << i for i in reversed(range(size.bit_length()))]
-        bucket = F.expr(f"aggregate(array({', '.join(map(str, powers))}), 0, (at, p) -> if(at + p <= {size} and get({held}, at + p - 1) <= doc_id, at + p, at))")
-    else:
-        bucket = F.lit(0)
-    rows = source.withColumn("bucket", bucket).withColumn("extra", F.lit(0)).withColumn("tie", F.xxhash64("text"))
-    heads = checkpointed(rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("head")))
-    heads = heads.selectExpr("coalesce(lag(bucket) over (order by bucket), max(bucket) over ()) as bucket", "head.doc_id as head_id", "head.tie as head_tie")
-    follow = rows.join(heads.withColumnRenamed("bucket", "before"), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["before"])
-    follow = follow.select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("extra"), "tie")
-    return rows.unionByName(follow)
-
-
-def _literal(x) -> str:
-    return f"{x}L" if isinstance(x, int) else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    scratch = Scratch(docs.sparkSession)
+    source = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    wanted = max(1, min(MOST_BUCKETS, source.count() // ROWS_PER_BUCKET))
+    drawn = source.select("doc_id", "tie").orderBy(F.xxhash64("doc_id", "tie", F.lit(1)), "doc_id", "tie").limit(4 * wanted)
+    cuts = drawn.distinct().agg(F.sort_array(F.collect_list(F.struct("doc_id", "tie"))).alias("cuts"))
+    cuts = scratch.keep(cuts.selectExpr("filter(cuts, (c, i) -> i % 4 = 3) as cuts"))
+    # binary search in the cuts: how many are below the row or equal to it
+    powers = [1 << i for i in reversed(range(wanted.bit_length()))]
+    bucket = F.expr(f"aggregate(array({', '.join(map(str, powers))}), 0, (at, p) -> if(at + p <= size(cuts) and get(cuts, at + p - 1) <= struct(doc_id, tie), at + p, at))")
+    rows = source.crossJoin(F.broadcast(cuts)).withColumn("bucket", bucket).drop("cuts").withColumn("extra", F.lit(0))
+    heads = scratch.keep(rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("head")))
+    heads = heads.selectExpr("coalesce(lag(bucket) over (order by bucket), max(bucket) over ()) as before", "head.doc_id as head_id", "head.tie as head_tie")
+    follow = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))).dropDuplicates(["before"])
+    return rows.unionByName(follow.select("doc_id", "text", "tie", F.col("before").alias("bucket"), F.lit(1).alias("extra")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,10 +101,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text's last half (floor of n_chars / 2) is replaced by as many
     first characters of the next row's text, or all of it.  Null texts count
-    as empty, with an empty fingerprint.  Rows that share an id follow each
-    other by a hash of their texts.  A null id comes before all others.
+    as empty, with an empty fingerprint.  Texts may be of any length.  Rows
+    that share an id, or have none, follow each other by a hash of their
+    texts, and may fall into several ranges; repeated rows follow each other.
+    A null id comes before all others.  Other columns are not read, whatever
+    their names.  An empty table gives an empty one.
     """
-    rows = with_next(docs, id_col, text_col).withColumn("anchors", F.expr(anchors("text")))
+    # texts are shuffled once, without anchors
+    rows = with_next(docs, id_col, text_col).repartition("bucket").withColumn("anchors", F.expr(anchors("text")))
     over = "over (partition by bucket order by extra, doc_id, tie)"
     rows = rows.selectExpr("*", f"lead(text) {over} as next_text", f"lead(anchors) {over} as next_anchors").where("extra = 0")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))

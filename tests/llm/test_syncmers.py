@@ -26,11 +26,11 @@ def test_anchors_are_closed_syncmers(spark):
     text = spark.read.parquet(DOCS).where("n_chars between 400 and 900").orderBy("doc_id").first()["text"]
     words = text.split()
     want = brute_anchors(spark, words)
-    got = spark.createDataFrame([(text,)], "text string").select(F.expr(syncmers.anchors("text")).alias("a")).first()["a"]
+    got = spark.createDataFrame([(text,)], "text string").select(F.expr(syncmers.word_anchors("text")).alias("a")).first()["a"]
     assert len(got) == len(want) > 10
     # context-free: the same run in another text is an anchor again
     part = " ".join(words[want[3] : want[3] + syncmers.K])
-    alone = spark.createDataFrame([("some other words come first and then " + part + " follows",)], "text string").select(F.expr(syncmers.anchors("text")).alias("a")).first()["a"]
+    alone = spark.createDataFrame([("some other words come first and then " + part + " follows",)], "text string").select(F.expr(syncmers.word_anchors("text")).alias("a")).first()["a"]
     assert got[3] in alone
 
 
@@ -72,3 +72,26 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert syncmers.fingerprints(no_documents).count() == 0
     one = syncmers.fingerprints(odd_documents.where("doc_id = 9")).first()
     assert one["near_next"] == 1.0
+
+
+def test_half_of_any_text_is_found_again(spark):
+    """Short texts, texts without blanks and mixed ones: more like their edited text than like the next one."""
+    rng = __import__("random").Random(2)
+    texts = []
+    for i in range(60):
+        kind, n = i % 4, rng.randrange(6, 40)
+        letters = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) if kind == 0 else " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(n // (1 + 4 * (kind == 1)) + 1))
+        texts.append(letters)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = syncmers.fingerprints(df).collect()
+    assert len(rows) == 60 and all(r["near_edited"] > r["near_next"] for r in rows)
+    named = spark.createDataFrame([(f"id'{i}" if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id string, text string")
+    assert syncmers.fingerprints(named).count() == 60
+
+
+def test_equal_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "ROWS_PER_BUCKET", 10)
+    df = spark.range(200).selectExpr("cast(null as bigint) as doc_id", "concat('text number ', id) as text")
+    held = syncmers.with_next(df, "doc_id", "text").groupBy("bucket").count().collect()
+    assert len(held) > 10 and max(r["count"] for r in held) < 60
+    assert syncmers.fingerprints(df).count() == 200
