@@ -161,7 +161,7 @@ def byte_groups(texts: list[bytes | None], most: int = 1 << 20):
         yield low, len(texts)
 
 
-def small_batches(batches, most: int = 4 << 20):
+def small_batches(batches, most: int = 1 << 20):
     """Slices of Arrow batches of about ``most`` bytes each, so that few rows at a time become Python objects."""
     for batch in batches:
         step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
@@ -172,7 +172,8 @@ def small_batches(batches, most: int = 4 << 20):
 
 ENTRIES_PER_BUCKET = 1 << 19
 KEY_BITS, KEY_BYTES = 39, 5  # of a hash, besides the bits that its bucket stands for; one more bit is a mark
-ENTRY_SCHEMA = "bucket int, home int, keys binary, ids binary"
+ENTRY_SCHEMA = "bucket int, home int, keys binary, ids binary, sizes binary"
+SIZE_STEP = 1.04
 
 
 def entry_buckets(entries: float) -> int:
@@ -180,6 +181,16 @@ def entry_buckets(entries: float) -> int:
     return max(1, -(-int(entries) // ENTRIES_PER_BUCKET))
 
 
+def size_codes(sizes: np.ndarray) -> np.ndarray:
+    """Sizes as a byte each, on a scale of equal ratios; the largest ones share the last."""
+    return np.minimum(np.log(np.maximum(sizes, 1)) / np.log(SIZE_STEP), 255).astype(np.uint8)
+
+
+def code_span(ratio: float) -> int:
+    """How far apart the codes of sizes can be of which one is at least ``ratio`` of the other."""
+    return int(np.ceil(-np.log(ratio) / np.log(SIZE_STEP)))
+
+
 def _blobs(values: np.ndarray, width: int, ends: np.ndarray) -> pa.Array:
     """The low ``width`` bytes of each value, end to end, cut after the places ``ends``."""
     data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
@@ -187,23 +198,24 @@ def _blobs(values: np.ndarray, width: int, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def pack_entries(hashes: np.ndarray, ids: np.ndarray, buckets: int):
-    """Record batches of ``ENTRY_SCHEMA`` for a batch's key hashes and the ids that list them.
+def pack_entries(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int):
+    """Record batches of ``ENTRY_SCHEMA`` for a batch's key hashes, the ids that list them, and the ids' ``size_codes``.
 
-    Keys go to buckets by their hash, a row for each bucket.  Of the ids that
-    list one key only the first goes there, marked; the others are dealt to
-    buckets anew, as they are known to share their key already.  So a key
-    that very many ids list puts one entry a batch into its bucket.
+    Keys go to buckets by their hash, a row for each bucket.  Of the ids of
+    one size that list one key only the first goes there, marked; the others
+    are dealt to buckets anew, as they are known to share their key already.
+    So a key that very many ids list puts few entries a batch into its
+    bucket.
     """
     if not len(hashes):
         return
     ids = ids.astype(np.uint64)
-    order = np.lexsort((ids, hashes))
-    hashes, ids = hashes[order], ids[order]
-    same = np.concatenate(([False], hashes[1:] == hashes[:-1]))
+    order = np.lexsort((ids, sizes, hashes))
+    hashes, ids, sizes = hashes[order], ids[order], sizes[order]
+    same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (sizes[1:] == sizes[:-1])))
     new = ~same | np.concatenate(([True], ids[1:] != ids[:-1]))
-    hashes, ids = hashes[new], ids[new]
-    same = np.concatenate(([False], hashes[1:] == hashes[:-1]))
+    hashes, ids, sizes = hashes[new], ids[new], sizes[new]
+    same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (sizes[1:] == sizes[:-1])))
     many = np.concatenate((same[1:], [False])) & ~same
     home = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     keys = hashes & np.uint64((1 << KEY_BITS) - 1) | many.astype(np.uint64) << np.uint64(KEY_BITS)
@@ -214,51 +226,52 @@ def pack_entries(hashes: np.ndarray, ids: np.ndarray, buckets: int):
             ends = np.concatenate((np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
             homes = at[ends - 1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((homes + np.int64(moved)) % buckets, type=pa.int32()), pa.array(homes), _blobs(keys[part], KEY_BYTES, ends), _blobs(ids[part], 8, ends)],
-                names=["bucket", "home", "keys", "ids"],
+                [pa.array((homes + np.int64(moved)) % buckets, type=pa.int32()), pa.array(homes), _blobs(keys[part], KEY_BYTES, ends), _blobs(ids[part], 8, ends), _blobs(sizes[part], 1, ends)],
+                names=["bucket", "home", "keys", "ids", "sizes"],
             )
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Bucket, home, key and id of each entry."""
-    keys, ids, counts = [], [], []
-    for chunk in table.column("keys").chunks:
-        raw = b"".join(chunk.to_pylist())
-        wide = np.zeros((len(raw) // KEY_BYTES, 8), dtype=np.uint8)
-        wide[:, :KEY_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEY_BYTES)
-        keys.append(wide.view("<u8").ravel())
-    for chunk in table.column("ids").chunks:
-        values = chunk.to_pylist()
-        counts += [len(v) // 8 for v in values]
-        ids.append(np.frombuffer(b"".join(values), dtype="<u8"))
+    """Bucket, home, key, id and size code of each entry."""
+    raw = {c: [v for chunk in table.column(c).chunks for v in chunk.to_pylist()] for c in ("keys", "ids", "sizes")}
+    counts = [len(v) for v in raw["sizes"]]
+    joined = {c: np.frombuffer(b"".join(v), dtype=np.uint8) for c, v in raw.items()}
+    wide = np.zeros((len(joined["sizes"]), 8), dtype=np.uint8)
+    wide[:, :KEY_BYTES] = joined["keys"].reshape(-1, KEY_BYTES)
     bucket, home = (np.repeat(table.column(c).to_numpy(), counts) for c in ("bucket", "home"))
-    return bucket, home, np.concatenate(keys), np.concatenate(ids)
+    return bucket, home, wide.view("<u8").ravel(), joined["ids"].view("<u8"), joined["sizes"]
 
 
-def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Name of the key and id of the entries of a bucket whose key more than one id lists."""
-    bucket, home, key, ids = _unpacked(table)
+def _shared(table: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Name of the key and id of the entries of a bucket whose key another id of about their size lists."""
+    bucket, home, key, ids, sizes = _unpacked(table)
     many = key >> np.uint64(KEY_BITS) > 0
     key = key & np.uint64((1 << KEY_BITS) - 1)
     name = mix64(key ^ mix64(home.astype(np.uint64) + np.uint64(1)))
     own = bucket == home
     loose = name[~own], ids[~own]
-    name, ids, many = name[own], ids[own], many[own]
-    order = np.lexsort((ids, name))
-    name, ids, many = name[order], ids[order], many[order]
-    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(name)), bool), name[1:] != name[:-1])))
-    run = np.diff(np.append(start, len(name)))
-    first, last = ids[start], ids[start + run - 1]
-    met = np.repeat((first != last) | (np.add.reduceat(many, start) > 0 if len(start) else False), run)
+    name, ids, sizes, many = name[own], ids[own], sizes[own].astype(np.int16), many[own]
+    order = np.lexsort((~many, ids, sizes, name))
+    name, ids, sizes, many = name[order], ids[order], sizes[order], many[order]
+    new = np.ones(len(name), dtype=bool)
+    new[1:] = (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])
+    name, ids, sizes, many = name[new], ids[new], sizes[new], many[new]
+    near = (name[1:] == name[:-1]) & (sizes[1:] - sizes[:-1] <= span)
+    met = many
+    met[1:] |= near
+    met[:-1] |= near
     return np.concatenate((name[met], loose[0])), np.concatenate((ids[met], loose[1]))
 
 
-def shared_rows(entries: DataFrame) -> DataFrame:
-    """``key, id`` of the keys that at least two ids list, from packed entries; now and then a row twice."""
+def shared_rows(entries: DataFrame, span: int) -> DataFrame:
+    """``key, id`` of the keys that at least two ids of about one size list, from packed entries; now and then a row twice.
+
+    ``span``: the ``code_span`` of sizes that can belong together.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            name, ids = _shared(table)
+            name, ids = _shared(table, span)
         return pa.table({"key": name.view(np.int64), "id": ids.view(np.int64)})
 
     return entries.groupBy("bucket").applyInArrow(meet, "key long, id long")
@@ -269,7 +282,7 @@ def shared_counts(entries: DataFrame) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            _, ids = _shared(table)
+            _, ids = _shared(table, 255)
         ids, counts = np.unique(ids, return_counts=True)
         return pa.table({"id": ids.view(np.int64), "shared": counts.astype(np.int64)})
 
@@ -332,7 +345,7 @@ def near_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.withColumn(name, bucket).join(F.broadcast(some), name, "left_semi").drop(name)
 
 
-PAIRS_PER_ROW = 32
+PAIRS_PER_ROW = 8
 FIRST_KEYS = 8  # the first stars are over one key in so many
 
 

@@ -5,7 +5,7 @@ lines are one class.  Two classes are linked if the edit similarity of their
 word sequences is high enough; no hash limits the relation.  An edit changes
 at most q of a line's runs of q words, so linked lines share a run among the
 first few of each in one order of all runs, rare words first.  Classes meet
-under these runs; candidates whose lengths and word parities differ by more
+under these runs; candidates whose lengths and word counts differ by more
 than the edits allow are dropped, the others are verified.  Of each
 connected group of lines only the first occurrence stays.
 
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, entry_buckets, free_name, mix64, near_ids, pack_entries, shared_rows, small_batches
+from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, code_span, entry_buckets, free_name, mix64, near_ids, pack_entries, shared_rows, size_codes, small_batches
 
 MAX_BITS = 64  # of the SimHash: any distance may be linked
 RUNS = (3, 2, 1)  # words of a run, the longest first
 KEYS_PER_WORD = 0.6
-PARITIES = 4  # longs of word parity
+LEVELS, KINDS = 3, 256  # of word counts
+SKETCH = [f"c{i}_{j}" for i in range(LEVELS) for j in range(KINDS // 64)]
 WORD_BUCKETS = 1 << 15  # for the order of runs alone
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
@@ -106,11 +107,11 @@ def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.nda
     return of[order], key[order]
 
 
-def word_parities(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Whether the words of each of 64 ``PARITIES`` kinds are odd in number; an edit changes two bits at most."""
-    kind = words >> np.uint64(64 - 8)
-    bit = np.uint64(1) << (kind & np.uint64(63))
-    return [np.bitwise_xor.reduceat(np.where(kind >> np.uint64(6) == p, bit, np.uint64(0)), first) for p in range(PARITIES)]
+def word_levels(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each line, bits that tell of which of ``KINDS`` of words it has at least 1, 2, ... ``LEVELS``; an edit changes two at most."""
+    line = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+    counts = np.bincount(line * KINDS + (words >> np.uint64(56)).astype(np.int64), minlength=len(first) * KINDS).reshape(len(first), KINDS)
+    return np.concatenate([np.packbits(counts > level, axis=1).view(np.int64) for level in range(LEVELS)], axis=1)
 
 
 class LineSplitter:
@@ -145,7 +146,7 @@ class LineSplitter:
 def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False) -> DataFrame:
     """One narrow row per line with a word: doc_id, line, h1, h2 (of the words in order), words, and sim.
 
-    With ``sketches``, instead of sim: parities p0, p1, ...  Then each task
+    With ``sketches``, instead of sim: the columns ``SKETCH``.  Then each task
     adds a row that has only ``counts``, of all words by their hash.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -159,7 +160,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = Fal
                     columns["sim"] = pa.array(sim_hashes(g["words"], g["first"]).view(np.int64))
                 columns["words"] = pa.array(g["n"].astype(np.int32))
                 if sketches:
-                    columns |= {f"p{i}": pa.array(p.view(np.int64)) for i, p in enumerate(word_parities(g["words"], g["first"]))}
+                    columns |= {c: pa.array(x) for c, x in zip(SKETCH, np.ascontiguousarray(word_levels(g["words"], g["first"]).T))}
                     columns["counts"] = pa.nulls(len(g["n"]), pa.list_(pa.int64()))
                     counts += np.bincount((g["words"] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
                 done = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -168,7 +169,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = Fal
         if sketches and names is not None:
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in names][:-1], pa.array([counts], type=pa.list_(pa.int64()))], schema=names)
 
-    more = "words int, " + "".join(f"p{i} long, " for i in range(PARITIES)) + "counts array<long>" if sketches else "sim long, words int"
+    more = "words int, " + "".join(f"{c} long, " for c in SKETCH) + "counts array<long>" if sketches else "sim long, words int"
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, {more}")
 
 
@@ -187,7 +188,7 @@ def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float,
     def pack(batches):
         splitter = LineSplitter()
         for batch in small_batches(batches):
-            keys, ids = [], []
+            keys, ids, sizes = [], [], []
             for g in splitter(batch.column(0)):
                 with np.errstate(over="ignore"):
                     _, at = np.unique(g["h1"], return_index=True)  # copies within a group have one set of keys
@@ -196,10 +197,10 @@ def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float,
                     keep[at] = True
                     n = g["n"][keep]
                     of, key = run_keys(g["words"][np.repeat(keep, g["n"])], np.concatenate(([0], np.cumsum(n)[:-1])), n, rarity, least)
-                keys.append(key), ids.append(g["h1"][keep][of])
+                keys.append(key), ids.append(g["h1"][keep][of]), sizes.append(size_codes(n)[of])
             if keys:
                 with np.errstate(over="ignore"):
-                    yield from pack_entries(np.concatenate(keys), np.concatenate(ids), buckets)
+                    yield from pack_entries(np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes), buckets)
 
     return docs.select(docs[text_col].alias("text")).mapInArrow(pack, ENTRY_SCHEMA)
 
@@ -220,9 +221,9 @@ def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
 
 def close_sql(least: float) -> str:
-    """What the lengths and parities of linked lines a and b meet."""
+    """What the lengths and word counts of linked lines a and b meet."""
     edits = f"floor({1 - least!r}D * greatest(a_words, b_words) + 1e-9D)"
-    bits = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(PARITIES))
+    bits = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SKETCH)
     return f"abs(a_words - b_words) <= {edits} and {bits} <= 2 * {edits}"
 
 
@@ -375,14 +376,14 @@ def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     Blank lines belong to no group and are not listed.
     """
     scratch = Scratch(docs.sparkSession)
-    sketch = ["words", *[f"p{i}" for i in range(PARITIES)]]
+    sketch = ["words", *SKETCH]
     lines = scratch.keep(line_table(docs, id_col, text_col, sketches=True))
     rarity = word_rarity(lines.where("counts is not null"))
     classes = lines.where("counts is null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in sketch])
     classes = scratch.keep(classes.select("h1", "h2", "first", *sketch))
     scratch.drop(lines)
     words = classes.agg(F.sum("words")).first()[0] or 0
-    rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD))))
+    rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD)), code_span(least)))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     groups = bucket_components(scratch, rows, classes.select(F.col("h1").alias("id"), *sketch), close_sql(least), lambda pairs: _verified(scratch, source, classes, pairs, least))
     named = classes.select("h1", "h2", "first").join(groups.withColumnRenamed("node", "h1"), "h1", "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, connected_components, entry_buckets, mix64, near_ids, pack_entries, shared_counts, shared_rows, small_batches
+from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, code_span, connected_components, entry_buckets, mix64, near_ids, pack_entries, shared_counts, shared_rows, size_codes, small_batches
 
 SKETCH = 512
 SPACES = b" \t\n\x0b\x0c\r"
@@ -141,12 +141,11 @@ class Signer:
     def _probed(self, hashes: np.ndarray) -> np.ndarray:
         return hashes < np.uint64(min(int(self.probe * 2.0**64), (1 << 64) - 1))
 
-    def probes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes below ``probe``, spread anew, and the name of the set that each is of."""
+    def probes(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Hashes below ``probe``, spread anew, with the name and size code of the set that each is of."""
         hashes, at = self.sets(texts)
-        h1, _ = self.names(hashes, at)
-        low = self._probed(hashes)
-        return mix64(hashes[low]), np.repeat(h1, np.diff(at))[low]
+        sizes, low = np.diff(at), self._probed(hashes)
+        return mix64(hashes[low]), np.repeat(self.names(hashes, at)[0], sizes)[low], np.repeat(size_codes(sizes), sizes)[low]
 
     def sketch(self, texts: list[bytes]) -> pa.RecordBatch:
         """Name, size and parity sketch of each text's set; differing shingles change at least as many bits of it."""
@@ -157,8 +156,8 @@ class Signer:
         sketches = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), -1)
         return pa.record_batch([pa.array(self.names(hashes, at)[0].view(np.int64)), pa.array(sizes), *map(pa.array, np.ascontiguousarray(sketches.T))], names=["id", "n", *[f"s{i}" for i in range(SKETCH // 64)]])
 
-    def keys(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Index keys, and the name of the set that each is of."""
+    def keys(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Index keys, with the name and size code of the set that each is of."""
         hashes, at = self.sets(texts)
         value = mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
@@ -187,7 +186,7 @@ class Signer:
                         held = held - part[:, i]
                     found.append(held)
             counts.append(sum(map(len, found[before:])))
-        return mix64(np.concatenate(found)) if found else np.zeros(0, np.uint64), np.repeat(self.names(hashes, at)[0], counts)
+        return mix64(np.concatenate(found)) if found else np.zeros(0, np.uint64), np.repeat(self.names(hashes, at)[0], counts), np.repeat(size_codes(sizes), counts)
 
 
 def _rows(docs: DataFrame, signer: Signer, method: str, schema: str, carry: bool = False) -> DataFrame:
@@ -283,7 +282,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     able = scratch.keep(able.select("rep", "h1", "n"))
     texts = near_ids(source.where("id is not null"), able.select(F.col("rep").alias("id")), "id")
     signer = Signer(width, percent, able.count())
-    candidates = scratch.keep(shared_rows(_entries(texts, signer, "keys", entry_buckets(signer.keys_in_all(able)))))
+    candidates = scratch.keep(shared_rows(_entries(texts, signer, "keys", entry_buckets(signer.keys_in_all(able))), code_span(percent / 100)))
     sketch = [f"s{i}" for i in range(SKETCH // 64)]
     sketches = _rows(texts, signer, "sketch", "id long, n long, " + ", ".join(f"{c} long" for c in sketch))
     sketches = scratch.keep(sketches.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", *sketch)]))

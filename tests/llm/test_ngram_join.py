@@ -77,7 +77,7 @@ def test_linked_sets_share_a_key(percent, rows):
             other = words[lost:] + [f"u{x}" for x in rng.choice(10**9, max(added, 0), replace=False)]
             with np.errstate(over="ignore"):
                 texts = [" ".join(words).encode(), " ".join(other).encode()]
-                keys, of = signer.keys(texts)
+                keys, of, _ = signer.keys(texts)
                 a, b = [set(keys[of == x].tolist()) for x in signer.names(*signer.sets(texts))[0]]
             assert a & b or (lost == 0 and added <= 0), (n, lost, added)
 
