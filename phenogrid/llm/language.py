@@ -23,6 +23,7 @@ SLOTS = 64  # word gap, a to z, and 37 shared by all other letters
 DIMENSIONS = 512
 GRAM = 3
 CHUNK = 1 << 19  # characters that are encoded at once
+GRAMS_AT_ONCE = 1 << 13
 MAX_LANGUAGES = 1000
 
 
@@ -96,18 +97,24 @@ class Encoder:
         used = np.flatnonzero(seen)
         place = np.zeros(SLOTS**GRAM, dtype=np.int64)
         place[used] = np.arange(len(used))
-        bound = np.ones((len(used), self.dimensions), dtype=np.int8)
-        rest = used.copy()
-        for i in reversed(range(GRAM)):
-            bound *= self.rotated[i][rest % SLOTS]
-            rest //= SLOTS
-        bound = bound.astype(np.float32)
-        step = max(1, (1 << 21) // max(1, len(used)))
-        for low in range(0, len(rows), step):
-            at = slice(*np.searchsorted(part, (low, low + step)))
-            here = min(step, len(rows) - low)
-            counts = np.bincount((part[at] - low) * len(used) + place[code[at]], minlength=here * len(used)).reshape(here, -1)
-            np.add.at(vectors, [i for i, _ in rows[low : low + here]], counts.astype(np.float32) @ bound)
+        at = place[code]
+        # a block of distinct n-grams at a time: texts in many scripts have very many
+        for first in range(0, len(used), GRAMS_AT_ONCE):
+            rest = used[first : first + GRAMS_AT_ONCE]
+            width = len(rest)
+            bound = np.ones((width, self.dimensions), dtype=np.int8)
+            for i in reversed(range(GRAM)):
+                bound *= self.rotated[i][rest % SLOTS]
+                rest = rest // SLOTS
+            bound = bound.astype(np.float32)
+            here = (at >= first) & (at < first + width) if len(used) > width else slice(None)
+            gram, of = at[here] - first, part[here]
+            step = max(1, (1 << 20) // width)
+            for low in range(0, len(rows), step):
+                some = slice(*np.searchsorted(of, (low, low + step)))
+                n = min(step, len(rows) - low)
+                counts = np.bincount((of[some] - low) * width + gram[some], minlength=n * width).reshape(n, -1)
+                np.add.at(vectors, [i for i, _ in rows[low : low + n]], counts.astype(np.float32) @ bound)
 
 
 @dataclass(frozen=True)
@@ -168,7 +175,9 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: s
     A carried column of either name is left out.
     The score is the cosine with the winning prototype, 0 to 1.  A null text
     or one without a letter is ``und`` with score 0; ties go to the language
-    that comes first by name.  Row for row, without a shuffle.
+    that comes first by name.  Texts may be of any length; repeated rows are
+    judged each for itself; an empty table gives an empty one.  Row for row,
+    without a shuffle.
     """
     carry = [c for c in carry if c not in names]
     schema = docs.select(*carry).schema
