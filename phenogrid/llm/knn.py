@@ -23,7 +23,7 @@ SHARD_ROWS = 16_384
 LEAST_SHARDS = 32  # as long as each has a leaf or two
 QUERY_BLOCK = 2_048
 LEAF = 128
-LIMIT = 1 << 27  # scaled components beyond this are held to it, so that sums stay exact
+LONG = 9223372036854774784  # the largest double below 2**63
 
 
 class KDTree:
@@ -49,10 +49,15 @@ class KDTree:
                 todo += [(a + mid, b, node), (a, a + mid, node)]
         self.low, self.high = np.array(low), np.array(high)
         self.sorted = points[self.order]
+        self.peak = int(np.abs(points).max(initial=0))
 
     def search(self, query: np.ndarray, ids: np.ndarray, k: int, skip: int | None, floor: int | None) -> list[tuple[int, int]]:
         """The best ``k`` (score, id), ties to smaller ids, among scores of at least ``floor``."""
-        bounds = np.maximum(query * self.low, query * self.high).sum(axis=1).tolist()
+        low, high, points = self.low, self.high, self.sorted
+        if self.peak * int(np.abs(query).max(initial=0)) * len(query) >= 1 << 62:
+            # sums might not fit: count in Python's integers
+            low, high, points, query = (x.astype(object) for x in (low, high, points, query))
+        bounds = np.maximum(query * low, query * high).sum(axis=1).tolist()
         open_, best = [(-bounds[0], 0)], []  # best: a heap of (score, -id), worst on top
         while open_:
             bound, node = heapq.heappop(open_)
@@ -64,7 +69,7 @@ class KDTree:
                     heapq.heappush(open_, (-bounds[child], child))
                 continue
             a, b = self.span[node]
-            scores = self.sorted[a:b] @ query
+            scores = points[a:b] @ query
             at = np.arange(a, b) if worst is None else a + np.flatnonzero(scores >= worst)
             for i in at.tolist():
                 name = int(ids[self.order[i]])
@@ -82,8 +87,9 @@ class KDTree:
 def scaled(vector: str, scale: int) -> str:
     """SQL for floor(scale * x) of each component as bigint; null if a component is null or not finite."""
     bad = f"{vector} is null or exists({vector}, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
-    held = f"greatest({-LIMIT}D, least({LIMIT}D, floor({scale}D * cast(x as double))))"
-    return f"case when {bad} then null else transform({vector}, x -> cast({held} as bigint)) end"
+    # Spark's floor of a double is a long; a component beyond that is held to it
+    held = f"greatest({-LONG}D, least({LONG}D, {scale}D * cast(x as double)))"
+    return f"case when {bad} then null else transform({vector}, x -> cast(floor({held}) as bigint)) end"
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -94,15 +100,19 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     floor(scale * x); ties go to the smaller id.  Null vectors, ids, and
     vectors with null or non-finite components take no part; vectors meet
     only vectors of their own length; empty ones score 0.  Rows that repeat
-    an id are candidates each, and ask once.  A task holds one shard and one
-    block of queries, both of bounded size.
+    an id are candidates each, but not of their own id, and ask once.  Sums
+    are exact integers; a scaled component or a score beyond a long is held
+    to it.  Other columns are not read, whatever their names; an empty table
+    gives an empty one.  A task holds one shard and one block of queries,
+    both of bounded size: each shard is sent to as many blocks as there are,
+    so that what is shuffled grows like the work, with queries times rows.
     """
     rows = vectors.selectExpr(f"`{id_col}` as id", f"{scaled(f'`{vector_col}`', scale)} as v").where("id is not null and v is not null").withColumn("dim", F.size("v"))
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS), min(LEAST_SHARDS, -(-n // (2 * LEAF))))
-    # the part counts rows that share an id as different
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    # rows that repeat an id and a vector are spread too
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
     blocks = max(1, -(-n // every // QUERY_BLOCK))
     queries = checkpointed(queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")))
@@ -120,6 +130,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             for name, v, floor in zip(asked["q_id"].tolist(), asked["q_v"].tolist(), asked["q_floor"].tolist()):
                 q = np.array(v, dtype=np.int64) if len(v) else np.zeros(1, dtype=np.int64)
                 out += [(name, i, s) for s, i in tree.search(q, ids, k, name, None if floor is None or floor != floor else int(floor))]
+        out = [(name, i, max(-(1 << 63), min((1 << 63) - 1, s))) for name, i, s in out]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     by = ["dim", "shard", "block"]

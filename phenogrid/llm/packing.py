@@ -10,6 +10,7 @@ few are left or a round gains nothing.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import WordHasher, byte_groups, checkpointed, small_batches
+from phenogrid.llm.common import WordHasher, byte_groups, checkpointed, free_name, small_batches
 
 CAPACITY = 1024
 SEPARATOR = 2
 BUCKET_ITEMS = 20_000
-GROUP_BYTES = 4 << 20  # texts whose words are encoded together
+GROUP_BYTES = 2 << 20  # texts whose words are encoded together
 
 
 class WordTokenizer:
@@ -37,17 +38,22 @@ class WordTokenizer:
     one call, and the ids of all texts are gathered from theirs.  Texts with
     runs of white space, or with some at either end, are encoded as a whole.
     Ids are those of the JSON file's tokenizer: the rank file holds the same
-    vocabulary.
+    vocabulary, and the JSON file's added tokens, which the rank file lacks,
+    stand for themselves in a text.
     """
 
     #: The vocabulary's pattern without its rule for runs of white space.
     NO_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
     OTHER_SPACE = re.compile(r"[^\S \n]")
 
-    def __init__(self, rank_file: str):
+    def __init__(self, rank_file: str, json_file: str):
         import public_tokenizers
         import tiktoken
 
+        with open(public_tokenizers.path(json_file), "rb") as f:
+            self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.any_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
         with open(public_tokenizers.path(rank_file), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.any_text = tiktoken.Encoding("any", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -58,7 +64,9 @@ class WordTokenizer:
         self.hasher = WordHasher(b" \n", fold=False)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.any_text.encode_ordinary(text), dtype="<u4").tobytes()
+        parts = self.any_added.split(text) if self.any_added else [text]
+        ids = [i for p in parts for i in ([self.added[p]] if p in self.added else self.any_text.encode_ordinary(p))]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of each UTF-8 text."""
@@ -74,6 +82,9 @@ class WordTokenizer:
             for at in (runs, runs + 1):
                 hit = np.searchsorted(stops, at)
                 plain[hit[hit < len(texts)]] = False
+            for token in self.added:
+                if token.encode() in data:
+                    plain &= np.array([token.encode() not in t for t in texts])
             if len(texts) and texts[0][:1] in (b" ", b"\n"):
                 plain[0] = False
             if len(texts) and texts[-1][-1:] in (b" ", b"\n"):
@@ -120,17 +131,20 @@ class WordTokenizer:
         return ids, first, cuts - first
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR, rank_file: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR, rank_file: str = "byte_bpe_50k.tiktoken", json_file: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each row's ids and a closing separator: doc_id, piece, start, length, ids_crc32.
 
     Only rows of more than ``capacity`` ids are cut; all pieces but the first
     are then full.  A null text is an empty one: its piece is the separator.
+    Texts may be of any length.  A null id is passed on; repeated rows are
+    cut each for itself; other columns are not read, whatever their names.
+    An empty table gives an empty one.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     tail = np.array([separator], dtype="<u4").tobytes()
 
     def cut(batches):
-        tokens = WordTokenizer(rank_file)
+        tokens = WordTokenizer(rank_file, json_file)
         for batch in small_batches(batches, GROUP_BYTES):
             at, piece, start, length, crc = [], [], [], [], []
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -201,9 +215,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = 4, fan_in: in
     about ``BUCKET_ITEMS`` items at every level, so no task grows with the
     input; where bins cannot be merged (a round saves less than ``min_gain``
     of them) they are emitted as they are.  Repeated rows are packed each for
-    itself.  Only item numbers and lengths are shuffled between rounds.
+    itself.  Input columns named ``sequence_id`` or ``offset`` are replaced;
+    others pass, whatever their names.  An empty table gives an empty one.
+    Only item numbers and lengths are shuffled between rounds.
     """
-    rows = checkpointed(pieces.withColumn("item", F.monotonically_increasing_id()))
+    pieces = pieces.drop("sequence_id", "offset")
+    number = free_name(pieces, "_item")
+    kept = checkpointed(pieces.withColumn(number, F.monotonically_increasing_id()))
+    rows = kept.select(F.col(number).alias("item"), "length")
     whole = rows.where(F.col("length") >= capacity).select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset"))
     items = rows.where(F.col("length") < capacity).select("item", "length")
     n = items.count()
@@ -230,4 +249,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = 4, fan_in: in
     placed = done[0]
     for more in done[1:]:
         placed = placed.union(more)
-    return rows.join(placed.withColumnRenamed("bin", "sequence_id"), "item").drop("item")
+    placed = placed.select(F.col("item").alias(number), F.col("bin").alias("sequence_id"), "offset")
+    return kept.join(placed, number).drop(number)

@@ -34,3 +34,13 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (None, [3.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in knn.top_k(df, 10, 1).orderBy("query_id").collect()] == [(0, 1, 1, 1024 * 2048), (1, 1, 0, 1024 * 2048)]
     assert knn.top_k(df.limit(0)).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([200000.0, -3e6, 4.5e5, 1.0, 1e-4, 7e4]) for _ in range(6)]) for i in range(200)] + [(200, [1e12] * 6), (201, [-1e12, 1.0, 1.0, 0.5, 0.25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {(q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in brute(rows, 10, 20)}
+    assert {tuple(r) for r in knn.top_k(df, 10, 20).collect()} == want
+    two = spark.createDataFrame([(0, [200000.0, 1.0]), (1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    assert {r["score"] for r in knn.top_k(two, 10, 100).collect()} == {209715200000}

@@ -11,8 +11,7 @@ from tokenizers import Tokenizer
 from phenogrid.llm import packing
 
 REFERENCE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-REFERENCE.encode_special_tokens = True
-WORDS = packing.WordTokenizer("byte_bpe_50k.tiktoken")
+WORDS = packing.WordTokenizer("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
 
 
 def ids(text):
@@ -80,3 +79,16 @@ def test_odd_rows(odd_documents, no_documents):
     assert by[2][0]["length"] == by[3][0]["length"] == 1 and len(by[8]) == 2 and len(by[5]) > 10
     check(None, rows, None)
     assert packing.pack(packing.token_pieces(no_documents)).count() == 0
+
+
+def test_added_tokens_stand_for_themselves():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a <|endoftext|><|endoftext|>b c", "plain words here"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in WORDS.encode([t.encode() for t in texts])] == [ids(t) for t in texts]
+    assert ids(texts[0]) == [31373, 220, 50256, 995]
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, 100, 7, 8, 9, 5) for i in range(30)], "doc_id int, length int, item int, offset int, sequence_id int, bin int")
+    out = packing.pack(df)
+    assert sorted(out.columns) == ["bin", "doc_id", "item", "length", "offset", "sequence_id"]
+    assert {(r["item"], r["bin"]) for r in out.collect()} == {(7, 5)} and out.select("sequence_id").distinct().count() == 3
