@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.functions import geo
+from phenogrid.operators.nearest import k_nearest
+from phenogrid.operators.totals import quantiles
 
 
 def mode_of(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -46,41 +47,40 @@ def normalise(df: DataFrame, continuous: list[str], fractions: list[str], catego
     return one_hot(out, categorical, categories)
 
 
-def nearest_filled(cells: DataFrame, k: int, degrees: float, reach: int, value_columns: list[str], cell: str = "cell") -> DataFrame:
-    """For each cell without values, its ``k`` nearest cells that have some.
+def nearest_filled(cells: DataFrame, column: str, columns: list[str], k: int = 3, cell: str = "cell") -> DataFrame:
+    """For each cell that lacks ``column`` and has another of ``columns``, the ``k`` nearest cells that have it.
 
-    Candidates come from an equi-join on coarse grid squares, each empty
-    cell looking at the squares within ``reach`` of its own, wrapped round
-    the date line.  Distances beyond the searched squares do not count.
+    Distances are straight ones in degrees of latitude and longitude, as the
+    fill is meant for neighbours on a grid; ties go to the smaller cell.
+    Cells without any value are left alone.  Columns: the cell, ``near``,
+    ``value``, ``dist``, ``rn``.
     """
-    has = F.coalesce(*[F.col(c).cast("double") for c in value_columns]).isNotNull()
-    cols = int(360 // degrees)
-    square = cells.withColumn("gy", F.floor((F.col("lat") + 90) / degrees).cast("int")).withColumn("gx", F.pmod(F.floor((F.col("lon") + 180) / degrees).cast("int"), F.lit(cols)))
-    full = square.where(has).select(F.col(cell).alias("near"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), "gy", "gx", *[F.col(c).alias(f"near_{c}") for c in value_columns])
-    empty = square.where(~has).select(cell, "lat", "lon", "gy", "gx")
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    wanted = empty.withColumn("gy", F.explode(F.transform(around, lambda d: F.col("gy") + d))).withColumn("gx", F.explode(F.array_distinct(F.transform(around, lambda d: F.pmod(F.col("gx") + d, F.lit(cols))))))
-    pairs = wanted.join(full, ["gy", "gx"]).withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon")))
-    ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy(cell).orderBy("km", "near")))
-    return ranked.where(F.col("rn") <= k)
-
-
-def impute(cells: DataFrame, k: int, numeric: list[str], categorical: list[str], degrees: float = 30.0, reach: int = 1, cell: str = "cell") -> DataFrame:
-    """Fills cells that have no value at all from their nearest neighbours: means, and modes of categories."""
-    columns = numeric + categorical
-    near = nearest_filled(cells, k, degrees, reach, columns, cell)
-    filled = near.groupBy(cell).agg(*[F.avg(f"near_{c}").alias(f"fill_{c}") for c in numeric])
-    for c in categorical:
-        filled = filled.join(mode_of(near, [cell], f"near_{c}", f"fill_{c}"), cell, "left")
-    return cells.join(filled, cell, "left").withColumns({c: F.coalesce(F.col(c), F.col(f"fill_{c}")) for c in columns}).select(*cells.columns)
+    rows = cells.withColumn("_all", F.lit(0))
+    lacking = rows.where(F.col(column).isNull() & F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    having = rows.where(F.col(column).isNotNull()).select("_all", F.col(cell).alias("near"), "lat", "lon", F.col(column).alias("value"))
+    return k_nearest(lacking.select("_all", cell, "lat", "lon"), having, ["_all"], [cell], ["lat", "lon"], "near", k).select(cell, "near", "value", "dist", "rn")
+
+
+def impute(cells: DataFrame, numeric: list[str], categorical: list[str], k: int = 3, cell: str = "cell") -> DataFrame:
+    """Fills each column where it is missing beside other values: the mean of its ``k`` nearest, or their mode."""
+    columns, out = numeric + categorical, cells
+    for c in columns:
+        near = nearest_filled(cells, c, columns, k, cell)
+        fill = mode_of(near, [cell], "value", "_fill") if c in categorical else near.groupBy(cell).agg(F.avg("value").alias("_fill"))
+        out = out.join(fill, cell, "left").withColumn(c, F.coalesce(c, "_fill")).drop("_fill")
+    return out.select(*cells.columns)
 
 
 def robust_range(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Quantile range of a column; zeros are left out where they are more than half of it."""
     c = F.col(column)
-    zeros, n = F.count_if(c == 0), F.count(c)
-    pick = lambda q: F.when((zeros * 2 > n) & (n > zeros), F.percentile(F.when(c != 0, c), q)).otherwise(F.percentile(c, q))
-    out = df.agg(pick(low).alias("vmin"), pick(high).alias("vmax"))
+    shares = {"lo": low, "hi": high}
+    every = quantiles(df, column, shares)
+    other = quantiles(df.where(c != 0), column, shares).toDF("other_lo", "other_hi")
+    counts = df.agg(F.count_if(c == 0).alias("zeros"), F.count(c).alias("n"))
+    sparse = (F.col("zeros") * 2 > F.col("n")) & (F.col("n") > F.col("zeros"))
+    out = counts.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(other))
+    out = out.select(F.when(sparse, F.col("other_lo")).otherwise(F.col("lo")).alias("vmin"), F.when(sparse, F.col("other_hi")).otherwise(F.col("hi")).alias("vmax"))
     same = F.col("vmin") == F.col("vmax")
     return out.select(F.when(same, F.col("vmin") - 1e-6).otherwise(F.col("vmin")).alias("vmin"), F.when(same, F.col("vmax") + 1e-6).otherwise(F.col("vmax")).alias("vmax"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions.scalars import symmetric_ratio
+from phenogrid.operators.totals import quantiles, running_total
 
 THRESHOLDS = (0.05, 0.10, 0.25)
 # Components of the composite score and their weights.
@@ -46,7 +47,7 @@ def list_ratio(scored: DataFrame, by: str, thresholds: tuple[float, ...] = THRES
 
 def density_stratified(ap: DataFrame, density: str = "obs_density") -> DataFrame:
     """Mean AP of the quarter of samples with the lowest and highest density, and their ratio."""
-    cuts = ap.agg(F.percentile(density, 0.25).alias("q25"), F.percentile(density, 0.75).alias("q75"))
+    cuts = quantiles(ap, density, {"q25": 0.25, "q75": 0.75})
     out = ap.crossJoin(F.broadcast(cuts)).agg(F.avg(F.when(F.col(density) <= F.col("q25"), F.col("ap"))).alias("map_sparse"), F.avg(F.when(F.col(density) >= F.col("q75"), F.col("ap"))).alias("map_dense"))
     return out.withColumn("map_density_ratio", F.when(F.col("map_dense") > 0, F.col("map_sparse") / F.col("map_dense")))
 
@@ -61,8 +62,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranked(c: str) -> DataFrame:
         n = rows.groupBy(c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return n.select(c, (upto - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        return running_total(n, c, [], "n").select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     both = rows.join(ranked(x), x).join(ranked(y), y)
     ok = (F.count("*") >= 10) & (F.stddev_pop(x) >= 1e-12) & (F.stddev_pop(y) >= 1e-12)

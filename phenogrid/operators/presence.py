@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions.calendar import WEEKS
+from phenogrid.operators.totals import running_total
 
 
 def species_sets(occurrence: DataFrame, cell: str = "cell", week: str = "week", species: str = "species") -> DataFrame:
@@ -62,12 +63,13 @@ def observation_density(sets: DataFrame, cell: str = "cell") -> DataFrame:
 def csr_offsets(sets: DataFrame, order: list[str]) -> DataFrame:
     """Where each row's values begin and end in the packed array of all rows.
 
-    Running totals go over cells first (one total each), then within a cell.
+    Running totals go over cells first (one total each, by ranges of cells),
+    then within a cell.  The first column of the order is a number.
     """
     n = sets.withColumn("n_values", F.size("species").cast("long"))
     head = order[0]
     per = n.groupBy(head).agg(F.sum("n_values").alias("total"))
-    before = per.withColumn("before", F.sum("total").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("total")).drop("total")
+    before = running_total(per, head, [], "total").select(head, (F.col("upto") - F.col("total")).alias("before"))
     inside = F.sum("n_values").over(Window.partitionBy(head).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = n.withColumn("inside", inside).join(before, head)
     return rows.select(*order, (F.col("before") + F.col("inside") - F.col("n_values")).cast("long").alias("start_offset"), (F.col("before") + F.col("inside")).cast("long").alias("end_offset"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import geo
 from phenogrid.operators.environment import column_stats
+from phenogrid.operators.nearest import k_nearest
 
 LEAST_RANGE_KM = 50.0
 
@@ -24,19 +25,29 @@ def nearest_in_environment(samples: DataFrame, env: list[str], k: int, least: in
     """The ``k`` observed samples nearest in scaled environment to each sparse sample of the same week.
 
     Distances that agree to nine digits are ties, which go to the smaller
-    cell, however the statistics were summed.  A rank limit over the join is kept as a top-k on both sides of
-    the shuffle.
+    cell, however the statistics were summed.
     """
     filled = samples.crossJoin(F.broadcast(column_stats(samples, env)))
-    scaled = filled.withColumns({f"z_{c}": F.coalesce((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd"), F.lit(0.0)) for c in env}).select("cell", "week", "lat", "lon", F.size("species").alias("n"), *[f"z_{c}" for c in env])
-    sparse = scaled.where(F.col("n") < least)
-    seen = scaled.where(F.col("n") >= least).select("week", F.col("cell").alias("near"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), *[F.col(f"z_{c}").alias(f"n_{c}") for c in env])
-    pairs = sparse.join(seen, "week").withColumn("env_dist", F.sqrt(sum((F.pow(F.col(f"z_{c}") - F.col(f"n_{c}"), 2) for c in env), F.lit(0.0))))
-    ranked = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("cell", "week").orderBy(F.round("env_dist", 9), "near")))
-    near = ranked.where(F.col("rn") <= k).select("cell", "week", "lat", "lon", "near", "env_dist", "rn", "n_lat", "n_lon")
+    z = [f"z_{c}" for c in env]
+    scaled = filled.withColumns({f"z_{c}": F.coalesce((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd"), F.lit(0.0)) for c in env}).select("cell", "week", "lat", "lon", F.size("species").alias("n"), *z)
+    sparse = scaled.where(F.col("n") < least).drop("n")
+    seen = scaled.where(F.col("n") >= least).select("week", F.col("cell").alias("near"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), *z)
+    near = k_nearest(sparse, seen, ["week"], ["cell"], z, "near", k).withColumnRenamed("dist", "env_dist")
+    near = near.select("cell", "week", "lat", "lon", "near", "env_dist", "rn", "n_lat", "n_lon")
     return near.withColumn("km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon")))
 
 
+def _squares(degrees: float) -> tuple:
+    """Latitude bands of a height, and in each as many squares round the globe as are no narrower than that at its edge."""
+    band = lambda lat: F.floor((lat + 90) / degrees).cast("int")
+
+    def columns(row: Column) -> Column:
+        edge = F.greatest(F.abs(row * degrees - 90), F.abs((row + 1) * degrees - 90))
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0 / degrees) * F.cos(F.radians(F.least(edge, F.lit(90.0)))))).cast("int")
+
+    return band, columns
+
+
 def propagate(samples: DataFrame, env: list[str], k: int = 20, radius_km: float = 1000.0, least: int = 12, spread: float = 1.0, env_dist_max: float = 5.0, cap_km: float = 1500.0) -> DataFrame:
     """Samples with labels added to the sparse ones.
 
@@ -44,8 +55,8 @@ def propagate(samples: DataFrame, env: list[str], k: int = 20, radius_km: float
     environment neighbours within ``radius_km`` and ``env_dist_max``, unless
     it is farther from every observation of the species than that may
     spread.  Null environment values count as the mean.  That last test
-    joins candidates with a species' distinct observed places in the same
-    or a neighbouring latitude band as wide as the farthest spread, and
+    joins candidates with a species' distinct observed places in squares
+    about as wide as the farthest spread, their own and those around, and
     checks each place's own distance.
     """
     observed = samples.where(F.size("species") >= least)
@@ -60,10 +71,17 @@ def propagate(samples: DataFrame, env: list[str], k: int = 20, radius_km: float
         places = each.select("species", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon")).distinct()
         band_km = cap_km if cap_km > 0 else 3.2 * geo.EARTH_KM
         degrees = min(180.0, 57.2957795130823 * band_km / geo.EARTH_KM * 1.000001)
-        band = lambda c: F.floor((F.col(c) + 90) / degrees).cast("int")
+        band, columns = _squares(degrees)
+        column = lambda lon, row: F.floor((lon + 180) * columns(row) / 360.0).cast("int")
         tested = wanted.select("cell", "lat", "lon", "species").distinct().join(limits.select("species", "max_km"), "species")
-        tested = tested.withColumn("band", F.explode(F.array(band("lat") - 1, band("lat"), band("lat") + 1)))
-        pairs = tested.join(places.withColumn("band", band("o_lat")), ["species", "band"])
+        tested = tested.withColumn("band", F.explode(F.array(band(F.col("lat")) - 1, band(F.col("lat")), band(F.col("lat")) + 1)))
+        # the largest difference in longitude within the spread of a latitude
+        sine = F.sin(F.lit(min(1.5707963, band_km / geo.EARTH_KM * 1.000001))) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9))
+        wide = F.when((F.abs(F.col("lat")) + degrees >= 90) | (sine >= 1), 180.0).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))) + 1e-6)
+        tested = tested.withColumn("around", F.sequence(column(F.col("lon") - wide, F.col("band")), column(F.col("lon") + wide, F.col("band"))))
+        tested = tested.withColumn("square", F.explode(F.array_distinct(F.transform("around", lambda x: F.pmod(x, columns(F.col("band"))))))).drop("around")
+        placed = places.withColumn("band", band(F.col("o_lat"))).withColumn("square", F.pmod(column(F.col("o_lon"), F.col("band")), columns(F.col("band"))))
+        pairs = tested.join(placed, ["species", "band", "square"])
         close = pairs.where(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= F.col("max_km")).select("cell", "species").distinct()
         wanted = wanted.join(close, ["cell", "species"], "left_semi")
     added = wanted.groupBy("cell", "week").agg(F.collect_set("species").alias("added"))

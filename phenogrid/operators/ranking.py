@@ -38,15 +38,13 @@ def region_ranks(scores: DataFrame) -> DataFrame:
 def round_robin(ranked: DataFrame, target: int, birds: int = 4, others: int = 1) -> DataFrame:
     """Picks species region by region: up to ``birds`` new birds, then ``others`` new others, round after round.
 
-    Choosing is sequential, as a pick bars the species everywhere, so it runs
-    over one small table: regions times vocabulary, which is fixed by the
-    model and checked here, not by the data.
+    Choosing is sequential, as a pick bars the species everywhere.  A queue
+    never gives more than ``target`` picks and never skips more species than
+    were taken before, so only its first ``target`` ranks can be chosen: the
+    driver sees two queues of so many rows a region, however many species
+    there are.
     """
-    rows = ranked.select("region_id", "is_bird", "rank", "idx")
-    limit = 5_000_000
-    found = rows.limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError("regions times vocabulary is too large for a sequential choice")
+    found = ranked.where(F.col("rank") <= target).select("region_id", "is_bird", "rank", "idx").collect()
     queues: dict[tuple[int, bool], list] = {}
     for r in sorted(found, key=lambda r: (r["region_id"], r["rank"])):
         queues.setdefault((r["region_id"], r["is_bird"]), []).append(r["idx"])

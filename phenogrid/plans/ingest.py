@@ -36,6 +36,32 @@ def raw_lines(t: Tables):
     ).selectExpr("p_partkey", "case when p_partkey % 37 = 0 then substring_index(line, '\t', 4) else line end as line")
 
 
+def tsv_file(t: Tables) -> str:
+    """The lines as one text file under a header, as an archive holds them."""
+    path = f"{t.folder()}/occurrence"
+    header = t.spark.createDataFrame([("\t".join(RAW),)], "line string")
+    header.union(raw_lines(t).select("line")).coalesce(1).write.text(path)
+    return path
+
+
+def archive(t: Tables) -> str:
+    """A zip archive of the text file and a smaller member, written stream to stream."""
+    jvm, conf = t.spark._jvm, t.spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    folder = place(tsv_file(t))
+    store = folder.getFileSystem(conf)
+    source = next(f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    path = f"{t.folder()}/archive.zip"
+    out = jvm.java.util.zip.ZipOutputStream(store.create(place(path), True))
+    out.putNextEntry(jvm.java.util.zip.ZipEntry("meta.xml"))
+    out.putNextEntry(jvm.java.util.zip.ZipEntry("occurrence.txt"))
+    stream = store.open(source)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+    stream.close()
+    out.close()
+    return path
+
+
 RAW_SQL = """raw AS (SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE (p_partkey * 7919 % 18001)::DOUBLE / 100 - 90 END AS lat,
  CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE (p_partkey * 104729 % 36001)::DOUBLE / 100 - 180 END AS lon, p_partkey % 28 + 1 AS day,
  CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE p_partkey % 12 + 1 END AS month, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'AVES' ELSE 'Mammalia' END AS class FROM part WHERE p_partkey % 37 <> 0)"""
@@ -44,22 +70,27 @@ RAW_WEEK = "CAST((month - 1) * 4 + CASE WHEN day <= 7 THEN 1 WHEN day <= 14 THEN
 
 @query(sql(f"SELECT p_partkey AS \"taxonKey\", round(lat, 3) AS latitude, round(lon, 3) AS longitude, {RAW_WEEK} AS week, class FROM raw WHERE lat IS NOT NULL AND lon IS NOT NULL AND month IS NOT NULL", more=RAW_SQL))
 def scan_tsv(t: Tables):
-    rows = cleaning.drop_incomplete(readers.parse_tsv(raw_lines(t), RAW, RAW, "line"))
+    """An archive's member: packed, unpacked and read as a file with a header."""
+    rows = cleaning.drop_incomplete(readers.read_tsv(t.spark, readers.unpack_member(t.spark, archive(t), t.folder(), "occurrence.txt"), RAW))
     return rows.select(F.expr("try_cast(taxonKey as bigint)").alias("taxonKey"), F.round(F.expr("try_cast(decimalLatitude as double)"), 3).alias("latitude"), F.round(F.expr("try_cast(decimalLongitude as double)"), 3).alias("longitude"), calendar.week_of(F.col("day").cast("int"), F.col("month").cast("int")).alias("week"), "class").where("latitude is not null and longitude is not null")
 
 
 @query("SELECT count(*) AS n_rows, count(*) - count(*) FILTER (WHERE p_partkey % 37 = 0) AS n_complete, count(*) FILTER (WHERE p_partkey % 31 = 0 AND p_partkey % 37 <> 0) AS n_long FROM part")
 def scan_tsv_permissive(t: Tables):
-    rows = readers.parse_tsv(raw_lines(t).withColumn("n", F.size(F.split("line", "\t"))), RAW, RAW, "line")
-    long_ = raw_lines(t).agg(F.count_if(F.size(F.split("line", "\t")) > 7).alias("n_long"))
+    """A file with short and long rows: none is dropped, long ones are cut."""
+    path = tsv_file(t)
+    rows = readers.read_tsv(t.spark, path, RAW)
+    long_ = t.spark.read.text(path).agg(F.count_if(F.size(F.split("value", "\t")) > len(RAW)).alias("n_long"))
     return rows.agg(F.count("*").alias("n_rows"), F.count("class").alias("n_complete")).crossJoin(F.broadcast(long_))
 
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, o_orderpriority AS priority FROM orders")
 def scan_csv_project(t: Tables):
-    line = t.read("orders").select(F.to_csv(F.struct("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")).alias("line"))
-    parsed = line.select(F.from_csv("line", "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string").alias("r"))
-    return parsed.select("r.o_orderkey", F.col("r.o_totalprice").alias("price"), F.col("r.o_orderpriority").alias("priority"))
+    """Gzipped CSV files, written and read back: some columns of each."""
+    path = f"{t.folder()}/orders"
+    t.read("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").write.csv(path, header=True, compression="gzip")
+    rows = t.spark.read.csv(path, header=True, schema="o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string")
+    return rows.select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
 
 
 @query("SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")

@@ -155,12 +155,22 @@ def region_ranks(t: Tables):
     return ranked(t).select("name", "idx", "is_bird", "rank")
 
 
-@query()
+# one step of the recursion tries the queue whose turn it is; 4 birds, then 1 other, region by region
+PICKS = SCORES + """, queue AS (SELECT region_id, is_bird, list(idx ORDER BY rank) AS species FROM (SELECT region_id, idx, idx % 3 <> 0 AS is_bird, row_number() OVER (PARTITION BY region_id, idx % 3 <> 0 ORDER BY round(score, 9) DESC, idx) AS rank FROM scores) GROUP BY region_id, is_bird),
+slot AS (SELECT CAST(row_number() OVER (ORDER BY region_id, is_bird DESC) - 1 AS INTEGER) AS i, region_id, CASE WHEN is_bird THEN 4 ELSE 1 END AS quota, species FROM queue), size AS (SELECT CAST(count(*) AS INTEGER) AS n FROM slot),
+step AS (SELECT 0 AS i, 0 AS used, 0 AS idle, []::INTEGER[] AS taken, []::INTEGER[] AS places
+ UNION ALL SELECT CASE WHEN next IS NULL OR used + 1 = quota THEN (i + 1) % n ELSE i END, CASE WHEN next IS NULL OR used + 1 = quota THEN 0 ELSE used + 1 END, CASE WHEN next IS NULL THEN idle + 1 ELSE 0 END,
+  CASE WHEN next IS NULL THEN taken ELSE list_append(taken, next) END, CASE WHEN next IS NULL THEN places ELSE list_append(places, region_id) END
+ FROM (SELECT s.i, s.used, s.idle, s.taken, s.places, q.quota, q.region_id, z.n, list_filter(q.species, lambda x: NOT list_contains(s.taken, x))[1] AS next FROM step s JOIN slot q ON q.i = s.i CROSS JOIN size z WHERE len(s.taken) < 40 AND s.idle < z.n)),
+last_step AS (SELECT taken, places FROM step ORDER BY len(taken) DESC LIMIT 1), picks AS (SELECT CAST(unnest(range(1, len(taken) + 1)) AS INTEGER) AS pick, unnest(places) AS region_id, unnest(taken) AS idx FROM last_step)"""
+
+
+@query(sql("SELECT pick, region_id, idx FROM picks", "regions", more=PICKS, recursive=True))
 def round_robin_select(t: Tables):
     return ranking.round_robin(ranked(t), 40)
 
 
-@query()
+@query(sql("SELECT pick, p.idx, coalesce(code, 'idx' || p.idx) AS code, sci, com FROM picks p LEFT JOIN labels_t l ON l.idx = p.idx", "regions", "labels", more=PICKS, recursive=True))
 def common_species(t: Tables):
     """The list that stands for all regions, with labels."""
     picks = ranking.round_robin(ranked(t), 40)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from phenogrid.operators import environment, metrics, presence, sampling, weights
+from phenogrid.operators import environment, metrics, presence, sampling, training, weights
 from phenogrid.operators.losses import class_weight
+from phenogrid.operators.totals import quantiles
 from phenogrid.plans.tables import Tables, sql
 
 QUERIES: dict = {}
@@ -127,13 +128,30 @@ def species_diff(t: Tables):
     return presence.diff(before, t.sets(), ["cell", "week"]).select("cell", "week", joined("added"), joined("kept"))
 
 
-def hot_names(t: Tables) -> list[str]:
-    return [r["species"] for r in t.read("part").select(F.col("p_name").alias("species")).distinct().orderBy("species").limit(5).collect()]
+VOCAB = "v AS (SELECT species, CAST(row_number() OVER (ORDER BY species) - 1 AS INTEGER) AS idx, count(*) OVER () AS size FROM (SELECT DISTINCT species FROM presence WHERE week <= 24))"
 
 
-@query(sql("SELECT s.cell, s.week, " + ", ".join(f"CAST(list_contains(s.species, v{i}) AS INTEGER) AS sp_{i}" for i in range(5)) + " FROM sets s CROSS JOIN (SELECT " + ", ".join(f"max(CASE WHEN r = {i + 1} THEN n END) AS v{i}" for i in range(5)) + " FROM (SELECT p_name AS n, row_number() OVER (ORDER BY p_name) AS r FROM (SELECT DISTINCT p_name FROM part)))", "sets"))
+@query(sql("SELECT s.cell, s.week, coalesce((SELECT string_agg(idx, ',' ORDER BY idx) FROM presence p JOIN v USING (species) WHERE p.cell = s.cell AND p.week = s.week), '') AS indices, (SELECT count(*) FROM v) AS size FROM sets s", "sets", more=VOCAB))
 def multi_hot(t: Tables):
-    return t.sets().select("cell", "week", *[F.array_contains("species", n).cast("int").alias(f"sp_{i}") for i, n in enumerate(hot_names(t))])
+    """The whole 0/1 matrix over the vocabulary of the first half of the year, in sparse rows."""
+    rows = training.multi_hot(t.sets(), presence.vocabulary(t.presence().where("week <= 24")), ["cell", "week"])
+    return rows.select("cell", "week", joined("indices"), "size")
+
+
+PREPARED = """known AS (SELECT species FROM presence GROUP BY species HAVING count(*) >= 3),
+v AS (SELECT species, CAST(row_number() OVER (ORDER BY species) - 1 AS INTEGER) AS idx FROM known),
+kept AS (SELECT cell, week, species FROM (SELECT *, row_number() OVER (PARTITION BY species ORDER BY md5(cell || '|' || week || '|' || species || '|42'), cell, week) AS r FROM presence) WHERE r <= 40),
+enc AS (SELECT cell, week, string_agg(idx, ',' ORDER BY idx) AS indices FROM kept JOIN v USING (species) GROUP BY cell, week),
+dens AS (SELECT cell, count(*) AS n FROM kept GROUP BY cell),
+env AS (SELECT cell, round((elevation - avg(elevation) OVER ()) / stddev_pop(elevation) OVER (), 6) AS elevation, coalesce(water, 0)::DOUBLE AS water, CASE WHEN landcover = 13 THEN 1 ELSE 0 END AS landcover_13 FROM cells)"""
+
+
+@query(sql("SELECT s.cell, s.week, coalesce(e.indices, '') AS indices, (SELECT count(*) FROM v) AS size, coalesce(d.n, 0) AS obs_density, env.elevation, env.water, env.landcover_13 FROM sets s LEFT JOIN enc e ON e.cell = s.cell AND e.week = s.week LEFT JOIN dens d ON d.cell = s.cell JOIN env ON env.cell = s.cell", "sets", "cells", more=PREPARED))
+def prepare_training(t: Tables):
+    """Environment, then vocabulary, then the cap on observations, then encoding and density."""
+    cells = t.cells().select("cell", "elevation", "water", "landcover")
+    rows = training.prepare(t.sets(), cells, ["elevation"], ["water"], "landcover", list(CLASSES), least=3, most=40)
+    return rows.select("cell", "week", joined("indices"), "size", "obs_density", F.round("elevation", 6).alias("elevation"), "water", "landcover_13")
 
 
 @query(sql("SELECT week, count(*) FILTER (WHERE list_contains(species, (SELECT min(p_name) FROM part))) AS n_cells FROM sets GROUP BY week", "sets"))
@@ -149,8 +167,8 @@ def richness_obs(t: Tables):
 
 @query(sql("SELECT greatest(quantile_cont(len(species)::DOUBLE, 0.99), 1.0) AS p99 FROM sets WHERE len(species) > 0", "sets"))
 def p99_positive(t: Tables):
-    n = F.size("species").cast("double")
-    return t.sets().where(n > 0).agg(F.greatest(F.percentile(n, 0.99), F.lit(1.0)).alias("p99"))
+    n = t.sets().select(F.size("species").cast("double").alias("n")).where("n > 0")
+    return quantiles(n, "n", {"p99": 0.99}).select(F.greatest("p99", F.lit(1.0)).alias("p99"))
 
 
 @query(sql("SELECT count(DISTINCT cell) AS n_cells, count(DISTINCT week) AS n_weeks, count(DISTINCT species) AS n_species, count(*) AS n_observations FROM presence", "presence"))

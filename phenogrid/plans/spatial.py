@@ -110,22 +110,26 @@ def nearest_cell(t: Tables):
     return t.cells().orderBy(d2, "lat", "lon", "cell").limit(1).select("cell")
 
 
-@query(sql(f"""SELECT e.cell, f.cell AS near, round({HAVERSINE.format(a='e.', b='f.')}, 6) AS km FROM cells e JOIN cells f ON coalesce(e.elevation, e.landcover) IS NULL AND coalesce(f.elevation, f.landcover) IS NOT NULL
- AND abs(floor((e.lat + 90) / 30) - floor((f.lat + 90) / 30)) <= 1 AND (floor((e.lon + 180) / 30) - floor((f.lon + 180) / 30) + 24) % 12 IN (0, 1, 11)
- QUALIFY row_number() OVER (PARTITION BY e.cell ORDER BY {HAVERSINE.format(a='e.', b='f.')}, f.cell) <= 3""", "cells"))
+# of each column by itself: cells that lack it and have another value, and their three nearest that have it
+NEAREST = """near_{c} AS (SELECT e.cell, f.cell AS near, f.{c} AS value, row_number() OVER (PARTITION BY e.cell ORDER BY round(sqrt((e.lat - f.lat) * (e.lat - f.lat) + (e.lon - f.lon) * (e.lon - f.lon)), 9), f.cell) AS rn
+ FROM cells e JOIN cells f ON e.{c} IS NULL AND {others} AND f.{c} IS NOT NULL QUALIFY rn <= 3)"""
+FILLED = {"elevation": "(e.landcover IS NOT NULL OR e.water IS NOT NULL)", "landcover": "(e.elevation IS NOT NULL OR e.water IS NOT NULL)", "water": "(e.elevation IS NOT NULL OR e.landcover IS NOT NULL)"}
+NEAR_ALL = ",\n".join(NEAREST.format(c=c, others=o) for c, o in FILLED.items())
+
+
+@query(sql(" UNION ALL ".join(f"SELECT '{c}' AS filled, cell, near, CAST(rn AS INTEGER) AS rn FROM near_{c}" for c in FILLED), "cells", more=NEAR_ALL))
 def knn_neighbours(t: Tables):
-    near = environment.nearest_filled(t.cells(), 3, 30.0, 1, ["elevation", "landcover"])
-    return near.select("cell", "near", F.round("km", 6).alias("km"))
+    parts = [environment.nearest_filled(t.cells(), c, list(FILLED), 3).select(F.lit(c).alias("filled"), "cell", "near", "rn") for c in FILLED]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
-@query(sql(f"""SELECT c.cell, coalesce(c.elevation, round(f.elevation, 6)) AS elevation, coalesce(c.landcover, f.landcover) AS landcover FROM cells c LEFT JOIN (
- SELECT cell, avg(elevation) AS elevation, (SELECT g.landcover FROM near g WHERE g.cell = near.cell AND g.landcover IS NOT NULL GROUP BY g.landcover ORDER BY count(*) DESC, g.landcover LIMIT 1) AS landcover FROM near GROUP BY cell) f USING (cell)""", "cells", more=f"""near AS (SELECT e.cell, f.elevation, f.landcover FROM cells e JOIN cells f ON coalesce(e.elevation, e.landcover) IS NULL AND coalesce(f.elevation, f.landcover) IS NOT NULL
- AND abs(floor((e.lat + 90) / 30) - floor((f.lat + 90) / 30)) <= 1 AND (floor((e.lon + 180) / 30) - floor((f.lon + 180) / 30) + 24) % 12 IN (0, 1, 11)
- QUALIFY row_number() OVER (PARTITION BY e.cell ORDER BY {HAVERSINE.format(a='e.', b='f.')}, f.cell) <= 3)"""))
+@query(sql("""SELECT c.cell, coalesce(c.elevation, (SELECT round(avg(value), 6) FROM near_elevation n WHERE n.cell = c.cell)) AS elevation,
+ coalesce(c.landcover, (SELECT value FROM near_landcover n WHERE n.cell = c.cell GROUP BY value ORDER BY count(*) DESC, value LIMIT 1)) AS landcover,
+ coalesce(c.water, (SELECT round(avg(value), 6) FROM near_water n WHERE n.cell = c.cell)) AS water FROM cells c""", "cells", more=NEAR_ALL))
 def knn_impute(t: Tables):
-    out = environment.impute(t.cells(), 3, ["elevation"], ["landcover"])
-    empty = F.col("cell") % 143 == 0
-    return out.select("cell", F.when(empty, F.round("elevation", 6)).otherwise(F.col("elevation")).alias("elevation"), "landcover")
+    was = t.cells().select("cell", F.col("elevation").alias("e"), F.col("water").alias("w"))
+    out = environment.impute(t.cells(), ["elevation", "water"], ["landcover"]).join(was, "cell")
+    return out.select("cell", F.coalesce("e", F.round("elevation", 6)).alias("elevation"), "landcover", F.coalesce("w", F.round("water", 6)).alias("water"))
 
 
 K, LEAST, RADIUS, SPREAD, GATE, CAP = 10, 4, 3000.0, 2.0, 2.0, 500.0

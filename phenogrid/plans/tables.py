@@ -6,6 +6,9 @@ Each method of ``Tables`` has a common table expression of the same name in
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def folder(self) -> str:
+        """A new folder in the shared store that the cluster names; in local mode a temporary one where it names none."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not self.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return f"{shared or tempfile.mkdtemp(prefix='files-')}/files-{uuid.uuid4().hex}"
+
     def cells(self) -> DataFrame:
         """Cells over the whole globe, with some values missing."""
         return self.read("customer").selectExpr(

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import shutil
 import struct
-import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,21 +13,46 @@ from pyspark.sql import types as T
 OCCURRENCE_SCHEMA = "latitude double, longitude double, taxonKey bigint, verbatimScientificName string, commonName string, week int, class string"
 
 
-def unpack_member(archive: str, folder: str, member: str | None = None) -> str:
-    """Unpacks one member of a zip archive into ``folder``, once.
+def unpack_member(spark: SparkSession, archive: str, folder: str, member: str | None = None) -> str:
+    """Unpacks one member of a zip archive into ``folder``, once, and returns its path.
 
-    A zip member cannot be read in parts; an unpacked file can, so every
-    later scan is parallel.  ``folder`` must be one that executors see.
+    Both may be in any store that Spark reads; the bytes pass from stream to
+    stream and are never held.  A zip member cannot be read in parts, an
+    unpacked file can, so every later scan is parallel.  Without a name the
+    largest member is taken.
     """
-    with zipfile.ZipFile(archive) as z:
-        name = member or max(z.infolist(), key=lambda i: i.file_size).filename
-        target = os.path.join(folder, os.path.basename(name))
-        if not os.path.exists(target):
-            os.makedirs(folder, exist_ok=True)
-            with z.open(name) as src, open(target + ".part", "wb") as dst:
-                shutil.copyfileobj(src, dst, 1 << 24)
-            os.replace(target + ".part", target)
-    return target
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(archive)
+    store = source.getFileSystem(conf)
+
+    def members():
+        stream = jvm.java.util.zip.ZipInputStream(store.open(source))
+        try:
+            while (entry := stream.getNextEntry()) is not None:
+                yield stream, entry
+        finally:
+            stream.close()
+
+    if member is None:
+        sizes = {}
+        for stream, entry in members():
+            stream.closeEntry()  # reads on to its end, where the size stands
+            sizes[entry.getName()] = entry.getSize()
+        member = max(sizes, key=lambda n: (sizes[n], n))
+    target = jvm.org.apache.hadoop.fs.Path(folder, os.path.basename(member))
+    out = target.getFileSystem(conf)
+    if not out.exists(target):
+        part = jvm.org.apache.hadoop.fs.Path(folder, os.path.basename(member) + ".part")
+        for stream, entry in members():
+            if entry.getName() == member:
+                sink = out.create(part, True)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, sink, 1 << 20, False)
+                sink.close()
+                break
+        else:
+            raise FileNotFoundError(f"{archive} has no member {member}")
+        out.rename(part, target)
+    return target.toString()
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -80,21 +103,50 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("idx", *label_fields(F.col("line")))
 
 
-def parse_wkb(df: DataFrame, column: str, out: str = "ring") -> DataFrame:
-    """Adds the outer ring (array of lon, lat) of WKB polygons; null for null and other shapes."""
-    def ring(blob) -> list | None:
-        if blob is None or len(blob) < 13:
-            return None
-        order = "<" if blob[0] == 1 else ">"
-        kind, rings = struct.unpack_from(order + "II", blob, 1)
-        if kind != 3 or not rings:
-            return None
-        n = struct.unpack_from(order + "I", blob, 9)[0]
-        xy = struct.unpack_from(order + f"{2 * n}d", blob, 13)
+def _wkb_rings(blob: bytes, at: int = 0) -> tuple[list, int]:
+    """Rings of the polygons in a WKB shape from ``at``, and where it ends; a point or line is one ring of its vertices."""
+    order = "<" if blob[at] == 1 else ">"
+    kind = struct.unpack_from(order + "I", blob, at + 1)[0]
+    at += 5
+
+    def vertices(n: int, at: int) -> list:
+        xy = struct.unpack_from(order + f"{2 * n}d", blob, at)
         return [{"lon": x, "lat": y} for x, y in zip(xy[::2], xy[1::2])]
 
-    @F.pandas_udf("array<struct<lon:double,lat:double>>")
+    if kind == 1:
+        return [vertices(1, at)], at + 16
+    count = struct.unpack_from(order + "I", blob, at)[0]
+    at, rings = at + 4, []
+    if kind == 2:
+        return [vertices(count, at)], at + 16 * count
+    for _ in range(count):
+        if kind == 3:
+            n = struct.unpack_from(order + "I", blob, at)[0]
+            rings.append(vertices(n, at + 4))
+            at += 4 + 16 * n
+        elif kind in (4, 5, 6, 7):
+            more, at = _wkb_rings(blob, at)
+            rings += more
+        else:
+            raise ValueError(f"WKB of kind {kind}")
+    return rings, at
+
+
+def parse_wkb(df: DataFrame, column: str, out: str = "ring", rings: str | None = None) -> DataFrame:
+    """Adds the first ring (array of lon, lat) of WKB shapes, and all of them as ``rings`` if that is named.
+
+    Points, lines, polygons with holes, and collections of them; null for
+    null and for bytes that are none of these.
+    """
+    def decode_one(blob) -> list | None:
+        try:
+            return _wkb_rings(bytes(blob))[0] or None
+        except (TypeError, IndexError, ValueError, struct.error):
+            return None
+
+    @F.pandas_udf("array<array<struct<lon:double,lat:double>>>")
     def decode(blobs: pd.Series) -> pd.Series:
-        return blobs.map(ring)
+        return blobs.map(decode_one)
 
-    return df.withColumn(out, decode(column))
+    every = df.withColumn("_rings", decode(column)).withColumn(out, F.get("_rings", F.lit(0)))
+    return (every.withColumn(rings, F.col("_rings")) if rings else every).drop("_rings")

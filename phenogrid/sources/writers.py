@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import geo
@@ -25,9 +27,24 @@ def valid_cells(cells: DataFrame, ring: str = "ring") -> DataFrame:
     return cells.where((F.size(ring) >= 4) & inside & (geo.ring_span(F.col(ring)) <= 180))
 
 
+def ring_wkb(ring: str) -> Column:
+    """A ring (array of lon, lat) as the WKB of a polygon."""
+    def encode(points) -> bytes | None:
+        if points is None:
+            return None
+        xy = [v for p in points for v in (p["lon"], p["lat"])]
+        return struct.pack(f"<BIII{len(xy)}d", 1, 3, 1, len(xy) // 2, *xy)
+
+    @F.pandas_udf("binary")
+    def encoded(rings: pd.Series) -> pd.Series:
+        return rings.map(encode)
+
+    return encoded(ring)
+
+
 def write_cells(cells: DataFrame, path: str, rows_per_file: int = 500) -> None:
-    """Valid cells as Parquet, in files of bounded size."""
-    valid_cells(cells).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    """Valid cells as Parquet with their rings as WKB ``geometry``, in files of bounded size."""
+    valid_cells(cells).withColumn("geometry", ring_wkb("ring")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def write_taxonomy(taxonomy: DataFrame, path: str) -> None:
@@ -40,6 +57,12 @@ def write_labels(labels: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_species_list(species: DataFrame, path: str) -> None:
+    """One line for each row: rank, code and name, in order of rank.  A list for reading, so one file."""
+    lines = species.orderBy("rank").select(F.concat_ws("\t", F.col("rank").cast("string"), "code", "com").alias("value"))
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_history(history: DataFrame, path: str) -> None:
     history.write.mode("overwrite").json(path)
 

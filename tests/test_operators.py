@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phenogrid.operators import environment, inference, presence, propagation, ranking, sampling
+from phenogrid.operators import environment, inference, nearest, presence, propagation, ranking, sampling
 
 
 def test_sampling(spark):
@@ -30,10 +30,41 @@ def test_weeks_there_and_back(spark):
 
 
 def test_imputation(spark):
-    rows = [(1, 0.0, 179.9, None, None), (2, 0.0, -179.9, 10.0, 5), (3, 0.1, 179.0, 20.0, 5), (4, 1.0, 178.0, 60.0, 7), (5, 50.0, 0.0, 1.0, None)]
+    """Column by column, only beside other values, by straight degree distance: polar and lonely cells too."""
+    rows = [
+        (1, 0.0, 179.9, None, 4), (2, 0.0, -179.9, 10.0, 5), (3, 0.1, 179.0, 20.0, 5), (4, 1.0, 178.0, 60.0, 7), (5, 50.0, 0.0, 1.0, None),
+        (6, 3.0, 177.0, None, None), (7, 89.5, -170.0, None, 5), (8, 89.0, 170.0, 40.0, None),
+    ]
     df = spark.createDataFrame(rows, "cell int, lat double, lon double, elevation double, landcover int")
-    got = {r["cell"]: (r["elevation"], r["landcover"]) for r in environment.impute(df, 3, ["elevation"], ["landcover"]).collect()}
-    assert got[1] == (30.0, 5) and got[5] == (1.0, None)
+    got = {r["cell"]: (r["elevation"], r["landcover"]) for r in environment.impute(df, ["elevation"], ["landcover"]).collect()}
+    # 1: cells 3, 4 and 8, as the date line is not crossed; 5 and 8: the mode of three different classes is the smallest
+    assert got[1] == (40.0, 4) and got[6] == (None, None) and got[2] == (10.0, 5)
+    d = lambda a, b: (rows[a - 1][1] - rows[b - 1][1]) ** 2 + (rows[a - 1][2] - rows[b - 1][2]) ** 2
+    for c, column in ((1, 3), (7, 3), (5, 4), (8, 4)):
+        near = sorted((r for r in rows if r[column] is not None), key=lambda r: (d(c, r[0]), r[0]))[:3]
+        values = [r[column] for r in near]
+        assert got[c][column - 3] == (sum(values) / 3 if column == 3 else min(values, key=lambda v: (-values.count(v), v)))
+
+
+def test_nearest_in_many_shards(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 20)
+    monkeypatch.setattr(nearest, "ASKED_ROWS", 9)
+    rng = random.Random(4)
+    place = lambda: rng.choice([0.0, 0.5, rng.gauss(0, 1)])
+    asked = [(i, i % 2, place(), place()) for i in range(120)]
+    seen = [(i, i % 3, place(), place()) for i in range(300)]
+    a = spark.createDataFrame(asked, "q int, g int, x double, y double")
+    s = spark.createDataFrame(seen, "near int, g int, x double, y double")
+    got = {(r["q"], r["rn"], r["near"]) for r in nearest.k_nearest(a, s, ["g"], ["q"], ["x", "y"], "near", 5).collect()}
+    want = set()
+    for q, g, x, y in asked:
+        best = sorted((round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 9), n) for n, h, u, v in seen if h == g)[:5]
+        want |= {(q, r, n) for r, (_, n) in enumerate(best, 1)}
+    assert got == want
+    few = nearest.k_nearest(a, s.where("near < 3"), ["g"], ["q"], ["x", "y"], "near", 5)
+    assert few.count() == 120 and nearest.k_nearest(a.limit(0), s, ["g"], ["q"], ["x", "y"], "near", 5).count() == 0
 
 
 def samples(spark, rows):

@@ -10,7 +10,7 @@ def test_archive_and_ragged_rows(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("occurrence.txt", "x\ty\tz\n1\t2\t3\n4\t5\n6\t7\t8\t9\n")
         z.writestr("readme.txt", "no")
-    path = readers.unpack_member(str(tmp_path / "a.zip"), str(tmp_path / "out"))
+    path = readers.unpack_member(spark, str(tmp_path / "a.zip"), str(tmp_path / "out"))
     got = sorted(tuple(r) for r in readers.read_tsv(spark, path, ["x", "z"]).collect())
     assert got == [("1", "3"), ("4", None), ("6", "8")]
 
@@ -53,6 +53,8 @@ def test_cells_and_wkb(spark, tmp_path):
     cells = wide.select("id", geo.bbox_ring(F.lit(-100.0), F.lit(0.0), F.col("w") - 100, F.lit(5.0)).alias("ring"))
     writers.write_cells(cells, str(tmp_path / "cells"), rows_per_file=1)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "cells")).collect()) == [1, 3]
+    back = readers.parse_wkb(spark.read.parquet(str(tmp_path / "cells")), "geometry", "again").collect()
+    assert all(r["again"] == r["ring"] for r in back)
     assert max(spark.read.parquet(str(p)).count() for p in (tmp_path / "cells").glob("part-*.parquet")) == 1
 
 
@@ -72,3 +74,20 @@ def test_presence_stream(spark, tmp_path):
         incremental.write_presence(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
         write([(1, 1, "a"), (2, 3, "b")])
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 1, "a"), (2, 3, "b")]
+
+
+def test_wkb_of_many_rings_and_other_shapes(spark):
+    ring = lambda *xy: struct.pack(f"<I{len(xy)}d", len(xy) // 2, *xy)
+    head = lambda kind, n: struct.pack("<BII", 1, kind, n)
+    outer, hole = (0.0, 0.0, 4.0, 0.0, 4.0, 4.0, 0.0, 0.0), (1.0, 0.5, 2.0, 0.5, 2.0, 1.0, 1.0, 0.5)
+    polygon = head(3, 2) + ring(*outer) + ring(*hole)
+    several = struct.pack(">BII", 0, 6, 2) + head(3, 1) + ring(*hole) + polygon
+    point = struct.pack("<BIdd", 1, 1, 5.0, 6.0)
+    df = spark.createDataFrame([(1, bytearray(polygon)), (2, bytearray(several)), (3, bytearray(point)), (4, bytearray(polygon[:40])), (5, bytearray(b"\x01\x63\x00\x00\x00\x01\x00\x00\x00"))], "id int, wkb binary")
+    got = {r["id"]: r["rings"] and [[v for p in x for v in (p["lon"], p["lat"])] for x in r["rings"]] for r in readers.parse_wkb(df, "wkb", rings="rings").collect()}
+    assert got == {1: [list(outer), list(hole)], 2: [list(hole), list(outer), list(hole)], 3: [[5.0, 6.0]], 4: None, 5: None}
+
+
+def test_species_list(spark, tmp_path):
+    writers.write_species_list(spark.createDataFrame([(2, "b", "Bee"), (1, "a", "Ant")], "rank int, code string, com string"), str(tmp_path / "list"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "list")).collect()] == ["1\ta\tAnt", "2\tb\tBee"]
