@@ -345,7 +345,7 @@ def near_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.withColumn(name, bucket).join(F.broadcast(some), name, "left_semi").drop(name)
 
 
-PAIRS_PER_ROW = 8
+PAIRS_PER_ROW = 2
 FIRST_KEYS = 8  # the first stars are over one key in so many
 
 
