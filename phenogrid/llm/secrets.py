@@ -36,11 +36,13 @@ DICTIONARY = (
     "secret section server service session setting sign site source spec stage start state static status step style submit support system table tag target "
     "task team temp test text thumb time title token tool track type update upload user value version video view web window"
 ).split()
-SECRET_CUES = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|credential|private.?key)"
-HARMLESS_CUES = r"(?i)(sha-?\d*|md5|commit|checksum|digest|hash|revision|rev|uuid|guid|etag|integrity|version|build|example|sample|dummy|placeholder|order|invoice|tracking|isbn|doi|ticket|serial)"
+SECRET_CUES = "tokens?|secrets?|passw(?:or)?ds?|passphrase|pwd|pass|api[ _.-]?keys?|access[ _.-]?keys?|auth(?:orization)?|bearer|cred(?:ential)?s?|private[ _.-]?keys?"
+HARMLESS_CUES = r"sha-?\d*|md5|commits?|checksums?|digests?|hash(?:es)?|revisions?|rev|uuid|guid|etag|integrity|versions?|builds?|examples?|samples?|dummy|placeholder|orders?|invoices?|tracking|isbn|doi|tickets?|serial"
+# the last cue that is a word of its own: which kind it is, and what stands between it and the candidate
+CUE = f"(?s)^.*(?<![a-z])(?:({SECRET_CUES})|({HARMLESS_CUES}))(?![a-z])(.*)$"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|xox[abp]-|sk_live_|rk_live_|eyJ|AIza|glpat-|npm_)"
 
-FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "covered", "hex_only", "uuid", "slashes", "prefix", "path_before", "path_after", "assigned", "quoted", "secret_word", "harmless_word")
+FEATURES = ("length", "digits", "uppers", "transitions", "distinct", "covered", "hex_only", "uuid", "slashes", "prefix", "path_before", "path_after", "assigned", "quoted", "secret_word", "harmless_word", "cue_gap")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -74,6 +76,9 @@ def with_features(found: DataFrame) -> DataFrame:
     runs = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1"))
     left, right = F.coalesce("left", F.lit("")), F.coalesce("right", F.lit(""))
     flag = lambda test: test.cast("double")
+    # authToken and AUTH_TOKEN are words as auth token is
+    spoken = F.lower(F.regexp_replace(left, "([a-z0-9])([A-Z])", "$1 $2"))
+    cue = lambda group: F.regexp_extract(spoken, CUE, group)
     made = {
         "length": n,
         "digits": share("0-9"),
@@ -89,14 +94,15 @@ def with_features(found: DataFrame) -> DataFrame:
         "path_after": flag(right.rlike(r"^\.[A-Za-z0-9]{1,5}\b")),
         "assigned": flag(left.rlike(r"[=:]>?\s*[\"'`]?$")),
         "quoted": flag(left.rlike("[\"'`]$") & right.rlike("^[\"'`]")),
-        "secret_word": flag(left.rlike(SECRET_CUES)),
-        "harmless_word": flag(left.rlike(HARMLESS_CUES)),
+        "secret_word": flag(cue(1) != ""),
+        "harmless_word": flag(cue(2) != ""),
+        "cue_gap": F.when((cue(1) != "") | (cue(2) != ""), F.length(cue(3))).otherwise(LEFT),
     }
     return found.withColumns({f: made[f].cast("double") for f in FEATURES})
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFrame:
-    """A made collection of findings with a 0/1 ``label``: keys in code and text against look-alikes."""
+    """A made collection of findings with a 0/1 ``label`` and its ``template``: keys in code and text against look-alikes."""
     hexes = lambda n: f"substring(sha2(concat('h', id), 512), 1, {n})"
     b64 = lambda n: f"substring(translate(base64(unhex(sha2(concat('b', id), 512))), '=', 'x'), 1, {n})"
     word = lambda i: f"element_at(words, cast(pmod(xxhash64(id, {i}), {len(DICTIONARY)}) as int) + 1)"
@@ -125,7 +131,7 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED_ROWS) -> DataFra
         return f"case {pick} " + " ".join(f"when {i} then {k[part] if k[part] is not None else close}" for i, k in enumerate(kinds)) + " end"
 
     base = spark.range(rows).withColumn("words", F.array(*map(F.lit, DICTIONARY))).withColumn("s", F.expr(sign))
-    made = base.selectExpr("id", f"{case(0)} as label", f"right({case(1)}, {LEFT}) as left", f"{case(2)} as candidate", f"left({case(3)}, {RIGHT}) as right")
+    made = base.selectExpr("id", f"{pick} as template", f"{case(0)} as label", f"right({case(1)}, {LEFT}) as left", f"{case(2)} as candidate", f"left({case(3)}, {RIGHT}) as right")
     return made.where("length(candidate) >= 16")
 
 
@@ -138,8 +144,11 @@ def train(labelled: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -
 def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings that the forest keeps: doc_id, start, end, candidate, probability.
 
-    Null and empty texts have none.  Repeated rows are scanned each for
-    itself, a null id is passed on, other columns are not read.
+    Null and empty texts have none; texts may be of any length.  Of equal
+    probabilities none is preferred: each candidate is judged for itself.
+    Repeated rows are scanned each for itself, a null id is passed on, other
+    columns are not read, whatever their names.  An empty table gives an
+    empty one.
     """
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(candidates(docs, id_col, text_col)))
     judged = model.transform(rows).withColumn("probability", F.round(vector_to_array("probability")[1], 6))

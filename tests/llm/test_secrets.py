@@ -46,3 +46,29 @@ def test_odd_rows(spark, odd_documents, no_documents):
     model = secrets.train(secrets.labelled_findings(spark, 2000))
     assert [r["doc_id"] for r in secrets.find_secrets(odd_documents, model).collect()] == [10]
     assert secrets.find_secrets(no_documents, model).count() == 0
+
+
+def test_words_inside_other_words_are_no_cues(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f'laairérevi token = "{key}" and', f'thesha token = "{key}" and', f'ershat orderly token = "{key}"', f'the tokenless commit {key} of', f'accessToken: "{key}"', f'DB_PASSWORD={key}']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"] for r in secrets.find_secrets(df, model).collect()} == {0, 1, 2, 4, 5}
+
+
+def test_templates_that_were_not_learned(spark):
+    """Findings of held-out templates: hexadecimal keys of any length, quoted digests, paths."""
+    held = "template in (1, 7, 9)"
+    rows = secrets.labelled_findings(spark).withColumn("doc_id", secrets.F.col("id"))
+    model = secrets.train(rows.where(f"not {held}"))
+    text = rows.where(held).selectExpr("doc_id", "label", "template", "concat(left, candidate, right) as text", "candidate as want")
+    found = secrets.find_secrets(text, model).withColumnRenamed("candidate", "want").select("doc_id", "want").distinct()
+    by = text.join(found.withColumn("hit", secrets.F.lit(1)), ["doc_id", "want"], "left").groupBy("template").agg(secrets.F.avg((secrets.F.col("label") == secrets.F.coalesce("hit", secrets.F.lit(0))).cast("int")).alias("right"))
+    assert all(r["right"] > 0.85 for r in by.collect()), by.collect()
+
+
+def test_planted_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = docs.selectExpr("doc_id", "explode(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1)) as candidate")
+    found = secrets.find_secrets(docs, secrets.train(secrets.labelled_findings(spark)))
+    assert planted.join(found, ["doc_id", "candidate"], "left_anti").count() == 0 < planted.count()
