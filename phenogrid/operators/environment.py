@@ -47,27 +47,32 @@ def normalise(df: DataFrame, continuous: list[str], fractions: list[str], catego
     return one_hot(out, categorical, categories)
 
 
-def nearest_filled(cells: DataFrame, column: str, columns: list[str], k: int = 3, cell: str = "cell") -> DataFrame:
-    """For each cell that lacks ``column`` and has another of ``columns``, the ``k`` nearest cells that have it.
+def nearest_filled(cells: DataFrame, fill: list[str], columns: list[str], k: int = 3, cell: str = "cell", kind: str = "double") -> DataFrame:
+    """For each of the columns ``fill`` and each cell that lacks it beside another of ``columns``, the ``k`` nearest cells that have it.
 
     Distances are straight ones in degrees of latitude and longitude, as the
     fill is meant for neighbours on a grid; ties go to the smaller cell.
-    Cells without any value are left alone.  Columns: the cell, ``near``,
-    ``value``, ``dist``, ``rn``.
+    Cells without any value are left alone.  Columns: ``filled``, the cell,
+    ``near``, its ``value`` cast to ``kind``, ``dist``, ``rn``.
     """
-    rows = cells.withColumn("_all", F.lit(0))
-    lacking = rows.where(F.col(column).isNull() & F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
-    having = rows.where(F.col(column).isNotNull()).select("_all", F.col(cell).alias("near"), "lat", "lon", F.col(column).alias("value"))
-    return k_nearest(lacking.select("_all", cell, "lat", "lon"), having, ["_all"], [cell], ["lat", "lon"], "near", k).select(cell, "near", "value", "dist", "rn")
+    some = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull().alias("some")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("filled"), F.col(c).cast(kind).alias("value")) for c in fill])).alias("e")
+    rows = cells.select(cell, "lat", "lon", some, each).select(cell, "lat", "lon", "some", "e.filled", "e.value")
+    lacking = rows.where("value is null and some").select("filled", cell, "lat", "lon")
+    having = rows.where("value is not null").select("filled", F.col(cell).alias("near"), "lat", "lon", "value")
+    return k_nearest(lacking, having, ["filled"], [cell], ["lat", "lon"], "near", k).select("filled", cell, "near", "value", "dist", "rn")
 
 
 def impute(cells: DataFrame, numeric: list[str], categorical: list[str], k: int = 3, cell: str = "cell") -> DataFrame:
     """Fills each column where it is missing beside other values: the mean of its ``k`` nearest, or their mode."""
-    columns, out = numeric + categorical, cells
-    for c in columns:
-        near = nearest_filled(cells, c, columns, k, cell)
-        fill = mode_of(near, [cell], "value", "_fill") if c in categorical else near.groupBy(cell).agg(F.avg("value").alias("_fill"))
-        out = out.join(fill, cell, "left").withColumn(c, F.coalesce(c, "_fill")).drop("_fill")
+    columns = numeric + categorical
+    means = nearest_filled(cells, numeric, columns, k, cell).groupBy("filled", cell).agg(F.avg("value").alias("value")) if numeric else None
+    modes = mode_of(nearest_filled(cells, categorical, columns, k, cell, "string"), ["filled", cell], "value", "value") if categorical else None
+    out = cells
+    for found, names in ((means, numeric), (modes, categorical)):
+        if found is not None:
+            fills = found.groupBy(cell).agg(*[F.max(F.when(F.col("filled") == c, F.col("value"))).cast(cells.schema[c].dataType).alias(f"_fill_{c}") for c in names])
+            out = out.join(fills, cell, "left").withColumns({c: F.coalesce(c, f"_fill_{c}") for c in names})
     return out.select(*cells.columns)
 
 

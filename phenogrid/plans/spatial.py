@@ -119,8 +119,7 @@ NEAR_ALL = ",\n".join(NEAREST.format(c=c, others=o) for c, o in FILLED.items())
 
 @query(sql(" UNION ALL ".join(f"SELECT '{c}' AS filled, cell, near, CAST(rn AS INTEGER) AS rn FROM near_{c}" for c in FILLED), "cells", more=NEAR_ALL))
 def knn_neighbours(t: Tables):
-    parts = [environment.nearest_filled(t.cells(), c, list(FILLED), 3).select(F.lit(c).alias("filled"), "cell", "near", "rn") for c in FILLED]
-    return parts[0].union(parts[1]).union(parts[2])
+    return environment.nearest_filled(t.cells(), list(FILLED), list(FILLED), 3).select("filled", "cell", "near", "rn")
 
 
 @query(sql("""SELECT c.cell, coalesce(c.elevation, (SELECT round(avg(value), 6) FROM near_elevation n WHERE n.cell = c.cell)) AS elevation,
