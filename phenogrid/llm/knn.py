@@ -70,6 +70,8 @@ class KDTree:
                 continue
             a, b = self.span[node]
             scores = points[a:b] @ query
+            if scores.dtype == object:
+                scores = np.clip(scores, -(1 << 63), (1 << 63) - 1)
             at = np.arange(a, b) if worst is None else a + np.flatnonzero(scores >= worst)
             for i in at.tolist():
                 name = int(ids[self.order[i]])
@@ -130,7 +132,6 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             for name, v, floor in zip(asked["q_id"].tolist(), asked["q_v"].tolist(), asked["q_floor"].tolist()):
                 q = np.array(v, dtype=np.int64) if len(v) else np.zeros(1, dtype=np.int64)
                 out += [(name, i, s) for s, i in tree.search(q, ids, k, name, None if floor is None or floor != floor else int(floor))]
-        out = [(name, i, max(-(1 << 63), min((1 << 63) - 1, s))) for name, i, s in out]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     by = ["dim", "shard", "block"]

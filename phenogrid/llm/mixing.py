@@ -75,7 +75,10 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repeats: float | None
     is a source of its own; documents without tokens belong to epoch 0 and
     cost nothing.  Repeated rows count and come out each for itself.  Only
     narrow rows are shuffled; running totals add block totals to sums within
-    blocks, so no task holds a source.
+    blocks, so no task holds a source's documents; its block totals, one
+    number for ``ROWS_PER_BLOCK`` documents, are summed in one task.  Texts
+    may be of any length; other columns are not read, whatever their names;
+    an empty table gives an empty one.
     """
     narrow = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), token_count(docs[text_col]).alias("tokens"))
     narrow = checkpointed(narrow.withColumn("part", F.spark_partition_id()))

@@ -244,8 +244,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per input row: its id and ``spans``, an array of (kind, start, end).
 
     Offsets are code points, end exclusive.  Null and empty texts have no
-    spans; repeated rows are scanned each on its own; other columns of the
-    input are not read.  A null id is passed on.  Nothing is shuffled.
+    spans; texts may be of any length and take time in proportion to it;
+    repeated rows are scanned each on its own; other columns of the input are
+    not read, whatever their names.  A null id is passed on.  An empty table
+    gives an empty one.  Nothing is shuffled.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -38,7 +38,10 @@ def shard(docs: DataFrame, weights: list[float], grown_weight: float | None = No
     holds a shard: rows are numbered within hashed buckets of a shard, and
     buckets get the running total of those before them.  Rows that share an
     id share a shard; rows alike in everything get different slots.  Rows
-    move only as narrow tuples, without their texts.
+    move only as narrow tuples, without their texts, which may be of any
+    length.  A shard's bucket counts, one number for ``ROWS_PER_BUCKET`` rows,
+    are summed in one task.  Other columns are not read, whatever their
+    names; an empty table gives an empty one.
     """
     n = len(weights)
     narrow = docs.select(

@@ -44,3 +44,34 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert language.predict(no_documents, model, ["doc_id"]).count() == 0
     few = language.train(odd_documents, max_rows_per_language=2)
     assert set(few.languages) <= {"en", "fr"}
+
+
+def test_predictions_by_definition(spark):
+    """Prototypes and predictions computed again, letter by letter and text by text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 1500")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    base = language.letter_vectors().astype(int)
+    slot = lambda c: 0 if not c.isalpha() else (ord(c.lower()[0]) - 96 if "a" <= c.lower()[0] <= "z" else 27 + ord(c.lower()[0]) % (language.SLOTS - 27))
+
+    def vector(text):
+        s = [slot(c) for c in " " + (text or "") + " "]
+        s = [x for i, x in enumerate(s) if x or i == 0 or s[i - 1]]
+        return sum((np.roll(base[a], 2) * np.roll(base[b], 1) * base[c] for a, b, c in zip(s, s[1:], s[2:]) if a or b or c), np.zeros(language.DIMENSIONS))
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    vectors = {d: vector(t) for d, t, _ in rows}
+    langs = sorted({x for _, t, x in rows if x and t})
+    sums = np.array([unit(sum(unit(vectors[d]) for d, t, x in rows if x == lang and t)) for lang in langs])
+    shared = unit(sums.mean(axis=0))
+    prototypes = [unit(p - (p @ shared) * shared) for p in sums]
+    found = {r["doc_id"]: r for r in language.predict(docs, language.train(docs), ["doc_id"]).collect()}
+    assert len(found) == len(rows) > 25
+    for d, t, _ in rows:
+        v = vectors[d]
+        cosines = [unit(v - (v @ shared) * shared) @ p for p in prototypes]
+        if not any(c.isalpha() for c in t or ""):
+            assert found[d]["lang_pred"] == "und"
+            continue
+        best = max(cosines)
+        assert abs(found[d]["score"] - max(best, 0)) < 1e-3
+        assert cosines[langs.index(found[d]["lang_pred"])] > best - 1e-3

@@ -60,3 +60,32 @@ def test_odd_rows(odd_documents, no_documents):
     out = mixing.mix(odd_documents).collect()
     assert {r["doc_id"] for r in out} == set(range(11)) and sum(r["doc_id"] == 2 for r in out) == 1
     assert mixing.mix(no_documents).count() == 0
+
+
+def test_weights_and_places_by_definition(spark):
+    """Exponent, weights, budget and running places of a whole table computed again."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tokens = {r["doc_id"]: len([w for w in (r["text"] or "").split(" ") if w]) or int(bool(r["text"])) for r in table.collect()}
+    source = {r["doc_id"]: r["source"] for r in table.collect()}
+    whole = defaultdict(int)
+    for d, n in tokens.items():
+        whole[source[d]] += n
+    live = {s: n for s, n in whole.items() if n}
+    a = max(0.0, 1 - math.log(2.0) / math.log(max(live.values()) / min(live.values())))
+    total = sum(live.values())
+    z = sum((n / total) ** a for n in live.values())
+    weight = {s: (n / total) ** a / z for s, n in live.items()}
+    budget = max(n / weight[s] for s, n in live.items())
+    out = mixing.mix(table, max_repeats=2.0).collect()
+    assert all(r["tokens"] == tokens[r["doc_id"]] and abs(r["weight"] - weight.get(r["source"], 0)) < 1e-4 for r in out)
+    by = defaultdict(list)
+    for r in out:
+        by[r["source"]].append(r)
+    for s, n in live.items():
+        rows = sorted((r for r in by[s] if r["tokens"]), key=lambda r: r["place"])
+        at = 0
+        for r in rows:
+            assert r["place"] == at
+            at += r["tokens"]
+        longest = max(r["tokens"] for r in rows)
+        assert weight[s] * budget * 0.999 - 1 <= at <= weight[s] * budget * 1.001 + longest

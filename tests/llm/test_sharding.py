@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from phenogrid.llm import sharding
@@ -35,3 +38,20 @@ def test_odd_rows(odd_documents, no_documents):
     null = next(r for r in rows if r["doc_id"] == 2)
     assert null["size"] == 16 and null["text_crc32"] == 0
     assert sharding.shard(no_documents, [1.0] * 3).count() == 0
+
+
+def test_winners_by_definition(spark):
+    """Rendezvous hashing computed again, record by record and shard by shard."""
+    def winner(key, weights):
+        best = None
+        for i, w in enumerate(weights):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(struct.pack("<q", key), xxhash.xxh64_intdigest(b"shard", 42)))
+            score = -w / math.log(((h >> 11) + 0.5) / (1 << 53))
+            best = max(best or (score, -i), (score, -i))
+        return -best[1]
+
+    rows = op3_sharding(spark, "/root/testdata/sf0.001").collect()
+    assert all(r["shard"] == winner(r["doc_id"], [1.0] * 40) and r["grown_shard"] == winner(r["doc_id"], [1.0] * 41) for r in rows)
+    weights = [1.0, 2.5, 0.5]
+    odd = spark.range(-50, 50).select("id", sharding.rendezvous(F.col("id"), weights).alias("s")).collect()
+    assert all(r["s"] == winner(r["id"], weights) for r in odd)
