@@ -342,7 +342,7 @@ def cell_ground_truth(t: Tables):
     return t.sets().where("cell = 7").select("week", joined("species"))
 
 
-@query()
+@query("""SELECT substr(sha256('[[], {"cap": 40, "min_obs": 4}]'), 1, 16) AS key""")
 def cache_key(t: Tables):
     from phenogrid.sources.writers import cache_key as name
 
