@@ -67,7 +67,10 @@ def impute(cells: DataFrame, numeric: list[str], categorical: list[str], k: int
     """Fills each column where it is missing beside other values: the mean of its ``k`` nearest, or their mode."""
     columns = numeric + categorical
     means = nearest_filled(cells, numeric, columns, k, cell).groupBy("filled", cell).agg(F.avg("value").alias("value")) if numeric else None
-    modes = mode_of(nearest_filled(cells, categorical, columns, k, cell, "string"), ["filled", cell], "value", "value") if categorical else None
+    # ties of a mode go to the smallest value in the columns' own order, where they have one type
+    kinds = {cells.schema[c].dataType.simpleString() for c in categorical}
+    kind = kinds.pop() if len(kinds) == 1 else "string"
+    modes = mode_of(nearest_filled(cells, categorical, columns, k, cell, kind), ["filled", cell], "value", "value") if categorical else None
     out = cells
     for found, names in ((means, numeric), (modes, categorical)):
         if found is not None:
