@@ -30,6 +30,7 @@ RUNS = (3, 2, 1)  # words of a run, the longest first
 KEYS_PER_WORD = 0.6
 LEVELS, KINDS = 3, 256  # of word counts
 SKETCH = [f"c{i}_{j}" for i in range(LEVELS) for j in range(KINDS // 64)]
+LONG_LINE, LONG_KINDS = 300, 1024  # words from which lines have a finer count of words
 WORD_BUCKETS = 1 << 15  # for the order of runs alone
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
@@ -114,6 +115,21 @@ def word_levels(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(counts > level, axis=1).view(np.int64) for level in range(LEVELS)], axis=1)
 
 
+def word_counts(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each line of more than ``LONG_LINE`` words, how many it has of each of ``LONG_KINDS``, 255 at most, as bytes; null for others."""
+    out: list[bytes | None] = [None] * len(n)
+    for i in np.flatnonzero(n > LONG_LINE).tolist():
+        kinds = (words[first[i] : first[i] + n[i]] >> np.uint64(54)).astype(np.int64)
+        out[i] = np.minimum(np.bincount(kinds, minlength=LONG_KINDS), 255).astype(np.uint8).tobytes()
+    return pa.array(out, type=pa.binary())
+
+
+def near_counts(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether rows of word counts allow ``most`` edits, each of which takes one word at most from either side."""
+    change = a.astype(np.int16) - b.astype(np.int16)
+    return (np.maximum(change, 0).sum(axis=1, dtype=np.int64) <= most) & (np.maximum(-change, 0).sum(axis=1, dtype=np.int64) <= most)
+
+
 class LineSplitter:
     """Lines with a word, in groups of texts."""
 
@@ -161,6 +177,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = Fal
                 columns["words"] = pa.array(g["n"].astype(np.int32))
                 if sketches:
                     columns |= {c: pa.array(x) for c, x in zip(SKETCH, np.ascontiguousarray(word_levels(g["words"], g["first"]).T))}
+                    columns["finer"] = word_counts(g["words"], g["first"], g["n"])
                     columns["counts"] = pa.nulls(len(g["n"]), pa.list_(pa.int64()))
                     counts += np.bincount((g["words"] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
                 done = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -169,7 +186,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = Fal
         if sketches and names is not None:
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in names][:-1], pa.array([counts], type=pa.list_(pa.int64()))], schema=names)
 
-    more = "words int, " + "".join(f"{c} long, " for c in SKETCH) + "counts array<long>" if sketches else "sim long, words int"
+    more = "words int, " + "".join(f"{c} long, " for c in SKETCH) + "finer binary, counts array<long>" if sketches else "sim long, words int"
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, {more}")
 
 
@@ -353,8 +370,28 @@ def similar_pairs(left: list[str], right: list[str], least: float) -> np.ndarray
     return out
 
 
+def _near_long_lines(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """``pairs`` without those of long lines whose finer word counts are too far apart."""
+    finer = classes.where("finer is not null").select("h1", "words", "finer")
+    left, right = finer.toDF("src", "a_words", "a"), finer.toDF("dst", "b_words", "b")
+    both = pairs.join(left, "src", "left").join(right, "dst", "left").select("src", "dst", "a", "b", F.greatest("a_words", "b_words").alias("words"))
+
+    def test(batches):
+        for batch in small_batches(batches):
+            a, b = batch.column(2), batch.column(3)
+            at = np.flatnonzero(a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
+            keep = np.ones(batch.num_rows, dtype=bool)
+            if len(at):
+                counts = [np.frombuffer(b"".join(x.take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1) for x in (a, b)]
+                keep[at] = near_counts(*counts, edits_allowed(batch.column(4).take(pa.array(at)).to_numpy(), least))
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return both.mapInArrow(test, "src long, dst long")
+
+
 def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs whose lines are similar; lines are read again from the documents in which they occur first."""
+    pairs = scratch.keep(_near_long_lines(classes, pairs, least))
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     ids = scratch.keep(ids.join(classes.select(F.col("h1").alias("id"), "first.doc_id"), "id"))
     texts = scratch.keep(line_texts(near_ids(docs, ids, "doc_id"), "text", ids.select("id")))
@@ -366,7 +403,7 @@ def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: Data
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     found = scratch.keep(both.select("src", "dst", "a", "b").mapInArrow(test, "src long, dst long"))
-    scratch.drop(ids, texts)
+    scratch.drop(pairs, ids, texts)
     return found
 
 
@@ -379,8 +416,8 @@ def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     sketch = ["words", *SKETCH]
     lines = scratch.keep(line_table(docs, id_col, text_col, sketches=True))
     rarity = word_rarity(lines.where("counts is not null"))
-    classes = lines.where("counts is null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in sketch])
-    classes = scratch.keep(classes.select("h1", "h2", "first", *sketch))
+    classes = lines.where("counts is null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in (*sketch, "finer")])
+    classes = scratch.keep(classes.select("h1", "h2", "first", *sketch, "finer"))
     scratch.drop(lines)
     words = classes.agg(F.sum("words")).first()[0] or 0
     rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD)), code_span(least)))

@@ -11,7 +11,7 @@ def test_all_pairs_within_the_edits_are_linked(spark):
     """Brute force on edit similarity alone, without any hash."""
     rng = random.Random(11)
     texts = []
-    for n in [*range(1, 31), 37, 44, 60, 90] * 2:
+    for n in [*range(1, 31), 37, 44, 60, 90, 330] * 2:
         base = rng.choices(MANY if n % 3 else WORDS[:3], k=n)
         texts.append(base)
         for _ in range(3):
