@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import knn, language, lines, mixing, ngram_join, packing, pii, secrets, sharding, syncmers
+from phenogrid.llm import knn, language, lines, merkle, mixing, ngram_join, packing, pii, secrets, sharding, sql, syncmers
 
 SHARDS = 40
 
@@ -61,8 +61,17 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(_documents(spark, sf_dir))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    harmed = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 0 and text is not null")
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", merkle.leaf(columns).alias("leaf"), F.when(harmed, F.unhex(merkle.leaf([*columns[:-1], merkle.LOWER.format("text")]))).alias("other"))
+    found = merkle.manifest(docs, "doc_id", "lang", carry=("other",))
+    found = found.withColumn("folded_root", merkle.folded("coalesce(lower(hex(other)), leaf)", "path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("path").alias("proof_sha256"), "folded_root", F.expr("folded_root = root").alias("verified"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_sharding, op4_line_dedup, op5_packing, op6_mixing, op7_ngram_join, op8_topk, op9_secrets, op10_syncmers)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_sharding, op4_line_dedup, op5_packing, op6_mixing, op7_ngram_join, op8_topk, op9_secrets, op10_syncmers, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,4 +102,5 @@ scored AS (
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+        "op13_manifest": sql.MANIFEST,
     }
