@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import knn, language, lines, merkle, mixing, ngram_join, packing, pii, secrets, sharding, sql, syncmers
+from phenogrid.llm import knn, language, lines, merkle, mixing, ngram_join, packing, pii, secrets, sharding, simhash, sql, syncmers
 
 SHARDS = 40
 
@@ -61,6 +61,11 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(_documents(spark, sf_dir))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_groups(_documents(spark, sf_dir), width=3, most=3)
+    return found.select("doc_id", F.expr("lpad(lower(hex(fingerprint)), 16, '0')").alias("fingerprint"), "component_id")
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     harmed = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 0 and text is not null")
@@ -71,7 +76,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_sharding, op4_line_dedup, op5_packing, op6_mixing, op7_ngram_join, op8_topk, op9_secrets, op10_syncmers, op13_manifest)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_sharding, op4_line_dedup, op5_packing, op6_mixing, op7_ngram_join, op8_topk, op9_secrets, op10_syncmers, op12_simhash, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
