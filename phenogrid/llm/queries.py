@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm import knn, language, lines, merkle, mixing, ngram_join, packing, pii, secrets, sharding, simhash, sql, syncmers
+from phenogrid.llm import knn, language, lines, merkle, mixing, ngram_join, packing, pii, repair, secrets, sharding, simhash, sql, syncmers
 
 SHARDS = 40
 
@@ -61,6 +61,26 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(_documents(spark, sf_dir))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults drawn by id and turn, as the query's contract has them."""
+    draw = F.expr("crc32(cast(concat(coalesce(cast(conv_id as string), ' '), ':', coalesce(cast(turn as string), ' ')) as binary)) % 20")
+    drawn = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), draw.alias("draw"))
+    role = F.when(F.col("draw") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("draw") == 1, "").when(F.col("draw") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.expr("array_repeat(0, case draw when 0 then 0 when 3 then 2 else 1 end)"))
+    return drawn.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = damaged(conversations)
+    found = repair.audits(rows)
+    digests = repair.repaired_digests(rows, found).withColumnRenamed("conv_id", "digest_of")
+    found = found.join(digests, F.expr("conv_id <=> digest_of")).drop("digest_of").withColumnRenamed("conv_id", "found_of")
+    every = conversations.select("conv_id").distinct().join(found, F.expr("conv_id <=> found_of"), "left")
+    return every.select("conv_id", *[F.coalesce(f, F.lit(0).cast("long")).alias(f) for f in repair.FACTS], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(_documents(spark, sf_dir), width=3, most=3)
     return found.select("doc_id", F.expr("lpad(lower(hex(fingerprint)), 16, '0')").alias("fingerprint"), "component_id")
@@ -76,7 +96,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_sharding, op4_line_dedup, op5_packing, op6_mixing, op7_ngram_join, op8_topk, op9_secrets, op10_syncmers, op12_simhash, op13_manifest)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_sharding, op4_line_dedup, op5_packing, op6_mixing, op7_ngram_join, op8_topk, op9_secrets, op10_syncmers, op11_repair, op12_simhash, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -107,5 +127,6 @@ scored AS (
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+        "op11_repair": sql.REPAIR,
         "op13_manifest": sql.MANIFEST,
     }
