@@ -29,7 +29,7 @@ from phenogrid.llm.common import Scratch, connected_components, small_batches
 
 SEED = 42
 WORDS_AT_ONCE = 1 << 15
-WIDTHS = (4, 2, 1)  # bits of a segment, to be chosen from
+WIDTHS = (2, 1)  # bits of a segment, to be chosen from
 BLOCK = 1 << 13  # points that a task compares with each other, or with so many others
 ENTRIES_PER_BUCKET = 1 << 17
 SMALL_CELL = 16
@@ -183,12 +183,13 @@ def _block_pairs(blocks: Column, own: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("cell", F.least(own, other), F.greatest(own, other)))
 
 
-def links(classes: DataFrame, most: int = 3) -> DataFrame:
+def links(classes: DataFrame, scratch: Scratch, most: int = 3) -> DataFrame:
     """``src, dst``: links that tie together all distinct fingerprints ``fp`` that links of at most ``most`` bits do."""
     rows = classes.count()
     width = segment_width(rows, most)
     entries = _in_cells(classes, width, most)
-    heavy = entries.groupBy("cell").agg(F.count("*").alias("n")).where(f"n > {BLOCK}")
+    # a table of known size: only a large one has the entries shuffled for the join
+    heavy = scratch.keep(entries.groupBy("cell").agg(F.count("*").alias("n")).where(f"n > {BLOCK}"))
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = entries.join(heavy, "cell", "left").select(
         "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.xxhash64("cell"))).otherwise(_block_pairs(blocks, F.pmod(F.xxhash64("fp", "cell"), blocks)))).alias("cell"))
@@ -218,7 +219,7 @@ def simhash_groups(docs: DataFrame, width: int = 3, most: int = 3, id_col: str =
     scratch = Scratch(docs.sparkSession)
     signed = scratch.keep(fingerprints(docs, id_col, text_col, width))
     classes = scratch.keep(signed.groupBy("fp").agg(F.min("id").alias("least")))
-    found = scratch.keep(links(classes, most))
+    found = scratch.keep(links(classes, scratch, most))
     groups = connected_components(found, scratch).toDF("fp", "component")
     named = scratch.keep(classes.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from phenogrid.llm import simhash
+from phenogrid.llm.common import Scratch
 from phenogrid.llm.queries import op12_simhash
 
 
@@ -43,7 +44,7 @@ def near_fingerprints(rng, centres, each, flips):
 
 
 def joined(spark, fps, most):
-    found = simhash.links(spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long"), most).collect()
+    found = simhash.links(spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long"), Scratch(spark), most).collect()
     at = {f: i for i, f in enumerate(fps)}
     edges = [(at[int(np.int64(r[0]).view(np.uint64))], at[int(np.int64(r[1]).view(np.uint64))]) for r in found]
     assert all(bin(fps[a] ^ fps[b]).count("1") <= most and a != b for a, b in edges)
