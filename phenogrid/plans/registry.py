@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenogrid.plans import evaluation, ingest, prediction, preparation, spatial
+from phenogrid.plans import evaluation, hexagons, ingest, prediction, preparation, spatial
 from phenogrid.plans.tables import Tables
 
-MODULES = (ingest, preparation, spatial, evaluation, prediction)
+MODULES = (ingest, preparation, spatial, hexagons, evaluation, prediction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
