@@ -85,6 +85,14 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
     return {"lon_min": F.array_min(lons), "lat_min": F.array_min(lats), "lon_max": F.array_max(lons), "lat_max": F.array_max(lats)}
 
 
+def ring_area(ring: Column) -> Column:
+    """Area within a closed ring in square degrees, below 0 if it runs clockwise."""
+    n, o = F.size(ring), ring[0]
+    # seen from its first point, so that far-off rings lose no digits
+    edges = F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda p, q: ((p["lon"] - o["lon"]) * (q["lat"] - o["lat"]) - (q["lon"] - o["lon"]) * (p["lat"] - o["lat"])) / 2)
+    return F.aggregate(edges, F.lit(0.0), lambda t, e: t + e)
+
+
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Area centroid (lon, lat) of a closed ring, by cross products of its edges."""
     n = F.size(ring)

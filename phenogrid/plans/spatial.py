@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import math
+
 from pyspark.sql import functions as F
 
 from phenogrid.functions import geo
-from phenogrid.operators import environment, propagation
+from phenogrid.operators import environment, propagation, repair
 from phenogrid.plans.ingest import HAVERSINE
 from phenogrid.plans.tables import Tables, sql
 
@@ -73,6 +74,23 @@ def polygon_centroid(t: Tables):
     return t.cells().select("cell", (F.round(lon, 4) + 0.0).alias("x"), (F.round(lat, 4) + 0.0).alias("y"))
 
 
+STAR = [(math.cos(math.pi / 2 + i * 4 * math.pi / 5), math.sin(math.pi / 2 + i * 4 * math.pi / 5)) for i in range(5)]
+#: Faulty rings by kind: doubled points, a bow-tie, a spike, a star, a square run round twice, a hole on a bridge; rings and area that are left.
+FAULTY = [
+    ([(0, 0), (0, 0), (4, 0), (4, 3), (4, 3), (0, 3)], 1, 12.0), ([(0, 0), (4, 3), (4, 0), (0, 3)], 2, 6.0), ([(0, 0), (4, 0), (4, 3), (7, 3), (4, 3), (0, 3)], 1, 12.0),
+    (STAR, 1, 10 * math.tan(math.pi / 10) / (3 - math.tan(math.pi / 10) ** 2)), ([(0, 0), (4, 0), (4, 3), (0, 3)] * 2, 1, 12.0), ([(0, 0), (6, 0), (6, 6), (0, 6), (0, 0), (2, 2), (2, 4), (4, 4), (4, 2), (2, 2)], 2, 32.0),
+]
+
+
+@query(sql("SELECT cell, n_rings, round(area * (1 + cell % 7) * (1 + cell % 7), 5) AS area FROM compact JOIN (VALUES " + ", ".join(f"({i}, {n}, {area!r}::DOUBLE)" for i, (_, n, area) in enumerate(FAULTY)) + ") k(kind, n_rings, area) ON kind = cell % 6", "compact"))
+def polygon_repair(t: Tables):
+    """Faulty rings round each place, repaired: rings left, and their area in square degrees."""
+    size = 1 + F.col("cell") % 7
+    ring = F.element_at(F.array(*[F.array(*[F.struct((F.col("lon") + x * size).alias("lon"), (F.col("lat") + y * size).alias("lat")) for x, y in points]) for points, _, _ in FAULTY]), (F.col("cell") % 6 + 1).cast("int"))
+    fixed = repair.repair_rings(t.compact().select("cell", ring.alias("ring")))
+    return fixed.select("cell", F.size("rings").alias("n_rings"), F.round(F.aggregate(F.transform("rings", geo.ring_area), F.lit(0.0), lambda s, a: s + a), 5).alias("area"))
+
+
 @query("SELECT name, i, x, y FROM (SELECT r_name AS name, r_regionkey * 10.0::DOUBLE AS x0, r_regionkey * 5.0::DOUBLE AS y0 FROM region) CROSS JOIN (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(i, dx, dy) CROSS JOIN LATERAL (SELECT x0 + dx * 8.0::DOUBLE AS x, y0 + dy * 4.0::DOUBLE AS y)")
 def bbox_ring(t: Tables):
     r = t.read("region").selectExpr("r_name as name", "r_regionkey * 10.0D as x0", "r_regionkey * 5.0D as y0")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.functions import geo
+from phenogrid.operators.repair import repaired, signed_area
 from phenogrid.sources.readers import OCCURRENCE_SCHEMA
 
 
@@ -27,24 +28,45 @@ def valid_cells(cells: DataFrame, ring: str = "ring") -> DataFrame:
     return cells.where((F.size(ring) >= 4) & inside & (geo.ring_span(F.col(ring)) <= 180))
 
 
-def ring_wkb(ring: str) -> Column:
-    """A ring (array of lon, lat) as the WKB of a polygon."""
-    def encode(points) -> bytes | None:
-        if points is None:
+def _polygons(rings: list) -> list[list]:
+    """Outer rings, each followed by its holes: those that lie in it and in no smaller one."""
+    shapes = [[r] for r in rings if signed_area(r) > 0]
+    for hole in (r for r in rings if signed_area(r) <= 0):
+        (ax, ay), (bx, by) = hole[:2]
+        # a place just inside the hole, to the right of its first side
+        x, y = (ax + bx) / 2 + (by - ay) * 1e-6, (ay + by) / 2 - (bx - ax) * 1e-6
+        around = [s for s in shapes if sum((p[1] <= y) != (q[1] <= y) and x < p[0] + (y - p[1]) / (q[1] - p[1]) * (q[0] - p[0]) for p, q in zip(s[0], s[0][1:])) % 2]
+        min(around or shapes, key=lambda s: signed_area(s[0])).append(hole)
+    return shapes
+
+
+def rings_wkb(rings: str) -> Column:
+    """Rings (outer ones counter-clockwise, holes clockwise) as the WKB of a polygon, or of several."""
+    def polygon(shape: list) -> bytes:
+        return struct.pack("<BII", 1, 3, len(shape)) + b"".join(struct.pack(f"<I{2 * len(r)}d", len(r), *[v for p in r for v in p]) for r in shape)
+
+    def encode(found) -> bytes | None:
+        if found is None or not len(found):
             return None
-        xy = [v for p in points for v in (p["lon"], p["lat"])]
-        return struct.pack(f"<BIII{len(xy)}d", 1, 3, 1, len(xy) // 2, *xy)
+        shapes = _polygons([[(p["lon"], p["lat"]) for p in r] for r in found])
+        return polygon(shapes[0]) if len(shapes) == 1 else struct.pack("<BII", 1, 6, len(shapes)) + b"".join(map(polygon, shapes))
 
     @F.pandas_udf("binary")
-    def encoded(rings: pd.Series) -> pd.Series:
-        return rings.map(encode)
+    def encoded(column: pd.Series) -> pd.Series:
+        return column.map(encode)
 
-    return encoded(ring)
+    return encoded(rings)
 
 
 def write_cells(cells: DataFrame, path: str, rows_per_file: int = 500) -> None:
-    """Valid cells as Parquet with their rings as WKB ``geometry``, in files of bounded size."""
-    valid_cells(cells).withColumn("geometry", ring_wkb("ring")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    """Cells as Parquet with their repaired rings as WKB ``geometry``, in files of bounded size.
+
+    A ring that crosses itself is written as the polygons that it winds
+    round; cells without area, off the globe or wider than half of it are
+    left out.
+    """
+    sound = valid_cells(cells).withColumn("_rings", repaired("ring")).withColumn("geometry", rings_wkb("_rings")).drop("_rings")
+    sound.where("geometry is not null").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def write_taxonomy(taxonomy: DataFrame, path: str) -> None:
