@@ -9,7 +9,7 @@ from phenogrid.operators import cleaning
 from phenogrid.operators.regions import SAMPLING_REGIONS
 from phenogrid.operators.sampling import in_boxes
 from phenogrid.plans.tables import WEEK_SQL, Tables, sql
-from phenogrid.sources import readers
+from phenogrid.sources import archive, readers, writers
 
 QUERIES: dict = {}
 
@@ -37,29 +37,18 @@ def raw_lines(t: Tables):
 
 
 def tsv_file(t: Tables) -> str:
-    """The lines as one text file under a header, as an archive holds them."""
+    """The lines as tab-separated text files, each under a header."""
     path = f"{t.folder()}/occurrence"
-    header = t.spark.createDataFrame([("\t".join(RAW),)], "line string")
-    header.union(raw_lines(t).select("line")).coalesce(1).write.text(path)
+    lines = raw_lines(t).select(F.col("line").alias("\t".join(RAW)))
+    lines.write.csv(path, header=True, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
-def archive(t: Tables) -> str:
-    """A zip archive of the text file and a smaller member, written stream to stream."""
-    jvm, conf = t.spark._jvm, t.spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path
-    folder = place(tsv_file(t))
-    store = folder.getFileSystem(conf)
-    source = next(f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
-    path = f"{t.folder()}/archive.zip"
-    out = jvm.java.util.zip.ZipOutputStream(store.create(place(path), True))
-    out.putNextEntry(jvm.java.util.zip.ZipEntry("meta.xml"))
-    out.putNextEntry(jvm.java.util.zip.ZipEntry("occurrence.txt"))
-    stream = store.open(source)
-    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
-    stream.close()
-    out.close()
-    return path
+def archives(t: Tables) -> str:
+    """Zip archives of the lines, in members of some thousand lines with a header each."""
+    folder = t.folder()
+    archive.write_archives(raw_lines(t).repartition(3, "p_partkey").select("line"), folder, header="\t".join(RAW), lines_per_member=2000)
+    return folder
 
 
 RAW_SQL = """raw AS (SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE (p_partkey * 7919 % 18001)::DOUBLE / 100 - 90 END AS lat,
@@ -70,8 +59,9 @@ RAW_WEEK = "CAST((month - 1) * 4 + CASE WHEN day <= 7 THEN 1 WHEN day <= 14 THEN
 
 @query(sql(f"SELECT p_partkey AS \"taxonKey\", round(lat, 3) AS latitude, round(lon, 3) AS longitude, {RAW_WEEK} AS week, class FROM raw WHERE lat IS NOT NULL AND lon IS NOT NULL AND month IS NOT NULL", more=RAW_SQL))
 def scan_tsv(t: Tables):
-    """An archive's member: packed, unpacked and read as a file with a header."""
-    rows = cleaning.drop_incomplete(readers.read_tsv(t.spark, readers.unpack_member(t.spark, archive(t), t.folder(), "occurrence.txt"), RAW))
+    """Members of archives, each unpacked by a task of its own, without their headers."""
+    lines = archive.read_archive(t.spark, archives(t), "occurrence-*.txt").where("line_no > 0")
+    rows = cleaning.drop_incomplete(readers.parse_tsv(lines, RAW, RAW))
     return rows.select(F.expr("try_cast(taxonKey as bigint)").alias("taxonKey"), F.round(F.expr("try_cast(decimalLatitude as double)"), 3).alias("latitude"), F.round(F.expr("try_cast(decimalLongitude as double)"), 3).alias("longitude"), calendar.week_of(F.col("day").cast("int"), F.col("month").cast("int")).alias("week"), "class").where("latitude is not null and longitude is not null")
 
 
@@ -93,10 +83,35 @@ def scan_csv_project(t: Tables):
     return rows.select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
 
 
+PART_ROWS = 100
+
+
+def part_files(t: Tables) -> str:
+    """Part files of customers, of suppliers, which lack a column, and one that is broken."""
+    folder = t.folder()
+    rows = t.read("customer").selectExpr("c_custkey as k", "c_name as name", "c_acctbal as bal", "c_mktsegment as segment")
+    writers.write_chunks(rows.withColumn("chunk", F.expr(f"(k - 1) div {10 * PART_ROWS}")), folder, "chunk")
+    rows = t.read("supplier").selectExpr("s_suppkey as k", "s_name as name", "s_acctbal as bal")
+    writers.write_chunks(rows.withColumn("chunk", F.expr(f"5000 + (k - 1) div {PART_ROWS}")), folder, "chunk")
+    place = t.spark._jvm.org.apache.hadoop.fs.Path
+    broken = place(folder).getFileSystem(t.spark._jsc.hadoopConfiguration()).create(place(folder, "grid_5km_chunk_9999.parquet"))
+    broken.writeBytes("PAR1 and no more")
+    broken.close()
+    return folder
+
+
 @query("SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")
 def union_parts(t: Tables):
-    c = t.read("customer").selectExpr("c_custkey as k", "c_name as name", "c_acctbal as bal", "c_mktsegment as segment")
-    return c.unionByName(t.read("supplier").selectExpr("s_suppkey as k", "s_name as name", "s_acctbal as bal"), allowMissingColumns=True)
+    """Rows of all part files of a folder that can be read, under one schema."""
+    return readers.read_parts(t.spark, part_files(t)).select("k", "name", "bal", "segment")
+
+
+@query(f"""SELECT printf('grid_5km_chunk_%04d.parquet', chunk) AS file, n_rows, false AS skipped FROM (
+ SELECT (c_custkey - 1) // {10 * PART_ROWS} AS chunk, count(*) AS n_rows FROM customer GROUP BY ALL UNION ALL SELECT 5000 + (s_suppkey - 1) // {PART_ROWS}, count(*) FROM supplier GROUP BY ALL)
+ UNION ALL SELECT 'grid_5km_chunk_9999.parquet', 0, true""")
+def scan_parts(t: Tables):
+    """What was taken from each part file, and which was skipped."""
+    return readers.parts_report(t.spark, part_files(t))
 
 
 @query("SELECT n_name AS name, n_regionkey AS region, CAST(NULL AS INTEGER) AS nation FROM nation UNION ALL SELECT r_name, NULL, r_regionkey FROM region")

@@ -9,6 +9,8 @@ from phenogrid.operators import environment, metrics, presence, sampling, traini
 from phenogrid.operators.losses import class_weight
 from phenogrid.operators.totals import quantiles
 from phenogrid.plans.tables import Tables, sql
+from phenogrid.sources import readers, writers
+from phenogrid.streaming import incremental
 
 QUERIES: dict = {}
 
@@ -264,9 +266,17 @@ def cap_observations(t: Tables):
     return sampling.cap_observations(t.presence(), 40, ["cell", "week"])
 
 
-@query("SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 1000)")
+BLOCK_ROWS, MOST_ROWS = 500, 2500
+
+
+@query(f"""WITH sizes AS (SELECT (o_orderkey - 1) // {BLOCK_ROWS} AS block, count(*) AS n_rows FROM orders GROUP BY ALL), blocks AS (SELECT *, coalesce(sum(n_rows) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes)
+ SELECT block, n_rows, CAST((SELECT least(min(seen), (SELECT count(*) FROM sizes)) FROM (VALUES (1), (3), (7), (15), (31), (63)) g(seen) WHERE seen >= (SELECT count(*) FROM blocks WHERE before < {MOST_ROWS})) AS INTEGER) AS n_looked_at FROM blocks WHERE before < {MOST_ROWS}""")
 def limit_rows(t: Tables):
-    return t.read("lineitem").limit(1000).agg(F.count("*").alias("n"))
+    """Orders in blocks of five hundred keys, read up to the block in which the limit falls; how many blocks were looked at."""
+    folder = t.folder()
+    writers.write_chunks(t.read("orders").withColumn("chunk", F.expr(f"(o_orderkey - 1) div {BLOCK_ROWS}")), folder, "chunk")
+    rows, seen = readers.read_blocks(t.spark, folder, MOST_ROWS)
+    return rows.groupBy(F.expr(f"(o_orderkey - 1) div {BLOCK_ROWS}").alias("block")).agg(F.count("*").alias("n_rows")).withColumn("n_looked_at", F.lit(seen))
 
 
 PLACED = "placed AS (SELECT p.cell, week, species, lat, lon FROM presence p JOIN cells c ON c.cell = p.cell)"
@@ -342,16 +352,39 @@ def cell_ground_truth(t: Tables):
     return t.sets().where("cell = 7").select("week", joined("species"))
 
 
-@query("""SELECT substr(sha256('[[], {"cap": 40, "min_obs": 4}]'), 1, 16) AS key""")
+@query(sql("SELECT species, n_obs, CAST(1 AS INTEGER) AS n_built FROM (SELECT species, count(*) AS n_obs FROM presence GROUP BY species) WHERE n_obs >= 4", "presence"))
 def cache_key(t: Tables):
-    from phenogrid.sources.writers import cache_key as name
+    """Species counts read through a cache twice, and once for another parameter: each is built once."""
+    folder, built = t.folder(), []
+    inputs = [f"{t.sf_dir}/{name}.parquet" for name in ("orders", "lineitem", "part")]
+
+    def counts(least: int):
+        def build():
+            built.append(least)
+            return t.presence().groupBy("species").agg(F.count("*").alias("n_obs")).where(F.col("n_obs") >= least)
 
-    return t.spark.createDataFrame([(name([], {"min_obs": 4, "cap": 40}),)], "key string")
+        return writers.read_through(t.spark, folder, inputs, {"min_obs": least}, build)
+
+    for least in (4, 5, 4):
+        kept = counts(least)
+    return kept.withColumn("n_built", F.lit(built.count(4)))
 
 
 @query(sql("SELECT week, count(*) AS n FROM presence GROUP BY week", "presence"))
 def stream_incremental(t: Tables):
-    """The state that a stream of occurrence files keeps, as one batch of it gives it."""
-    from phenogrid.streaming.incremental import new_presence
-
-    return new_presence(t.occurrence().withColumn("species", F.col("name"))).groupBy("week").agg(F.count("*").alias("n"))
+    """Presence kept up from a stream of part files, which is stopped after some batches and started again from its checkpoint."""
+    files, table, checkpoint = (f"{t.folder()}/{name}" for name in ("in", "presence", "state"))
+    arrived = t.occurrence().select("cell", "week", F.col("name").alias("species"))
+    # each species has a file of its own, and rows of one key come in two files
+    arrived = arrived.repartition(3, "species").unionByName(arrived.where("cell % 4 = 0").repartition(1))
+    arrived.write.parquet(files)
+
+    def stream():
+        return incremental.read_presence_stream(t.spark, files, "cell bigint, week int, species string", files_per_batch=1)
+
+    running = incremental.write_presence(stream(), table, checkpoint, once=False)
+    while running.isActive and not any(p["numInputRows"] for p in running.recentProgress):
+        running.awaitTermination(0.1)
+    running.stop()
+    incremental.write_presence(stream(), table, checkpoint).awaitTermination()
+    return t.spark.read.parquet(table).groupBy("week").agg(F.count("*").alias("n"))

@@ -81,6 +81,42 @@ def read_parts(spark: SparkSession, folder: str, pattern: str = "grid_*_chunk_*.
     return spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).option("mergeSchema", True).option("recursiveFileLookup", True).parquet(folder)
 
 
+def parts_report(spark: SparkSession, folder: str, pattern: str = "grid_*_chunk_*.parquet") -> DataFrame:
+    """``file, n_rows, skipped`` of every part file of a folder: what ``read_parts`` takes from it.
+
+    A file that cannot be read, or holds no rows, is skipped.  The listing
+    reads no content; rows are counted from the files' footers.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    files = listed.select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    rows = read_parts(spark, folder, pattern).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows"))
+    return files.join(rows, "file", "left").select("file", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), F.col("n_rows").isNull().alias("skipped"))
+
+
+def read_blocks(spark: SparkSession, folder: str, most: int, pattern: str = "*.parquet") -> tuple[DataFrame, int]:
+    """Rows of the first part files that together hold ``most`` rows or more, and how many files were looked at.
+
+    Files are blocks, in the order of their names.  The block in which the
+    limit falls is taken whole, later ones are not.  Blocks are counted one,
+    two, four, ... at a time, so that few of those beyond are looked at, and
+    a late end takes few rounds.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().toString() for f in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, pattern)))
+    schema = spark.read.parquet(files[0]).schema
+    held, low, step = 0, 0, 1
+    while low < len(files):
+        group = files[low : low + step]
+        counts = {r["file"]: r["n"] for r in spark.read.schema(schema).parquet(*group).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).collect()}
+        for i, f in enumerate(group):
+            held += counts.get(os.path.basename(f), 0)
+            if held >= most:
+                return spark.read.schema(schema).parquet(*files[: low + i + 1]), low + len(group)
+        low, step = low + len(group), 2 * step
+    return spark.read.schema(schema).parquet(*files), len(files)
+
+
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """Taxonomy CSV with its ``common_name_*`` columns gathered in a map."""
     df = spark.read.csv(path, header=True)

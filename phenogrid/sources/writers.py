@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenogrid.functions import geo
@@ -89,7 +90,57 @@ def write_history(history: DataFrame, path: str) -> None:
     history.write.mode("overwrite").json(path)
 
 
-def cache_key(files: list[str], parameters: dict) -> str:
-    """Name for prepared data: the files' identity and every parameter, hashed."""
-    identity = [(os.path.abspath(f), os.path.getsize(f), int(os.path.getmtime(f))) for f in sorted(files) if os.path.exists(f)]
+def write_chunks(df: DataFrame, folder: str, chunk: str, name: str = "grid_5km_chunk_{:04d}.parquet") -> list[str]:
+    """Rows of each number in the column ``chunk`` as one part file; returns the files' names in order.
+
+    A chunk is to be of bounded size, as it is written by one task.
+    """
+    spark = df.sparkSession
+    draft = f"{folder}/_draft-{uuid.uuid4().hex}"
+    df.withColumn("_chunk", F.col(chunk)).drop(chunk).repartition("_chunk").write.partitionBy("_chunk").parquet(draft)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    store = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
+    for f in store.globStatus(place(f"{draft}/_chunk=*/part-*")):
+        names.append(name.format(int(f.getPath().getParent().getName().partition("=")[2])))
+        store.rename(f.getPath(), place(folder, names[-1]))
+    store.delete(place(draft), True)
+    return sorted(names)
+
+
+def _files_under(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of all files under a path, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise FileNotFoundError(path)
+    files, found = store.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def cache_key(spark: SparkSession, inputs: list[str], parameters: dict) -> str:
+    """Name for prepared data: the input files' identity and every parameter, hashed."""
+    identity = [_files_under(spark, path) for path in sorted(inputs)]
     return hashlib.sha256(json.dumps([identity, parameters], sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def read_through(spark: SparkSession, folder: str, inputs: list[str], parameters: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes of the inputs, from ``folder`` if it was kept there for equal files and parameters.
+
+    Otherwise it is built, written beside and moved into place as a whole; of
+    two that build the same at a time, the first to end is kept.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    kept = f"{folder}/prepared-{cache_key(spark, inputs, parameters)}"
+    store = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place(f"{kept}/_SUCCESS")):
+        draft = f"{folder}/_draft-{uuid.uuid4().hex}"
+        build().write.parquet(draft)
+        if store.exists(place(f"{kept}/_SUCCESS")) or not store.rename(place(draft), place(kept)):
+            store.delete(place(draft), True)
+        else:
+            store.delete(place(f"{kept}/{draft.rpartition('/')[2]}"), True)  # a rename onto a folder moves into it
+    return spark.read.parquet(kept)

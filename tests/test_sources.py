@@ -1,8 +1,10 @@
 import struct
 import zipfile
 
+from pyspark.sql import functions as F
+
 from phenogrid.functions import geo
-from phenogrid.sources import readers, writers
+from phenogrid.sources import archive, readers, writers
 from phenogrid.streaming import incremental
 
 
@@ -49,7 +51,6 @@ def test_cells_and_wkb(spark, tmp_path):
     rings = {r["id"]: r["ring"] for r in df.collect()}
     assert [(p["lon"], p["lat"]) for p in rings[1]] == list(zip(xy[::2], xy[1::2])) and rings[2] is None and rings[3] is None
     wide = spark.createDataFrame([(1, 180.0), (2, 180.1), (3, 10.0)], "id int, w double")
-    F = geo.F
     cells = wide.select("id", geo.bbox_ring(F.lit(-100.0), F.lit(0.0), F.col("w") - 100, F.lit(5.0)).alias("ring"))
     writers.write_cells(cells, str(tmp_path / "cells"), rows_per_file=1)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "cells")).collect()) == [1, 3]
@@ -58,11 +59,96 @@ def test_cells_and_wkb(spark, tmp_path):
     assert max(spark.read.parquet(str(p)).count() for p in (tmp_path / "cells").glob("part-*.parquet")) == 1
 
 
-def test_cache_key(tmp_path):
-    f = tmp_path / "x"
-    f.write_text("a")
-    a = writers.cache_key([str(f)], {"cap": 1})
-    assert a == writers.cache_key([str(f)], {"cap": 1}) != writers.cache_key([str(f)], {"cap": 2}) and len(a) == 16
+def test_cache_by_content(spark, tmp_path):
+    source, built = tmp_path / "in.txt", []
+    source.write_text("a")
+
+    def get(parameters):
+        def build():
+            built.append(parameters)
+            return spark.read.text(str(source))
+
+        return [r["value"] for r in writers.read_through(spark, str(tmp_path / "cache"), [str(source)], parameters, build).collect()]
+
+    assert get({"cap": 1}) == get({"cap": 1}) == ["a"] and len(built) == 1
+    assert get({"cap": 2}) == ["a"] and len(built) == 2
+    source.write_text("bb")
+    assert get({"cap": 1}) == ["bb"] and len(built) == 3
+    assert get({"cap": 2}) == ["bb"] and get({"cap": 1}) == ["bb"] and len(built) == 4
+    assert not list((tmp_path / "cache").glob("_draft-*"))
+
+
+def test_draft_that_comes_second_is_dropped(spark, tmp_path):
+    source = tmp_path / "in.txt"
+    source.write_text("a")
+
+    def build():
+        # another run publishes the same while this one builds
+        writers.read_through(spark, str(tmp_path / "cache"), [str(source)], {}, lambda: spark.range(1))
+        return spark.range(2)
+
+    assert writers.read_through(spark, str(tmp_path / "cache"), [str(source)], {}, build).count() == 1
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+
+
+def test_archive_of_several_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("occurrence-1.txt", "x\ty\r\n1\t2\nlast")
+        z.writestr("occurrence-2.txt", "é\n\n" * 400_000)
+        z.writestr("meta.xml", "<no>")
+        z.writestr("empty-occurrence.txt", "")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("occurrence-1.txt", "only\n")
+    lines = archive.read_archive(spark, str(tmp_path), "occurrence-*.txt")
+    assert lines.rdd.getNumPartitions() == 3
+    got = {(r["archive"], r["member"]): (r["n"], r["last"]) for r in lines.groupBy("archive", "member").agg(F.count("*").alias("n"), F.max("line_no").alias("last")).collect()}
+    assert got == {("a.zip", "occurrence-1.txt"): (3, 2), ("a.zip", "occurrence-2.txt"): (800_000, 799_999), ("b.zip", "occurrence-1.txt"): (1, 0)}
+    assert [r["value"] for r in lines.where("archive = 'a.zip' and member like '%-1.txt'").orderBy("line_no").collect()] == ["x\ty", "1\t2", "last"]
+    assert archive.read_archive(spark, str(tmp_path / "a.zip"), "empty-*").count() == 0
+
+
+def test_archives_there_and_back(spark, tmp_path):
+    lines = spark.range(1000).selectExpr("concat('row ', id, ' ä') as line").repartition(3)
+    assert archive.write_archives(lines, f"file:{tmp_path}/out", header="name", lines_per_member=150) == 3
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"part-{i:05d}.zip" for i in range(3)]
+    back = archive.read_archive(spark, f"file://{tmp_path}/out")
+    assert {r["value"] for r in back.where("line_no = 0").collect()} == {"name"} and back.select("archive", "member").distinct().count() >= 7
+    assert back.where("line_no > 0").select("value").exceptAll(lines).count() == 0 and back.where("line_no > 0").count() == 1000
+
+
+def test_part_files_with_a_broken_one(spark, tmp_path):
+    names = writers.write_chunks(spark.range(10).selectExpr("id", "id * 2 as a", "id div 4 as chunk"), str(tmp_path), "chunk")
+    assert names == [f"grid_5km_chunk_{i:04d}.parquet" for i in range(3)]
+    writers.write_chunks(spark.range(3).selectExpr("id", "id * 3 as b", "7 as chunk"), str(tmp_path), "chunk")
+    (tmp_path / "grid_5km_chunk_0008.parquet").write_bytes((tmp_path / names[0]).read_bytes()[:200])
+    (tmp_path / "other.parquet").write_bytes(b"not asked for")
+    assert {(r["file"], r["n_rows"], r["skipped"]) for r in readers.parts_report(spark, str(tmp_path)).collect()} == {(names[0], 4, False), (names[1], 4, False), (names[2], 2, False), ("grid_5km_chunk_0007.parquet", 3, False), ("grid_5km_chunk_0008.parquet", 0, True)}
+    rows = readers.read_parts(spark, str(tmp_path))
+    assert rows.count() == 13 and rows.where("a is null").count() == 3 and set(rows.columns) == {"id", "a", "b"}
+
+
+def test_blocks_end_at_the_limit(spark, tmp_path):
+    writers.write_chunks(spark.range(1000).selectExpr("id", "id div 10 as chunk"), str(tmp_path), "chunk")
+    for most, blocks, seen in ((1, 1, 1), (10, 1, 1), (11, 2, 3), (35, 4, 7), (70, 7, 7), (999, 100, 100), (5000, 100, 100)):
+        rows, looked_at = readers.read_blocks(spark, str(tmp_path), most)
+        assert (rows.count(), rows.agg(F.max("id")).first()[0], looked_at) == (10 * blocks, 10 * blocks - 1, seen)
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Stopped in the midst, started again, with files that came meanwhile: no row is lost or comes twice."""
+    schema = "cell bigint, week int, species string"
+    rows = [(i % 7, i % 48 + 1, f"s{i % 11}") for i in range(4000)]
+    for k in range(6):
+        spark.createDataFrame(rows[k * 500 : k * 500 + 900], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start = lambda once: incremental.write_presence(incremental.read_presence_stream(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "out"), str(tmp_path / "cp"), once=once)
+    running = start(False)
+    while not any(p["numInputRows"] for p in running.recentProgress):
+        running.awaitTermination(0.05)
+    running.stop()
+    spark.createDataFrame(rows[3400:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start(True).awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(set(rows))
 
 
 def test_presence_stream(spark, tmp_path):
