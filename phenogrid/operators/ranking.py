@@ -11,6 +11,12 @@ def best(predictions: DataFrame, threshold: float, k: int, tie: str = "idx") ->
     return predictions.where(F.col("prob") >= threshold).orderBy(F.desc("prob"), tie).limit(k)
 
 
+def best_each(predictions: DataFrame, threshold: float, k: int, by: list[str], tie: str = "idx") -> DataFrame:
+    """Of each place, rows of at least ``threshold``, then the k most probable; ties by index."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("prob"), tie))
+    return predictions.where(F.col("prob") >= threshold).withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def yearly_max(predictions: DataFrame, by: list[str]) -> DataFrame:
     return predictions.where(F.col("week").between(1, 48)).groupBy(*by).agg(F.max("prob").alias("prob"))
 

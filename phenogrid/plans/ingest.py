@@ -218,11 +218,11 @@ def chord_distance(t: Tables):
     return t.read("customer").select(F.col("c_custkey").alias("cell"), F.round(geo.chord_km((F.col("c_custkey") * 17 % 20000).cast("double")), 6).alias("chord"))
 
 
-@query("""SELECT CAST(w AS INTEGER) AS week, CAST(i AS INTEGER) AS i, round(CASE WHEN i < 8 THEN sin((i + 1) * 2 * pi() * (w - 1) / 48) ELSE cos((i - 7) * 2 * pi() * (w - 1) / 48) END, 6) + 0.0 AS x
-FROM range(0, 49) a(w), range(0, 16) b(i)""")
+@query(sql("""SELECT cell, CAST(i AS INTEGER) AS i, round(CASE WHEN i < 8 THEN sin((i + 1) * radians(lat)) ELSE cos((i - 7) * radians(lat)) END, 6) + 0.0 AS x
+FROM cells CROSS JOIN range(0, 16) b(i)""", "cells"))
 def circular_encoding(t: Tables):
-    weeks = t.spark.range(0, 49).select(F.col("id").cast("int").alias("week"))
-    return weeks.select("week", F.posexplode(scalars.circular_encoding(scalars.week_angle(F.col("week")), 8)).alias("i", "x")).select("week", "i", (F.round("x", 6) + 0.0).alias("x"))
+    encoded = scalars.circular_encoding(F.radians("lat"), 8)
+    return t.cells().select("cell", F.posexplode(encoded).alias("i", "x")).select("cell", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query(sql("SELECT tie, round(1 / (1 + exp(-least(30.0, greatest(-30.0, logit * 6)))), 6) AS p FROM evaluation", "evaluation"))
@@ -238,10 +238,10 @@ def perceptual_norm(t: Tables):
     return over_maximum(t.evaluation(), "prob").select("tie", F.round(F.when(m > 0, F.pow(F.col("prob") / m, F.lit(0.5))).otherwise(0.0), 6).alias("p"))
 
 
-@query("""SELECT CAST(w AS INTEGER) AS week, 'Week ' || w || ' (' || ['early', 'mid', 'late', 'late'][CAST((w - 1) % 4 + 1 AS INTEGER)] || ' ' || ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][CAST((w - 1) // 4 + 1 AS INTEGER)] || ')' AS label FROM range(1, 49) r(w)""")
+@query(f"""SELECT o_orderkey, week, 'Week ' || week || ' (' || ['early', 'mid', 'late', 'late'][CAST((week - 1) % 4 + 1 AS INTEGER)] || ' ' || ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][CAST((week - 1) // 4 + 1 AS INTEGER)] || ')' AS label FROM (SELECT o_orderkey, {WEEK_SQL} AS week FROM orders)""")
 def week_text(t: Tables):
-    weeks = t.spark.range(1, 49).select(F.col("id").cast("int").alias("week"))
-    return weeks.select("week", calendar.week_text(F.col("week")).alias("label"))
+    weeks = t.read("orders").select("o_orderkey", calendar.week_of_date(F.col("o_orderdate")).alias("week"))
+    return weeks.select("o_orderkey", "week", calendar.week_text(F.col("week")).alias("label"))
 
 
 @query("SELECT DISTINCT event_type AS name, array_to_string(list_transform(string_split(replace(event_type, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS pretty FROM events")
@@ -267,14 +267,15 @@ def jitter(t: Tables):
 
 
 VARIABLES = ["urban_fraction", "LC: Grasslands", "elevation_m", "latitude", "ndvi", "precipitation_mm", "longitude", "canopy_height_m", "temperature_c", "water_fraction"]
+VARIABLE = "element_at(array(" + ", ".join(f"'{v}'" for v in VARIABLES) + "), cast(event_id % 10 as int) + 1)"
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY g, i) AS INTEGER) AS place, name FROM (SELECT i, name, CASE WHEN name LIKE 'latitude%' OR name LIKE 'longitude%' THEN 0 WHEN name LIKE 'temperature%' OR name LIKE 'precipitation%' THEN 1 WHEN name LIKE 'elevation%' OR name LIKE 'canopy%' THEN 2 WHEN name LIKE 'water_fraction%' OR name LIKE 'urban_fraction%' THEN 3 WHEN name LIKE 'LC:%' THEN 4 ELSE 5 END AS g FROM (VALUES " + ", ".join(f"({i}, '{v}')" for i, v in enumerate(VARIABLES)) + ") v(i, name))")
+@query("SELECT user_id, array_to_string(list(name ORDER BY g, event_id), ',') AS names FROM (SELECT user_id, event_id, name, CASE WHEN name LIKE 'latitude%' OR name LIKE 'longitude%' THEN 0 WHEN name LIKE 'temperature%' OR name LIKE 'precipitation%' THEN 1 WHEN name LIKE 'elevation%' OR name LIKE 'canopy%' THEN 2 WHEN name LIKE 'water_fraction%' OR name LIKE 'urban_fraction%' THEN 3 WHEN name LIKE 'LC:%' THEN 4 ELSE 5 END AS g FROM (SELECT user_id, event_id, " + str(VARIABLES) + "[CAST(event_id % 10 AS INTEGER) + 1] AS name FROM events)) GROUP BY user_id")
 def group_order(t: Tables):
-    from pyspark.sql import Window
-
-    rows = t.spark.createDataFrame(list(enumerate(VARIABLES)), "i int, name string")
-    return rows.select(F.row_number().over(Window.orderBy(names.group_order(F.col("name")), "i")).alias("place"), "name")
+    """Variables that each user's events name, group by group, in the order of the events."""
+    rows = t.read("events").selectExpr("user_id", "event_id", f"{VARIABLE} as name")
+    place = F.struct(names.group_order(F.col("name")).alias("g"), "event_id", "name")
+    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["name"]), ",").alias("names"))
 
 
 @query(sql("SELECT cell, CAST(least(5, greatest(0, floor((lat + 90) / 30))) * 10 + least(5, greatest(0, floor((lon + 180) / 60))) AS INTEGER) AS bin FROM cells", "cells"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions.calendar import SEASON_WEEKS
 from phenogrid.operators import grids, inference, ranking
-from phenogrid.operators.regions import REGION_BOUNDS
-from phenogrid.plans.tables import PROB_SQL, Tables, made_prob, sql
+from phenogrid.plans.tables import Tables, sql
 
 QUERIES: dict = {}
 
@@ -20,40 +20,30 @@ def query(text: str | None = None):
     return keep
 
 
-BOX = REGION_BOUNDS["germany"]
+def axis_sql(low: str, high: str, step: float) -> str:
+    n = f"ceil(({high} - ({low} + {step} / 2)) / {step})"
+    return f"CASE WHEN {n} > 0 THEN list_transform(range(0, CAST({n} AS BIGINT)), lambda i: ({low} + {step} / 2 + i * {step})::DOUBLE) ELSE [({low} + {high})::DOUBLE / 2] END"
 
 
-def grid_sql(box=BOX, step: float = 1.0) -> str:
-    x0, y0, x1, y1 = box
-    axis = lambda low, high: f"SELECT ({low} + {step} / 2 + i * {step})::DOUBLE FROM range(0, CAST(ceil(({high} - ({low} + {step} / 2)) / {step}) AS BIGINT)) r(i)"
-    return f"grid AS (SELECT lat, lon FROM ({axis(y0, y1)}) a(lat) CROSS JOIN ({axis(x0, x1)}) b(lon))"
+GRID = f"lines AS (SELECT name, lon_min, lon_max, unnest({axis_sql('lat_min', 'lat_max', 1.0)}) AS lat FROM boxes), grid AS (SELECT name, lat, unnest({axis_sql('lon_min', 'lon_max', 1.0)}) AS lon FROM lines)"
 
 
-PRED = grid_sql() + f", pred AS (SELECT lat, lon, week, idx, {PROB_SQL} AS prob FROM grid CROSS JOIN (SELECT CAST(w AS INTEGER) AS week FROM range(1, 49) r(w)) CROSS JOIN (SELECT CAST(i AS INTEGER) AS idx FROM range(0, 64) r(i)))"
-AT = f"point AS (SELECT 52.52::DOUBLE AS lat, 13.4::DOUBLE AS lon), at_point AS (SELECT week, idx, {PROB_SQL} AS prob FROM point CROSS JOIN (SELECT CAST(w AS INTEGER) AS week FROM range(1, 49) r(w)) CROSS JOIN (SELECT CAST(i AS INTEGER) AS idx FROM range(0, 64) r(i)))"
-
-
-def predictions(t: Tables, weeks=range(1, 49)):
-    return made_prob(grids.with_weeks(grids.grid_points(t.spark, BOX, 1.0), list(weeks)))
-
-
-def at_point(t: Tables):
-    point = t.spark.range(1).select(F.lit(52.52).alias("lat"), F.lit(13.4).alias("lon"))
-    return made_prob(grids.with_weeks(point, list(range(1, 49)))).select("week", "idx", "prob")
+def grid(t: Tables):
+    return grids.points_by_region(t.boxes(), 1.0)
 
 
 def rounded(df, *columns):
     return df.select(*[F.round(c, 6).alias(c) if c in ("lat", "lon") else F.col(c) for c in columns])
 
 
-@query(sql("SELECT round(lat, 6) AS lat, round(lon, 6) AS lon FROM grid", more=grid_sql()))
+@query(sql("SELECT name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM grid", "boxes", more=GRID))
 def grid_centres(t: Tables):
-    return rounded(grids.grid_points(t.spark, BOX, 1.0), "lat", "lon")
+    return rounded(grid(t), "name", "lat", "lon")
 
 
-@query(sql("SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(w AS INTEGER) AS week FROM grid CROSS JOIN range(1, 49) r(w)", more=grid_sql()))
+@query(sql("SELECT name, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(w AS INTEGER) AS week FROM grid CROSS JOIN range(1, 49) r(w)", "boxes", more=GRID))
 def grid_x_weeks(t: Tables):
-    return rounded(grids.with_weeks(grids.grid_points(t.spark, BOX, 1.0), list(range(1, 49))), "lat", "lon", "week")
+    return rounded(grids.with_weeks(grid(t), list(range(1, 49))), "name", "lat", "lon", "week")
 
 
 VIEW = "views AS (SELECT c_custkey AS view, (c_custkey * 7919 % 1500)::DOUBLE / 10 - 75 - 8 AS south, (c_custkey * 7919 % 1500)::DOUBLE / 10 - 75 + 9 AS north, (c_custkey * 104729 % 4000)::DOUBLE / 10 - 200 - 15 AS west, (c_custkey * 104729 % 4000)::DOUBLE / 10 - 200 + 15 + (c_custkey % 3) * 170 AS east, CAST(c_custkey % 4 + 2 AS INTEGER) AS zoom FROM customer)"
@@ -76,49 +66,58 @@ def viewport_grid(t: Tables):
 KEY = "CAST(CAST(floor(lat * 100 + 0.5) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(floor(lon * 100 + 0.5) AS BIGINT) AS VARCHAR)"
 
 
-@query(sql(f"SELECT {KEY} AS key FROM grid WHERE floor(lat) % 2 <> 0", more=grid_sql()))
+@query(sql(f"SELECT DISTINCT {KEY} AS key FROM grid WHERE {KEY} NOT IN (SELECT {KEY} FROM grid WHERE name % 3 = 0)", "boxes", more=GRID))
 def cache_missing(t: Tables):
-    wanted = grids.grid_points(t.spark, BOX, 1.0)
-    cached = wanted.where("floor(lat) % 2 = 0")
+    """Points of the grid that those of every third box do not have."""
     key = grids.cell_key(F.col("lat"), F.col("lon")).alias("key")
-    return wanted.select(key).join(cached.select(key), "key", "left_anti")
+    cached = grid(t).where("name % 3 = 0").select(key)
+    return grid(t).select(key).distinct().join(cached, "key", "left_anti")
 
 
-@query(sql("SELECT week, count(*) AS n, round(avg(prob), 6) AS mean_prob FROM pred WHERE week IN (1, 13, 26, 39) GROUP BY week", more=PRED))
+@query(sql("SELECT week, count(*) AS n, round(avg(prob), 6) AS mean_prob FROM pred WHERE week IN (1, 13, 26, 39) GROUP BY week", "predictions"))
 def seasonal_slice(t: Tables):
-    return predictions(t).where(F.col("week").isin(*SEASON_WEEKS)).groupBy("week").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 6).alias("mean_prob"))
+    return t.predictions().where(F.col("week").isin(*SEASON_WEEKS)).groupBy("week").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 6).alias("mean_prob"))
 
 
-@query(sql("SELECT week, idx, prob FROM at_point WHERE week = 20 AND prob >= 0.15 ORDER BY prob DESC, idx LIMIT 10", more=AT))
+@query(sql("SELECT cell, week, idx, prob FROM pred WHERE prob >= 0.15 QUALIFY row_number() OVER (PARTITION BY cell, week ORDER BY prob DESC, idx) <= 3", "predictions"))
 def predict_topk(t: Tables):
-    return ranking.best(at_point(t).where("week = 20"), 0.15, 10)
+    """The three most probable species of each cell and week."""
+    return ranking.best_each(t.predictions(), 0.15, 3, ["cell", "week"]).select("cell", "week", "idx", "prob")
 
 
-@query(sql("SELECT idx, max(prob) AS prob FROM at_point GROUP BY idx", more=AT))
+@query(sql("SELECT cell, idx, max(prob) AS prob FROM pred GROUP BY cell, idx", "predictions"))
 def yearly_max(t: Tables):
-    return ranking.yearly_max(at_point(t), ["idx"])
+    return ranking.yearly_max(t.predictions(), ["cell", "idx"])
 
 
-@query(sql("SELECT idx, prob FROM (SELECT idx, max(prob) AS prob FROM at_point GROUP BY idx) WHERE prob >= 0.5 ORDER BY prob DESC, idx LIMIT 20", more=AT))
+@query(sql("SELECT cell, idx, prob FROM (SELECT cell, idx, max(prob) AS prob FROM pred GROUP BY cell, idx) WHERE prob >= 0.5 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY prob DESC, idx) <= 10", "predictions"))
 def species_weeks_topk(t: Tables):
-    return ranking.best(ranking.yearly_max(at_point(t), ["idx"]), 0.5, 20)
+    return ranking.best_each(ranking.yearly_max(t.predictions(), ["cell", "idx"]), 0.5, 10, ["cell"])
+
+
+WEEKLY = "weekly AS (SELECT idx, week, max(prob) AS prob FROM pred GROUP BY idx, week)"
 
 
-@query(sql("SELECT idx, round(avg(prob), 6) AS avg_prob, round(greatest(max(avg(prob)) OVER (), 0.01), 6) AS max_avg FROM at_point GROUP BY idx", more=AT))
+def weekly(t: Tables):
+    """The greatest score of each species and week over all cells."""
+    return t.predictions().groupBy("idx", "week").agg(F.max("prob").alias("prob"))
+
+
+@query(sql("SELECT idx, round(avg(prob) + 1e-9, 6) AS avg_prob, round(greatest(max(avg(prob)) OVER (), 0.01) + 1e-9, 6) AS max_avg FROM weekly GROUP BY idx", "predictions", more=WEEKLY))
 def phenology_avg(t: Tables):
-    avg = at_point(t).groupBy("idx").agg(F.avg("prob").alias("avg_prob"))
-    return ranking.over_maximum(avg, "avg_prob", 0.01).select("idx", F.round("avg_prob", 6).alias("avg_prob"), F.round("max_value", 6).alias("max_avg"))
+    avg = weekly(t).groupBy("idx").agg(F.avg("prob").alias("avg_prob"))
+    return ranking.over_maximum(avg, "avg_prob", 0.01).select("idx", F.round(F.col("avg_prob") + 1e-9, 6).alias("avg_prob"), F.round(F.col("max_value") + 1e-9, 6).alias("max_avg"))
 
 
-@query(sql("SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, week, count(*) FILTER (WHERE prob >= 0.5) AS n_species FROM pred GROUP BY lat, lon, week", more=PRED))
+@query(sql("SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, week, count(*) FILTER (WHERE prob >= 0.5) AS n_species FROM pred GROUP BY lat, lon, week", "predictions"))
 def richness_pred(t: Tables):
-    return rounded(ranking.richness(predictions(t), 0.5, ["lat", "lon", "week"]), "lat", "lon", "week", "n_species")
+    return rounded(ranking.richness(t.predictions(), 0.5, ["lat", "lon", "week"]), "lat", "lon", "week", "n_species")
 
 
-@query(sql("SELECT p.idx, coalesce(code, 'idx' || p.idx) AS code, coalesce(com, 'idx' || p.idx) AS com, prob FROM (SELECT * FROM at_point WHERE week = 5) p LEFT JOIN labels_t l ON l.idx = p.idx", "labels", more=AT))
+@query(sql("SELECT cell, week, p.idx, coalesce(code, 'idx' || p.idx) AS code, coalesce(com, 'idx' || p.idx) AS com, prob FROM pred p LEFT JOIN labels_t l ON l.idx = p.idx", "labels", "predictions"))
 def join_labels_left(t: Tables):
     none = F.concat(F.lit("idx"), F.col("idx").cast("string"))
-    return at_point(t).where("week = 5").join(t.labels(), "idx", "left").select("idx", F.coalesce("code", none).alias("code"), F.coalesce("com", none).alias("com"), "prob")
+    return t.predictions().join(t.labels(), "idx", "left").select("cell", "week", "idx", F.coalesce("code", none).alias("code"), F.coalesce("com", none).alias("com"), "prob")
 
 
 @query(sql("SELECT l.idx, coalesce(lower(trim(class_name)), '') = 'aves' AS is_bird FROM labels_t l LEFT JOIN (SELECT * FROM taxonomy WHERE n % 11 <> 0) x ON x.sci_name = l.sci", "labels"))
@@ -127,18 +126,17 @@ def split_by_class(t: Tables):
     return t.labels().join(known, "sci", "left").select("idx", (F.coalesce(F.lower(F.trim("class_name")), F.lit("")) == "aves").alias("is_bird"))
 
 
-REGION_AXIS = "CASE WHEN ceil(({h} - ({l} + 2.5)) / 5) > 0 THEN list_transform(range(0, CAST(ceil(({h} - ({l} + 2.5)) / 5) AS BIGINT)), lambda i: ({l} + 2.5 + i * 5)::DOUBLE) ELSE [({l} + {h})::DOUBLE / 2] END"
-SCORES = f"""rlat AS (SELECT region_id, name, lon_min, lon_max, unnest({REGION_AXIS.format(l='lat_min', h='lat_max')}) AS lat FROM regions), rpt AS (SELECT region_id, name, lat, unnest({REGION_AXIS.format(l='lon_min', h='lon_max')}) AS lon FROM rlat),
-scores AS (SELECT region_id, name, idx, avg({PROB_SQL}) AS score FROM rpt CROSS JOIN (VALUES (1), (13), (26), (39)) w(week) CROSS JOIN (SELECT CAST(i AS INTEGER) AS idx FROM range(0, 64) r(i)) GROUP BY ALL)"""
+SCORES = "scores AS (SELECT region_id, name, idx, avg(prob) AS score FROM pred JOIN regions ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max WHERE week % 12 < 4 GROUP BY ALL)"
 
 
 def scores(t: Tables):
-    points = grids.points_by_region(t.regions(), 5.0)
-    rows = made_prob(grids.with_weeks(points, list(SEASON_WEEKS))).join(F.broadcast(t.regions().select("region_id", "name")), "name")
-    return ranking.region_scores(rows)
+    """Mean scores of a region's cells in the first weeks of each season; the regions are a fixed table of twenty rows."""
+    r = t.regions()
+    held = t.predictions().where("week % 12 < 4").join(F.broadcast(r), F.col("lon").between(F.col("lon_min"), F.col("lon_max")) & F.col("lat").between(F.col("lat_min"), F.col("lat_max")))
+    return ranking.region_scores(held)
 
 
-@query(sql("SELECT name, idx, round(score + 1e-8, 6) AS score FROM scores", "regions", more=SCORES))
+@query(sql("SELECT name, idx, round(score + 1e-8, 6) AS score FROM scores", "regions", "predictions", more=SCORES))
 def region_scores(t: Tables):
     # a hair on top, so that exact halves round alike in every engine
     return scores(t).select("name", "idx", F.round(F.col("score") + 1e-8, 6).alias("score"))
@@ -150,7 +148,7 @@ def ranked(t: Tables):
     return ranking.region_ranks(s)
 
 
-@query(sql("SELECT name, idx, idx % 3 <> 0 AS is_bird, CAST(row_number() OVER (PARTITION BY region_id, idx % 3 <> 0 ORDER BY round(score, 9) DESC, idx) AS INTEGER) AS rank FROM scores", "regions", more=SCORES))
+@query(sql("SELECT name, idx, idx % 3 <> 0 AS is_bird, CAST(row_number() OVER (PARTITION BY region_id, idx % 3 <> 0 ORDER BY round(score, 9) DESC, idx) AS INTEGER) AS rank FROM scores", "regions", "predictions", more=SCORES))
 def region_ranks(t: Tables):
     return ranked(t).select("name", "idx", "is_bird", "rank")
 
@@ -165,21 +163,24 @@ step AS (SELECT 0 AS i, 0 AS used, 0 AS idle, []::INTEGER[] AS taken, []::INTEGE
 last_step AS (SELECT taken, places FROM step ORDER BY len(taken) DESC LIMIT 1), picks AS (SELECT CAST(unnest(range(1, len(taken) + 1)) AS INTEGER) AS pick, unnest(places) AS region_id, unnest(taken) AS idx FROM last_step)"""
 
 
-@query(sql("SELECT pick, region_id, idx FROM picks", "regions", more=PICKS, recursive=True))
+@query(sql("SELECT pick, region_id, idx FROM picks", "regions", "predictions", more=PICKS, recursive=True))
 def round_robin_select(t: Tables):
     return ranking.round_robin(ranked(t), 40)
 
 
-@query(sql("SELECT pick, p.idx, coalesce(code, 'idx' || p.idx) AS code, sci, com FROM picks p LEFT JOIN labels_t l ON l.idx = p.idx", "regions", "labels", more=PICKS, recursive=True))
+@query(sql("SELECT pick, p.idx, coalesce(code, 'idx' || p.idx) AS code, sci, com FROM picks p LEFT JOIN labels_t l ON l.idx = p.idx", "regions", "predictions", "labels", more=PICKS, recursive=True))
 def common_species(t: Tables):
     """The list that stands for all regions, with labels."""
     picks = ranking.round_robin(ranked(t), 40)
     return picks.join(t.labels(), "idx", "left").select("pick", "idx", F.coalesce("code", F.concat(F.lit("idx"), "idx")).alias("code"), "sci", "com")
 
 
-@query(sql("SELECT name, count(*) AS n_present, count(*) FILTER (WHERE idx % 2 = 0) AS n_selected, round(100.0 * count(*) FILTER (WHERE idx % 2 = 0) / count(*), 6)::DOUBLE AS pct FROM scores WHERE score > 0.5 GROUP BY name", "regions", more=SCORES))
+CHOSEN = "idx IN (SELECT p_partkey % 64 FROM part WHERE p_size <= 2)"
+
+
+@query(sql(f"SELECT name, count(*) AS n_present, count(*) FILTER (WHERE {CHOSEN}) AS n_selected, round(100.0 * count(*) FILTER (WHERE {CHOSEN}) / count(*), 6)::DOUBLE AS pct FROM scores WHERE score > 0.5 GROUP BY name", "regions", "predictions", more=SCORES))
 def region_coverage(t: Tables):
-    chosen = t.spark.range(0, 64, 2).select(F.col("id").cast("int").alias("idx"))
+    chosen = t.read("part").where("p_size <= 2").selectExpr("cast(p_partkey % 64 as int) as idx")
     return ranking.region_coverage(scores(t), chosen, 0.5).withColumn("pct", F.round("pct", 6))
 
 
@@ -218,43 +219,43 @@ def quoted(c: str):
     return F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-@query(sql(f"SELECT CAST(row_number() OVER (ORDER BY prob DESC, idx) AS INTEGER) AS rank, row_number() OVER (ORDER BY prob DESC, idx) || ',' || {LINE} || ',' || printf('%.6f', prob) AS line FROM at_point JOIN labels_t USING (idx) WHERE week = 20 AND prob >= 0.5", "labels", more=AT))
+@query(sql(f"SELECT cell, CAST(row_number() OVER w AS INTEGER) AS rank, row_number() OVER w || ',' || {LINE} || ',' || printf('%.6f', prob) AS line FROM (SELECT cell, idx, max(prob) AS prob FROM pred GROUP BY cell, idx) JOIN labels_t USING (idx) WHERE prob >= 0.5 WINDOW w AS (PARTITION BY cell ORDER BY prob DESC, idx)", "labels", "predictions"))
 def csv_species_list(t: Tables):
-    """Lines of the species list report; a list is as short as the vocabulary."""
-    from pyspark.sql import Window
-
-    rows = at_point(t).where("week = 20 and prob >= 0.5").join(t.labels(), "idx")
-    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("prob"), "idx")))
-    return rows.select("rank", F.concat_ws(",", F.col("rank").cast("string"), quoted("code"), quoted("com"), quoted("sci"), F.format_string("%.6f", "prob")).alias("line"))
+    """Lines of each cell's species list; a list is as short as the vocabulary."""
+    rows = ranking.yearly_max(t.predictions(), ["cell", "idx"]).where("prob >= 0.5").join(t.labels(), "idx")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("prob"), "idx")))
+    return rows.select("cell", "rank", F.concat_ws(",", F.col("rank").cast("string"), quoted("code"), quoted("com"), quoted("sci"), F.format_string("%.6f", "prob")).alias("line"))
 
 
-@query(sql(f"SELECT idx, {LINE} || ',' || string_agg(printf('%.6f', prob), ',' ORDER BY week) || ',' || printf('%.6f', round(avg(prob), 9)) AS line FROM at_point JOIN labels_t USING (idx) GROUP BY idx, code, com, sci", "labels", more=AT))
+@query(sql(f"SELECT idx, {LINE} || ',' || string_agg(printf('%.6f', coalesce(prob, 0)), ',' ORDER BY w) || ',' || printf('%.6f', sum(coalesce(prob, 0)) / 48 + 1e-8) AS line FROM (SELECT DISTINCT idx FROM weekly) CROSS JOIN range(1, 49) r(w) LEFT JOIN (SELECT idx, week AS w, prob FROM weekly) USING (idx, w) JOIN labels_t USING (idx) GROUP BY idx, code, com, sci", "labels", "predictions", more=WEEKLY))
 def csv_phenology_wide(t: Tables):
-    wide = at_point(t).groupBy("idx").pivot("week", list(range(1, 49))).agg(F.first("prob"))
-    avg = at_point(t).groupBy("idx").agg(F.round(F.avg("prob"), 9).alias("average"))
-    rows = wide.join(avg, "idx").join(t.labels(), "idx")
-    return rows.select("idx", F.concat_ws(",", quoted("code"), quoted("com"), quoted("sci"), *[F.format_string("%.6f", F.col(f"`{w}`")) for w in range(1, 49)], F.format_string("%.6f", "average")).alias("line"))
+    """A line for each species: its 48 weeks and their average; 0 where it has no score."""
+    wide = weekly(t).groupBy("idx").pivot("week", list(range(1, 49))).agg(F.first("prob")).fillna(0.0)
+    weeks = [F.col(f"`{w}`") for w in range(1, 49)]
+    average = sum(weeks[1:], weeks[0]) / 48 + 1e-8  # a hair on top, so that exact halves round alike in every engine
+    return wide.join(t.labels(), "idx").select("idx", F.concat_ws(",", quoted("code"), quoted("com"), quoted("sci"), *[F.format_string("%.6f", w) for w in weeks], F.format_string("%.6f", average)).alias("line"))
 
 
-@query(sql("SELECT printf('%.4f', round(lat, 6)) || ',' || printf('%.4f', round(lon, 6)) || ',' || printf('%.6f', prob) AS line FROM pred WHERE idx = 3 AND week = 20 AND prob > 0.001", more=PRED))
+@query(sql("SELECT idx, printf('%.4f', round(lat, 6)) || ',' || printf('%.4f', round(lon, 6)) || ',' || printf('%.6f', max(prob)) AS line FROM pred WHERE prob > 0.001 GROUP BY cell, lat, lon, idx", "predictions"))
 def csv_range(t: Tables):
-    rows = predictions(t).where("idx = 3 and week = 20 and prob > 0.001")
-    return rows.select(F.concat_ws(",", F.format_string("%.4f", F.round("lat", 6)), F.format_string("%.4f", F.round("lon", 6)), F.format_string("%.6f", "prob")).alias("line"))
+    """Lines of every species' range: its cells and their greatest score."""
+    rows = t.predictions().where("prob > 0.001").groupBy("cell", "lat", "lon", "idx").agg(F.max("prob").alias("prob"))
+    return rows.select("idx", F.concat_ws(",", F.format_string("%.4f", F.round("lat", 6)), F.format_string("%.4f", F.round("lon", 6)), F.format_string("%.6f", "prob")).alias("line"))
 
 
-@query(sql("SELECT printf('%.4f', round(lat, 6)) || ',' || printf('%.4f', round(lon, 6)) || ',' || count(*) FILTER (WHERE prob >= 0.05) AS line FROM pred WHERE week = 20 GROUP BY lat, lon", more=PRED))
+@query(sql("SELECT week, printf('%.4f', round(lat, 6)) || ',' || printf('%.4f', round(lon, 6)) || ',' || count(*) FILTER (WHERE prob >= 0.05) AS line FROM pred GROUP BY cell, week, lat, lon", "predictions"))
 def csv_richness(t: Tables):
-    rows = ranking.richness(predictions(t).where("week = 20"), 0.05, ["lat", "lon"])
-    return rows.select(F.concat_ws(",", F.format_string("%.4f", F.round("lat", 6)), F.format_string("%.4f", F.round("lon", 6)), F.col("n_species").cast("string")).alias("line"))
+    rows = ranking.richness(t.predictions(), 0.05, ["cell", "week", "lat", "lon"])
+    return rows.select("week", F.concat_ws(",", F.format_string("%.4f", F.round("lat", 6)), F.format_string("%.4f", F.round("lon", 6)), F.col("n_species").cast("string")).alias("line"))
 
 
-@query(sql("SELECT week, idx, round(max(prob), 6) AS max_prob, count(*) FILTER (WHERE prob >= 0.5) AS n_cells FROM pred WHERE week IN (1, 13, 26, 39) GROUP BY week, idx", more=PRED))
+@query(sql("SELECT week, idx, round(max(prob), 6) AS max_prob, count(*) FILTER (WHERE prob >= 0.5) AS n_cells FROM pred WHERE week IN (1, 13, 26, 39) GROUP BY week, idx", "predictions"))
 def range_product(t: Tables):
-    return predictions(t, SEASON_WEEKS).groupBy("week", "idx").agg(F.round(F.max("prob"), 6).alias("max_prob"), F.count_if(F.col("prob") >= 0.5).alias("n_cells"))
+    return t.predictions().where(F.col("week").isin(*SEASON_WEEKS)).groupBy("week", "idx").agg(F.round(F.max("prob"), 6).alias("max_prob"), F.count_if(F.col("prob") >= 0.5).alias("n_cells"))
 
 
 @query()
 def predict_udf(t: Tables):
-    """A small untrained network over the grid in four weeks."""
-    points = grids.with_weeks(grids.grid_points(t.spark, BOX, 1.0), list(SEASON_WEEKS))
+    """A small untrained network over all cells in four weeks."""
+    points = grids.with_weeks(t.cells().select("cell", "lat", "lon"), list(SEASON_WEEKS))
     return inference.predict(points, inference.random_weights(16)).select("lat", "lon", "week", F.posexplode("probs").alias("idx", "prob"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions import geo
@@ -117,9 +118,12 @@ def range_join_regions(t: Tables):
     return t.cells().join(F.broadcast(r), F.col("lon").between(F.col("lon_min"), F.col("lon_max")) & F.col("lat").between(F.col("lat_min"), F.col("lat_max"))).select("name", "cell")
 
 
-@query(sql("SELECT name FROM regions ORDER BY (lon_max - lon_min) * (lat_max - lat_min) DESC, name LIMIT 5", "regions"))
+@query(sql("SELECT name, CAST(row_number() OVER (ORDER BY round((lon_max - lon_min) * (lat_max - lat_min), 6) DESC, name) AS INTEGER) AS place FROM boxes QUALIFY place <= 50", "boxes"))
 def sort_bbox_area(t: Tables):
-    return t.regions().orderBy(((F.col("lon_max") - F.col("lon_min")) * (F.col("lat_max") - F.col("lat_min"))).desc(), "name").limit(5).select("name")
+    """The fifty boxes to be drawn first, the largest before smaller ones."""
+    area = F.round((F.col("lon_max") - F.col("lon_min")) * (F.col("lat_max") - F.col("lat_min")), 6)
+    first = t.boxes().select("name", area.alias("area")).orderBy(F.desc("area"), "name").limit(50)
+    return first.select("name", F.row_number().over(Window.orderBy(F.desc("area"), "name")).alias("place"))
 
 
 @query(sql("SELECT cell FROM cells ORDER BY (lat - 50.8) * (lat - 50.8) + (lon - 12.9) * (lon - 12.9), lat, lon, cell LIMIT 1", "cells"))

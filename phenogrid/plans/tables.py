@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from phenogrid.functions import calendar
 from phenogrid.operators.regions import SAMPLING_REGIONS, region_table
 
-N_SPECIES = 64  # of the made predictions
+N_SPECIES = 64  # of the predictions
 
 
 class Tables:
@@ -83,17 +83,22 @@ class Tables:
         """Model labels of the taxonomy: idx, code, sci, com."""
         return self.taxonomy().selectExpr("n - 1 as idx", "concat('sp', lpad(cast(n as string), 4, '0')) as code", "sci_name as sci", "case when com_name = '' then sci_name else com_name end as com")
 
-    def regions(self) -> DataFrame:
-        return region_table(self.spark, SAMPLING_REGIONS)
+    def boxes(self) -> DataFrame:
+        """A box of some degrees for each supplier."""
+        low = self.read("supplier").selectExpr("s_suppkey as name", "(s_suppkey * 104729 % 3400) / 10 - 170 as lon_min", "(s_suppkey * 7919 % 1600) / 10 - 80 as lat_min")
+        return low.selectExpr("name", "lon_min", "lat_min", "lon_min + 3 + name % 5 as lon_max", "lat_min + 2 + name % 4 as lat_max")
 
+    def predictions(self) -> DataFrame:
+        """Scores of species at cells and weeks: a whole number of thousandths from the quantities ordered there."""
+        o = self.read("orders").select("o_orderkey", F.col("o_custkey").alias("cell"), calendar.week_of_date(F.col("o_orderdate")).alias("week"))
+        line = self.read("lineitem").selectExpr("l_orderkey as o_orderkey", f"cast(l_partkey % {N_SPECIES} as int) as idx", "cast(l_quantity as bigint) as q")
+        sums = line.join(o, "o_orderkey").groupBy("cell", "week", "idx").agg(F.sum("q").alias("q"))
+        return sums.join(self.cells().select("cell", "lat", "lon"), "cell").selectExpr("cell", "lat", "lon", "week", "idx", "(q * 37 + week * 7 + idx * 13) % 1000 / 1000 as prob")
 
-def made_prob(points: DataFrame, n_species: int = N_SPECIES) -> DataFrame:
-    """Predictions in place of a model's: a whole number of thousandths from place, week and species."""
-    rows = points.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n_species - 1))))
-    return rows.withColumn("prob", F.expr("pmod(cast(floor(lat * 2) as bigint) * 31 + cast(floor(lon * 2) as bigint) * 17 + week * 7 + idx * 13, 1000) / 1000"))
+    def regions(self) -> DataFrame:
+        return region_table(self.spark, SAMPLING_REGIONS)
 
 
-PROB_SQL = "CAST(((CAST(floor(lat * 2) AS BIGINT) * 31 + CAST(floor(lon * 2) AS BIGINT) * 17 + week * 7 + idx * 13) % 1000 + 1000) % 1000 AS DOUBLE) / 1000"
 WEEK_SQL = "CAST((month(o_orderdate) - 1) * 4 + CASE WHEN day(o_orderdate) <= 7 THEN 1 WHEN day(o_orderdate) <= 14 THEN 2 WHEN day(o_orderdate) <= 21 THEN 3 ELSE 4 END AS INTEGER)"
 
 CTE = {
@@ -109,9 +114,11 @@ CTE = {
     "sets": "sets AS (SELECT cell, week, list_sort(list(species)) AS species FROM presence GROUP BY cell, week)",
     "evaluation": "evaluation AS (SELECT user_id AS sample, event_type AS species, event_id AS tie, (event_id * 7919 % 1000)::DOUBLE / 1000 AS prob, value > 100 AS label, (event_id * 31 % 161)::DOUBLE / 10 - 8 AS logit, CASE WHEN value > 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target, user_id % 50 AS density FROM events)",
     "labels": "labels_t AS (SELECT n - 1 AS idx, 'sp' || lpad(CAST(n AS VARCHAR), 4, '0') AS code, sci_name AS sci, CASE WHEN com_name = '' THEN sci_name ELSE com_name END AS com FROM taxonomy)",
+    "boxes": "boxes AS (SELECT *, lon_min + 3 + name % 5 AS lon_max, lat_min + 2 + name % 4 AS lat_max FROM (SELECT s_suppkey AS name, (s_suppkey * 104729 % 3400)::DOUBLE / 10 - 170 AS lon_min, (s_suppkey * 7919 % 1600)::DOUBLE / 10 - 80 AS lat_min FROM supplier))",
+    "predictions": f"pred AS (SELECT cell, lat, lon, week, idx, CAST((q * 37 + week * 7 + idx * 13) % 1000 AS DOUBLE) / 1000 AS prob FROM (SELECT o_custkey AS cell, {WEEK_SQL} AS week, CAST(l_partkey % {N_SPECIES} AS INTEGER) AS idx, sum(CAST(l_quantity AS BIGINT)) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) JOIN cells USING (cell))",
     "regions": "regions(region_id, name, lon_min, lat_min, lon_max, lat_max) AS (VALUES " + ", ".join(f"({i}, '{n}', {b[0]}::DOUBLE, {b[1]}::DOUBLE, {b[2]}::DOUBLE, {b[3]}::DOUBLE)" for i, (n, b) in enumerate(SAMPLING_REGIONS.items())) + ")",
 }
-NEEDS = {"presence": ["occurrence"], "sets": ["presence"], "labels": ["taxonomy"]}
+NEEDS = {"presence": ["occurrence"], "sets": ["presence"], "labels": ["taxonomy"], "predictions": ["cells"]}
 
 
 def sql(body: str, *ctes: str, more: str = "", recursive: bool = False) -> str:
