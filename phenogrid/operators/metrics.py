@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenogrid.functions.scalars import symmetric_ratio
-from phenogrid.operators.totals import quantiles, running_total
+from phenogrid.operators.totals import quantiles, running_total, running_totals
 
 THRESHOLDS = (0.05, 0.10, 0.25)
 # Components of the composite score and their weights.
@@ -14,10 +14,14 @@ SCORE_WEIGHTS = {"map": 0.20, "f1_10": 0.20, "list_ratio_10": 0.15, "watchlist_m
 
 
 def average_precision(scored: DataFrame, by: str, tie: str) -> DataFrame:
-    """Average precision of each group with a positive: precision at each hit, averaged."""
-    w = Window.partitionBy(by).orderBy(F.desc("prob"), tie)
-    hit = F.col("label").cast("int")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum(hit).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Average precision of each group with a positive: precision at each hit, averaged.
+
+    Ranks and hits so far are running totals by ranges of the score, so that
+    a group with most of the rows is ranked by many tasks.
+    """
+    rows = scored.withColumn("_down", -F.col("prob")).withColumn("_hit", F.col("label").cast("int"))
+    ranked = running_totals(rows, "_down", [tie], {"rank": F.lit(1), "hits": F.col("_hit")}, (by,))
+    hit = F.col("_hit")
     return ranked.groupBy(by).agg(F.sum(hit).cast("long").alias("n_pos"), F.sum(hit * F.col("hits") / F.col("rank")).alias("_sum")).where("n_pos > 0").select(by, "n_pos", (F.col("_sum") / F.col("n_pos")).alias("ap"))
 
 

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+RANGES = 1024  # at most
+RANGE_ROWS = 20_000  # fewer rows are not cut into ranges
 
 
-def running_total(df: DataFrame, head: str, order: list[str], value: str, name: str = "upto") -> DataFrame:
-    """Adds the total of ``value`` up to and with each row, in the order of the number ``head``, then ``order``.
+def running_totals(df: DataFrame, head: str, order: list[str], values: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds totals of ``values`` up to and with each row of equal ``by``, in the order of the number ``head``, then ``order``.
 
-    Rows are cut into ranges of ``head`` at approximate quantiles; a row's
-    total is that of the ranges below plus the running total in its own.  No
-    task holds more than a range, and of ranges there are a thousand at most.
+    Rows are cut into ranges of ``head`` at approximate quantiles, as many as
+    their number asks for; a row's total is that of the ranges below plus the
+    running total in its own.  So a group with most of the rows is spread
+    over as many tasks as there are ranges, of which there are a thousand at
+    most.  Rows of one ``head`` are in one range.
     """
     steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = df.agg(F.percentile_approx(head, steps, F.lit(10 * RANGES)).alias("_cuts"))
+    cuts = df.agg(F.percentile_approx(head, steps, F.lit(10 * RANGES)).alias("_every"), F.count("*").alias("_rows"))
+    # of all cuts every one in so many, or none
+    cuts = cuts.select(F.expr(f"filter(_every, (c, i) -> (i + 1) % greatest(1, cast({RANGES * RANGE_ROWS} div greatest(_rows, 1) as int)) = 0)").alias("_cuts"))
     rows = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.expr(f"coalesce(size(filter(_cuts, c -> c <= {head})), 0)")).drop("_cuts")
-    sums = rows.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    below = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
-    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(head, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("_inside", inside).join(F.broadcast(below), "_range").withColumn(name, F.col("_below") + F.col("_inside")).drop("_range", "_below", "_inside")
+    inside = Window.partitionBy(*by, "_range").orderBy(head, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    group = {c: f"_of_{c}" for c in [*by, "_range"]}
+    sums = rows.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
+    sums = sums.select(*[F.col(c).alias(g) for c, g in group.items()], *[F.coalesce(F.sum(f"_sum_{n}").over(below), F.lit(0)).alias(f"_below_{n}") for n in values])
+    same = None
+    for c, g in group.items():
+        same = F.col(c).eqNullSafe(F.col(g)) if same is None else same & F.col(c).eqNullSafe(F.col(g))
+    # without groups there is a row for each range
+    found = rows.withColumns({f"_in_{n}": F.sum(v).over(inside) for n, v in values.items()}).join(sums if by else F.broadcast(sums), same)
+    return found.select(*df.columns, *[(F.col(f"_below_{n}") + F.col(f"_in_{n}")).alias(n) for n in values])
+
+
+def running_total(df: DataFrame, head: str, order: list[str], value: str, name: str = "upto") -> DataFrame:
+    """Adds the total of one column over the whole table."""
+    return running_totals(df, head, order, {name: F.col(value)})
 
 
 def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:

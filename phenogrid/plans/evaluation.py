@@ -127,6 +127,20 @@ def an_loss(t: Tables):
     return L.assume_negative(t.evaluation(), "sample").select(F.round("an_loss", 6).alias("an_loss"))
 
 
+# a sample's species are its events, numbered; 16 of them are drawn
+SAMPLED = f"""numbered AS (SELECT sample, target, {BCE} AS loss, row_number() OVER (PARTITION BY sample ORDER BY tie) - 1 AS idx, count(*) OVER (PARTITION BY sample) AS n FROM (SELECT sample, tie, target, greatest(0.05, least(0.95, target)) AS smooth, logit FROM evaluation)),
+drawn AS (SELECT sample, CAST(floor(CAST('0x' || substr(md5(CAST(sample AS VARCHAR) || '|' || turn || '|42'), 1, 8) AS BIGINT)::DOUBLE / 4294967296 * n) AS BIGINT) AS idx FROM (SELECT DISTINCT sample, n FROM numbered WHERE n > 16) CROSS JOIN range(0, 16) r(turn)),
+few AS (SELECT sample, sum(loss) / count(*) AS mean FROM drawn JOIN numbered USING (sample, idx) WHERE target < 0.5 GROUP BY sample),
+per AS (SELECT sample, sum(CASE WHEN target > 0.5 THEN loss ELSE 0 END) AS pos, sum(CASE WHEN target > 0.5 THEN 0 ELSE loss END) AS neg, count(*) AS n, count(*) FILTER (WHERE target < 0.5) AS n_neg FROM numbered GROUP BY sample)""".replace("- logit * target", "- logit * smooth")
+
+
+@query(sql("SELECT round(avg((4.0 * pos + CASE WHEN n > 16 THEN coalesce(mean * n_neg, 0) ELSE neg END) / n), 6) AS an_loss FROM per LEFT JOIN few USING (sample)", "evaluation", more=SAMPLED))
+def an_loss_sampled(t: Tables):
+    """The loss with sixteen species of each sample drawn, and smoothed labels."""
+    e = t.evaluation().withColumn("idx", F.row_number().over(Window.partitionBy("sample").orderBy("tie")) - 1)
+    return L.assume_negative(e, "sample", smoothing=0.05, negatives=16, idx="idx").select(F.round("an_loss", 6).alias("an_loss"))
+
+
 @query(sql("SELECT round(coalesce(avg(pow(least(10000.0, greatest(-10000.0, lat * 400)) - elevation, 2)), 0), 3) AS mse FROM cells", "cells"))
 def masked_mse(t: Tables):
     return t.cells().agg(F.round(L.masked_mse(F.col("lat") * 400, F.col("elevation")), 3).alias("mse"))

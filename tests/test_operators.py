@@ -119,3 +119,59 @@ def test_robust_range(spark):
     r = environment.robust_range(df, "x", 0.0, 1.0).first()
     assert (r["vmin"], r["vmax"]) == (1.0, 4.0)
     assert environment.drop_all_null(df.withColumn("y", F.lit(None).cast("int"))).columns == ["x"]
+
+
+def test_samples_are_filters(spark, monkeypatch):
+    """The last draw is found by counts, in slots within slots."""
+    monkeypatch.setattr(sampling, "EDGE_ROWS", 3)
+    monkeypatch.setattr(sampling, "SLOT_DIGITS", 1)
+    df = spark.range(500).selectExpr("id as k")
+    order = [r["k"] for r in df.orderBy(sampling.draw_order(F.col("k"), seed=7), "k").collect()]
+    for count in (1, 2, 17, 250, 499, 500, 900):
+        drawn = sampling.exact_sample(df, ["k"], count=count, seed=7)
+        assert {r["k"] for r in drawn.collect()} == set(order[:count])
+        assert "TakeOrdered" not in drawn._jdf.queryExecution().toString()
+    assert sampling.exact_sample(df.limit(0), ["k"], 0.5).count() == 0 and sampling.exact_sample(df, ["k"], count=0).count() == 0
+
+
+def test_cap_of_a_common_species(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SLOT_DIGITS", 1)
+    rows = spark.range(1000).selectExpr("id as k", "case when id % 10 < 8 then 'common' when id % 10 = 8 then null else concat('s', id % 100) end as species")
+    draw = sampling.draw_order(F.col("k"), F.col("species"))
+    want = {}
+    for r in rows.orderBy(draw, "k").collect():
+        want.setdefault(r["species"], []).append(r["k"])
+    for most in (1, 9, 10, 100, 799, 800, 5000):
+        got = {}
+        for r in sampling.cap_observations(rows, most, ["k"]).collect():
+            got.setdefault(r["species"], set()).add(r["k"])
+        assert got == {s: set(k[:most]) for s, k in want.items()}
+
+
+def test_running_totals_of_groups(spark, monkeypatch):
+    """A group with most rows lies in many ranges; null groups and ties count too."""
+    from phenogrid.operators import totals
+
+    monkeypatch.setattr(totals, "RANGE_ROWS", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, "big" if rng.random() < 0.7 else [None, "a", "b"][rng.integers(3)], float(rng.integers(0, 400)) / 7, int(rng.integers(0, 5))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, g string, x double, v int")
+    out = totals.running_totals(df, "x", ["i"], {"n": F.lit(1), "s": F.col("v")}, ("g",))
+    seen = {}
+    want = {}
+    for i, g, x, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        n, s = seen.get(g, (0, 0))
+        seen[g] = want[i] = (n + 1, s + v)
+    assert {r["i"]: (r["n"], r["s"]) for r in out.collect()} == want
+
+
+def test_sampled_negatives_stand_for_all(spark):
+    from phenogrid.operators import losses
+
+    rng = np.random.default_rng(1)
+    rows = [(s, i, float(rng.normal()), float(rng.random() < 0.1)) for s in range(40) for i in range(300)]
+    df = spark.createDataFrame(rows, "sample int, idx int, logit double, target double")
+    whole = losses.assume_negative(df, "sample").first()[0]
+    some = losses.assume_negative(df, "sample", negatives=200, idx="idx").first()[0]
+    assert some != whole and abs(some / whole - 1) < 0.03
+    assert losses.assume_negative(df, "sample", negatives=300, idx="idx").first()[0] == pytest.approx(whole)
