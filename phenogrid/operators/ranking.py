@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phenogrid.operators.stored import stored
+
 
 def best(predictions: DataFrame, threshold: float, k: int, tie: str = "idx") -> DataFrame:
     """Rows of at least ``threshold``, then the k most probable; ties by index."""
@@ -92,10 +94,67 @@ def search(labels: DataFrame, text: str, most: int = 30) -> DataFrame:
     return labels.where(hit).orderBy("idx").limit(most)
 
 
-def resolve(labels: DataFrame, asked: DataFrame, exact_first: bool) -> DataFrame:
+NAMES = ("code", "sci", "com")
+GRAM = 3
+
+
+def _grams(text, sizes: str):
+    """Distinct runs of characters of a text, of the sizes that an SQL array gives."""
+    return F.expr(f"array_distinct(flatten(transform({sizes}, n -> transform(sequence(1, length({text}) - n + 1), i -> substring({text}, i, n)))))")
+
+
+def name_index(labels: DataFrame) -> DataFrame:
+    """``gram, idx``: runs of up to three characters of each label's names, and one empty run; a table worth keeping for many searches."""
+    names = labels.select("idx", F.explode(F.array(*[F.lower(c) for c in NAMES])).alias("name")).where("name is not null")
+    sizes = f"filter(sequence(1, {GRAM}), n -> n <= length(name))"
+    grams = F.array_union(F.array(F.lit("")), _grams("name", sizes))
+    return names.select("idx", F.explode(grams).alias("gram")).distinct()
+
+
+def matches(labels: DataFrame, asked: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``query`` and label columns of the labels that hold each distinct asked text in code, scientific or common name.
+
+    Of a text's runs of three characters (the text itself, if it is shorter)
+    the one that the fewest labels have leads to the candidates, which are
+    then tested whole.  Texts are trimmed, and case does not count.
+    """
+    index = name_index(labels) if index is None else index
+    texts = asked.select("query").distinct().withColumn("_q", F.lower(F.trim("query")))
+    sizes = f"array(least({GRAM}, length(_q)))"
+    grams = texts.withColumn("gram", F.explode(F.when(F.length("_q") > 0, _grams("_q", sizes)).otherwise(F.array(F.lit("")))))
+    held = grams.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = held.groupBy("query", "_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("query", "_q", "m.gram")
+    q = F.col("_q")
+    found = rarest.join(index, "gram").join(labels, "idx")
+    return found.where(F.lower("code").contains(q) | F.lower("sci").contains(q) | F.lower("com").contains(q))
+
+
+def resolve(labels: DataFrame, asked: DataFrame, exact_first: bool, index: DataFrame | None = None) -> DataFrame:
     """The label that each asked name means: exact matches first if wanted, then substrings, by index."""
-    q = F.lower(F.trim("query"))
-    pairs = labels.join(F.broadcast(asked), F.lower("code").contains(q) | F.lower("sci").contains(q) | F.lower("com").contains(q))
+    q = F.col("_q")
     exact = ((F.lower("code") == q) | (F.lower("sci") == q) | (F.lower("com") == q)).cast("int")
     order = F.struct((-exact if exact_first else F.lit(0)).alias("e"), "idx", "code")
-    return pairs.groupBy("query").agg(F.min(order).alias("m")).select("query", F.col("m.idx").alias("idx"), F.col("m.code").alias("code"))
+    return matches(labels, asked, index).groupBy("query").agg(F.min(order).alias("m")).select("query", F.col("m.idx").alias("idx"), F.col("m.code").alias("code"))
+
+
+def resolve_each(labels: DataFrame, asked: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``turn, query, idx, code``: each question takes, in turn, its first match that no earlier one took; those left without are not listed.
+
+    Goes in rounds: every question asks for the first label that has not
+    turned it down, and a label keeps the earliest that asks for it.  This
+    ends with what taking turns gives.  A question that is the j-th of its
+    text starts at the text's j-th match, as the ones before it take as many.
+    """
+    ahead = Window.partitionBy("query").orderBy("turn")
+    first = Window.partitionBy("query").orderBy("idx")
+    # no question is turned down by more labels than there are questions before it
+    most = asked.count()
+    ways = stored(matches(labels, asked, index).select("query", "idx", "code", F.row_number().over(first).alias("place")).where(F.col("place") <= most))
+    state = stored(asked.select("turn", "query", F.row_number().over(ahead).alias("place")))
+    while True:
+        tried = state.join(ways, ["query", "place"])
+        kept = tried.groupBy("idx").agg(F.min("turn").alias("_kept"))
+        judged = stored(tried.join(kept, "idx"))
+        if judged.where("turn != _kept").isEmpty():
+            return judged.select("turn", "query", "idx", "code")
+        state = judged.select("turn", "query", (F.col("place") + (F.col("turn") != F.col("_kept")).cast("int")).alias("place"))

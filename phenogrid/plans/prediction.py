@@ -212,6 +212,21 @@ def resolve_exact_then_sub(t: Tables):
     return ranking.resolve(t.labels(), asked(t), exact_first=True)
 
 
+# every word is asked for three times; a turn takes the first match that is not taken
+TURNS = "turns AS (SELECT query, CAST(row_number() OVER (ORDER BY k, query) AS INTEGER) AS turn FROM asked CROSS JOIN range(0, 3) r(k))"
+TAKEN = ASKED + ", " + TURNS + f""", step AS (SELECT 0 AS turn, []::INTEGER[] AS taken, CAST(NULL AS INTEGER) AS idx
+ UNION ALL SELECT turn + 1, CASE WHEN next IS NULL THEN taken ELSE list_append(taken, next) END, next
+ FROM (SELECT s.turn, s.taken, (SELECT min(idx) FROM turns q JOIN labels_t ON {HIT} WHERE q.turn = s.turn + 1 AND NOT list_contains(s.taken, idx)) AS next FROM step s WHERE s.turn < (SELECT max(turn) FROM turns)))"""
+
+
+@query(sql("SELECT turn, query, idx, code FROM step JOIN turns USING (turn) JOIN labels_t USING (idx)", "labels", more=TAKEN, recursive=True))
+def resolve_each(t: Tables):
+    """Words asked for in turn, three times each: equal ones get the next match."""
+    turns = asked(t).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    turns = turns.select("query", F.row_number().over(Window.orderBy("k", "query")).alias("turn"))
+    return ranking.resolve_each(t.labels(), turns)
+
+
 LINE = "'\"' || code || '\",\"' || replace(com, '\"', '\"\"') || '\",\"' || replace(sci, '\"', '\"\"') || '\"'"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.functions import geo
 from phenogrid.operators import environment, propagation, repair
+from phenogrid.operators.stored import stored
 from phenogrid.plans.ingest import HAVERSINE
 from phenogrid.plans.tables import Tables, sql
 
@@ -207,7 +208,9 @@ def propagation_summary(t: Tables):
 
 @query(sql("SELECT week, len(was) AS n_before, len(now) AS n_after FROM after_t WHERE cell = (SELECT min(cell) FROM after_t WHERE len(now) > len(was))", "sets", "compact", more=WANTED))
 def propagation_weekly(t: Tables):
+    """Species before and after at the first cell that changed; the propagated table is worked out once."""
     before, after = spread(t)
     both = before.select("cell", "week", F.size("species").cast("long").alias("n_before")).join(after.select("cell", "week", F.size("species").cast("long").alias("n_after")), ["cell", "week"])
+    both = stored(both)
     first = both.where("n_after > n_before").agg(F.min("cell").alias("cell"))
     return both.join(F.broadcast(first), "cell").select("week", "n_before", "n_after")

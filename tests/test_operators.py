@@ -175,3 +175,31 @@ def test_sampled_negatives_stand_for_all(spark):
     some = losses.assume_negative(df, "sample", negatives=200, idx="idx").first()[0]
     assert some != whole and abs(some / whole - 1) < 0.03
     assert losses.assume_negative(df, "sample", negatives=300, idx="idx").first()[0] == pytest.approx(whole)
+
+
+def test_names_are_found_by_rare_runs(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abc é"), rng.integers(0, 7)))
+    labels = [(i, f"c{i:03d}", word().upper(), word()) for i in range(300)]
+    asked = ["", "a", " B ", "ab", "abc", "cab a", "ÉÉ", "C01", "zzz", "c005", "a.c", "%", "bca"]
+    df = spark.createDataFrame(labels, "idx int, code string, sci string, com string")
+    q = spark.createDataFrame([(x,) for x in asked], "query string")
+    found = ranking.matches(df, q)
+    want = {(x, i) for x in asked for i, *names in labels if any(x.strip().lower() in n.lower() for n in names)}
+    assert {(r["query"], r["idx"]) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_turns_take_what_is_left(spark):
+    rng = np.random.default_rng(6)
+    labels = [(i, f"c{i}", "".join(rng.choice(list("ab"), 4)), "x") for i in range(25)]
+    turns = [(t, "".join(rng.choice(list("ab"), rng.integers(1, 4)))) for t in range(40)]
+    got = {r["turn"]: r["idx"] for r in ranking.resolve_each(spark.createDataFrame(labels, "idx int, code string, sci string, com string"), spark.createDataFrame(turns, "turn int, query string")).collect()}
+    taken, want = set(), {}
+    for t, q in turns:
+        free = [i for i, c, sci, com in labels if q in sci and i not in taken]
+        if free:
+            want[t] = free[0]
+            taken.add(free[0])
+    assert got == want and len(want) < 40
