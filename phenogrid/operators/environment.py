@@ -66,17 +66,17 @@ def nearest_filled(cells: DataFrame, fill: list[str], columns: list[str], k: int
 def impute(cells: DataFrame, numeric: list[str], categorical: list[str], k: int = 3, cell: str = "cell") -> DataFrame:
     """Fills each column where it is missing beside other values: the mean of its ``k`` nearest, or their mode."""
     columns = numeric + categorical
-    means = nearest_filled(cells, numeric, columns, k, cell).groupBy("filled", cell).agg(F.avg("value").alias("value")) if numeric else None
+    # one search for all columns: values go as text, which gives doubles back unchanged
+    found = nearest_filled(cells, columns, columns, k, cell, "string").groupBy("filled", cell).agg(F.collect_list("value").alias("values"))
     # ties of a mode go to the smallest value in the columns' own order, where they have one type
     kinds = {cells.schema[c].dataType.simpleString() for c in categorical}
     kind = kinds.pop() if len(kinds) == 1 else "string"
-    modes = mode_of(nearest_filled(cells, categorical, columns, k, cell, kind), ["filled", cell], "value", "value") if categorical else None
-    out = cells
-    for found, names in ((means, numeric), (modes, categorical)):
-        if found is not None:
-            fills = found.groupBy(cell).agg(*[F.max(F.when(F.col("filled") == c, F.col("value"))).cast(cells.schema[c].dataType).alias(f"_fill_{c}") for c in names])
-            out = out.join(fills, cell, "left").withColumns({c: F.coalesce(c, f"_fill_{c}") for c in names})
-    return out.select(*cells.columns)
+    mean = F.expr("aggregate(values, 0D, (total, v) -> total + cast(v as double)) / size(values)")
+    mode = F.expr(f"array_min(transform(array_distinct(values), x -> struct(-size(filter(values, y -> y = x)) as n, cast(x as {kind}) as value))).value")
+    found = found.select("filled", cell, *([F.when(F.col("filled").isin(numeric), mean).alias("mean")] if numeric else []), *([F.when(F.col("filled").isin(categorical), mode).alias("mode")] if categorical else []))
+    fills = [F.max(F.when(F.col("filled") == c, F.col("mean" if c in numeric else "mode"))).cast(cells.schema[c].dataType).alias(f"_fill_{c}") for c in columns]
+    out = cells.join(found.groupBy(cell).agg(*fills), cell, "left")
+    return out.withColumns({c: F.coalesce(c, f"_fill_{c}") for c in columns}).select(*cells.columns)
 
 
 def robust_range(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from phenogrid.operators.totals import even_cuts
+
 SHARD_ROWS = 8192
 MOST_SHARDS = 1024  # of a group; beyond it shards grow
 ASKED_ROWS = 65_536
@@ -60,8 +62,7 @@ def k_nearest(asked: DataFrame, seen: DataFrame, by: list[str], key: list[str],
         return F.col(coords[0]) + F.pmod(F.xxhash64(*name), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 1e-9
 
     asked, seen = asked.withColumn("_u", along(key)), seen.withColumn("_u", along([near]))
-    steps = [i / MOST_SHARDS for i in range(1, MOST_SHARDS)]
-    parts = seen.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_u", F.array(*map(F.lit, steps)), F.lit(10 * MOST_SHARDS)).alias("_c"))
+    parts = seen.groupBy(*by).agg(F.count("*").alias("_n"), even_cuts("_u", MOST_SHARDS).alias("_c"))
     parts = parts.join(asked.groupBy(*by).agg(F.count("*").alias("_a")), by)
     parts = parts.withColumn("_s", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("_n") / SHARD_ROWS)).cast("int"))
     parts = parts.select(

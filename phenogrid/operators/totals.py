@@ -9,6 +9,13 @@ RANGES = 1024  # at most
 RANGE_ROWS = 20_000  # fewer rows are not cut into ranges
 
 
+def even_cuts(column: str, ranges: int) -> Column:
+    """Aggregate: approximate quantiles that cut a column into ranges of about equal numbers of rows."""
+    # one expression of text, as a thousand literals take seconds to hand over
+    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    return F.expr(f"percentile_approx({column}, array({shares}), {10 * ranges})")
+
+
 def running_totals(df: DataFrame, head: str, order: list[str], values: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
     """Adds totals of ``values`` up to and with each row of equal ``by``, in the order of the number ``head``, then ``order``.
 
@@ -18,8 +25,7 @@ def running_totals(df: DataFrame, head: str, order: list[str], values: dict[str,
     over as many tasks as there are ranges, of which there are a thousand at
     most.  Rows of one ``head`` are in one range.
     """
-    steps = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    cuts = df.agg(F.percentile_approx(head, steps, F.lit(10 * RANGES)).alias("_every"), F.count("*").alias("_rows"))
+    cuts = df.agg(even_cuts(head, RANGES).alias("_every"), F.count("*").alias("_rows"))
     # of all cuts every one in so many, or none
     cuts = cuts.select(F.expr(f"filter(_every, (c, i) -> (i + 1) % greatest(1, cast({RANGES * RANGE_ROWS} div greatest(_rows, 1) as int)) = 0)").alias("_cuts"))
     rows = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.expr(f"coalesce(size(filter(_cuts, c -> c <= {head})), 0)")).drop("_cuts")
