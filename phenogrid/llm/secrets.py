@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 KEY_CHARS = "A-Za-z0-9+/_-"  # '=' only ends a candidate, as padding: what stands before it is a name
 JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 _END = f"(?![={KEY_CHARS}])"
-# words and short numbers before '=' and a value are the value's name
-_NAME = rf"(?![A-Za-z]+(?:[_-](?:[A-Za-z]+[0-9]?|[0-9]{{1,3}}))*=[\"']?[{KEY_CHARS}])"
+# words and short numbers before '=' and a value are the value's name; possessive, so that names of any length are read in a loop
+_NAME = rf"(?![A-Za-z]++(?:[_-](?:[A-Za-z]++[0-9]?+|[0-9]{{1,3}}+))*+=[\"']?[{KEY_CHARS}])"
 CANDIDATE = (
     rf"(?<![{KEY_CHARS}]){_NAME}(?:{JWT}|(?=[A-Za-z+/_-]*[0-9])"
     rf"(?:[{KEY_CHARS}]{{16,}}(?:={{1,2}}{_END})?|[{KEY_CHARS}]{{15}}={_END}|[{KEY_CHARS}]{{14}}=={_END}))"

@@ -72,3 +72,15 @@ def test_planted_tokens(spark):
     planted = docs.selectExpr("doc_id", "explode(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1)) as candidate")
     found = secrets.find_secrets(docs, secrets.train(secrets.labelled_findings(spark)))
     assert planted.join(found, ["doc_id", "candidate"], "left_anti").count() == 0 < planted.count()
+
+
+def test_long_runs_of_any_kind(spark):
+    """A million repeats of what names, words and keys are made of: scanned in a loop, each as one candidate or none."""
+    n = 10**6
+    texts = ["a_" * n + "=x1", "ab-" * n + "=x1", "a1_" * n + "=x1", "a_" * n + "b=" + "9f86d081884c7d659a2f", "a" * n + "=1", "1_" * n, "-" * n + "1", "eyJ" + "a" * n + "." + "b" * n + "." + "c1" * 9, "A=" * n, "/a1" * n, "a_1" * n + "="]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {}
+    for r in secrets.with_features(secrets.candidates(df, "doc_id", "text")).select("doc_id", "start", "end", "length").collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        assert r["length"] == r["end"] - r["start"]
+    assert found == {i: [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, t)] for i, t in enumerate(texts) if re.search(secrets.CANDIDATE, t)}
