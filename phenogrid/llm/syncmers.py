@@ -6,7 +6,8 @@ on its own letters only, so an edit changes no anchor that it does not touch,
 and any K - S runs in a row have one among them.  Letters are words; of words
 of more than ``LONG_WORD`` characters, as text without blanks has, they are
 the characters.  Texts of few words or characters have anchors of characters
-besides, as half of them may hold no run of K words.
+besides, as half of them may hold no run of K words; two texts are compared
+by the kinds of anchors that both have.
 """
 
 from __future__ import annotations
@@ -51,24 +52,33 @@ def word_anchors(text: str) -> str:
     return f"get(transform(array(transform({letters(text)}, w -> xxhash64(w))), g -> if(size(g) < {K}, {few}, {closed('g', K, S)})), 0)"
 
 
+SECTIONS = ("words", "eights", "threes")
+
+
 def anchors(text: str) -> str:
-    """SQL for all anchors: of words, then for small texts of characters, by 8 and by 3."""
+    """SQL for a text's anchors by kind: of words, and for small texts of characters, by 8 and by 3; null where a text has none of a kind."""
     chars = f"transform(split({text}, ''), c -> xxhash64(c))"
-    none = "cast(array() as array<bigint>)"
-    by_8 = f"if(length({text}) < {FEW_WORDS * LONG_WORD} and size(split({text}, '\\\\s+')) < {FEW_WORDS}, {closed(chars, K, S)}, {none})"
-    by_3 = f"if(length({text}) < {FEW_CHARS}, {closed(chars, SMALL_K, SMALL_S)}, {none})"
-    return f"concat({word_anchors(text)}, {by_8}, {by_3})"
+    by_8 = f"if(length({text}) < {FEW_WORDS * LONG_WORD} and size(split({text}, '\\\\s+')) < {FEW_WORDS}, {closed(chars, K, S)}, null)"
+    by_3 = f"if(length({text}) < {FEW_CHARS}, {closed(chars, SMALL_K, SMALL_S)}, null)"
+    return f"struct({word_anchors(text)} as words, {by_8} as eights, {by_3} as threes)"
 
 
-def as_text(hashes: str) -> str:
-    """SQL for the anchors as eight hexadecimal digits each, in order."""
-    return f"array_join(transform({hashes}, a -> lower(hex(shiftrightunsigned(a, 33) + 2147483648L))), '')"
+def as_text(found: str) -> str:
+    """SQL for the anchors as eight hexadecimal digits each, in order, kinds apart by points."""
+    hexed = [f"array_join(transform({found}.{k}, a -> lower(hex(shiftrightunsigned(a, 33) + 2147483648L))), '')" for k in SECTIONS]
+    return f"trim(trailing '.' from concat_ws('.', {', '.join(hexed)}))"
 
 
 def likeness(a: str, b: str) -> str:
-    """SQL for shared distinct anchors, twice, over the anchors of both; two empty ones are alike."""
-    both = f"(size(array_distinct({a})) + size(array_distinct({b})))"
-    return f"case when {both} = 0 then 1.0D else 2.0D * size(array_intersect({a}, {b})) / {both} end"
+    """SQL for shared distinct anchors, twice, over the anchors of both, of the kinds that both have; two empty ones are alike.
+
+    A small text is so compared with a larger one by words alone.
+    """
+    def of_both(value: str) -> str:
+        return " + ".join(f"if({a}.{k} is not null and {b}.{k} is not null, {value.format(a=f'{a}.{k}', b=f'{b}.{k}')}, 0)" for k in SECTIONS)
+
+    every = f"({of_both('size(array_distinct({a})) + size(array_distinct({b}))')})"
+    return f"case when {every} = 0 then 1.0D else 2.0D * ({of_both('size(array_intersect({a}, {b}))')}) / {every} end"
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -95,3 +95,89 @@ def test_equal_ids_are_split(spark, monkeypatch):
     held = syncmers.with_next(df, "doc_id", "text").groupBy("bucket").count().collect()
     assert len(held) > 10 and max(r["count"] for r in held) < 60
     assert syncmers.fingerprints(df).count() == 200
+
+
+def pieces(text):
+    """Letters of a text as the module has them."""
+    words = text.split()
+    return [x for w in words for x in (w if len(w) > syncmers.LONG_WORD else [w])]
+
+
+def runs_at_edges(letters, k, s, h):
+    """Runs of k letters whose least inner run of s, by the hash h, stands first or last; in order."""
+    inner = [h(tuple(letters[i : i + s])) for i in range(len(letters) - s + 1)]
+    found = [tuple(letters[i : i + k]) for i in range(len(letters) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+    return found if len(letters) >= k else []
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def letter_hash(x):
+    """Spark's xxhash64 of one string."""
+    import xxhash
+
+    return signed(xxhash.xxh64_intdigest(x.encode(), 42))
+
+
+def chain_hash(values):
+    """Spark's xxhash64 of several longs."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+    return signed(seed)
+
+
+def kinds(text):
+    """Anchors of a text by kind, as sets of runs, by the definition."""
+    small = lambda run: chain_hash([letter_hash(x) for x in run])
+    letters = pieces(text)
+    few = [("few", *letters)] if 0 < len(letters) < syncmers.K else []
+    out = [set(few + runs_at_edges(letters, syncmers.K, syncmers.S, small))]
+    chars = list(text)
+    out.append(set(runs_at_edges(chars, syncmers.K, syncmers.S, small)) if len(text) < syncmers.FEW_WORDS * syncmers.LONG_WORD and len(__import__("re").split(r"\s+", text)) < syncmers.FEW_WORDS else None)
+    out.append(set(runs_at_edges(chars, syncmers.SMALL_K, syncmers.SMALL_S, small)) if len(text) < syncmers.FEW_CHARS else None)
+    return out
+
+
+def like(a, b):
+    both = [(x, y) for x, y in zip(kinds(a), kinds(b)) if x is not None and y is not None]
+    every = sum(len(x) + len(y) for x, y in both)
+    return 2 * sum(len(x & y) for x, y in both) / every if every else 1.0
+
+
+def test_likeness_by_definition(spark):
+    """Texts about both limits, edits that cross them, unspaced and empty ones: numbers of anchors and both likenesses."""
+    rng = __import__("random").Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    texts = []
+    for n in (3, 7, 8, 12, 20, 40, 60, 63, 64, 65, 70, 90, 110, 130, 150):
+        texts += [" ".join(word() for _ in range(n)), rng.choice(["ab", "", "a b c", "".join(word() for _ in range(9))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in syncmers.fingerprints(df).collect()}
+    for i, text in enumerate(texts):
+        after, m = texts[(i + 1) % len(texts)], len(text) // 2
+        edited = text[: len(text) - m] + after[:m]
+        assert abs(rows[i]["near_edited"] - like(text, edited)) < 1e-9, (i, text, edited)
+        assert abs(rows[i]["near_next"] - like(text, after)) < 1e-9, (i, text, after)
+
+
+def test_edits_that_cross_the_limits(spark):
+    """Texts of 50 to 199 words, half of which is cut away: as like their edited texts at every length."""
+    rng = __import__("random").Random(3)
+    texts = []
+    for i in range(240):
+        texts += [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(50 + i * 150 // 240)), "ab"]
+    rows = syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    by = {}
+    for r in rows:
+        if r["doc_id"] % 2 == 0:
+            n = 50 + r["doc_id"] // 2 * 150 // 240
+            by.setdefault("below" if n < 64 else "across" if n < 128 else "above", []).append(r["near_edited"])
+    means = {k: sum(v) / len(v) for k, v in by.items()}
+    assert all(m > 0.55 for m in means.values()), means
