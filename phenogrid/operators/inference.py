@@ -2,8 +2,9 @@
 
 The network: circular encodings of latitude and longitude are projected,
 then pass residual blocks whose outputs are scaled and shifted by features
-of the week; a head gives one logit a species.  Only inference is here;
-training a network needs a library that Spark does not bring.
+of the week; heads give a logit for each species and features of the
+environment, and species may also be told from these.  Only inference is
+here; training a network needs a library that Spark does not bring.
 """
 
 from __future__ import annotations
@@ -61,21 +62,30 @@ def circular(angle: np.ndarray, harmonics: int) -> np.ndarray:
     return np.concatenate((np.sin(scaled), np.cos(scaled)), axis=1)
 
 
-def random_weights(n_species: int, scale: float = 0.25, harmonics: int = 4, seed: int = 0) -> dict:
-    """Weights of a small untrained model, for tests and demonstrations."""
+def random_weights(n_species: int, scale: float = 0.25, harmonics: int = 4, seed: int = 0, n_env: int = 0, habitat: bool = False) -> dict:
+    """Weights of a small untrained model, for tests and demonstrations; with ``n_env`` an environment head, and ``habitat`` the path through it."""
     rng, s = np.random.default_rng(seed), sizes(scale)
-    dense = lambda a, b: (rng.normal(0, 1 / math.sqrt(a), (a, b)), np.zeros(b))
-    norm = lambda n: (np.ones(n), np.zeros(n))
-    block = lambda n: {"norm": norm(n), "a": dense(n, n), "b": dense(n, n)}
-    return {
+    dense = lambda a, b: (rng.normal(0, 1 / math.sqrt(a), (a, b)), rng.normal(0, 0.1, b))
+    norm = lambda n: (rng.normal(1, 0.1, n), rng.normal(0, 0.1, n))
+    block = lambda n: {"norm_a": norm(n), "a": dense(n, n), "norm_b": norm(n), "b": dense(n, n)}
+
+    def head(inputs: int, width: int, blocks: int, outputs: int, squeeze: int = 0) -> dict:
+        """Residual blocks of one width, behind a projection to it if the input has another, and a last layer or two."""
+        last = {"squeeze": dense(width, squeeze), "out": dense(squeeze, outputs)} if squeeze else {"out": dense(width, outputs)}
+        return {"input": dense(inputs, width) if inputs != width else None, "blocks": [block(width) for _ in range(blocks)], "norm": norm(width)} | last
+
+    weights = {
         "harmonics": harmonics,
         "input": dense(4 * harmonics, s.embed),
         "blocks": [block(s.embed) | {"film_a": dense(2 * harmonics, s.embed), "film_b": dense(s.embed, 2 * s.embed)} for _ in range(s.encoder_blocks)],
         "norm": norm(s.embed),
-        "head": [block(s.embed) for _ in range(s.species_blocks)],
-        "squeeze": dense(s.embed, s.bottleneck),
-        "out": dense(s.bottleneck, n_species),
+        "species": head(s.embed, s.embed, s.species_blocks, n_species, s.bottleneck),
     }
+    if n_env:
+        weights["env"] = head(s.embed, s.env, s.env_blocks, n_env)
+    if habitat:
+        weights |= {"habitat": head(n_env, s.env, s.env_blocks, n_species, s.bottleneck), "gate": dense(s.embed, n_species)}
+    return weights
 
 
 def _dense(x: np.ndarray, layer: tuple) -> np.ndarray:
@@ -83,31 +93,61 @@ def _dense(x: np.ndarray, layer: tuple) -> np.ndarray:
 
 
 def _residual(x: np.ndarray, block: dict) -> np.ndarray:
-    return x + _dense(gelu(_dense(layer_norm(x, *block["norm"]), block["a"])), block["b"])
+    inner = _dense(gelu(layer_norm(x, *block["norm_a"])), block["a"])
+    return x + _dense(gelu(layer_norm(inner, *block["norm_b"])), block["b"])
 
 
-def forward(weights: dict, lat: np.ndarray, lon: np.ndarray, week: np.ndarray) -> np.ndarray:
-    """Probabilities, one row a point and one column a species."""
+def _head(x: np.ndarray, head: dict) -> np.ndarray:
+    x = x if head["input"] is None else _dense(x, head["input"])
+    for block in head["blocks"]:
+        x = _residual(x, block)
+    x = layer_norm(x, *head["norm"])
+    return _dense(gelu(_dense(x, head["squeeze"])) if "squeeze" in head else x, head["out"])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def encode(weights: dict, lat: np.ndarray, lon: np.ndarray, week: np.ndarray) -> np.ndarray:
+    """Embeddings of points and weeks: features of the week scale and shift what each spatial block gives."""
     h = weights["harmonics"]
     x = _dense(np.concatenate((circular(np.radians(lat), h), circular(np.radians(lon), h)), axis=1), weights["input"])
     when = circular(2 * math.pi * (week - 1) / 48, h)
     for block in weights["blocks"]:
         scale, shift = np.split(_dense(gelu(_dense(when, block["film_a"])), block["film_b"]), 2, axis=1)
         x = _residual(x, block) * (1 + np.tanh(scale)) + shift
-    x = layer_norm(x, *weights["norm"])
-    for block in weights["head"]:
-        x = _residual(x, block)
-    logits = _dense(_dense(x, weights["squeeze"]), weights["out"])
-    return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+    return layer_norm(x, *weights["norm"])
+
+
+def forward_all(weights: dict, lat: np.ndarray, lon: np.ndarray, week: np.ndarray) -> dict[str, np.ndarray]:
+    """``probs``, one row a point and one column a species, and ``env``, the environment's features, if the model has that head.
+
+    With a habitat path, species are also told from the predicted
+    environment, and a gate for each species mixes both.
+    """
+    x = encode(weights, lat, lon, week)
+    logits, out = _head(x, weights["species"]), {}
+    if "env" in weights:
+        out["env"] = _head(x, weights["env"])
+    if "habitat" in weights:
+        gate = _sigmoid(_dense(x, weights["gate"]))
+        logits = gate * logits + (1 - gate) * _head(out["env"], weights["habitat"])
+    return {"probs": _sigmoid(logits)} | out
+
+
+def forward(weights: dict, lat: np.ndarray, lon: np.ndarray, week: np.ndarray) -> np.ndarray:
+    """Probabilities, one row a point and one column a species."""
+    return forward_all(weights, lat, lon, week)["probs"]
 
 
 def predict(points: DataFrame, weights: dict) -> DataFrame:
-    """``lat, lon, week`` with ``probs``, an array in species order.  The weights' size is the model's, not the data's."""
+    """``lat, lon, week`` with ``probs``, an array in species order, and ``env``, if the model has that head.  The weights' size is the model's, not the data's."""
     sent = points.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for pdf in batches:
-            probs = forward(sent.value, pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), pdf["week"].to_numpy(float))
-            yield pd.DataFrame({"lat": pdf["lat"], "lon": pdf["lon"], "week": pdf["week"], "probs": list(probs.astype(np.float64))})
+            found = forward_all(sent.value, pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), pdf["week"].to_numpy(float))
+            yield pd.DataFrame({"lat": pdf["lat"], "lon": pdf["lon"], "week": pdf["week"]} | {k: list(v.astype(np.float64)) for k, v in found.items()})
 
-    return points.select("lat", "lon", "week").mapInPandas(run, "lat double, lon double, week int, probs array<double>")
+    return points.select("lat", "lon", "week").mapInPandas(run, "lat double, lon double, week int, probs array<double>" + (", env array<double>" if "env" in weights else ""))

@@ -271,6 +271,7 @@ def range_product(t: Tables):
 
 @query()
 def predict_udf(t: Tables):
-    """A small untrained network over all cells in four weeks."""
+    """A small untrained network with all its heads over all cells in four weeks: species' scores, and the first feature of the environment."""
     points = grids.with_weeks(t.cells().select("cell", "lat", "lon"), list(SEASON_WEEKS))
-    return inference.predict(points, inference.random_weights(16)).select("lat", "lon", "week", F.posexplode("probs").alias("idx", "prob"))
+    found = inference.predict(points, inference.random_weights(16, n_env=5, habitat=True))
+    return found.select("lat", "lon", "week", F.col("env")[0].alias("env_0"), F.posexplode("probs").alias("idx", "prob"))

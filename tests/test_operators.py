@@ -203,3 +203,52 @@ def test_turns_take_what_is_left(spark):
             want[t] = free[0]
             taken.add(free[0])
     assert got == want and len(want) < 40
+
+
+def test_network_by_definition(spark):
+    """The forward pass of all heads, point by point and number by number."""
+    w = inference.random_weights(6, n_env=3, habitat=True, seed=4)
+
+    def dense(x, layer):
+        return [sum(x[i] * layer[0][i][j] for i in range(len(x))) + layer[1][j] for j in range(len(layer[1]))]
+
+    def norm(x, layer):
+        mean = sum(x) / len(x)
+        spread = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x) + 1e-4)
+        return [(v - mean) / spread * g + b for v, g, b in zip(x, *layer)]
+
+    def gelu(x):
+        return [0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in x]
+
+    def block(x, b):
+        inner = dense(gelu(norm(x, b["norm_a"])), b["a"])
+        return [v + u for v, u in zip(x, dense(gelu(norm(inner, b["norm_b"])), b["b"]))]
+
+    def head(x, h):
+        x = x if h["input"] is None else dense(x, h["input"])
+        for b in h["blocks"]:
+            x = block(x, b)
+        x = norm(x, h["norm"])
+        return dense(gelu(dense(x, h["squeeze"])) if "squeeze" in h else x, h["out"])
+
+    def waves(angle):
+        return [f(k * angle) for f in (math.sin, math.cos) for k in range(1, w["harmonics"] + 1)]
+
+    def network(lat, lon, week):
+        x = dense(waves(math.radians(lat)) + waves(math.radians(lon)), w["input"])
+        when = waves(2 * math.pi * (week - 1) / 48)
+        for b in w["blocks"]:
+            film = dense(gelu(dense(when, b["film_a"])), b["film_b"])
+            n = len(film) // 2
+            x = [v * (1 + math.tanh(g)) + s for v, g, s in zip(block(x, b), film[:n], film[n:])]
+        x = norm(x, w["norm"])
+        env = head(x, w["env"])
+        mixed = [g * a + (1 - g) * b for g, a, b in zip([1 / (1 + math.exp(-v)) for v in dense(x, w["gate"])], head(x, w["species"]), head(env, w["habitat"]))]
+        return [1 / (1 + math.exp(-v)) for v in mixed], env
+
+    points = [(10.0, 20.0, 1), (-85.0, 179.5, 30), (0.0, 0.0, 48)]
+    got = {r["week"]: (r["probs"], r["env"]) for r in inference.predict(spark.createDataFrame(points, "lat double, lon double, week int"), w).collect()}
+    for lat, lon, week in points:
+        probs, env = network(lat, lon, week)
+        assert np.allclose(got[week][0], probs, atol=1e-5) and np.allclose(got[week][1], env, atol=1e-4)
+    assert "env" not in inference.predict(spark.createDataFrame(points, "lat double, lon double, week int"), inference.random_weights(4)).columns
