@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from phenogrid.operators.stored import stored
 from phenogrid.operators.totals import even_cuts
 
 SHARD_ROWS = 8192
@@ -69,6 +70,8 @@ def k_nearest(asked: DataFrame, seen: DataFrame, by: list[str], key: list[str],
         *by, F.greatest(F.lit(1), F.ceil(F.col("_a") / (F.col("_s") * ASKED_ROWS))).cast("int").alias("_blocks"),
         F.expr(f"if(_s > 1, transform(sequence(1, _s - 1), j -> get(_c, cast(j * {MOST_SHARDS} div _s as int) - 1)), cast(array() as array<double>))").alias("_cuts"),
     )
+    parts = stored(parts)  # a row for each group
+    several = not parts.where("size(_cuts) > 0").isEmpty()
     shard = lambda u: F.expr(f"size(filter(_cuts, c -> c <= {u}))")
     asked = asked.join(parts, by).withColumn("_shard", shard("_u")).withColumn("_block", F.pmod(F.xxhash64(*key), F.col("_blocks")).cast("int")).drop("_u", "_blocks")
     seen = seen.join(parts, by).withColumn("_shard", shard("_u")).withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_u", "_blocks", "_cuts")
@@ -91,10 +94,12 @@ def k_nearest(asked: DataFrame, seen: DataFrame, by: list[str], key: list[str],
         return rows.groupBy(*group).cogroup(seen.groupBy(*other)).applyInPandas(search, schema)
 
     home = run(asked.drop("_cuts").withColumn("_bound", F.lit(float("inf"))))
+    rank = F.row_number().over(Window.partitionBy(*by, *key).orderBy(F.round("dist", digits), near))
+    if not several:  # every group is one shard, which its rows have searched
+        return home.withColumn("rn", rank).where(F.col("rn") <= k)
     reach = home.groupBy(*by, *key).agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("_bound"))
     away = asked.where("size(_cuts) > 0").join(reach, [*by, *key], "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf"))))
     ends = [F.expr(f"size(filter(_cuts, c -> c <= {coords[0]} {sign} (_bound + {SLACK})))") for sign in "-+"]
     away = away.withColumn("_home", F.col("_shard")).withColumn("_shard", F.explode(F.sequence(*ends))).where("_shard != _home").drop("_home", "_cuts")
     found = home.unionByName(run(away))
-    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy(*by, *key).orderBy(F.round("dist", digits), near)))
-    return ranked.where(F.col("rn") <= k)
+    return found.withColumn("rn", rank).where(F.col("rn") <= k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phenogrid.functions import geo
 from phenogrid.operators.environment import column_stats
 from phenogrid.operators.nearest import k_nearest
+from phenogrid.operators.stored import stored
 
 LEAST_RANGE_KM = 50.0
 
@@ -30,6 +31,7 @@ def nearest_in_environment(samples: DataFrame, env: list[str], k: int, least: in
     filled = samples.crossJoin(F.broadcast(column_stats(samples, env)))
     z = [f"z_{c}" for c in env]
     scaled = filled.withColumns({f"z_{c}": F.coalesce((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd"), F.lit(0.0)) for c in env}).select("cell", "week", "lat", "lon", F.size("species").alias("n"), *z)
+    scaled = stored(scaled)  # numbers only; what they come from is read once
     sparse = scaled.where(F.col("n") < least).drop("n")
     seen = scaled.where(F.col("n") >= least).select("week", F.col("cell").alias("near"), F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"), *z)
     near = k_nearest(sparse, seen, ["week"], ["cell"], z, "near", k).withColumnRenamed("dist", "env_dist")

@@ -47,6 +47,20 @@ def running_total(df: DataFrame, head: str, order: list[str], value: str, name:
     return running_totals(df, head, order, {name: F.col(value)})
 
 
+def text_ranks(df: DataFrame, column: str, name: str, width: int = 6) -> DataFrame:
+    """Adds each row's place, from 1, in the order of a column of distinct texts.
+
+    Texts are counted by their first characters; a place is the count of all
+    lower beginnings plus the place among texts of the same one.  Beginnings
+    alone are put in order in one task.
+    """
+    rows = df.withColumn("_head", F.substring(column, 1, width))
+    heads = rows.groupBy(F.col("_head").alias("_of")).agg(F.count("*").alias("_n"))
+    heads = heads.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_head").orderBy(column))).join(heads, F.col("_head").eqNullSafe(F.col("_of")))
+    return placed.select(*df.columns, (F.col("_below") + F.col("_at")).alias(name))
+
+
 def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """One row: the interpolated quantile of the non-null values for each named share; null without any.
 

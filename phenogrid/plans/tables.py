@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.functions import calendar
 from phenogrid.operators.regions import SAMPLING_REGIONS, region_table
+from phenogrid.operators.totals import text_ranks
 
 N_SPECIES = 64  # of the predictions
 
@@ -49,7 +50,7 @@ class Tables:
     def taxonomy(self) -> DataFrame:
         """Species codes and names; every seventh name is missing, some common names are empty."""
         names = self.read("part").select(F.col("p_name").alias("sci_name")).distinct()
-        coded = names.selectExpr("sci_name", "dense_rank() over (order by sci_name) as n")
+        coded = text_ranks(names, "sci_name", "n")
         return coded.where("n % 7 <> 0").selectExpr(
             "cast(n as int) as n", "case when n % 10 = 3 then '' else concat('sp', lpad(cast(n as string), 4, '0')) end as species_code", "sci_name",
             "case when n % 5 = 0 then '' when n % 5 = 1 then sci_name else concat('the ', sci_name) end as com_name", "case when n % 3 = 0 then 'Mammalia' else 'Aves' end as class_name",

@@ -252,3 +252,12 @@ def test_network_by_definition(spark):
         probs, env = network(lat, lon, week)
         assert np.allclose(got[week][0], probs, atol=1e-5) and np.allclose(got[week][1], env, atol=1e-4)
     assert "env" not in inference.predict(spark.createDataFrame(points, "lat double, lon double, week int"), inference.random_weights(4)).columns
+
+
+def test_places_of_texts(spark):
+    from phenogrid.operators import totals
+
+    rng = np.random.default_rng(9)
+    texts = sorted({"".join(rng.choice(list("abé "), rng.integers(0, 9))) for _ in range(500)} | {"", "\U0001f600", "zz"}, key=lambda s: s.encode())
+    rows = totals.text_ranks(spark.createDataFrame([(t,) for t in texts], "t string").repartition(5), "t", "place", width=2).collect()
+    assert {r["t"]: r["place"] for r in rows} == {t: i + 1 for i, t in enumerate(texts)}
