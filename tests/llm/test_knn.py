@@ -43,3 +43,32 @@ def test_large_components_are_exact(spark):
     assert {tuple(r) for r in knn.top_k(df, 10, 20).collect()} == brute(rows, 10, 20)
     two = spark.createDataFrame([(0, [200000.0, 1.0]), (1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert {r["score"] for r in knn.top_k(two, 10, 100).collect()} == {209715200000}
+
+
+def test_queries_go_where_a_bound_reaches(spark, monkeypatch):
+    """Far-apart clusters of one norm: a query is sent to few leaves, and what it finds is exact; copies of one vector are spread."""
+    import numpy as np
+
+    monkeypatch.setattr(knn, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 8))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, (centres[i % 20] + rng.normal(0, 0.01, 8)).tolist()) for i in range(1200)] + [(5000 + i, centres[3].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    sent = []
+    reached = knn._reached
+    monkeypatch.setattr(knn, "_reached", lambda asked, boxes: sent.append((reached(asked, boxes).count(), asked.count() * sum(map(len, boxes.values())))) or reached(asked, boxes))
+    assert {tuple(r) for r in knn.top_k(df, 10, 20).collect()} == brute(rows, 10, 20)
+    pairs, every = sent[0]
+    assert pairs < 0.4 * every, sent
+
+
+def test_dealer_takes_every_row(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    points = rng.integers(-50, 50, (1000, 4))
+    dealer = knn.Dealer(points[:200], 16)
+    leaf = dealer.leaf(points)
+    assert set(leaf.tolist()) == set(range(dealer.leaves)) and dealer.leaves == 16
+    assert knn.Dealer(np.ones((50, 3), dtype=np.int64), 8).leaves == 1
