@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from phenogrid.functions import hexes
 from phenogrid.operators import environment, metrics, presence, sampling, training, weights
 from phenogrid.operators.losses import class_weight
 from phenogrid.operators.totals import quantiles
+from phenogrid.plans.hexagons import HEX, LEVEL
 from phenogrid.plans.tables import Tables, sql
 from phenogrid.sources import readers, writers
 from phenogrid.streaming import incremental
@@ -347,9 +349,15 @@ def watchlist_coverage(t: Tables):
     return out.withColumnRenamed("species", "code")
 
 
-@query(sql("SELECT week, array_to_string(species, ',') AS species FROM sets WHERE cell = 7", "sets"))
+@query(sql(f"SELECT place, CAST(w AS INTEGER) AS week, coalesce(array_to_string(species, ','), '') AS species FROM (SELECT s_suppkey AS place, hex FROM supplier JOIN hex ON cell = s_suppkey) p CROSS JOIN range(1, 49) r(w) LEFT JOIN (SELECT hex, week AS w, list_sort(list(DISTINCT species)) AS species FROM presence JOIN hex USING (cell) GROUP BY hex, week) k USING (hex, w)", "cells", "presence", more=HEX))
 def cell_ground_truth(t: Tables):
-    return t.sets().where("cell = 7").select("week", joined("species"))
+    """The 48 lists of the hexagon that holds each supplier's place; weeks without observations are empty."""
+    place = lambda df, key: df.select(F.col(key).alias("place"), "hex")
+    at = t.cells().select("cell", hexes.point_cell(F.col("lat"), F.col("lon"), LEVEL).alias("hex"))
+    asked = place(t.read("supplier").join(at, F.col("s_suppkey") == F.col("cell")), "s_suppkey")
+    held = presence.species_sets(t.presence().join(at, "cell").select("hex", "week", "species"), cell="hex")
+    weeks = asked.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(48))))
+    return weeks.join(held, ["hex", "week"], "left").select("place", "week", F.coalesce(F.array_join("species", ","), F.lit("")).alias("species"))
 
 
 @query(sql("SELECT species, n_obs, CAST(1 AS INTEGER) AS n_built FROM (SELECT species, count(*) AS n_obs FROM presence GROUP BY species) WHERE n_obs >= 4", "presence"))
