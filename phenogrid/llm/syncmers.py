@@ -75,10 +75,11 @@ def likeness(a: str, b: str) -> str:
     A small text is so compared with a larger one by words alone.
     """
     def of_both(value: str) -> str:
-        return " + ".join(f"if({a}.{k} is not null and {b}.{k} is not null, {value.format(a=f'{a}.{k}', b=f'{b}.{k}')}, 0)" for k in SECTIONS)
+        # array_size of null is null; no branches, in which equal expressions would be worked out again
+        return " + ".join(f"coalesce({value.format(a=f'{a}.{k}', b=f'{b}.{k}')}, 0)" for k in SECTIONS)
 
-    every = f"({of_both('size(array_distinct({a})) + size(array_distinct({b}))')})"
-    return f"case when {every} = 0 then 1.0D else 2.0D * ({of_both('size(array_intersect({a}, {b}))')}) / {every} end"
+    every = f"({of_both('array_size(array_distinct({a})) + array_size(array_distinct({b}))')})"
+    return f"coalesce(2.0D * ({of_both('array_size(array_intersect({a}, {b}))')}) / nullif({every}, 0), 1.0D)"
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
