@@ -12,7 +12,7 @@ from phenogrid.operators.stored import stored
 from phenogrid.operators.totals import even_cuts
 
 SHARD_ROWS = 8192
-MOST_SHARDS = 1024  # of a group; beyond it shards grow
+MOST_SHARDS = 1024  # of a group along each of two coordinates
 ASKED_ROWS = 65_536
 CHUNK = 1 << 20  # distances held at once
 SLACK = 1e-8  # how far rounding may carry a distance
@@ -49,37 +49,54 @@ def k_nearest(asked: DataFrame, seen: DataFrame, by: list[str], key: list[str],
     decimals are ties, which go to the smaller ``near``.  Rows with a null
     coordinate take no part.
 
-    A group's seen rows are cut into shards of bounded size along the first
-    coordinate, equal values being spread by hash.  Each asked row searches
-    the shard it lies in; its k-th distance there decides which other shards
-    can hold anything nearer, and only those are searched.  So pairs do not
-    grow with the square of the input where the first coordinate tells rows
-    apart, and no task holds more than a shard and a block of asked rows.
+    A group's seen rows are cut into slabs along the first coordinate, and
+    each slab into shards of bounded size along the second (with one
+    coordinate, slabs are shards), equal values being spread by hash.  Each
+    asked row searches the shard it lies in; its k-th distance there decides
+    which other slabs, and which of their shards, can hold anything nearer,
+    and only those are searched.  So pairs do not grow with the square of
+    the input where the coordinates tell rows apart, and no task holds more
+    than a shard and a block of asked rows.
     """
     known = lambda df: df.where(" and ".join(f"{c} is not null" for c in coords))
     asked, seen = known(asked), known(seen)
+    sides = coords[:2]
 
-    def along(name: list[str]) -> Column:
-        return F.col(coords[0]) + F.pmod(F.xxhash64(*name), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 1e-9
-
-    asked, seen = asked.withColumn("_u", along(key)), seen.withColumn("_u", along([near]))
-    parts = seen.groupBy(*by).agg(F.count("*").alias("_n"), even_cuts("_u", MOST_SHARDS).alias("_c"))
-    parts = parts.join(asked.groupBy(*by).agg(F.count("*").alias("_a")), by)
-    parts = parts.withColumn("_s", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("_n") / SHARD_ROWS)).cast("int"))
-    parts = parts.select(
-        *by, F.greatest(F.lit(1), F.ceil(F.col("_a") / (F.col("_s") * ASKED_ROWS))).cast("int").alias("_blocks"),
-        F.expr(f"if(_s > 1, transform(sequence(1, _s - 1), j -> get(_c, cast(j * {MOST_SHARDS} div _s as int) - 1)), cast(array() as array<double>))").alias("_cuts"),
-    )
-    parts = stored(parts)  # a row for each group
-    several = not parts.where("size(_cuts) > 0").isEmpty()
-    shard = lambda u: F.expr(f"size(filter(_cuts, c -> c <= {u}))")
-    asked = asked.join(parts, by).withColumn("_shard", shard("_u")).withColumn("_block", F.pmod(F.xxhash64(*key), F.col("_blocks")).cast("int")).drop("_u", "_blocks")
-    seen = seen.join(parts, by).withColumn("_shard", shard("_u")).withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_u", "_blocks", "_cuts")
-    names = {c: f"s_{c}" for c in [*by, *coords, "_shard", "_block"]}
+    def spread(df: DataFrame, name: list[str]) -> DataFrame:
+        """Coordinates to be cut, of which equal ones differ a little."""
+        return df.withColumns({f"_u{i}": F.col(c) + F.pmod(F.xxhash64(F.lit(i), *name), F.lit(1 << 20)) / F.lit(float(1 << 20)) * 1e-9 for i, c in enumerate(sides)})
+
+    def cuts(rows: DataFrame, keys: list[str], column: str, pieces: Column) -> DataFrame:
+        """For each group of ``keys`` its number of rows and the places that cut it into so many pieces."""
+        found = rows.groupBy(*keys).agg(F.count("*").alias("_n"), even_cuts(column, MOST_SHARDS).alias("_c")).withColumn("_s", F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), pieces)).cast("int"))
+        return found.select(*keys, "_n", F.expr(f"if(_s > 1, transform(sequence(1, _s - 1), j -> get(_c, cast(j * {MOST_SHARDS} div _s as int) - 1)), cast(array() as array<double>))").alias("_cuts"))
+
+    def piece(column: str, among: str, sign: str = "") -> Column:
+        return F.expr(f"size(filter({among}, c -> c <= {column} {sign}))")
+
+    asked, seen = spread(asked, key), spread(seen, [near])
+    shards = F.ceil(F.col("_n") / SHARD_ROWS)
+    slabs = stored(cuts(seen, by, "_u0", F.ceil(F.sqrt(shards)) if len(sides) > 1 else shards).drop("_n").withColumnRenamed("_cuts", "_slabs"))  # a row for each group
+    asked = asked.join(slabs, by).withColumn("_slab", piece("_u0", "_slabs"))
+    seen = seen.join(slabs, by).withColumn("_slab", piece("_u0", "_slabs")).drop("_slabs")
+    cells = cuts(seen, [*by, "_slab"], "_u1" if len(sides) > 1 else "_u0", shards if len(sides) > 1 else F.lit(1)).withColumnRenamed("_cuts", "_cells")
+    cells = stored(cells.drop("_n"))  # a row for each slab
+    last = "_u1" if len(sides) > 1 else "_u0"
+    several = not slabs.where("size(_slabs) > 0").isEmpty() or not cells.where("size(_cells) > 0").isEmpty()
+    # a slab without seen rows has no shards: its rows look elsewhere
+    asked = asked.join(cells, [*by, "_slab"], "left").withColumn("_shard", F.coalesce(piece(last, "_cells"), F.lit(0)))
+    seen = seen.join(cells, [*by, "_slab"]).withColumn("_shard", piece(last, "_cells")).drop("_cells", *[f"_u{i}" for i in range(len(sides))])
+    blocks = asked.groupBy(*by, "_slab").agg(F.count("*").alias("_a")).join(cells, [*by, "_slab"], "left")
+    most = blocks.select(*by, F.greatest(F.lit(1), F.ceil(F.col("_a") / (F.coalesce(F.size("_cells"), F.lit(0)) + 1) / ASKED_ROWS)).cast("int").alias("_b")).groupBy(*by).agg(F.max("_b").alias("_blocks"))
+    most = stored(most)
+    asked = asked.join(most, by).withColumn("_block", F.pmod(F.xxhash64(*key), F.col("_blocks")).cast("int")).drop("_blocks", "_cells", *[f"_u{i}" for i in range(len(sides))])
+    seen = seen.join(most, by).withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_blocks")
+    where = [*by, "_slab", "_shard", "_block"]
+    names = {c: f"s_{c}" for c in [*where, *coords]}
     seen = seen.withColumnsRenamed(names)
-    group, other = [*by, "_shard", "_block"], [names[c] for c in [*by, "_shard", "_block"]]
+    group, other = where, [names[c] for c in where]
     carried = [c for c in seen.columns if c not in names.values()]
-    kept = [c for c in asked.columns if c not in ("_cuts", "_shard", "_block", *coords)]
+    kept = [c for c in asked.columns if c not in ("_slabs", "_slab", "_shard", "_block", *coords)]
     schema = StructType([asked.schema[c] for c in [*kept, *coords]] + [seen.schema[c] for c in carried] + [StructField("dist", DoubleType())])
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -93,13 +110,18 @@ def k_nearest(asked: DataFrame, seen: DataFrame, by: list[str], key: list[str],
     def run(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*group).cogroup(seen.groupBy(*other)).applyInPandas(search, schema)
 
-    home = run(asked.drop("_cuts").withColumn("_bound", F.lit(float("inf"))))
+    home = run(asked.drop("_slabs").withColumn("_bound", F.lit(float("inf"))))
     rank = F.row_number().over(Window.partitionBy(*by, *key).orderBy(F.round("dist", digits), near))
     if not several:  # every group is one shard, which its rows have searched
         return home.withColumn("rn", rank).where(F.col("rn") <= k)
     reach = home.groupBy(*by, *key).agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(float("inf")).alias("_bound"))
-    away = asked.where("size(_cuts) > 0").join(reach, [*by, *key], "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf"))))
-    ends = [F.expr(f"size(filter(_cuts, c -> c <= {coords[0]} {sign} (_bound + {SLACK})))") for sign in "-+"]
-    away = away.withColumn("_home", F.col("_shard")).withColumn("_shard", F.explode(F.sequence(*ends))).where("_shard != _home").drop("_home", "_cuts")
+    away = asked.join(reach, [*by, *key], "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf"))))
+
+    def ends(coord: str, among: str) -> Column:
+        return F.sequence(*[piece(coord, among, f"{sign} (_bound + {SLACK})") for sign in "-+"])
+
+    away = away.withColumns({"_own_slab": F.col("_slab"), "_own_shard": F.col("_shard")}).withColumn("_slab", F.explode(ends(coords[0], "_slabs"))).drop("_slabs")
+    away = away.join(cells, [*by, "_slab"]).withColumn("_shard", F.explode(ends(coords[1], "_cells") if len(sides) > 1 else F.array(F.lit(0)))).drop("_cells")
+    away = away.where("_slab != _own_slab or _shard != _own_shard").drop("_own_slab", "_own_shard")
     found = home.unionByName(run(away))
     return found.withColumn("rn", rank).where(F.col("rn") <= k)
