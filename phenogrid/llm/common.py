@@ -277,16 +277,28 @@ def shared_rows(entries: DataFrame, span: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(meet, "key long, id long")
 
 
-def shared_counts(entries: DataFrame) -> DataFrame:
-    """``id, shared``: how many keys of an id other ids list too, or a few more; ids without any are left out."""
+def shared_counts(entries: DataFrame, ranges: int) -> DataFrame:
+    """``id, shared``: how many keys of an id other ids list too, or a few more; ids without any are left out.
+
+    A bucket's counts go on packed, a row for each of so many ranges of ids,
+    in which they are added up.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
             _, ids = _shared(table, 255)
         ids, counts = np.unique(ids, return_counts=True)
-        return pa.table({"id": ids.view(np.int64), "shared": counts.astype(np.int64)})
+        at = ((ids >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)) if len(at) else np.zeros(0, np.int64)
+        return pa.table({"range": pa.array(at[ends - 1], type=pa.int32()), "ids": _blobs(ids, 8, ends), "counts": _blobs(counts, 4, ends)})
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, counts = (np.frombuffer(b"".join(v for chunk in table.column(c).chunks for v in chunk.to_pylist()), dtype=kind) for c, kind in (("ids", "<u8"), ("counts", "<u4")))
+        ids, at = np.unique(ids, return_inverse=True)
+        return pa.table({"id": ids.view(np.int64), "shared": np.bincount(at, counts, len(ids)).astype(np.int64)})
 
-    return entries.groupBy("bucket").applyInArrow(meet, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
+    packed = entries.groupBy("bucket").applyInArrow(meet, "range int, ids binary, counts binary")
+    return packed.groupBy("range").applyInArrow(add, "id long, shared long")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:

@@ -276,7 +276,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     usable = signed.where("n > 0 and id is not null")
     classes = scratch.keep(usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("probed").alias("probed")))
     probed = classes.agg(F.sum("probed")).first()[0] or 0
-    shared = shared_counts(_entries(source, signer, "probes", entry_buckets(probed))).withColumnRenamed("id", "h1")
+    buckets = entry_buckets(probed)
+    shared = shared_counts(_entries(source, signer, "probes", buckets), buckets).withColumnRenamed("id", "h1")
     # the shingles that no other set has are at most as many as a link allows
     able = classes.join(shared, "h1", "left").where(f"probed - coalesce(shared, 0) <= {100 - percent} * n div 100")
     able = scratch.keep(able.select("rep", "h1", "n"))
