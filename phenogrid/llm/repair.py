@@ -15,7 +15,6 @@ then put together.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,19 +65,29 @@ def _letter(letter: str) -> list[list[tuple[int, str] | None]]:
     return table
 
 
-@lru_cache(maxsize=1 << 14)
-def solve(signature: str) -> list[list[tuple[int, str] | None]]:
-    """Cheapest edits of a run of rows by state before and after, from those of its halves."""
+MOST_KNOWN = 1 << 14  # solutions that a task remembers
+
+
+def solve(signature: str, known: dict | None = None) -> list[list[tuple[int, str] | None]]:
+    """Cheapest edits of a run of rows by state before and after, from those of its halves; ``known`` remembers solutions."""
+    known = {} if known is None else known
+    if signature in known:
+        return known[signature]
     if not signature:
         return [[(0, "") if i == j else None for j in range(4)] for i in range(4)]
     if len(signature) == 1:
-        return _letter(signature)
-    half = 1 << (len(signature) - 1).bit_length() - 1
-    left, right = solve(signature[:half]), solve(signature[half:])
-    return [
-        [min(((x[0] + right[m][j][0], x[1] + right[m][j][1]) for m, x in enumerate(left[i]) if x and right[m][j]), default=None) for j in range(4)]
-        for i in range(4)
-    ]
+        found = _letter(signature)
+    else:
+        half = 1 << (len(signature) - 1).bit_length() - 1
+        left, right = solve(signature[:half], known), solve(signature[half:], known)
+        found = [
+            [min(((x[0] + right[m][j][0], x[1] + right[m][j][1]) for m, x in enumerate(left[i]) if x and right[m][j]), default=None) for j in range(4)]
+            for i in range(4)
+        ]
+    if len(known) >= MOST_KNOWN:
+        known.clear()
+    known[signature] = found
+    return found
 
 
 def roles(signature: str) -> str:
@@ -151,10 +160,10 @@ def _solved(pieces: DataFrame) -> DataFrame:
     """``sig, ways``: the solution of each distinct signature, 16 ways in order of the states before and after."""
 
     def run(batches):
-        kind = pa.list_(pa.struct([("cost", pa.int64()), ("edits", pa.string())]))
+        kind, known = pa.list_(pa.struct([("cost", pa.int64()), ("edits", pa.string())])), {}
         for batch in small_batches(batches, 1 << 16):
             sigs = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[w and {"cost": w[0], "edits": w[1]} for row in solve(s) for w in row] for s in sigs], type=kind)], names=["sig", "ways"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[w and {"cost": w[0], "edits": w[1]} for row in solve(s, known) for w in row] for s in sigs], type=kind)], names=["sig", "ways"])
 
     return pieces.select("sig").distinct().mapInArrow(run, f"sig string, ways {TABLE}")
 
