@@ -74,23 +74,29 @@ def k_nearest(asked: DataFrame, seen: DataFrame, by: list[str], key: list[str],
     def piece(column: str, among: str, sign: str = "") -> Column:
         return F.expr(f"size(filter({among}, c -> c <= {column} {sign}))")
 
-    asked, seen = spread(asked, key), spread(seen, [near])
-    shards = F.ceil(F.col("_n") / SHARD_ROWS)
-    slabs = stored(cuts(seen, by, "_u0", F.ceil(F.sqrt(shards)) if len(sides) > 1 else shards).drop("_n").withColumnRenamed("_cuts", "_slabs"))  # a row for each group
-    asked = asked.join(slabs, by).withColumn("_slab", piece("_u0", "_slabs"))
-    seen = seen.join(slabs, by).withColumn("_slab", piece("_u0", "_slabs")).drop("_slabs")
-    cells = cuts(seen, [*by, "_slab"], "_u1" if len(sides) > 1 else "_u0", shards if len(sides) > 1 else F.lit(1)).withColumnRenamed("_cuts", "_cells")
-    cells = stored(cells.drop("_n"))  # a row for each slab
-    last = "_u1" if len(sides) > 1 else "_u0"
-    several = not slabs.where("size(_slabs) > 0").isEmpty() or not cells.where("size(_cells) > 0").isEmpty()
-    # a slab without seen rows has no shards: its rows look elsewhere
-    asked = asked.join(cells, [*by, "_slab"], "left").withColumn("_shard", F.coalesce(piece(last, "_cells"), F.lit(0)))
-    seen = seen.join(cells, [*by, "_slab"]).withColumn("_shard", piece(last, "_cells")).drop("_cells", *[f"_u{i}" for i in range(len(sides))])
-    blocks = asked.groupBy(*by, "_slab").agg(F.count("*").alias("_a")).join(cells, [*by, "_slab"], "left")
-    most = blocks.select(*by, F.greatest(F.lit(1), F.ceil(F.col("_a") / (F.coalesce(F.size("_cells"), F.lit(0)) + 1) / ASKED_ROWS)).cast("int").alias("_b")).groupBy(*by).agg(F.max("_b").alias("_blocks"))
-    most = stored(most)
-    asked = asked.join(most, by).withColumn("_block", F.pmod(F.xxhash64(*key), F.col("_blocks")).cast("int")).drop("_blocks", "_cells", *[f"_u{i}" for i in range(len(sides))])
-    seen = seen.join(most, by).withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_blocks")
+    counts = seen.groupBy(*by).agg(F.count("*").alias("s"), F.lit(0).alias("a")).select("s", "a").union(asked.groupBy(*by).agg(F.lit(0).alias("s"), F.count("*").alias("a")).select("s", "a"))
+    held = counts.agg(F.max("s"), F.max("a")).first()
+    several = (held[0] or 0) > SHARD_ROWS or (held[1] or 0) > ASKED_ROWS
+    if not several:  # every group is one shard and one block
+        one = {c: F.lit(0) for c in ("_slab", "_shard", "_block")}
+        asked, seen = asked.withColumns(one | {"_slabs": F.lit(0)}), seen.withColumns(one)
+    else:
+        asked, seen = spread(asked, key), spread(seen, [near])
+        shards = F.ceil(F.col("_n") / SHARD_ROWS)
+        slabs = stored(cuts(seen, by, "_u0", F.ceil(F.sqrt(shards)) if len(sides) > 1 else shards).drop("_n").withColumnRenamed("_cuts", "_slabs"))  # a row for each group
+        asked = asked.join(slabs, by).withColumn("_slab", piece("_u0", "_slabs"))
+        seen = seen.join(slabs, by).withColumn("_slab", piece("_u0", "_slabs")).drop("_slabs")
+        cells = cuts(seen, [*by, "_slab"], "_u1" if len(sides) > 1 else "_u0", shards if len(sides) > 1 else F.lit(1)).withColumnRenamed("_cuts", "_cells")
+        cells = stored(cells.drop("_n"))  # a row for each slab
+        last = "_u1" if len(sides) > 1 else "_u0"
+        # a slab without seen rows has no shards: its rows look elsewhere
+        asked = asked.join(cells, [*by, "_slab"], "left").withColumn("_shard", F.coalesce(piece(last, "_cells"), F.lit(0)))
+        seen = seen.join(cells, [*by, "_slab"]).withColumn("_shard", piece(last, "_cells")).drop("_cells", *[f"_u{i}" for i in range(len(sides))])
+        blocks = asked.groupBy(*by, "_slab").agg(F.count("*").alias("_a")).join(cells, [*by, "_slab"], "left")
+        most = blocks.select(*by, F.greatest(F.lit(1), F.ceil(F.col("_a") / (F.coalesce(F.size("_cells"), F.lit(0)) + 1) / ASKED_ROWS)).cast("int").alias("_b")).groupBy(*by).agg(F.max("_b").alias("_blocks"))
+        most = stored(most)
+        asked = asked.join(most, by).withColumn("_block", F.pmod(F.xxhash64(*key), F.col("_blocks")).cast("int")).drop("_blocks", "_cells", *[f"_u{i}" for i in range(len(sides))])
+        seen = seen.join(most, by).withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_blocks")
     where = [*by, "_slab", "_shard", "_block"]
     names = {c: f"s_{c}" for c in [*where, *coords]}
     seen = seen.withColumnsRenamed(names)
