@@ -107,3 +107,16 @@ def test_fill_against_every_centre(spark):
             lat, lon = math.degrees(math.asin(v / ROWS)), u * 360 / N - 180
             want |= {(i, cell) for i, ring in rings if inside(ring, lon, lat) or inside(ring, lon + 360, lat)}
     assert found == want and len({i for i, _ in want}) >= 3
+
+
+def test_points_halfway_between_centres_go_where_the_sql_puts_them(spark):
+    """At every hundredth of a degree of latitude, on meridians through the middle and the edge of columns."""
+    import duckdb
+
+    from phenogrid.plans.hexagons import HEX, LEVEL as level
+
+    places = spark.range(18001 * 48).selectExpr("id as cell", "id % 18001 / 100 - 90 as lat", "floor(id / 18001) * 7.5D - 180 as lon")
+    found = places.select("cell", hexes.point_cell(F.col("lat"), F.col("lon"), level).alias("hex")).toPandas().sort_values("cell")["hex"]
+    cells = "cells AS (SELECT i AS cell, (i % 18001)::DOUBLE / 100 - 90 AS lat, (i // 18001) * 7.5::DOUBLE - 180 AS lon FROM range(18001 * 48) r(i))"
+    wanted = duckdb.sql(f"WITH {cells}, {HEX} SELECT hex FROM hex ORDER BY cell").fetchnumpy()["hex"]
+    assert (found.to_numpy() == wanted).all()
