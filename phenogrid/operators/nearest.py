@@ -57,10 +57,22 @@ def k_nearest(asked: DataFrame, seen: DataFrame, by: list[str], key: list[str],
     and only those are searched.  So pairs do not grow with the square of
     the input where the coordinates tell rows apart, and no task holds more
     than a shard and a block of asked rows.
+
+    Of seen rows at one place only the first ``k`` by ``near`` can be among
+    the nearest, and rows that ask at one place find the same: copies are
+    neither searched nor searched for.
     """
     known = lambda df: df.where(" and ".join(f"{c} is not null" for c in coords))
     asked, seen = known(asked), known(seen)
-    sides = coords[:2]
+    first = F.row_number().over(Window.partitionBy(*by, *coords).orderBy(near))
+    seen = stored(seen.withColumn("_first", first).where(F.col("_first") <= k).drop("_first"))
+    found = _nearest_to_places(stored(asked.select(*by, *coords).distinct()), seen, by, coords, near, k, digits)
+    return asked.join(found, [*by, *coords])
+
+
+def _nearest_to_places(asked: DataFrame, seen: DataFrame, by: list[str], coords: list[str], near: str, k: int, digits: int) -> DataFrame:
+    """``k_nearest`` of places, each asked for once."""
+    key, sides = coords, coords[:2]
 
     def spread(df: DataFrame, name: list[str]) -> DataFrame:
         """Coordinates to be cut, of which equal ones differ a little."""

@@ -261,3 +261,21 @@ def test_places_of_texts(spark):
     texts = sorted({"".join(rng.choice(list("abé "), rng.integers(0, 9))) for _ in range(500)} | {"", "\U0001f600", "zz"}, key=lambda s: s.encode())
     rows = totals.text_ranks(spark.createDataFrame([(t,) for t in texts], "t string").repartition(5), "t", "place", width=2).collect()
     assert {r["t"]: r["place"] for r in rows} == {t: i + 1 for i, t in enumerate(texts)}
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    """Rows at one place find the first by name, and the search sees neither more of them nor places twice."""
+    from phenogrid.operators import nearest
+
+    sizes, inner = [], nearest._nearest_to_places
+
+    def counted(asked, seen, *rest):
+        sizes.append((asked.count(), seen.count()))
+        return inner(asked, seen, *rest)
+
+    monkeypatch.setattr(nearest, "_nearest_to_places", counted)
+    place = ("1 as g", "id % 2 * 1.0D as x", "0.0D as y")
+    got = nearest.k_nearest(spark.range(1000).selectExpr("id as cell", *place), spark.range(2000).selectExpr("2000 - id as near", *place), ["g"], ["cell"], ["x", "y"], "near", 3)
+    rows = sorted((r["cell"], r["rn"], r["near"], r["dist"]) for r in got.collect())
+    assert sizes == [(2, 6)]
+    assert rows == [(c, i + 1, 2 * (i + 1) - c % 2, 0.0) for c in range(1000) for i in range(3)]
