@@ -50,17 +50,25 @@ def _squares(degrees: float) -> tuple:
     return band, columns
 
 
+def _inner_square(lat: str, lon: str) -> dict[str, Column]:
+    """Row and column of a square in degrees of which no two places are farther apart than ``max_km``."""
+    degrees = F.degrees(F.col("max_km") / geo.EARTH_KM) * (0.999 / 2**0.5)
+    return {"_row": F.floor((F.col(lat) + 90) / degrees), "_column": F.floor((F.col(lon) + 180) / degrees)}
+
+
 def propagate(samples: DataFrame, env: list[str], k: int = 20, radius_km: float = 1000.0, least: int = 12, spread: float = 1.0, env_dist_max: float = 5.0, cap_km: float = 1500.0) -> DataFrame:
     """Samples with labels added to the sparse ones.
 
     A sparse sample (fewer than ``least`` species) takes the species of its
     environment neighbours within ``radius_km`` and ``env_dist_max``, unless
     it is farther from every observation of the species than that may
-    spread.  Null environment values count as the mean.  That last test
-    joins candidates with a species' distinct observed places in squares
-    about as wide as the farthest spread, their own and those around, and
-    checks each place's own distance.
+    spread.  Null environment values count as the mean.  A candidate that
+    shares a square no wider than that with an observation of the species
+    passes the last test.  The others are joined with a species' distinct
+    observed places in squares about as wide as the farthest spread, their
+    own and those around, and each place's own distance is checked.
     """
+    samples = stored(samples)
     observed = samples.where(F.size("species") >= least)
     near = nearest_in_environment(samples, env, k, least).where(F.col("km") <= radius_km)
     if env_dist_max > 0:
@@ -75,7 +83,12 @@ def propagate(samples: DataFrame, env: list[str], k: int = 20, radius_km: float
         degrees = min(180.0, 57.2957795130823 * band_km / geo.EARTH_KM * 1.000001)
         band, columns = _squares(degrees)
         column = lambda lon, row: F.floor((lon + 180) * columns(row) / 360.0).cast("int")
-        tested = wanted.select("cell", "lat", "lon", "species").distinct().join(limits.select("species", "max_km"), "species")
+        each_once = wanted.select("cell", "lat", "lon", "species").distinct()
+        limits = stored(limits.select("species", "max_km"))
+        squared = stored(each_once.join(limits, "species").withColumns(_inner_square("lat", "lon")))
+        held = places.join(limits, "species").withColumns(_inner_square("o_lat", "o_lon")).select("species", "_row", "_column").distinct()
+        sure = squared.join(held, ["species", "_row", "_column"], "left_semi").select("cell", "species")
+        tested = squared.join(held, ["species", "_row", "_column"], "left_anti").drop("_row", "_column")
         tested = tested.withColumn("band", F.explode(F.array(band(F.col("lat")) - 1, band(F.col("lat")), band(F.col("lat")) + 1)))
         # the largest difference in longitude within the spread of a latitude
         sine = F.sin(F.lit(min(1.5707963, band_km / geo.EARTH_KM * 1.000001))) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9))
@@ -85,6 +98,7 @@ def propagate(samples: DataFrame, env: list[str], k: int = 20, radius_km: float
         placed = places.withColumn("band", band(F.col("o_lat"))).withColumn("square", F.pmod(column(F.col("o_lon"), F.col("band")), columns(F.col("band"))))
         pairs = tested.join(placed, ["species", "band", "square"])
         close = pairs.where(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= F.col("max_km")).select("cell", "species").distinct()
+        close = sure.union(close)
         wanted = wanted.join(close, ["cell", "species"], "left_semi")
     added = wanted.groupBy("cell", "week").agg(F.collect_set("species").alias("added"))
     new = F.array_sort(F.array_union("species", F.coalesce("added", F.array().cast("array<string>"))))

@@ -279,3 +279,15 @@ def test_copies_are_searched_once(spark, monkeypatch):
     rows = sorted((r["cell"], r["rn"], r["near"], r["dist"]) for r in got.collect())
     assert sizes == [(2, 6)]
     assert rows == [(c, i + 1, 2 * (i + 1) - c % 2, 0.0) for c in range(1000) for i in range(3)]
+
+
+def test_places_of_one_square_are_within_reach(spark):
+    """Anywhere on the globe, and for any reach, so that they need no distance."""
+    from phenogrid.functions import geo
+    from phenogrid.operators import propagation
+
+    some = spark.range(40_000).selectExpr("id % 3 as kind", "element_at(array(50.0D, 500.0D, 9000.0D), cast(id % 3 + 1 as int)) as max_km", "rand(1) * 180 - 90 as lat", "rand(2) * 360 - 180 as lon").cache()
+    a = some.withColumns(propagation._inner_square("lat", "lon"))
+    b = some.select("kind", "max_km", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")).withColumns(propagation._inner_square("lat_b", "lon_b")).drop("max_km")
+    far = a.join(b, ["kind", "_row", "_column"]).agg(F.count("*").alias("n"), F.max(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) / F.col("max_km")).alias("m")).first()
+    assert far["n"] > 40_000 and 0.5 < far["m"] <= 1
