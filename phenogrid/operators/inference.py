@@ -16,7 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from phenogrid.operators.stored import dealt
+
 LAYERNORM_EPS = 1e-4
+POINTS_PER_TASK = 16_384
 
 
 @dataclass(frozen=True)
@@ -150,4 +153,4 @@ def predict(points: DataFrame, weights: dict) -> DataFrame:
             found = forward_all(sent.value, pdf["lat"].to_numpy(float), pdf["lon"].to_numpy(float), pdf["week"].to_numpy(float))
             yield pd.DataFrame({"lat": pdf["lat"], "lon": pdf["lon"], "week": pdf["week"]} | {k: list(v.astype(np.float64)) for k, v in found.items()})
 
-    return points.select("lat", "lon", "week").mapInPandas(run, "lat double, lon double, week int, probs array<double>" + (", env array<double>" if "env" in weights else ""))
+    return dealt(points.select("lat", "lon", "week"), POINTS_PER_TASK).mapInPandas(run, "lat double, lon double, week int, probs array<double>" + (", env array<double>" if "env" in weights else ""))

@@ -1,4 +1,4 @@
-"""Tables that are worked out once."""
+"""Tables that are worked out once, and rows dealt to tasks of a bounded size."""
 
 from __future__ import annotations
 
@@ -16,3 +16,8 @@ def stored(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in partitions of about so many rows, however few files it is read from; counts them first."""
+    return df.repartition(max(1, -(-df.count() // rows)))

@@ -291,3 +291,17 @@ def test_places_of_one_square_are_within_reach(spark):
     b = some.select("kind", "max_km", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")).withColumns(propagation._inner_square("lat_b", "lon_b")).drop("max_km")
     far = a.join(b, ["kind", "_row", "_column"]).agg(F.count("*").alias("n"), F.max(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) / F.col("max_km")).alias("m")).first()
     assert far["n"] > 40_000 and 0.5 < far["m"] <= 1
+
+
+def test_heavy_rows_are_dealt_to_tasks(spark, monkeypatch):
+    """Rings and points of one file are not one task's work."""
+    from phenogrid.operators import inference, repair
+
+    monkeypatch.setattr(repair, "RINGS_PER_TASK", 10)
+    monkeypatch.setattr(inference, "POINTS_PER_TASK", 10)
+    one = spark.range(0, 100, 1, 1)
+    square = "array(struct(0.0D as lon, 0.0D as lat), struct(1.0D as lon, 0.0D as lat), struct(1.0D as lon, 1.0D as lat)) as ring"
+    fixed = repair.repair_rings(one.selectExpr("id", square))
+    scored = inference.predict(one.selectExpr("id * 0.5D as lat", "1.0D as lon", "1 as week"), inference.random_weights(2))
+    for df in (fixed, scored):
+        assert df.rdd.getNumPartitions() == 10 and df.count() == 100
