@@ -378,17 +378,21 @@ def cache_key(t: Tables):
     return kept.withColumn("n_built", F.lit(built.count(4)))
 
 
+ROWS_PER_FILE = 500_000  # of the stream's part files
+
+
 @query(sql("SELECT week, count(*) AS n FROM presence GROUP BY week", "presence"))
 def stream_incremental(t: Tables):
     """Presence kept up from a stream of part files, which is stopped after some batches and started again from its checkpoint."""
     files, table, checkpoint = (f"{t.folder()}/{name}" for name in ("in", "presence", "state"))
     arrived = t.occurrence().select("cell", "week", F.col("name").alias("species"))
-    # each species has a file of its own, and rows of one key come in two files
-    arrived = arrived.repartition(3, "species").unionByName(arrived.where("cell % 4 = 0").repartition(1))
-    arrived.write.parquet(files)
+    # all rows of a key have one file, and those that come again mostly have another
+    again = F.explode(F.when(F.col("cell") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    n_files = max(4, -(-t.read("lineitem").count() // ROWS_PER_FILE))
+    arrived.select("*", again).repartition(n_files, "cell", "week", "species", "again").drop("again").write.parquet(files)
 
     def stream():
-        return incremental.read_presence_stream(t.spark, files, "cell bigint, week int, species string", files_per_batch=1)
+        return incremental.read_presence_stream(t.spark, files, "cell bigint, week int, species string", files_per_batch=-(-n_files // 4))
 
     running = incremental.write_presence(stream(), table, checkpoint, once=False)
     while running.isActive and not any(p["numInputRows"] for p in running.recentProgress):
