@@ -30,7 +30,7 @@ RUNS = (3, 2, 1)  # words of a run, the longest first
 KEYS_PER_WORD = 0.6
 LEVELS, KINDS = 3, 256  # of word counts
 SKETCH = [f"c{i}_{j}" for i in range(LEVELS) for j in range(KINDS // 64)]
-LONG_LINE, LONG_KINDS = 300, 1024  # words from which lines have a finer count of words
+FINER = ((40, 128), (300, 1024))  # words above which lines have a finer count of words, and of how many kinds
 WORD_BUCKETS = 1 << 15  # for the order of runs alone
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
@@ -116,14 +116,31 @@ def word_levels(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def word_counts(words: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
-    """For each line of more than ``LONG_LINE`` words, how many it has of each of ``LONG_KINDS``, 255 at most, as bytes; null for others."""
-    out: list[bytes | None] = [None] * len(n)
-    for i in np.flatnonzero(n > LONG_LINE).tolist():
-        kinds = (words[first[i] : first[i] + n[i]] >> np.uint64(54)).astype(np.int64)
-        out[i] = np.minimum(np.bincount(kinds, minlength=LONG_KINDS), 255).astype(np.uint8).tobytes()
+    """For each line, how many words it has of each of the kinds that ``FINER`` gives its length, 255 at most, as bytes; null for short lines."""
+    out = np.full(len(n), None, dtype=object)
+    for (above, kinds), most in zip(FINER, [*[above for above, _ in FINER[1:]], np.inf]):
+        at = np.flatnonzero((n > above) & (n <= most))
+        step = max(1, (1 << 20) // kinds)
+        for low in range(0, len(at), step):
+            part = at[low : low + step]
+            place = np.arange(n[part].sum()) + np.repeat(first[part] - np.cumsum(n[part]) + n[part], n[part])
+            of = np.repeat(np.arange(len(part)), n[part]) * kinds + (words[place] >> np.uint64(65 - kinds.bit_length())).astype(np.int64)
+            data = np.minimum(np.bincount(of, minlength=len(part) * kinds), 255).astype(np.uint8).tobytes()
+            out[part] = [data[i : i + kinds] for i in range(0, len(data), kinds)]
     return pa.array(out, type=pa.binary())
 
 
+def coarser(counts: list[bytes], kinds: int) -> np.ndarray:
+    """Word counts, a row each, of so many kinds, 255 at most: counts of more kinds are added up."""
+    out = np.zeros((len(counts), kinds), dtype=np.uint8)
+    sizes = np.array([len(c) for c in counts])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        finer = np.frombuffer(b"".join(counts[i] for i in at.tolist()), dtype=np.uint8).reshape(len(at), kinds, size // kinds)
+        out[at] = np.minimum(finer.sum(axis=2, dtype=np.int64), 255)
+    return out
+
+
 def near_counts(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether rows of word counts allow ``most`` edits, each of which takes one word at most from either side."""
     change = a.astype(np.int16) - b.astype(np.int16)
@@ -238,10 +255,10 @@ def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
 
 def close_sql(least: float) -> str:
-    """What the lengths and word counts of linked lines a and b meet."""
+    """What the lengths and word counts of linked lines a and b meet: an edit takes one word at most from either."""
     edits = f"floor({1 - least!r}D * greatest(a_words, b_words) + 1e-9D)"
-    bits = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in SKETCH)
-    return f"abs(a_words - b_words) <= {edits} and {bits} <= 2 * {edits}"
+    gone, come = (" + ".join(f"bit_count({x}_{c} & ~{y}_{c})" for c in SKETCH) for x, y in ("ab", "ba"))
+    return f"abs(a_words - b_words) <= {edits} and {gone} <= {edits} and {come} <= {edits}"
 
 
 def word_edits(a: list[str], b: list[str]) -> int:
@@ -371,9 +388,9 @@ def similar_pairs(left: list[str], right: list[str], least: float) -> np.ndarray
 
 
 def _near_long_lines(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """``pairs`` without those of long lines whose finer word counts are too far apart."""
+    """``pairs`` without those of longer lines whose finer word counts are too far apart."""
     finer = classes.where("finer is not null").select("h1", "words", "finer")
-    left, right = finer.toDF("src", "a_words", "a"), finer.toDF("dst", "b_words", "b")
+    left, right = (near_ids(finer, pairs.select(F.col(c).alias("h1")), "h1").toDF(c, f"{x}_words", x) for c, x in (("src", "a"), ("dst", "b")))
     both = pairs.join(left, "src", "left").join(right, "dst", "left").select("src", "dst", "a", "b", F.greatest("a_words", "b_words").alias("words"))
 
     def test(batches):
@@ -382,8 +399,12 @@ def _near_long_lines(classes: DataFrame, pairs: DataFrame, least: float) -> Data
             at = np.flatnonzero(a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
             keep = np.ones(batch.num_rows, dtype=bool)
             if len(at):
-                counts = [np.frombuffer(b"".join(x.take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1) for x in (a, b)]
-                keep[at] = near_counts(*counts, edits_allowed(batch.column(4).take(pa.array(at)).to_numpy(), least))
+                counts = [x.take(pa.array(at)).to_pylist() for x in (a, b)]
+                kinds = np.minimum(*([len(c) for c in x] for x in counts))
+                most = edits_allowed(batch.column(4).take(pa.array(at)).to_numpy(), least)
+                for k in np.unique(kinds).tolist():
+                    of = np.flatnonzero(kinds == k)
+                    keep[at[of]] = near_counts(*(coarser([x[i] for i in of.tolist()], k) for x in counts), most[of])
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return both.mapInArrow(test, "src long, dst long")

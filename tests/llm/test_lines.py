@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from phenogrid.llm import lines
 
@@ -93,3 +94,52 @@ def test_odd_rows(odd_documents, no_documents):
     assert rows[2]["text"] is None and rows[2]["n_lines"] == 0 and rows[3]["text"] == "" and rows[4]["text"] == "\n\n \t"
     assert rows[0]["text"] and rows[1]["text"] == "" and rows[7]["n_dropped"] == 1 and rows[7]["component"] == "w"
     assert lines.dedup_lines(odd_documents).count() == 12 and lines.dedup_lines(no_documents).count() == 0
+
+
+def edited_lines(rng, words, n, edits, count):
+    """Lines that are one line after so many edits, drawn anew for each."""
+    base = rng.choice(words, n)
+    for _ in range(count):
+        line = base.copy()
+        line[rng.choice(n, edits, replace=False)] = rng.choice(words, edits)
+        yield line
+
+
+def test_word_counts_never_part_linked_lines_and_bound_both_sides():
+    """Counts of lines on either side of the lengths at which they become finer, with words repeated more than 255 times."""
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    pairs = []
+    for n in (41, 60, 299, 300, 301, 330, 900):
+        for line in edited_lines(rng, vocabulary[: 60 if n != 300 else 1], n, int(0.1 * n), 6):
+            a, b = line.tolist(), line.tolist()
+            for _ in range(int(0.1 * n)):
+                b.insert(int(rng.integers(0, len(b) + 1)), int(rng.choice(vocabulary)))
+            pairs.append((a, b))
+            pairs.append((a, rng.choice(vocabulary[30:], n).tolist()))
+    flat = np.array([w for pair in pairs for line in pair for w in line], dtype=np.uint64)
+    n = np.array([len(line) for pair in pairs for line in pair])
+    first = np.concatenate(([0], np.cumsum(n)[:-1]))
+    counts = lines.word_counts(flat, first, n).to_pylist()
+    assert {len(c) for c in counts} == {kinds for _, kinds in lines.FINER}
+    for i, (a, b) in enumerate(pairs):
+        both = counts[2 * i : 2 * i + 2]
+        kinds = min(len(c) for c in both)
+        for c, line in zip(both, (a, b)):
+            at = np.array(line, dtype=np.uint64) >> np.uint64(65 - kinds.bit_length())
+            assert lines.coarser([c], kinds)[0].tolist() == np.minimum(np.bincount(at.astype(np.int64), minlength=kinds), 255).tolist()
+        near = lines.near_counts(*(lines.coarser([c], kinds) for c in both), lines.edits_allowed([max(len(a), len(b))], 0.8))[0]
+        assert near == (i % 2 == 0)
+
+
+def test_edits_are_bounded_on_each_side(spark):
+    """Near copies of one line, half of them with words of their own at the end: too many words come in, though few go."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(4000)])
+    texts = [" ".join([*line, *rng.choice(words, 14 * (i % 2))]) for i, line in enumerate(edited_lines(rng, words, 70, 4, 120))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = lines.line_table(docs, "doc_id", "text", sketches=True).where("counts is null").select("h1", "words", *lines.SKETCH)
+    a, b = (table.toDF(*[f"{x}_{c}" for c in table.columns]) for x in "ab")
+    found = a.join(b, F.expr("a_h1 < b_h1")).where(lines.close_sql(0.8)).count()
+    true = sum(lines.similar(x, y, 0.8) for i, x in enumerate(texts) for y in texts[i + 1 :])
+    assert 60 * 59 // 2 <= true <= found <= true + 60
