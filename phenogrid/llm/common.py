@@ -198,9 +198,34 @@ def _blobs(values: np.ndarray, width: int, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def pack_entries(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int):
+PLACED_SCHEMA = ENTRY_SCHEMA + ", places binary"
+NO_PLACE = (1 << 16) - 1
+PARTNERS = 12  # places are compared with those of so many entries on either side; an entry with more partners passes
+
+
+def place_codes(n: np.ndarray, place: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where in an item of ``n`` parts a key's only run begins, and n; other runs and long items have no place."""
+    known = known & (n < NO_PLACE)
+    return np.where(known, n, NO_PLACE).astype(np.uint64) | np.where(known, place, NO_PLACE).astype(np.uint64) << np.uint64(16)
+
+
+def near_codes(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Whether items can be ``share`` of the longer one's parts apart in edits that leave this run alone.
+
+    As many edits come before the run as its places differ by, and as many
+    after it as what follows differs in length by.
+    """
+    low, high = np.uint64(NO_PLACE), np.uint64(16)
+    (n, p), (m, q) = (((x & low).astype(np.int64), (x >> high).astype(np.int64)) for x in (a, b))
+    edits = np.abs(p - q) + np.abs((n - p) - (m - q))
+    return (p == NO_PLACE) | (q == NO_PLACE) | (edits <= np.floor(share * np.maximum(n, m) + 1e-9))
+
+
+def pack_entries(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int, places: np.ndarray | None = None):
     """Record batches of ``ENTRY_SCHEMA`` for a batch's key hashes, the ids that list them, and the ids' ``size_codes``.
 
+    With ``places``, the ``place_codes`` of the keys, of ``PLACED_SCHEMA``.
+
     Keys go to buckets by their hash, a row for each bucket.  Of the ids of
     one size that list one key only the first goes there, marked; the others
     are dealt to buckets anew, as they are known to share their key already.
@@ -211,10 +236,10 @@ def pack_entries(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets
         return
     ids = ids.astype(np.uint64)
     order = np.lexsort((ids, sizes, hashes))
-    hashes, ids, sizes = hashes[order], ids[order], sizes[order]
+    hashes, ids, sizes, places = hashes[order], ids[order], sizes[order], None if places is None else places[order]
     same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (sizes[1:] == sizes[:-1])))
     new = ~same | np.concatenate(([True], ids[1:] != ids[:-1]))
-    hashes, ids, sizes = hashes[new], ids[new], sizes[new]
+    hashes, ids, sizes, places = hashes[new], ids[new], sizes[new], None if places is None else places[new]
     same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (sizes[1:] == sizes[:-1])))
     many = np.concatenate((same[1:], [False])) & ~same
     home = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
@@ -225,53 +250,62 @@ def pack_entries(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets
             at = home[part]
             ends = np.concatenate((np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
             homes = at[ends - 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((homes + np.int64(moved)) % buckets, type=pa.int32()), pa.array(homes), _blobs(keys[part], KEY_BYTES, ends), _blobs(ids[part], 8, ends), _blobs(sizes[part], 1, ends)],
-                names=["bucket", "home", "keys", "ids", "sizes"],
-            )
+            columns = [pa.array((homes + np.int64(moved)) % buckets, type=pa.int32()), pa.array(homes), _blobs(keys[part], KEY_BYTES, ends), _blobs(ids[part], 8, ends), _blobs(sizes[part], 1, ends)]
+            names = ["bucket", "home", "keys", "ids", "sizes"]
+            if places is not None:
+                columns.append(_blobs(places[part], 4, ends)), names.append("places")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Bucket, home, key, id and size code of each entry."""
-    raw = {c: [v for chunk in table.column(c).chunks for v in chunk.to_pylist()] for c in ("keys", "ids", "sizes")}
+    """Bucket, home, key, id, size code and place code (0 if there are none) of each entry."""
+    raw = {c: [v for chunk in table.column(c).chunks for v in chunk.to_pylist()] for c in ("keys", "ids", "sizes", "places") if c in table.column_names}
     counts = [len(v) for v in raw["sizes"]]
     joined = {c: np.frombuffer(b"".join(v), dtype=np.uint8) for c, v in raw.items()}
     wide = np.zeros((len(joined["sizes"]), 8), dtype=np.uint8)
     wide[:, :KEY_BYTES] = joined["keys"].reshape(-1, KEY_BYTES)
     bucket, home = (np.repeat(table.column(c).to_numpy(), counts) for c in ("bucket", "home"))
-    return bucket, home, wide.view("<u8").ravel(), joined["ids"].view("<u8"), joined["sizes"]
+    places = joined["places"].view("<u4").astype(np.uint64) if "places" in joined else np.zeros(len(bucket), np.uint64)
+    return bucket, home, wide.view("<u8").ravel(), joined["ids"].view("<u8"), joined["sizes"], places
+
 
+def _shared(table: pa.Table, span: int, share: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Name of the key and id of the entries of a bucket whose key another id of about their size lists, with ``share`` at about their place.
 
-def _shared(table: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Name of the key and id of the entries of a bucket whose key another id of about their size lists."""
-    bucket, home, key, ids, sizes = _unpacked(table)
+    A marked entry stands for others that are not here, of unknown places.
+    """
+    bucket, home, key, ids, sizes, places = _unpacked(table)
     many = key >> np.uint64(KEY_BITS) > 0
     key = key & np.uint64((1 << KEY_BITS) - 1)
     name = mix64(key ^ mix64(home.astype(np.uint64) + np.uint64(1)))
     own = bucket == home
     loose = name[~own], ids[~own]
-    name, ids, sizes, many = name[own], ids[own], sizes[own].astype(np.int16), many[own]
+    name, ids, sizes, many, places = name[own], ids[own], sizes[own].astype(np.int16), many[own], places[own]
     order = np.lexsort((~many, ids, sizes, name))
-    name, ids, sizes, many = name[order], ids[order], sizes[order], many[order]
+    name, ids, sizes, many, places = name[order], ids[order], sizes[order], many[order], places[order]
     new = np.ones(len(name), dtype=bool)
     new[1:] = (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])
-    name, ids, sizes, many = name[new], ids[new], sizes[new], many[new]
-    near = (name[1:] == name[:-1]) & (sizes[1:] - sizes[:-1] <= span)
-    met = many
-    met[1:] |= near
-    met[:-1] |= near
+    name, ids, sizes, many, places = name[new], ids[new], sizes[new], many[new], places[new]
+    met = many.copy()
+    for step in range(1, 2 if share is None else PARTNERS + 2):
+        at = np.flatnonzero((name[step:] == name[:-step]) & (sizes[step:] - sizes[:-step] <= span))
+        if share is not None and step <= PARTNERS:
+            at = at[many[at] | many[at + step] | near_codes(places[at], places[at + step], share)]
+        met[at] = met[at + step] = True
     return np.concatenate((name[met], loose[0])), np.concatenate((ids[met], loose[1]))
 
 
-def shared_rows(entries: DataFrame, span: int) -> DataFrame:
+def shared_rows(entries: DataFrame, span: int, share: float | None = None) -> DataFrame:
     """``key, id`` of the keys that at least two ids of about one size list, from packed entries; now and then a row twice.
 
-    ``span``: the ``code_span`` of sizes that can belong together.
+    ``span``: the ``code_span`` of sizes that can belong together.  ``share``:
+    of entries with places, the edits that can lie between items, as a share
+    of the longer one's parts.
     """
 
     def meet(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            name, ids = _shared(table, span)
+            name, ids = _shared(table, span, share)
         return pa.table({"key": name.view(np.int64), "id": ids.view(np.int64)})
 
     return entries.groupBy("bucket").applyInArrow(meet, "key long, id long")
@@ -359,6 +393,7 @@ def near_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 
 PAIRS_PER_ROW = 2
 FIRST_KEYS = 8  # the first stars are over one key in so many
+LOW_KEYS = 16  # of an id, by which a pair that shares several keys mostly comes out for the least one alone
 
 
 def bucket_components(scratch: Scratch, rows: DataFrame, sketches: DataFrame, close: str, verify, star_rounds: int = 8) -> DataFrame:
@@ -379,7 +414,8 @@ def bucket_components(scratch: Scratch, rows: DataFrame, sketches: DataFrame, cl
     in a linear round, and most keys are settled.  Further rounds of stars,
     over all keys, follow while the pairs are many times the rows and a
     round halves them.  What is left between different components is tested
-    in full.
+    in full: a pair comes out for each key that it shares unless a lesser
+    shared one is among the least ``LOW_KEYS`` of both, so never for none.
     """
     carry = [c for c in sketches.columns if c != "id"]
 
@@ -389,13 +425,22 @@ def bucket_components(scratch: Scratch, rows: DataFrame, sketches: DataFrame, cl
 
     def linked(placed: DataFrame, stars: int | None) -> DataFrame:
         """Verified links between members of different components: with a member drawn by round, or of all pairs."""
-        a = sketched(placed, "a", {"id": "id", "comp": "comp"})
+        columns = {"id": "id", "comp": "comp"}
+        if stars is None:
+            low = placed.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
+            a = sketched(placed.join(low, "id"), "a", columns | {"low": "low"})
+        else:
+            a = sketched(placed, "a", columns)
+        once = "true"
         if stars is None:
+            once = "coalesce(array_min(array_intersect(a_low, b_low)), key) >= key"
             b = a.select("key", *[F.col(c).alias("b" + c[1:]) for c in a.columns if c != "key"])
         else:
-            centre = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(stars)).alias("draw"), "id", "comp")).alias("c"))
-            b = sketched(centre.select("key", "c.id", "c.comp"), "b", {"id": "id", "comp": "comp"})
-        pairs = a.join(b, "key").where(f"a_comp {'<' if stars is None else '!='} b_comp and {close}")
+            # the first round draws alike for all keys, so that pairs are few; later ones for each key, as not all members of a group may be linked
+            draw = F.xxhash64("id", F.lit(stars), *(["key"] if stars else []))
+            centre = placed.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), "id", "comp")).alias("c"))
+            b = sketched(centre.select("key", "c.id", "c.comp"), "b", columns)
+        pairs = a.join(b, "key").where(f"a_comp {'<' if stars is None else '!='} b_comp and {close} and {once}")
         pairs = scratch.keep(pairs.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct())
         found = verify(pairs)
         scratch.drop(pairs)

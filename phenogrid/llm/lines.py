@@ -5,9 +5,9 @@ lines are one class.  Two classes are linked if the edit similarity of their
 word sequences is high enough; no hash limits the relation.  An edit changes
 at most q of a line's runs of q words, so linked lines share a run among the
 first few of each in one order of all runs, rare words first.  Classes meet
-under these runs; candidates whose lengths and word counts differ by more
-than the edits allow are dropped, the others are verified.  Of each
-connected group of lines only the first occurrence stays.
+under these runs; candidates whose lengths, places of the run and word
+counts differ by more than the edits allow are dropped, the others are
+verified.  Of each connected group of lines only the first occurrence stays.
 
 Lines go by a 64-bit hash of their words until the end: two unlike lines
 that share it, 1 in 10**7 among 10**12, and have a like line each may count
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import ENTRY_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, code_span, entry_buckets, free_name, mix64, near_ids, pack_entries, shared_rows, size_codes, small_batches
+from phenogrid.llm.common import PLACED_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, code_span, entry_buckets, free_name, mix64, near_ids, pack_entries, place_codes, shared_rows, size_codes, small_batches
 
 MAX_BITS = 64  # of the SimHash: any distance may be linked
-RUNS = (3, 2, 1)  # words of a run, the longest first
-KEYS_PER_WORD = 0.6
+RUNS = (2, 1)  # words of a run, the longest first
+KEYS_PER_WORD = 0.4
 LEVELS, KINDS = 3, 256  # of word counts
 SKETCH = [f"c{i}_{j}" for i in range(LEVELS) for j in range(KINDS // 64)]
 FINER = ((40, 128), (300, 1024))  # words above which lines have a finer count of words, and of how many kinds
-WORD_BUCKETS = 1 << 15  # for the order of runs alone
+WORD_BUCKETS, SLICES = 1 << 18, 16  # for the order of runs alone
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
 
@@ -79,14 +79,18 @@ def run_counts(n: int, least: float) -> list[int]:
     return counts
 
 
-def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Line number and key of the runs that each line is found by, ordered by line."""
+def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line number, key and ``place_codes`` of the runs that each line is found by, ordered by line.
+
+    The first of all runs, in their order, that the edits leave alone is
+    among both lines' keys; if neither line repeats it, its places tell.
+    """
     sizes, which = np.unique(n, return_inverse=True)
     wanted = np.array([run_counts(int(x), least) for x in sizes], dtype=np.int64).reshape(-1, len(RUNS))[which]
     line = np.repeat(np.arange(len(n)), n)
     left = np.repeat(first + n, n) - np.arange(len(words))
     common = rarity[(words & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
-    lines_, keys = [], []
+    made = []
     for i, q in enumerate(RUNS):
         at = np.flatnonzero((left >= q) & (wanted[line, i] > 0))
         h, rank = np.full(len(at), q, dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
@@ -94,18 +98,20 @@ def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.nda
             h = mix64(h + words[at + j])
             rank += common[at + j]
         of = line[at].astype(np.uint64)
-        # runs whose 40 bits agree count as one, in every line alike
-        order = np.argsort(of << np.uint64(44) | rank << np.uint64(38) | h >> np.uint64(26))
-        h, rank, of = h[order], rank[order], of[order]
-        place = h >> np.uint64(26) | rank << np.uint64(38)
-        new = np.ones(len(of), dtype=bool)
-        new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
-        h, of = h[new], of[new].astype(np.int64)
+        # runs whose 36 bits agree count as one, in every line alike
+        order = np.argsort(of << np.uint64(44) | rank << np.uint64(36) | h >> np.uint64(28))
+        h, rank, of, at = h[order], rank[order], of[order], at[order]
+        name = h >> np.uint64(28) | rank << np.uint64(36)
+        new = np.ones(len(of) + 1, dtype=bool)
+        new[1:-1] = (name[1:] != name[:-1]) | (of[1:] != of[:-1])
+        new, alone = new[:-1], new[:-1] & new[1:]
+        h, of, at, alone = h[new], of[new].astype(np.int64), at[new], alone[new]
         keep = np.arange(len(of)) - np.searchsorted(of, of) < wanted[of, i]
-        lines_.append(of[keep]), keys.append(h[keep])
-    of, key = np.concatenate(lines_), np.concatenate(keys)
+        h, of, at, alone = h[keep], of[keep], at[keep], alone[keep]
+        made.append((of, h, place_codes(n[of], at - first[of], alone)))
+    of, key, places = (np.concatenate(x) for x in zip(*made))
     order = np.argsort(of, kind="stable")
-    return of[order], key[order]
+    return of[order], key[order], places[order]
 
 
 def word_levels(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -176,11 +182,13 @@ class LineSplitter:
             yield {"data": data, "words": words, "first": first, "n": n, "h1": h1, "h2": h2, "doc": doc + low, "line": of_line[first] - np.searchsorted(breaks, doc_starts[doc]), "span": (edges[of_line[first]] + 1, edges[of_line[first] + 1])}
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False, tally: bool = False) -> DataFrame:
     """One narrow row per line with a word: doc_id, line, h1, h2 (of the words in order), words, and sim.
 
-    With ``sketches``, instead of sim: the columns ``SKETCH``.  Then each task
-    adds a row that has only ``counts``, of all words by their hash.
+    With ``sketches``, instead of sim: the columns ``SKETCH``, ``finer`` and
+    ``said``, the line's words.  With ``tally``, instead of sim: each task
+    adds rows that have only ``slice`` and ``counts``, of all words by their
+    hash.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -188,32 +196,42 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = Fal
         splitter, counts, names = LineSplitter(), np.zeros(WORD_BUCKETS, np.int64), None
         for batch in small_batches(batches):
             for g in splitter(batch.column(1)):
-                columns = {"doc_id": batch.column(0).take(pa.array(g["doc"])), "line": pa.array(g["line"].astype(np.int32)), "h1": pa.array(g["h1"].view(np.int64)), "h2": pa.array(g["h2"].view(np.int64))}
-                if not sketches:
-                    columns["sim"] = pa.array(sim_hashes(g["words"], g["first"]).view(np.int64))
-                columns["words"] = pa.array(g["n"].astype(np.int32))
+                columns = {"doc_id": batch.column(0).take(pa.array(g["doc"])), "line": pa.array(g["line"].astype(np.int32)), "h1": pa.array(g["h1"].view(np.int64)), "h2": pa.array(g["h2"].view(np.int64)), "words": pa.array(g["n"].astype(np.int32))}
                 if sketches:
+                    data, low, high = g["data"], *(x.tolist() for x in g["span"])
                     columns |= {c: pa.array(x) for c, x in zip(SKETCH, np.ascontiguousarray(word_levels(g["words"], g["first"]).T))}
                     columns["finer"] = word_counts(g["words"], g["first"], g["n"])
-                    columns["counts"] = pa.nulls(len(g["n"]), pa.list_(pa.int64()))
+                    columns["said"] = pa.array([data[a:b].translate(WORD_TABLE) for a, b in zip(low, high)], type=pa.binary()).cast(pa.string())
+                elif tally:
                     counts += np.bincount((g["words"] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
+                else:
+                    columns["sim"] = pa.array(sim_hashes(g["words"], g["first"]).view(np.int64))
+                if sketches or tally:
+                    columns |= {"slice": pa.nulls(len(g["n"]), pa.int32()), "counts": pa.nulls(len(g["n"]), pa.binary())}
                 done = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                 names = done.schema
                 yield done
-        if sketches and names is not None:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in names][:-1], pa.array([counts], type=pa.list_(pa.int64()))], schema=names)
+        if tally and names is not None:
+            parts = [x.tobytes() for x in np.split(counts, SLICES)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, f.type) for f in names][:-2], pa.array(range(SLICES), type=pa.int32()), pa.array(parts, type=pa.binary())], schema=names)
 
-    more = "words int, " + "".join(f"{c} long, " for c in SKETCH) + "finer binary, counts array<long>" if sketches else "sim long, words int"
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, {more}")
+    more = "".join(f", {c} long" for c in SKETCH) + ", finer binary, said string" if sketches else "" if tally else ", sim long"
+    more += ", slice int, counts binary" if sketches or tally else ""
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, words int{more}")
 
 
 def word_rarity(counts: DataFrame) -> np.ndarray:
-    """Rank of all words by their hash, rare ones low, from rows of ``counts``."""
-    sums = counts.select(F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
-    total = np.zeros(WORD_BUCKETS)
-    for r in sums:
-        total[r["pos"]] = r["n"]
-    return np.minimum(np.log2(total + 1), 63 // max(RUNS)).astype(np.uint8)
+    """Rank of all words by their hash, rare ones low, from rows of ``slice, counts``: a byte for each hash."""
+
+    def rank(table: pa.Table) -> pa.Table:
+        total = np.zeros(WORD_BUCKETS // SLICES, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.int64)
+        ranks = np.minimum(4 * np.log2(total + 1), 255 // max(RUNS)).astype(np.uint8)
+        return pa.table({"slice": table.column("slice")[:1], "ranks": pa.array([ranks.tobytes()], type=pa.binary())})
+
+    slices = {r["slice"]: r["ranks"] for r in counts.select("slice", "counts").groupBy("slice").applyInArrow(rank, "slice int, ranks binary").collect()}
+    return np.concatenate([np.frombuffer(slices.get(i, bytes(WORD_BUCKETS // SLICES)), dtype=np.uint8) for i in range(SLICES)])
 
 
 def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float, buckets: int) -> DataFrame:
@@ -222,7 +240,7 @@ def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float,
     def pack(batches):
         splitter = LineSplitter()
         for batch in small_batches(batches):
-            keys, ids, sizes = [], [], []
+            made = []
             for g in splitter(batch.column(0)):
                 with np.errstate(over="ignore"):
                     _, at = np.unique(g["h1"], return_index=True)  # copies within a group have one set of keys
@@ -230,28 +248,21 @@ def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float,
                     keep = np.zeros(len(g["n"]), dtype=bool)
                     keep[at] = True
                     n = g["n"][keep]
-                    of, key = run_keys(g["words"][np.repeat(keep, g["n"])], np.concatenate(([0], np.cumsum(n)[:-1])), n, rarity, least)
-                keys.append(key), ids.append(g["h1"][keep][of]), sizes.append(size_codes(n)[of])
-            if keys:
+                    of, key, places = run_keys(g["words"][np.repeat(keep, g["n"])], np.concatenate(([0], np.cumsum(n)[:-1])), n, rarity, least)
+                made.append((key, g["h1"][keep][of], size_codes(n)[of], places))
+            if made:
+                keys, ids, sizes, places = (np.concatenate(x) for x in zip(*made))
                 with np.errstate(over="ignore"):
-                    yield from pack_entries(np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes), buckets)
+                    yield from pack_entries(keys, ids, sizes, buckets, places)
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(pack, ENTRY_SCHEMA)
+    return docs.select(docs[text_col].alias("text")).mapInArrow(pack, PLACED_SCHEMA)
 
 
-def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``id, line``: the words of the lines whose h1 is among ``wanted`` ids."""
-
-    def split(batches):
-        splitter = LineSplitter()
-        for batch in small_batches(batches):
-            for g in splitter(batch.column(0)):
-                _, at = np.unique(g["h1"], return_index=True)
-                data, low, high = g["data"], *(x[at].tolist() for x in g["span"])
-                yield pa.RecordBatch.from_arrays([pa.array(g["h1"][at].view(np.int64)), pa.array([data[a:b].translate(WORD_TABLE) for a, b in zip(low, high)], type=pa.binary()).cast(pa.string())], names=["id", "line"])
-
-    every = docs.select(docs[text_col].alias("text")).mapInArrow(split, "id long, line string")
-    return near_ids(every, wanted, "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+def known_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id``, words, sketches and ``said`` of the ``wanted`` lines (id, doc_id, line: where they occur first)."""
+    every = line_table(near_ids(docs, wanted, "doc_id"), "doc_id", "text", sketches=True).drop("doc_id", "h2", "slice", "counts").withColumnRenamed("h1", "id")
+    # rows that share a document's id may show a line twice
+    return near_ids(every, wanted, "id").join(wanted.select("id", "line"), ["id", "line"]).drop("line").dropDuplicates(["id"])
 
 
 def close_sql(least: float) -> str:
@@ -387,10 +398,10 @@ def similar_pairs(left: list[str], right: list[str], least: float) -> np.ndarray
     return out
 
 
-def _near_long_lines(classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+def _near_long_lines(known: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """``pairs`` without those of longer lines whose finer word counts are too far apart."""
-    finer = classes.where("finer is not null").select("h1", "words", "finer")
-    left, right = (near_ids(finer, pairs.select(F.col(c).alias("h1")), "h1").toDF(c, f"{x}_words", x) for c, x in (("src", "a"), ("dst", "b")))
+    finer = known.where("finer is not null").select("id", "words", "finer")
+    left, right = (near_ids(finer, pairs.select(F.col(c).alias("id")), "id").toDF(c, f"{x}_words", x) for c, x in (("src", "a"), ("dst", "b")))
     both = pairs.join(left, "src", "left").join(right, "dst", "left").select("src", "dst", "a", "b", F.greatest("a_words", "b_words").alias("words"))
 
     def test(batches):
@@ -410,12 +421,10 @@ def _near_long_lines(classes: DataFrame, pairs: DataFrame, least: float) -> Data
     return both.mapInArrow(test, "src long, dst long")
 
 
-def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose lines are similar; lines are read again from the documents in which they occur first."""
-    pairs = scratch.keep(_near_long_lines(classes, pairs, least))
-    ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    ids = scratch.keep(ids.join(classes.select(F.col("h1").alias("id"), "first.doc_id"), "id"))
-    texts = scratch.keep(line_texts(near_ids(docs, ids, "doc_id"), "text", ids.select("id")))
+def _verified(scratch: Scratch, known: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs whose lines are similar."""
+    pairs = scratch.keep(_near_long_lines(known, pairs, least))
+    texts = known.select("id", "said")
     both = pairs.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst")
 
     def test(batches):
@@ -424,7 +433,7 @@ def _verified(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: Data
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     found = scratch.keep(both.select("src", "dst", "a", "b").mapInArrow(test, "src long, dst long"))
-    scratch.drop(pairs, ids, texts)
+    scratch.drop(pairs)
     return found
 
 
@@ -434,16 +443,18 @@ def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     Blank lines belong to no group and are not listed.
     """
     scratch = Scratch(docs.sparkSession)
-    sketch = ["words", *SKETCH]
-    lines = scratch.keep(line_table(docs, id_col, text_col, sketches=True))
+    lines = scratch.keep(line_table(docs, id_col, text_col, tally=True))
     rarity = word_rarity(lines.where("counts is not null"))
-    classes = lines.where("counts is null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in (*sketch, "finer")])
-    classes = scratch.keep(classes.select("h1", "h2", "first", *sketch, "finer"))
+    classes = scratch.keep(lines.where("counts is null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("words").alias("words")))
     scratch.drop(lines)
     words = classes.agg(F.sum("words")).first()[0] or 0
-    rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD)), code_span(least)))
+    rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD)), code_span(least), 1 - least))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    groups = bucket_components(scratch, rows, classes.select(F.col("h1").alias("id"), *sketch), close_sql(least), lambda pairs: _verified(scratch, source, classes, pairs, least))
+    wanted = scratch.keep(rows.select("id").distinct().join(classes.select(F.col("h1").alias("id"), "first.*"), "id"))
+    known = scratch.keep(known_lines(source, wanted))
+    scratch.drop(wanted)
+    groups = bucket_components(scratch, rows, known.select("id", "words", *SKETCH), close_sql(least), lambda pairs: _verified(scratch, known, pairs, least))
+    scratch.drop(known)
     named = classes.select("h1", "h2", "first").join(groups.withColumnRenamed("node", "h1"), "h1", "left")
     group = [F.coalesce("component", "h1").alias("g"), F.when(F.col("component").isNull(), F.col("h2")).alias("h")]
     return named.groupBy(*group).agg(F.min("first").alias("first")).select("first.*")
