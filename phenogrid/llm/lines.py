@@ -26,12 +26,17 @@ from pyspark.sql import functions as F
 from phenogrid.llm.common import PLACED_SCHEMA, Scratch, WordHasher, bucket_components, byte_groups, code_span, entry_buckets, free_name, mix64, near_ids, pack_entries, place_codes, shared_rows, size_codes, small_batches
 
 MAX_BITS = 64  # of the SimHash: any distance may be linked
-RUNS = (2, 1)  # words of a run, the longest first
-KEYS_PER_WORD = 0.4
+LONG_RUNS, RUNS = (3,), (2, 1)  # words of a run, the longest first; short lines go by ``RUNS``
+KEYS_PER_WORD = 0.6
+PLAIN_WORDS, FEW_KINDS = 40, 0.1  # longer lines of so few unlike words for their length go by words and not by runs
+WORD_BITS = np.uint64((1 << 44) - 1)  # of a word's hash, in word keys
+BLOCK_WORDS = 128  # long lines are cut into blocks where the edits that break runs are counted
 LEVELS, KINDS = 3, 256  # of word counts
 SKETCH = [f"c{i}_{j}" for i in range(LEVELS) for j in range(KINDS // 64)]
 FINER = ((40, 128), (300, 1024))  # words above which lines have a finer count of words, and of how many kinds
-WORD_BUCKETS, SLICES = 1 << 18, 16  # for the order of runs alone
+WORD_BUCKETS, RUN_BUCKETS, SLICES = 1 << 18, 1 << 21, 16  # for the order of runs alone
+LINE_BUCKETS = 1 << 25  # of hashes, of which a bit is kept
+COMMON, OCTAVE = 190, 8  # least rank of runs that stand out by their own count, and ranks for each doubling
 WORDED = re.compile(r"[A-Za-z0-9]|[^\x00-\x7f]")
 SPACES = bytes(b for b in range(128) if not chr(b).isalnum() and b != 10)
 
@@ -59,8 +64,56 @@ def edits_allowed(n, least: float):
     return np.floor((1 - least) * np.asarray(n) + 1e-9).astype(np.int64)
 
 
+def least_cost(chosen: np.ndarray, active: np.ndarray, q: int, least: float) -> np.ndarray:
+    """Least cost of breaking the ``chosen`` runs of ``q`` words of some blocks: a word changed or lost costs 1, one put in ``least``.
+
+    ``chosen`` has a row for each place of a run and a column for each block;
+    of the columns only the first ``active`` reach a row.  The first unbroken
+    run is best broken at its end: there a changed word breaks all runs that
+    begin at its q places, a new one before its last word those at q - 1.
+    """
+    cost = np.zeros((len(chosen) + q, chosen.shape[1]))
+    for i in range(len(chosen) - 1, -1, -1):
+        n = active[i]
+        cost[i, :n] = np.where(chosen[i, :n], np.minimum(1 + cost[i + q, :n], least + cost[i + q - 1, :n]), cost[i + 1, :n])
+    return cost[0]
+
+
+KNOWN: dict = {}  # what ``withstands`` has found in a task
+
+
+def most_broken(q: int, least: float) -> float:
+    """How many runs of ``q`` words a cost of 1 breaks at most."""
+    return max(q, (q - 1) / least)
+
+
+def withstands(n: int, q: int, least: float) -> bool:
+    """Whether any edits that lead to a like line leave a run of ``q`` words of a line of ``n``."""
+    runs, budget = max(0, n - q + 1), (1 - least) * n + 1e-6
+    if runs > most_broken(q, least) * budget:
+        return True
+    if (n, q, least) not in KNOWN:
+        KNOWN[n, q, least] = runs > 0 and bool(least_cost(np.ones((runs, 1), dtype=bool), np.ones(runs, dtype=int), q, least)[0] > budget)
+    return KNOWN[n, q, least]
+
+
+def run_lengths(n: int, least: float) -> tuple[int, ...]:
+    """Lengths of runs by which a line of ``n`` words meets like lines: for each other length the longest that both withstand.
+
+    0 stands for the lengths that none of ``LONG_RUNS`` serves.
+    """
+    if n * least > 2 and int(n * least) - LONG_RUNS[0] > most_broken(LONG_RUNS[0], least) * ((1 - least) * int(n * least) + 1e-6):
+        return LONG_RUNS[:1]  # longer lines withstand more
+    used = set()
+    for m in range(int(np.ceil(n * least - 1e-9)), int((n + 1) / least) + 2):
+        d = int(edits_allowed(max(n, m), least))
+        if d > 0 and abs(m - n) <= d:
+            used.add(next((q for q in LONG_RUNS if withstands(n, q, least) and withstands(m, q, least)), 0))
+    return tuple(sorted(used))
+
+
 def run_counts(n: int, least: float) -> list[int]:
-    """How many runs of each length in ``RUNS`` a line of ``n`` words is found by.
+    """How many runs of each length in ``RUNS`` a line of ``n`` words is found by, among lines that ``LONG_RUNS`` do not serve.
 
     A pair whose longer line has m words, d = ``edits_allowed(m)``, uses the
     longest runs of which one must be left: m - q + 1 > q d.  Of the n words'
@@ -68,6 +121,8 @@ def run_counts(n: int, least: float) -> list[int]:
     q - 1 of the shorter line's runs; the first q d - (m - n) + 1 of both
     lines in one order then have one in common.
     """
+    if 0 not in run_lengths(n, least):
+        return [0] * len(RUNS)
     m = np.arange(n, int((n + 1) / least) + 2)
     d = edits_allowed(m, least)
     m, d = m[(d > 0) & (m - n <= d)], d[(d > 0) & (m - n <= d)]
@@ -79,34 +134,124 @@ def run_counts(n: int, least: float) -> list[int]:
     return counts
 
 
-def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def held_runs(of: np.ndarray, place: np.ndarray, rank: np.ndarray, n: np.ndarray, q: int, least: float) -> np.ndarray:
+    """How many of its unlike runs of ``q`` words, in their order, each line of ``n`` words needs until no edits that lead to a like line break all.
+
+    Each run of a line ``of`` comes with its place and its rank among the
+    line's unlike runs, from 0.  From a line of n words to one like it,
+    whichever is longer, lead c changed or lost and p new words with
+    c + least p <= (1 - least) n.  So where breaking the first runs costs
+    more, one of them is left; lines of which all runs cost less need all.
+    """
+    counts = np.zeros(len(n), dtype=np.int64)
+    np.maximum.at(counts, of, rank + 1)
+    budget = (1 - least) * n + 1e-6
+    # blocks in order of length; a run counts in the block in which it lies whole
+    blocks = -(-n // BLOCK_WORDS)
+    line = np.repeat(np.arange(len(n)), blocks)
+    base = np.cumsum(blocks) - blocks
+    length = np.minimum(n[line] - (np.arange(len(line)) - base[line]) * BLOCK_WORDS, BLOCK_WORDS)
+    order = np.argsort(-length, kind="stable")
+    column = np.empty(len(order), dtype=np.int64)
+    column[order] = np.arange(len(order))
+    rows = int(length.max()) if len(length) else 0
+    active = np.searchsorted(-length[order], -np.arange(rows), side="left")
+    inside = place % BLOCK_WORDS + q <= BLOCK_WORDS
+    row, at = place[inside] % BLOCK_WORDS, column[base[of[inside]] + place[inside] // BLOCK_WORDS]
+    rank, whose = rank[inside], of[inside]
+    # a new word breaks q - 1 runs, a changed one q
+    low = np.minimum(counts, np.where(np.bincount(of, minlength=len(n)) > counts, 1, (budget / least).astype(np.int64)))
+    high = np.minimum(counts, (budget * most_broken(q, least)).astype(np.int64) + 1 + (blocks - 1) * (q - 1))
+    while (low < high).any():
+        middle = (low + high) // 2
+        chosen = np.zeros((rows, len(line)), dtype=bool)
+        some = rank < middle[whose]
+        chosen[row[some], at[some]] = True
+        cost = np.bincount(line, least_cost(chosen, active, q, least)[column], len(n))
+        enough = cost > budget
+        high, low = np.where(enough, middle, high), np.where(enough, low, np.minimum(middle + 1, high))
+    return high
+
+
+def run_hashes(words: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the runs of ``q`` words that begin at some places."""
+    h = np.full(len(at), q, dtype=np.uint64)
+    for j in range(q):
+        h = mix64(h + words[at + j])
+    return h
+
+
+def word_tokens(words: np.ndarray, line: np.ndarray, n: np.ndarray, rarity: np.ndarray, least: float) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Line, hash and rank of the words, each with the count of its kind so far, of lines of few kinds; and which lines go by runs.
+
+    Runs of a line that says the same again and again are few and, where its
+    words are common, in many unlike lines.  An edit takes one of these
+    tokens at most, so like lines share one of the first edits + 1 in an
+    order in which repeats of rare words come first.  The kinds of like
+    lines differ by the edits at most: one that goes by words alone is only
+    like lines that go by words as well.
+    """
+    long_ = n > PLAIN_WORDS
+    codes = np.sort((line.astype(np.uint64) << np.uint64(44) | words & WORD_BITS)[long_[line]])
+    new = np.ones(len(codes), dtype=bool)
+    new[1:] = codes[1:] != codes[:-1]
+    of = (codes >> np.uint64(44)).astype(np.int64)
+    kinds = np.bincount(of[new], minlength=len(n))
+    by_words = long_ & (kinds <= (FEW_KINDS + 1 - least) / least * n + 1)
+    by_runs = (n <= PLAIN_WORDS / least + 1) | (kinds > FEW_KINDS * n)
+    begin = np.flatnonzero(new)
+    again = np.arange(len(codes)) - begin[np.cumsum(new) - 1] if len(codes) else np.zeros(0, np.int64)
+    some = by_words[of]
+    codes, of, again = codes[some] & WORD_BITS, of[some], again[some]
+    rank = 3 * rarity[(codes & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.int64) - (6 * np.log2(again + 1)).astype(np.int64)
+    hashes = mix64(mix64(codes) + again.astype(np.uint64))
+    return (of.astype(np.uint64), hashes, np.maximum(rank, 0).astype(np.uint64)), by_runs
+
+
+def run_keys(words: np.ndarray, first: np.ndarray, n: np.ndarray, rarity: np.ndarray, least: float, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line number, key and ``place_codes`` of the runs that each line is found by, ordered by line.
 
-    The first of all runs, in their order, that the edits leave alone is
+    Their order is by ``rarity`` of their words, but that of the longest runs
+    by their own ``common`` rank where that is higher: passages that unlike
+    lines share come last, even those of rare words.  The first of all runs, in their order, that the edits leave alone is
     among both lines' keys; if neither line repeats it, its places tell.
     """
     sizes, which = np.unique(n, return_inverse=True)
     wanted = np.array([run_counts(int(x), least) for x in sizes], dtype=np.int64).reshape(-1, len(RUNS))[which]
+    lengths = [run_lengths(int(x), least) for x in sizes]
     line = np.repeat(np.arange(len(n)), n)
     left = np.repeat(first + n, n) - np.arange(len(words))
-    common = rarity[(words & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
+    ranks = rarity[(words & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
+    tokens, by_runs = word_tokens(words, line, n, rarity, least)
     made = []
-    for i, q in enumerate(RUNS):
-        at = np.flatnonzero((left >= q) & (wanted[line, i] > 0))
-        h, rank = np.full(len(at), q, dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
-        for j in range(q):
-            h = mix64(h + words[at + j])
-            rank += common[at + j]
-        of = line[at].astype(np.uint64)
+    for q in (0, *LONG_RUNS, *RUNS):
+        if q:
+            some = np.array([q in x for x in lengths], dtype=bool)[which] & by_runs if q in LONG_RUNS else wanted[:, RUNS.index(q)] > 0
+            at = np.flatnonzero((left >= q) & some[line])
+            h, rank = run_hashes(words, at, q), np.zeros(len(at), dtype=np.uint64)
+            for j in range(q):
+                rank += ranks[at + j]
+            if q == LONG_RUNS[0] and common is not None:
+                rank = np.maximum(rank, common[(h & np.uint64(len(common) - 1)).astype(np.int64)])
+            of = line[at].astype(np.uint64)
+        else:
+            of, h, rank = tokens
+            at = np.zeros(len(of), dtype=np.int64)
         # runs whose 36 bits agree count as one, in every line alike
         order = np.argsort(of << np.uint64(44) | rank << np.uint64(36) | h >> np.uint64(28))
         h, rank, of, at = h[order], rank[order], of[order], at[order]
         name = h >> np.uint64(28) | rank << np.uint64(36)
         new = np.ones(len(of) + 1, dtype=bool)
         new[1:-1] = (name[1:] != name[:-1]) | (of[1:] != of[:-1])
-        new, alone = new[:-1], new[:-1] & new[1:]
-        h, of, at, alone = h[new], of[new].astype(np.int64), at[new], alone[new]
-        keep = np.arange(len(of)) - np.searchsorted(of, of) < wanted[of, i]
+        new, alone = new[:-1], new[:-1] & new[1:] & (q > 0)
+        of = of.astype(np.int64)
+        if q in LONG_RUNS:
+            unlike = np.cumsum(new)
+            many = held_runs(of, at - first[of], unlike - unlike[np.searchsorted(of, of)], n, q, least)
+        else:
+            many = wanted[:, RUNS.index(q)] if q else edits_allowed(n, least) + 1
+        h, of, at, alone = h[new], of[new], at[new], alone[new]
+        keep = np.arange(len(of)) - np.searchsorted(of, of) < many[of]
         h, of, at, alone = h[keep], of[keep], at[keep], alone[keep]
         made.append((of, h, place_codes(n[of], at - first[of], alone)))
     of, key, places = (np.concatenate(x) for x in zip(*made))
@@ -182,20 +327,44 @@ class LineSplitter:
             yield {"data": data, "words": words, "first": first, "n": n, "h1": h1, "h2": h2, "doc": doc + low, "line": of_line[first] - np.searchsorted(breaks, doc_starts[doc]), "span": (edges[of_line[first]] + 1, edges[of_line[first] + 1])}
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False, tally: bool = False) -> DataFrame:
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit for each of ``LINE_BUCKETS`` values of the low bits of the column ``id``, packed: whether some id has it."""
+    part = LINE_BUCKETS // SLICES
+
+    def pack(table: pa.Table) -> pa.Table:
+        at = table.column("bucket").to_numpy()
+        bits = np.zeros(part, dtype=np.uint8)
+        bits[at % part] = 1
+        return pa.table({"slice": pa.array([int(at[0]) // part], type=pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], type=pa.binary())})
+
+    buckets = ids.select(F.col("id").bitwiseAND(LINE_BUCKETS - 1).cast("int").alias("bucket")).distinct()
+    found = {r["slice"]: r["bits"] for r in buckets.groupBy(F.floor(F.col("bucket") / part).alias("slice")).applyInArrow(pack, "slice int, bits binary").collect()}
+    return np.concatenate([np.frombuffer(found.get(i, bytes(part // 8)), dtype=np.uint8) for i in range(SLICES)])
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False, tally: bool = False, among: np.ndarray | None = None) -> DataFrame:
     """One narrow row per line with a word: doc_id, line, h1, h2 (of the words in order), words, and sim.
 
     With ``sketches``, instead of sim: the columns ``SKETCH``, ``finer`` and
-    ``said``, the line's words.  With ``tally``, instead of sim: each task
+    ``said``, the line's words, of the lines whose h1 is ``among`` some
+    ``id_bits``.  With ``tally``, instead of sim: each task
     adds rows that have only ``slice`` and ``counts``, of all words by their
     hash.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def split(batches):
-        splitter, counts, names = LineSplitter(), np.zeros(WORD_BUCKETS, np.int64), None
+        splitter, names = LineSplitter(), None
+        counts, runs = np.zeros(WORD_BUCKETS, np.int64), np.zeros(RUN_BUCKETS if tally else 0, np.uint32)
         for batch in small_batches(batches):
             for g in splitter(batch.column(1)):
+                if among is not None:
+                    at = (g["h1"] & np.uint64(LINE_BUCKETS - 1)).astype(np.int64)
+                    keep = among[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+                    words, n = g["words"][np.repeat(keep, g["n"])], g["n"][keep]
+                    g |= {c: g[c][keep] for c in ("h1", "h2", "doc", "line")} | {"words": words, "n": n, "first": np.cumsum(n) - n, "span": tuple(x[keep] for x in g["span"])}
+                    if not len(n):
+                        continue
                 columns = {"doc_id": batch.column(0).take(pa.array(g["doc"])), "line": pa.array(g["line"].astype(np.int32)), "h1": pa.array(g["h1"].view(np.int64)), "h2": pa.array(g["h2"].view(np.int64)), "words": pa.array(g["n"].astype(np.int32))}
                 if sketches:
                     data, low, high = g["data"], *(x.tolist() for x in g["span"])
@@ -204,6 +373,11 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = Fal
                     columns["said"] = pa.array([data[a:b].translate(WORD_TABLE) for a, b in zip(low, high)], type=pa.binary()).cast(pa.string())
                 elif tally:
                     counts += np.bincount((g["words"] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), minlength=WORD_BUCKETS)
+                    q, words = LONG_RUNS[0], g["words"]
+                    with np.errstate(over="ignore"):
+                        h = run_hashes(words, np.flatnonzero(np.repeat(g["first"] + g["n"], g["n"]) - np.arange(len(words)) >= q), q)
+                    slot, times = np.unique((h & np.uint64(RUN_BUCKETS - 1)).astype(np.int64), return_counts=True)
+                    runs[slot] += times.astype(np.uint32)
                 else:
                     columns["sim"] = pa.array(sim_hashes(g["words"], g["first"]).view(np.int64))
                 if sketches or tally:
@@ -212,29 +386,38 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, sketches: bool = Fal
                 names = done.schema
                 yield done
         if tally and names is not None:
-            parts = [x.tobytes() for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, f.type) for f in names][:-2], pa.array(range(SLICES), type=pa.int32()), pa.array(parts, type=pa.binary())], schema=names)
+            # after the words' counts those of runs, of which a task has less than 2 ** 16 at one place or as good as that
+            parts = [x.tobytes() for x in np.split(counts, SLICES)] + [x.tobytes() for x in np.split(np.minimum(runs, 65535).astype(np.uint16), SLICES)]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(2 * SLICES, f.type) for f in names][:-2], pa.array(range(2 * SLICES), type=pa.int32()), pa.array(parts, type=pa.binary())], schema=names)
 
     more = "".join(f", {c} long" for c in SKETCH) + ", finer binary, said string" if sketches else "" if tally else ", sim long"
     more += ", slice int, counts binary" if sketches or tally else ""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(split, f"doc_id {id_type}, line int, h1 long, h2 long, words int{more}")
 
 
-def word_rarity(counts: DataFrame) -> np.ndarray:
-    """Rank of all words by their hash, rare ones low, from rows of ``slice, counts``: a byte for each hash."""
+def rarities(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks, rare ones low, of all words and of the longest runs by their hash, a byte for each hash, from rows of ``slice, counts``.
+
+    Runs have a rank only where many more are counted than the mean of all
+    hashes, which is what unlike runs that share a hash come to.
+    """
 
     def rank(table: pa.Table) -> pa.Table:
-        total = np.zeros(WORD_BUCKETS // SLICES, np.int64)
+        of_words = table.column("slice")[0].as_py() < SLICES
+        total = np.zeros((WORD_BUCKETS if of_words else RUN_BUCKETS) // SLICES, np.int64)
         for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.int64)
-        ranks = np.minimum(4 * np.log2(total + 1), 255 // max(RUNS)).astype(np.uint8)
-        return pa.table({"slice": table.column("slice")[:1], "ranks": pa.array([ranks.tobytes()], type=pa.binary())})
+            total += np.frombuffer(x.as_buffer(), dtype=np.int64 if of_words else np.uint16)
+        ranks = np.minimum(2 * np.log2(total + 1), COMMON // max(LONG_RUNS + RUNS)) if of_words else np.minimum(OCTAVE * np.log2(total + 1), 255)
+        return pa.table({"slice": table.column("slice")[:1], "ranks": pa.array([ranks.astype(np.uint8).tobytes()], type=pa.binary()), "total": pa.array([int(total.sum())])})
 
-    slices = {r["slice"]: r["ranks"] for r in counts.select("slice", "counts").groupBy("slice").applyInArrow(rank, "slice int, ranks binary").collect()}
-    return np.concatenate([np.frombuffer(slices.get(i, bytes(WORD_BUCKETS // SLICES)), dtype=np.uint8) for i in range(SLICES)])
+    rows = counts.select("slice", "counts").groupBy("slice").applyInArrow(rank, "slice int, ranks binary, total long").collect()
+    slices = {r["slice"]: r["ranks"] for r in rows}
+    words, runs = (np.concatenate([np.frombuffer(slices.get(i, bytes(size // SLICES)), dtype=np.uint8) for i in of]) for size, of in ((WORD_BUCKETS, range(SLICES)), (RUN_BUCKETS, range(SLICES, 2 * SLICES))))
+    above = OCTAVE * np.log2(1.5 * sum(r["total"] for r in rows if r["slice"] >= SLICES) / RUN_BUCKETS + 8)
+    return words, np.where(runs > above, np.minimum(COMMON + runs - above, 255), 0).astype(np.uint8)
 
 
-def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float, buckets: int) -> DataFrame:
+def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, common: np.ndarray, least: float, buckets: int) -> DataFrame:
     """Packed entries of the runs that each line, by its h1, is found by."""
 
     def pack(batches):
@@ -248,7 +431,7 @@ def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float,
                     keep = np.zeros(len(g["n"]), dtype=bool)
                     keep[at] = True
                     n = g["n"][keep]
-                    of, key, places = run_keys(g["words"][np.repeat(keep, g["n"])], np.concatenate(([0], np.cumsum(n)[:-1])), n, rarity, least)
+                    of, key, places = run_keys(g["words"][np.repeat(keep, g["n"])], np.concatenate(([0], np.cumsum(n)[:-1])), n, rarity, least, common)
                 made.append((key, g["h1"][keep][of], size_codes(n)[of], places))
             if made:
                 keys, ids, sizes, places = (np.concatenate(x) for x in zip(*made))
@@ -260,9 +443,9 @@ def line_keys(docs: DataFrame, text_col: str, rarity: np.ndarray, least: float,
 
 def known_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id``, words, sketches and ``said`` of the ``wanted`` lines (id, doc_id, line: where they occur first)."""
-    every = line_table(near_ids(docs, wanted, "doc_id"), "doc_id", "text", sketches=True).drop("doc_id", "h2", "slice", "counts").withColumnRenamed("h1", "id")
+    every = line_table(near_ids(docs, wanted, "doc_id"), "doc_id", "text", sketches=True, among=id_bits(wanted)).drop("doc_id", "h2", "slice", "counts").withColumnRenamed("h1", "id")
     # rows that share a document's id may show a line twice
-    return near_ids(every, wanted, "id").join(wanted.select("id", "line"), ["id", "line"]).drop("line").dropDuplicates(["id"])
+    return every.join(wanted.select("id", "line"), ["id", "line"]).drop("line").dropDuplicates(["id"])
 
 
 def close_sql(least: float) -> str:
@@ -444,11 +627,11 @@ def kept_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text
     """
     scratch = Scratch(docs.sparkSession)
     lines = scratch.keep(line_table(docs, id_col, text_col, tally=True))
-    rarity = word_rarity(lines.where("counts is not null"))
+    ranks = rarities(lines.where("counts is not null"))
     classes = scratch.keep(lines.where("counts is null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("words").alias("words")))
     scratch.drop(lines)
     words = classes.agg(F.sum("words")).first()[0] or 0
-    rows = scratch.keep(shared_rows(line_keys(docs, text_col, rarity, least, entry_buckets(words * KEYS_PER_WORD)), code_span(least), 1 - least))
+    rows = scratch.keep(shared_rows(line_keys(docs, text_col, *ranks, least, entry_buckets(words * KEYS_PER_WORD)), code_span(least), 1 - least))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     wanted = scratch.keep(rows.select("id").distinct().join(classes.select(F.col("h1").alias("id"), "first.*"), "id"))
     known = scratch.keep(known_lines(source, wanted))
