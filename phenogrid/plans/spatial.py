@@ -191,26 +191,23 @@ added AS (SELECT cell, week, list(species) AS added FROM cand JOIN ok USING (cel
 after_t AS (SELECT s.cell, s.week, s.species AS was, list_sort(list_distinct(list_concat(s.species, coalesce(a.added, [])))) AS now FROM s LEFT JOIN added a ON a.cell = s.cell AND a.week = s.week)"""
 
 
-def spread(t: Tables):
-    s = samples(t)
-    return s, propagation.propagate(s, ENV, K, RADIUS, LEAST, SPREAD, GATE, CAP)
+PARAMETERS = (ENV, K, RADIUS, LEAST, SPREAD, GATE, CAP)
 
 
 @query(sql("SELECT cell, week, array_to_string(now, ',') AS species FROM after_t", "sets", "compact", more=WANTED))
 def propagate_labels(t: Tables):
-    return spread(t)[1].select("cell", "week", F.array_join("species", ",").alias("species"))
+    return propagation.propagate(samples(t), *PARAMETERS).select("cell", "week", F.array_join("species", ",").alias("species"))
 
 
 @query(sql("SELECT week, count(*) AS n_samples, count(*) FILTER (WHERE len(now) > len(was)) AS n_modified, CAST(sum(len(now) - len(was)) AS BIGINT) AS n_added FROM after_t GROUP BY week", "sets", "compact", more=WANTED))
 def propagation_summary(t: Tables):
-    return propagation.summary(*spread(t))
+    return propagation.summary(propagation.additions(samples(t), *PARAMETERS))
 
 
 @query(sql("SELECT week, len(was) AS n_before, len(now) AS n_after FROM after_t WHERE cell = (SELECT min(cell) FROM after_t WHERE len(now) > len(was))", "sets", "compact", more=WANTED))
 def propagation_weekly(t: Tables):
     """Species before and after at the first cell that changed; the propagated table is worked out once."""
-    before, after = spread(t)
-    both = before.select("cell", "week", F.size("species").cast("long").alias("n_before")).join(after.select("cell", "week", F.size("species").cast("long").alias("n_after")), ["cell", "week"])
-    both = stored(both)
+    was, added = F.size("species").cast("long"), F.size("added").cast("long")
+    both = stored(propagation.additions(samples(t), *PARAMETERS).select("cell", "week", was.alias("n_before"), (was + added).alias("n_after")))
     first = both.where("n_after > n_before").agg(F.min("cell").alias("cell"))
     return both.join(F.broadcast(first), "cell").select("week", "n_before", "n_after")
